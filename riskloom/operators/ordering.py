@@ -182,13 +182,10 @@ def top_k(df: DataFrame, score: str, rate: float, order: Order = TIME_ORDER, rou
 
 
 def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
-    """Numpy-style linear-interpolated quantile, exact, by two selections."""
-    data = df.where(F.col(col).isNotNull())
-    n = data.count()
-    if n == 0:
+    """Numpy-style linear-interpolated quantile, exact (see ``stats.quantiles``)."""
+    from riskloom.operators import stats as S
+    row = S.quantiles(df, col, [q]).collect()
+    if not row or row[0]["n"] is None:
         return None
-    h = (n - 1) * q
-    lo_i, hi_i = int(math.floor(h)), int(math.ceil(h))
-    lo = kth_cut(data, ((col, True),), lo_i + 1)[0]
-    hi = lo if hi_i == lo_i else kth_cut(data, ((col, True),), hi_i + 1)[0]
-    return float(lo) + (h - lo_i) * (float(hi) - float(lo))
+    v = row[0][S.quantile_name(q)]
+    return None if v is None else float(v)

@@ -266,3 +266,98 @@ def q_calibration_quantile(spark, sf_dir):
     c = M.calibration_curve(B.scored(spark, sf_dir), "y", "score", 10, "quantile")
     return c.select(F.col("bin").cast("long").alias("bin"), F.col("rows").cast("long").alias("rows"),
                     rnd("prob_true").alias("prob_true"), rnd("prob_pred").alias("prob_pred"))
+
+
+# --- A3-A20 / U1 / U2 / S13 / S14 -------------------------------------------------------------
+from riskloom.operators import profile as PF          # noqa: E402
+
+RAW_COLUMNS = ["TransactionAmt", "card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2",
+               "DeviceInfo"]
+
+
+@register("label_frequency")
+def q_label_frequency(spark, sf_dir):
+    p = PF.label_frequency(B.transactions(spark, sf_dir))
+    return p.select("isFraud", "rows", rnd("percent").alias("percent"))
+
+
+@register("null_shares")
+def q_null_shares(spark, sf_dir):
+    p = PF.null_shares(merged(spark, sf_dir), RAW_COLUMNS, top=30)
+    return p.select("column_name", "nulls", rnd("null_percent").alias("null_percent"))
+
+
+@register("id_coverage")
+def q_id_coverage(spark, sf_dir):
+    p = PF.id_coverage(B.transactions(spark, sf_dir), B.identity(spark, sf_dir))
+    return p.select("identity_ids", "transaction_ids", rnd("found_percent").alias("found_percent"))
+
+
+@register("amount_describe_by_label")
+def q_amount_describe(spark, sf_dir):
+    d = PF.describe_by(B.transactions(spark, sf_dir), "TransactionAmt", ["isFraud"])
+    return d.select("isFraud", "count", *[rnd(c).alias(c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
+
+
+@register("amount_by_device_presence")
+def q_amount_by_device(spark, sf_dir):
+    m = merged(spark, sf_dir).withColumn("has_device", F.col("DeviceInfo").isNotNull().cast("int"))
+    d = PF.describe_by(m, "TransactionAmt", ["has_device"])
+    return d.select("has_device", "count", *[rnd(c).alias(c) for c in ("min", "max", "mean", "median")])
+
+
+@register("feature_means_by_label")
+def q_feature_means(spark, sf_dir):
+    f = feature_table(spark, sf_dir, "batch")
+    cols = ["card_transaction_count", "card_txn_count_24h", "device_profile_count", "missing_value_count"]
+    m = PF.means_by(f, cols, ["isFraud"])
+    return m.select("isFraud", *[rnd(f"mean_{c}").alias(f"mean_{c}") for c in cols])
+
+
+@register("fraud_rate_by_amount_decile")
+def q_rate_by_decile(spark, sf_dir):
+    r = PF.rate_by_quantile_bin(B.transactions(spark, sf_dir), "TransactionAmt", "isFraud", 10)
+    return r.select(F.col("bin").cast("long").alias("bin"), rnd("lower").alias("lower"), rnd("upper").alias("upper"),
+                    "rows", rnd("rate").alias("rate"))
+
+
+@register("hour_label_crosstab")
+def q_crosstab(spark, sf_dir):
+    t = B.transactions(spark, sf_dir).withColumn("transaction_hour", C.hour_of_day("TransactionDT"))
+    c = PF.crosstab_share(t, "transaction_hour", "isFraud")
+    return c.select(F.col("transaction_hour").cast("long").alias("transaction_hour"), "isFraud", "rows",
+                    rnd("share").alias("share"))
+
+
+@register("feature_null_counts")
+def q_feature_null_counts(spark, sf_dir):
+    f = feature_table(spark, sf_dir, "batch")
+    return PF.null_shares(f, C.MODEL_FEATURES).select("column_name", "nulls")
+
+
+@register("split_summary")
+def q_split_summary(spark, sf_dir):
+    t = O.time_split(B.transactions(spark, sf_dir))
+    s = PF.split_summary(t)
+    return s.select("split", "rows", F.col("frauds").cast("long").alias("frauds"),
+                    rnd("fraud_percent").alias("fraud_percent"), "min_dt", "max_dt")
+
+
+@register("velocity_summary")
+def q_velocity_summary(spark, sf_dir):
+    v = PF.velocity_summary(feature_table(spark, sf_dir, "batch"))
+    return v.select(*[F.col(c).cast("long").alias(c) if ("count" in c[-6:] or c.endswith(("_min", "_max", "_nonzero")))
+                      else (F.col(c) if c.startswith("invariant") else rnd(c).alias(c)) for c in v.columns])
+
+
+@register("device_summary")
+def q_device_summary(spark, sf_dir):
+    d = PF.device_summary(merged(spark, sf_dir))
+    return d.select("distinct_devices", rnd("missing_device_percent").alias("missing_device_percent"))
+
+
+@register("split_union_uniqueness")
+def q_union_uniqueness(spark, sf_dir):
+    t = O.time_split(B.transactions(spark, sf_dir))
+    parts = [t.where(F.col("split") == s) for s in ("train", "validation", "test")]
+    return PF.key_uniqueness(PF.union_all(parts))

@@ -316,3 +316,91 @@ ORACLE["calibration_curve_uniform"] = with_sql(SQL_TX, SQL_SCORED) + _calib(
     "SELECT [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[] AS inner_edges")
 ORACLE["calibration_curve_quantile"] = with_sql(SQL_TX, SQL_SCORED) + _calib(
     "SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS inner_edges FROM sc")
+
+
+# --- profiling --------------------------------------------------------------------------
+TX = with_sql(SQL_TX)
+
+ORACLE["label_frequency"] = TX + f"""
+SELECT isFraud, count(*) AS rows, {r6('count(*) * 100.0 / (SELECT count(*) FROM tx)')} AS percent
+FROM tx GROUP BY isFraud"""
+
+_RAW = ["TransactionAmt", "card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2", "DeviceInfo"]
+ORACLE["null_shares"] = MERGED + """,
+u AS (""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS nulls, count(*) AS n FROM m" for c in _RAW) + f""")
+SELECT column_name, nulls, {r6('nulls * 100.0 / n')} AS null_percent FROM u ORDER BY nulls DESC, column_name LIMIT 30"""
+
+ORACLE["id_coverage"] = MERGED + f"""
+SELECT (SELECT count(DISTINCT TransactionID) FROM idt) AS identity_ids,
+       (SELECT count(DISTINCT TransactionID) FROM tx) AS transaction_ids,
+       {r6('(SELECT avg(CASE WHEN TransactionID IN (SELECT TransactionID FROM tx) THEN 1.0 ELSE 0.0 END) FROM (SELECT DISTINCT TransactionID FROM idt)) * 100')} AS found_percent"""
+
+ORACLE["amount_describe_by_label"] = TX + f"""
+SELECT isFraud, count(TransactionAmt) AS count, {r6('avg(TransactionAmt)')} AS mean, {r6('stddev_samp(TransactionAmt)')} AS std,
+  {r6('min(TransactionAmt)')} AS min, {r6('quantile_cont(TransactionAmt, 0.25)')} AS p25,
+  {r6('quantile_cont(TransactionAmt, 0.5)')} AS median, {r6('quantile_cont(TransactionAmt, 0.75)')} AS p75,
+  {r6('max(TransactionAmt)')} AS max
+FROM tx GROUP BY isFraud"""
+
+ORACLE["amount_by_device_presence"] = MERGED + f"""
+SELECT CAST(DeviceInfo IS NOT NULL AS INTEGER) AS has_device, count(TransactionAmt) AS count,
+  {r6('min(TransactionAmt)')} AS min, {r6('max(TransactionAmt)')} AS max, {r6('avg(TransactionAmt)')} AS mean,
+  {r6('quantile_cont(TransactionAmt, 0.5)')} AS median
+FROM m GROUP BY 1"""
+
+ORACLE["feature_means_by_label"] = FB + f"""
+SELECT isFraud, {r6('avg(card_transaction_count)')} AS mean_card_transaction_count,
+  {r6('avg(card_txn_count_24h)')} AS mean_card_txn_count_24h, {r6('avg(device_profile_count)')} AS mean_device_profile_count,
+  {r6('avg((card2 IS NULL)::INT + (addr1 IS NULL)::INT + (addr2 IS NULL)::INT + (DeviceInfo IS NULL)::INT)')}
+    AS mean_missing_value_count
+FROM fb GROUP BY isFraud"""
+
+ORACLE["fraud_rate_by_amount_decile"] = TX + f""",
+e AS (SELECT list_sort(list_distinct(quantile_cont(TransactionAmt, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))
+             AS edges FROM tx),
+b AS (SELECT tx.*, e.edges,
+        1 + (SELECT count(*) FROM unnest(e.edges[2:len(e.edges) - 1]) AS u(x) WHERE u.x < tx.TransactionAmt) AS bin
+      FROM tx, e WHERE TransactionAmt IS NOT NULL)
+SELECT CAST(bin AS BIGINT) AS bin, {r6('any_value(edges[bin])')} AS lower, {r6('any_value(edges[bin + 1])')} AS upper,
+       count(*) AS rows, {r6('avg(isFraud)')} AS rate
+FROM b GROUP BY bin"""
+
+ORACLE["hour_label_crosstab"] = TX + f""",
+c AS (SELECT (TransactionDT // 3600) % 24 AS transaction_hour, isFraud, count(*) AS rows FROM tx GROUP BY 1, 2)
+SELECT CAST(transaction_hour AS BIGINT) AS transaction_hour, isFraud, rows,
+       {r6('rows * 1.0 / sum(rows) OVER (PARTITION BY transaction_hour)')} AS share FROM c"""
+
+_FEATS = ["TransactionAmt", "TransactionAmt_log", "transaction_hour", "transaction_day", "has_identity",
+          "missing_card_info", "missing_address", "missing_value_count", "card_transaction_count", "card_avg_amount",
+          "amount_vs_card_avg", "new_card", "card_txn_count_1h", "card_txn_count_24h", "has_device_info",
+          "device_profile_count", "device_profile_unique_cards", "new_device_profile", "card_device_transaction_count",
+          "card_device_seen_before", "device_unique_cards_historical"]
+ORACLE["feature_null_counts"] = MERGED + f""",
+f AS (SELECT t.TransactionID, {_basic_cols().replace('TransactionAmt_x', 'TransactionAmt')}, {_batch_cols('m', rounded=False)} FROM m t)
+SELECT column_name, nulls FROM (""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS nulls FROM f" for c in _FEATS) + ")"
+
+ORACLE["split_summary"] = ORD + f""",
+l AS (SELECT *, CASE WHEN rn <= te THEN 'train' WHEN rn <= ve THEN 'validation' ELSE 'test' END AS split FROM s)
+SELECT split, count(*) AS rows, CAST(sum(isFraud) AS BIGINT) AS frauds, {r6('avg(isFraud) * 100')} AS fraud_percent,
+       min(TransactionDT) AS min_dt, max(TransactionDT) AS max_dt
+FROM l GROUP BY split"""
+
+ORACLE["velocity_summary"] = FB + f"""
+SELECT bool_and(card_txn_count_24h >= card_txn_count_1h) AS invariant_24h_ge_1h,
+  count(card_txn_count_1h) AS card_txn_count_1h_count, {r6('avg(card_txn_count_1h)')} AS card_txn_count_1h_mean,
+  {r6('stddev_samp(card_txn_count_1h)')} AS card_txn_count_1h_std, CAST(min(card_txn_count_1h) AS BIGINT) AS card_txn_count_1h_min,
+  CAST(max(card_txn_count_1h) AS BIGINT) AS card_txn_count_1h_max, count_if(card_txn_count_1h > 0) AS card_txn_count_1h_nonzero,
+  count(card_txn_count_24h) AS card_txn_count_24h_count, {r6('avg(card_txn_count_24h)')} AS card_txn_count_24h_mean,
+  {r6('stddev_samp(card_txn_count_24h)')} AS card_txn_count_24h_std, CAST(min(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_min,
+  CAST(max(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_max, count_if(card_txn_count_24h > 0) AS card_txn_count_24h_nonzero
+FROM fb"""
+
+ORACLE["device_summary"] = MERGED + f"""
+SELECT count(DISTINCT DeviceInfo) AS distinct_devices, {r6('avg(CAST(DeviceInfo IS NULL AS DOUBLE)) * 100')} AS missing_device_percent
+FROM m"""
+
+ORACLE["split_union_uniqueness"] = TX + """
+SELECT count(*) AS rows, count(DISTINCT TransactionID) AS distinct_keys,
+  (SELECT count(*) FROM (SELECT TransactionID FROM tx GROUP BY 1 HAVING count(*) > 1)) AS duplicated_keys FROM tx"""
