@@ -139,11 +139,11 @@ def _rates_keep(long: DataFrame) -> DataFrame:
 def review_metrics(df: DataFrame, y: str, score: str, rate: float, rounding: str = "ceil",
                    order: O.Order = O.TIME_ORDER) -> dict:
     """Exact top-k by (score desc, time) and recall/precision there."""
-    n = df.count()
+    head = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("P")).collect()[0]
+    n, tot = head["n"], head["P"] or 0
     k = O.review_count(n, rate, rounding)
     so = O.score_order(score, order)
     cut = O.kth_cut(df, so, k) if k > 0 else None
-    tot = df.agg(F.sum(F.col(y).cast("long")).alias("P")).collect()[0]["P"] or 0
     hit = 0
     if cut is not None:
         hit = df.where(O.lex_before(so, cut, True)).agg(F.sum(F.col(y).cast("long"))).collect()[0][0] or 0

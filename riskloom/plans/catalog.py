@@ -361,3 +361,105 @@ def q_union_uniqueness(spark, sf_dir):
     t = O.time_split(B.transactions(spark, sf_dir))
     parts = [t.where(F.col("split") == s) for s in ("train", "validation", "test")]
     return PF.key_uniqueness(PF.union_all(parts))
+
+
+# --- G1-G3 / G5 / P12 / J14 / P13 / S13 / S14 -----------------------------------------
+from riskloom.functions import text as TX            # noqa: E402
+from riskloom.operators import records as RC         # noqa: E402
+from riskloom.sources import io as IO                # noqa: E402
+
+# Fixed parameters of the registered text checks: the reference's lists plus
+# phrases/patterns that occur in the shared documents (the defaults never do).
+TEST_PHRASES = TX.FORBIDDEN_PHRASES + ["password"]
+TEST_PATTERNS = TX.SECRET_PATTERNS + [r'token = "[0-9a-f]+"', r"AKIA[0-9A-Z]{16}"]
+
+
+def report_table(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("text").alias("report"), (F.col("n_chars") % 10).cast("string").alias("risk_score"),
+                    F.lit("en").alias("risk_level"), F.lit("ti").alias("decision"))
+
+
+@register("report_guardrail")
+def q_report_guardrail(spark, sf_dir):
+    return TX.validate_reports(report_table(spark, sf_dir), ["doc_id"], phrases=TEST_PHRASES, patterns=TEST_PATTERNS)
+
+
+def id_requests(spark, sf_dir):
+    e = B.table(spark, sf_dir, "events").select("event_id")
+    k = F.col("event_id") % 4
+    raw = (F.when(k == 0, F.col("event_id").cast("string"))
+           .when(k == 1, (-F.col("event_id")).cast("string"))
+           .when(k == 2, F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")))
+           .otherwise(F.concat(F.lit("id"), F.col("event_id").cast("string"))))
+    return e.select("event_id", raw.alias("raw_id"))
+
+
+@register("id_validation")
+def q_id_validation(spark, sf_dir):
+    good, bad = RC.split_ids(id_requests(spark, sf_dir))
+    return good.select("event_id", "TransactionID", F.lit(None).cast("string").alias("reason")) \
+        .unionByName(bad.select("event_id", "TransactionID", "reason"))
+
+
+def payloads(spark, sf_dir):
+    t = B.transactions(spark, sf_dir)
+    k = F.col("TransactionID") % 3
+    dt = F.when(k == 0, F.col("TransactionDT")).otherwise(F.col("TransactionDT") + 7)
+    p = F.create_map(F.lit("card1"), F.col("card1").cast("string"), F.lit("TransactionDT"), dt.cast("string"),
+                     F.lit("TransactionAmt"), (F.col("TransactionAmt") * 2).cast("string"))
+    return t.where(k != 2).select(F.col("TransactionID").alias("request_id"), p.alias("payload"))
+
+
+@register("payload_overlay")
+def q_payload_overlay(spark, sf_dir):
+    o = RC.payload_requests(payloads(spark, sf_dir), merged(spark, sf_dir))
+    return o.select("request_id", F.col("synthetic").cast("long").alias("synthetic"), *RC.TXN_FIELDS, "completeness")
+
+
+@register("feedback_validation")
+def q_feedback_validation(spark, sf_dir):
+    e = B.table(spark, sf_dir, "events")
+    lab = (F.when(F.col("event_type") == "error", "CONFIRMED_FRAUD").when(F.col("event_type") == "click", "FALSE_POSITIVE")
+           .when(F.col("event_type") == "view", "LEGITIMATE").when(F.col("event_type") == "purchase", "NEEDS_MORE_INFORMATION")
+           .otherwise(F.lower(F.col("event_type"))))
+    raw = e.select(F.col("event_id").alias("transaction_id"), lab.alias("analyst_label"))
+    acc, rej = IO.validate_feedback(raw, TX.FEEDBACK_LABELS)
+    return acc.select("transaction_id", "analyst_label", F.lit(1).alias("accepted")) \
+        .unionByName(rej.select("transaction_id", "analyst_label", F.lit(0).alias("accepted")))
+
+
+@register("label_join_contract")
+def q_label_join_contract(spark, sf_dir):
+    f = feature_table(spark, sf_dir, "batch").drop("isFraud")
+    labels = B.transactions(spark, sf_dir).select("TransactionID", "isFraud")
+    _, rep = IO.labelled_join(f, labels)
+    return rep.select(*[F.col(c).cast("long").alias(c) for c in rep.columns])
+
+
+# --- W15 / W16 ----------------------------------------------------------------------------
+@register("features_test_split")
+def q_features_test_split(spark, sf_dir):
+    cuts = O.split_cuts(B.transactions(spark, sf_dir))
+    f = O.apply_split(feature_table(spark, sf_dir, "batch"), cuts)
+    return _out(f.where(F.col("split") == "test"), BEHAVIOUR)
+
+
+@register("batch_pit_parity")
+def q_batch_pit_parity(spark, sf_dir):
+    from riskloom.plans import parity
+    return parity.parity_report(feature_table(spark, sf_dir, "batch"), feature_table(spark, sf_dir, "pit"),
+                                BEHAVIOUR)
+
+
+# --- M10-M12 --------------------------------------------------------------------------------
+@register("fusion_weight_search")
+def q_fusion_weight_search(spark, sf_dir):
+    from riskloom.plans import jobs as J
+    r = rules_table(spark, sf_dir)
+    grid = J.weight_grid_report(r, "y", "score", "behavioral_risk_score")
+    return spark.createDataFrame(grid, "model_weight double, recall_at_5pct double, precision_at_5pct double, "
+                                       "review_threshold double, high_threshold double, f1 double, chosen int") \
+        .select(rnd("model_weight").alias("model_weight"),
+                *[rnd(c).alias(c) for c in ("recall_at_5pct", "precision_at_5pct", "review_threshold",
+                                            "high_threshold", "f1")], F.col("chosen").cast("long").alias("chosen"))

@@ -63,7 +63,8 @@ def _batch_cols(src: str, rounded: bool = True) -> str:
     AS device_unique_cards_historical"""
 
 
-def _pit_cols(src: str) -> str:
+def _pit_cols(src: str, rounded: bool = True) -> str:
+    rr = r6 if rounded else (lambda x: x)
     money = "CAST(h.TransactionAmt AS DECIMAL(38,6))"
     cnt = f"(SELECT count(*) FROM {src} h WHERE h.card1 = t.card1 AND {EARLIER})"
     avg = (f"coalesce((SELECT sum({money}) / count(h.TransactionAmt) FROM {src} h "
@@ -73,8 +74,8 @@ def _pit_cols(src: str) -> str:
     pcnt = f"(SELECT count(*) FROM {src} h WHERE h.DeviceInfo = t.DeviceInfo AND h.card1 = t.card1 AND {EARLIER})"
     return f"""
   {cnt} AS card_transaction_count,
-  {r6(avg)} AS card_avg_amount,
-  {r6(f'CASE WHEN {avg} > 0 THEN coalesce(t.TransactionAmt, 0) / {avg} ELSE 0 END')} AS amount_vs_card_avg,
+  {rr(avg)} AS card_avg_amount,
+  {rr(f'CASE WHEN {avg} > 0 THEN coalesce(t.TransactionAmt, 0) / {avg} ELSE 0 END')} AS amount_vs_card_avg,
   CAST({cnt} = 0 AS BIGINT) AS new_card,
   (SELECT count(*) FROM {src} h WHERE h.card1 = t.card1 AND h.TransactionDT BETWEEN t.TransactionDT - 3600 AND t.TransactionDT - 1) AS card_txn_count_1h,
   (SELECT count(*) FROM {src} h WHERE h.card1 = t.card1 AND h.TransactionDT BETWEEN t.TransactionDT - 86400 AND t.TransactionDT - 1) AS card_txn_count_24h,
@@ -404,3 +405,93 @@ FROM m"""
 ORACLE["split_union_uniqueness"] = TX + """
 SELECT count(*) AS rows, count(DISTINCT TransactionID) AS distinct_keys,
   (SELECT count(*) FROM (SELECT TransactionID FROM tx GROUP BY 1 HAVING count(*) > 1)) AS duplicated_keys FROM tx"""
+
+
+# --- text, requests, contracts ---------------------------------------------------------------
+_PHRASES = ["definitely fraudulent", "certainly fraudulent", "100% fraud", "confirmed fraud", "guaranteed fraud",
+            "password"]
+_PATTERNS = [r"gsk_[A-Za-z0-9_-]+", r"sk-[A-Za-z0-9_-]+", r'token = "[0-9a-f]+"', r"AKIA[0-9A-Z]{16}"]
+_V = ("CASE WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in _PHRASES) + " THEN 'unsupported_claim'"
+      " WHEN NOT contains(text, CAST(n_chars % 10 AS VARCHAR)) THEN 'score_mismatch'"
+      " WHEN NOT contains(text, 'en') THEN 'level_mismatch' WHEN NOT contains(text, 'ti') THEN 'decision_mismatch'"
+      " WHEN " + " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for p in _PATTERNS)
+      + " THEN 'secret_exposure' END")
+ORACLE["report_guardrail"] = f"""
+SELECT doc_id, ({_V}) IS NULL AS passed, {_V} AS first_violation FROM documents"""
+
+ORACLE["id_validation"] = """
+WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR)
+                                            WHEN 1 THEN CAST(-event_id AS VARCHAR)
+                                            WHEN 2 THEN ' ' || CAST(event_id AS VARCHAR) || ' '
+                                            ELSE 'id' || CAST(event_id AS VARCHAR) END AS raw_id FROM events),
+c AS (SELECT event_id, TRY_CAST(trim(raw_id) AS BIGINT) AS v FROM r)
+SELECT event_id, CASE WHEN v > 0 THEN v END AS TransactionID,
+       CASE WHEN v IS NULL THEN 'not_an_integer' WHEN v <= 0 THEN 'not_positive' END AS reason FROM c"""
+
+ORACLE["payload_overlay"] = MERGED + """,
+p AS (SELECT TransactionID AS request_id, card1 AS pc,
+             CASE WHEN TransactionID % 3 = 0 THEN TransactionDT ELSE TransactionDT + 7 END AS pdt,
+             CAST(TransactionAmt * 2 AS VARCHAR) AS pamt FROM tx WHERE TransactionID % 3 <> 2),
+b AS (SELECT card1, TransactionDT, arg_min(TransactionID, TransactionID) AS bid FROM m GROUP BY 1, 2),
+bb AS (SELECT b.card1, b.TransactionDT, m.TransactionID, m.DeviceInfo
+       FROM b JOIN m ON m.TransactionID = b.bid)
+SELECT p.request_id, CAST(bb.TransactionID IS NULL AS BIGINT) AS synthetic,
+       CAST(bb.TransactionID AS VARCHAR) AS TransactionID, CAST(p.pdt AS VARCHAR) AS TransactionDT,
+       p.pamt AS TransactionAmt, CAST(p.pc AS VARCHAR) AS card1, bb.DeviceInfo AS DeviceInfo,
+       CASE WHEN bb.TransactionID IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness
+FROM p LEFT JOIN bb ON bb.card1 = p.pc AND bb.TransactionDT = p.pdt"""
+
+ORACLE["feedback_validation"] = """
+WITH r AS (SELECT event_id AS transaction_id,
+             CASE event_type WHEN 'error' THEN 'CONFIRMED_FRAUD' WHEN 'click' THEN 'FALSE_POSITIVE'
+                             WHEN 'view' THEN 'LEGITIMATE' WHEN 'purchase' THEN 'NEEDS_MORE_INFORMATION'
+                             ELSE lower(event_type) END AS analyst_label FROM events)
+SELECT transaction_id, analyst_label,
+       CASE WHEN analyst_label IN ('CONFIRMED_FRAUD', 'FALSE_POSITIVE', 'LEGITIMATE', 'NEEDS_MORE_INFORMATION')
+            THEN 1 ELSE 0 END AS accepted FROM r"""
+
+ORACLE["label_join_contract"] = TX + """
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS unlabelled,
+  (SELECT count(*) FROM (SELECT TransactionID FROM tx GROUP BY 1 HAVING count(*) > 1)) AS feature_dupes,
+  (SELECT count(*) FROM (SELECT TransactionID FROM tx GROUP BY 1 HAVING count(*) > 1)) AS label_dupes
+FROM tx"""
+
+ORACLE["features_test_split"] = MERGED + f""",
+o AS (SELECT *, row_number() OVER (ORDER BY TransactionDT, TransactionID) AS rn, count(*) OVER () AS n FROM m)
+SELECT t.TransactionID, {_batch_cols('m')} FROM o t WHERE rn > floor(n * (0.7::DOUBLE + 0.15::DOUBLE))"""
+
+_BEH = ["card_transaction_count", "card_avg_amount", "amount_vs_card_avg", "new_card", "card_txn_count_1h",
+        "card_txn_count_24h", "has_device_info", "device_profile_count", "device_profile_unique_cards",
+        "new_device_profile", "card_device_transaction_count", "card_device_seen_before",
+        "device_unique_cards_historical"]
+ORACLE["batch_pit_parity"] = MERGED + f""",
+a AS MATERIALIZED (SELECT t.TransactionID, {_batch_cols('m', rounded=False)} FROM m t),
+b AS MATERIALIZED (SELECT t.TransactionID, {_pit_cols('m', rounded=False)} FROM m t),
+u AS (""" + "\nUNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST(a.{f} AS DOUBLE) AS x, CAST(b.{f} AS DOUBLE) AS y FROM a JOIN b USING (TransactionID)"
+    for f in _BEH) + """)
+SELECT feature, count(*) AS rows,
+  count_if(NOT ((x IS NULL AND y IS NULL) OR (x IS NOT NULL AND y IS NOT NULL AND abs(x - y) <= 1e-8 + 1e-5 * abs(y))))
+    AS mismatches
+FROM u GROUP BY feature"""
+
+ORACLE["fusion_weight_search"] = RULES + f""",
+sl AS (SELECT TransactionID, TransactionDT, y, score,
+         {_score_level('(r5 + r6)', '(r2 + r3 + r4 + r7)')} FROM rf),
+g AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]::DOUBLE[]) AS w),
+f AS (SELECT g.w, sl.*, g.w * score + (1 - g.w) * behavioral_risk_score AS fused FROM g, sl),
+rk AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY fused DESC, TransactionDT, TransactionID) AS r,
+              count(*) OVER (PARTITION BY w) AS n, sum(y) OVER (PARTITION BY w) AS P FROM f),
+th AS (SELECT w, quantile_cont(fused, 0.95) AS thr FROM f GROUP BY w),
+mm AS (SELECT rk.w, any_value(th.thr) AS thr,
+        sum(CASE WHEN r <= least(n, greatest(1, ceil(n * 0.05::DOUBLE))) THEN y ELSE 0 END) AS hit,
+        any_value(least(n, greatest(1, ceil(n * 0.05::DOUBLE)))) AS k, any_value(P) AS P,
+        count_if(y = 1 AND fused >= th.thr) AS tp, count_if(y = 0 AND fused >= th.thr) AS fp,
+        count_if(y = 1 AND fused < th.thr) AS fn
+      FROM rk JOIN th ON rk.w = th.w GROUP BY rk.w),
+s AS (SELECT w, hit * 1.0 / P AS rec, hit * 1.0 / k AS prec, thr,
+        CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM mm)
+SELECT {r6('w')} AS model_weight, {r6('rec')} AS recall_at_5pct, {r6('prec')} AS precision_at_5pct,
+  {r6('thr')} AS review_threshold, {r6('least(0.95, greatest(thr + 0.15, 0.70))')} AS high_threshold, {r6('f1')} AS f1,
+  CAST(row_number() OVER (ORDER BY rec DESC, prec DESC, f1 DESC, w) = 1 AS BIGINT) AS chosen
+FROM s"""
