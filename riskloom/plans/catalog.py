@@ -463,3 +463,50 @@ def q_fusion_weight_search(spark, sf_dir):
         .select(rnd("model_weight").alias("model_weight"),
                 *[rnd(c).alias(c) for c in ("recall_at_5pct", "precision_at_5pct", "review_threshold",
                                             "high_threshold", "f1")], F.col("chosen").cast("long").alias("chosen"))
+
+
+# --- X1-X3 (streams driven to completion with availableNow) ----------------------------------------
+def _stream_transactions(spark, sf_dir):
+    """The events → transactions binding applied to a file stream of ``events``."""
+    from riskloom.streaming import jobs as SJ
+    e = SJ.file_stream(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    return e.select(eid.alias("TransactionID"),
+                    (F.expr("unix_micros(cast(ts as timestamp)) div 1000000") - F.lit(B.ORIGIN_EPOCH)).alias("TransactionDT"),
+                    F.col("value").cast("double").alias("TransactionAmt"), F.col("user_id").alias("card1"))
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    from riskloom.streaming import jobs as SJ
+    hist = merged(spark, sf_dir).where(F.col("TransactionDT") < PROBE_START)
+    ident = FE.keep_first(B.identity(spark, sf_dir), "TransactionID", ["DeviceInfo"])
+    arrivals = (_stream_transactions(spark, sf_dir).where(F.col("TransactionDT") >= PROBE_START)
+                .join(ident, "TransactionID", "left"))          # stream-static join
+    base = SJ.stream_dir(spark, "scoring")
+    SJ.run_to_end(SJ.score_arrivals(arrivals, hist, f"{base}/out", f"{base}/ckpt", TEST_RULES))
+    return _out(spark.read.parquet(f"{base}/out"), BEHAVIOUR)
+
+
+@register("stream_velocity")
+def q_stream_velocity(spark, sf_dir):
+    from riskloom.streaming import jobs as SJ
+    base = SJ.stream_dir(spark, "velocity")
+    q = (SJ.card_velocity(_stream_transactions(spark, sf_dir)).writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    SJ.run_to_end(q)
+    return spark.read.parquet(f"{base}/out").select("TransactionID", "card_txn_count_1h", "card_txn_count_24h")
+
+
+@register("stream_feedback")
+def q_stream_feedback(spark, sf_dir):
+    from riskloom.streaming import jobs as SJ
+    e = SJ.file_stream(spark, sf_dir, "events")
+    lab = (F.when(F.col("event_type") == "error", "CONFIRMED_FRAUD").when(F.col("event_type") == "click", "FALSE_POSITIVE")
+           .when(F.col("event_type") == "view", "LEGITIMATE").when(F.col("event_type") == "purchase", "NEEDS_MORE_INFORMATION")
+           .otherwise(F.lower(F.col("event_type"))))
+    fb = e.select(F.col("event_id").alias("transaction_id"), lab.alias("analyst_label"))
+    base = SJ.stream_dir(spark, "feedback")
+    SJ.run_to_end(SJ.feedback_sink(fb, f"{base}/out", f"{base}/ckpt"))
+    return spark.read.parquet(f"{base}/out").select("transaction_id", "analyst_label")

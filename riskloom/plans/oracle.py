@@ -495,3 +495,19 @@ SELECT {r6('w')} AS model_weight, {r6('rec')} AS recall_at_5pct, {r6('prec')} AS
   {r6('thr')} AS review_threshold, {r6('least(0.95, greatest(thr + 0.15, 0.70))')} AS high_threshold, {r6('f1')} AS f1,
   CAST(row_number() OVER (ORDER BY rec DESC, prec DESC, f1 DESC, w) = 1 AS BIGINT) AS chosen
 FROM s"""
+
+
+# --- streams: the stream's output must equal the batch answer ------------------------------------
+ORACLE["stream_scoring"] = MERGED + f""",
+hist AS (SELECT * FROM m WHERE TransactionDT < {PROBE_START}),
+pr AS (SELECT * FROM m WHERE TransactionDT >= {PROBE_START})
+SELECT t.TransactionID, {_pit_cols('hist')} FROM pr t"""
+
+ORACLE["stream_velocity"] = TX + """
+SELECT t.TransactionID,
+  (SELECT count(*) FROM tx h WHERE h.card1 = t.card1 AND h.TransactionDT BETWEEN t.TransactionDT - 3600 AND t.TransactionDT - 1) AS card_txn_count_1h,
+  (SELECT count(*) FROM tx h WHERE h.card1 = t.card1 AND h.TransactionDT BETWEEN t.TransactionDT - 86400 AND t.TransactionDT - 1) AS card_txn_count_24h
+FROM tx t"""
+
+ORACLE["stream_feedback"] = """
+SELECT * EXCLUDE (accepted) FROM (""" + ORACLE["feedback_validation"] + ") WHERE accepted = 1"
