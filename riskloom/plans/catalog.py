@@ -510,3 +510,115 @@ def q_stream_feedback(spark, sf_dir):
     base = SJ.stream_dir(spark, "feedback")
     SJ.run_to_end(SJ.feedback_sink(fb, f"{base}/out", f"{base}/ckpt"))
     return spark.read.parquet(f"{base}/out").select("transaction_id", "analyst_label")
+
+
+# --- D1-D5 / D9 / D10 / D15-D18 / G4 / M17-M20 (trained models: rows-only checks) --------------------
+from riskloom.operators import ml as ML               # noqa: E402
+
+# Fixed parameters of the registered model queries (small trees keep the smoke run short).
+QUERY_GBT = {"max_iter": 15, "max_depth": 4}
+
+
+def _train_test(spark, sf_dir):
+    cuts = O.split_cuts(B.transactions(spark, sf_dir))
+    f = O.apply_split(feature_table(spark, sf_dir, "batch"), cuts)
+    from riskloom.session import cut_lineage
+    f = cut_lineage(f)
+    return f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
+
+
+@register("model_scores_gbt")
+def q_model_scores_gbt(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    m = ML.train_gbt(train, **QUERY_GBT)
+    return ML.score(m, test, keep=("TransactionID", "isFraud")).select("TransactionID", "isFraud", "model_score")
+
+
+@register("model_scores_logistic")
+def q_model_scores_logistic(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    m = ML.train_logistic(train)
+    return ML.score(m, test, keep=("TransactionID", "isFraud")).select("TransactionID", "isFraud", "model_score")
+
+
+@register("ablation_missing_features")
+def q_ablation(spark, sf_dir):
+    """The same model with and without the three missing-data features."""
+    train, test = _train_test(spark, sf_dir)
+    rows = []
+    for name, feats in (("all_features", C.MODEL_FEATURES),
+                        ("without_missing_data", [f for f in C.MODEL_FEATURES if f not in C.MISSING_DATA_FEATURES])):
+        m = ML.train_gbt(train, features=feats, **QUERY_GBT)
+        r = M.ranking_metrics(ML.score(m, test, keep=("isFraud",)), "isFraud", "model_score").collect()[0]
+        rows.append((name, r["roc_auc"], r["average_precision"]))
+    return spark.createDataFrame(rows, "variant string, roc_auc double, average_precision double")
+
+
+@register("isotonic_calibration")
+def q_isotonic(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    scored = ML.score(ML.train_gbt(train, **QUERY_GBT), test, keep=("TransactionID", "TransactionDT", "isFraud"))
+    cal_part = scored.where(F.col("TransactionID") % 2 == 0)       # fit on half, apply to all
+    iso = ML.fit_isotonic(cal_part, "model_score", "isFraud")
+    return ML.calibrate(iso, scored, "model_score").select("TransactionID", "model_score", "calibrated_model_score")
+
+
+@register("tree_explanations")
+def q_tree_explanations(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    m = ML.train_gbt(train, **QUERY_GBT)
+    return ML.evidence_rows(ML.tree_contributions(m, test), ["TransactionID"], 5)
+
+
+@register("linear_explanations")
+def q_linear_explanations(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    m = ML.train_logistic(train)
+    return ML.evidence_rows(ML.linear_contributions(m, test), ["TransactionID"], 5)
+
+
+@register("global_importance")
+def q_global_importance(spark, sf_dir):
+    train, test = _train_test(spark, sf_dir)
+    m = ML.train_gbt(train, **QUERY_GBT)
+    return ML.global_importance(ML.tree_contributions(m, test))
+
+
+@register("investigation_records")
+def q_investigation_records(spark, sf_dir):
+    probes, hist = probes_and_history(spark, sf_dir)
+    probes = probes.withColumn("score", B.score_expr(F.col("TransactionAmt"), F.col("TransactionDT")))
+    recs = RC.investigate(probes, hist, TEST_RULES, model_score="score")
+    return RC.to_json_context(recs)
+
+
+def _job(spark, sf_dir, fn):
+    from riskloom.plans import jobs as J
+    cfg = J.EvalConfig(gbt_iter=QUERY_GBT["max_iter"], gbt_depth=QUERY_GBT["max_depth"],
+                       train_ratio=0.55, validation_ratio=0.30)   # 100-fraud windows need the wider validation at sf0.01
+    out = fn(spark, B.transactions(spark, sf_dir), B.identity(spark, sf_dir), cfg)
+    return out[0] if isinstance(out, tuple) else out
+
+
+@register("job_system_evaluation")
+def q_job_eval(spark, sf_dir):
+    from riskloom.plans import jobs as J
+    return _job(spark, sf_dir, J.evaluation_job)
+
+
+@register("job_ranked_production")
+def q_job_ranked(spark, sf_dir):
+    from riskloom.plans import jobs as J
+    return _job(spark, sf_dir, J.ranked_production_job)
+
+
+@register("job_fusion_diagnostics")
+def q_job_diag(spark, sf_dir):
+    from riskloom.plans import jobs as J
+    return _job(spark, sf_dir, J.fusion_diagnostics_job)
+
+
+@register("job_evaluate_and_calibrate")
+def q_job_calibrate(spark, sf_dir):
+    from riskloom.plans import jobs as J
+    return _job(spark, sf_dir, J.evaluate_and_calibrate_job)
