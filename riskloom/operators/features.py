@@ -89,24 +89,37 @@ def basic_features(df: DataFrame, raw_columns: Sequence[str] | None = None) -> D
 # ---------------------------------------------------------------------------
 def _card_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int | None) -> DataFrame:
     valid = F.col(CARD).isNotNull()
-    hot = K.hot_keys(frame, CARD, DT, cfg, n_rows)
-    s = K.with_halo(K.add_salt(frame, CARD, DT, TID, hot, cfg), DT, DAY)
+    hot = K.hot_keys(frame.select(CARD, DT), CARD, DT, cfg, n_rows)
+    s = K.add_salt(frame, CARD, DT, TID, hot, cfg)
+    s = K.with_halo(s, DT, DAY) if hot is not None else s.withColumn("_kind", F.lit(ROW))
     rows = F.col("_kind") == ROW
     hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
-    offs = K.bucket_offsets(s.where(rows), [CARD], {
+    u = s if hot is None else s.unionByName(_card_offsets(s.where(rows), hist_amt), allowMissingColumns=True)
+    return _card_windows(u, semantics, valid)
+
+
+def _card_offsets(s: DataFrame, hist_amt: Column) -> DataFrame:
+    offs = K.bucket_offsets(s, [CARD], {
         "_oc": F.count(F.lit(1)),
         "_os": F.sum(F.coalesce(_money(F.col(AMT)), _zero_money())),
         "_oh": F.sum("_h"),
         "_ohs": F.coalesce(F.sum(_money(hist_amt)), _zero_money()),
         "_ohn": F.count(hist_amt),
-    }).select("*", F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
-    u = s.unionByName(offs, allowMissingColumns=True)
+    })
+    return offs.select("*", F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
+
 
+def _card_windows(u: DataFrame, semantics: str, valid: Column) -> DataFrame:
+    hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
     is_row, is_off = F.col("_kind") == ROW, F.col("_kind") == OFFSET
     is_data = F.col("_kind").isin(ROW, HALO).cast("int")
     part = Window.partitionBy(CARD, "_salt")
 
+    has_off = "_oc" in u.columns
+
     def cum(row_val: Column, off_col: str) -> Column:
+        if not has_off:
+            return F.when(is_row, row_val).otherwise(F.lit(0))
         return F.when(is_row, row_val).when(is_off, F.col(off_col)).otherwise(F.lit(0))
 
     z = F.lit(0)
@@ -154,14 +167,20 @@ def device_valid(semantics: str) -> Column:
     return d.isNotNull() if semantics == "batch" else (d.isNotNull() & (F.trim(d) != ""))
 
 
-def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int | None) -> DataFrame:
+def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int | None,
+                   base: DataFrame | None = None) -> DataFrame:
+    """``frame`` carries the rows (with card features); ``base`` is the same rows
+    before the card windows — side tables are computed from it so that they do
+    not re-run the card-family shuffle."""
     valid = device_valid(semantics)
     pair_ok = valid & F.col(CARD).isNotNull()
-    hot = K.hot_keys(frame, DEV, DT, cfg, n_rows, valid)
+    side_src = (base if base is not None else frame).select(TID, DT, CARD, DEV, "_h")
+    hot = K.hot_keys(side_src, DEV, DT, cfg, n_rows, valid)
     s = K.add_salt(frame, DEV, DT, TID, hot, cfg, valid).withColumn("_kind", F.lit(ROW))
+    side = K.add_salt(side_src, DEV, DT, TID, hot, cfg, valid)
 
     # Pair table (one row per device, card and bucket) — key-level, not row-level.
-    P = s.where(pair_ok).groupBy(DEV, CARD, "_salt").agg(
+    P = side.where(pair_ok).groupBy(DEV, CARD, "_salt").agg(
         F.count(F.lit(1)).alias("_pc"), F.sum("_h").alias("_ph"))
     Q = P.groupBy(DEV, CARD).agg((F.max("_ph") > 0).cast("int").alias("_hp"))
     Q = Q.withColumn("_smaller", F.coalesce(
@@ -174,21 +193,24 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: in
                 .select("*", F.lit(PAIR_OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT),
                         F.lit(SENTINEL).alias(TID)))
 
-    # Device offsets for hot devices: rows, history rows, pairs first seen earlier.
-    D = s.where(valid & (F.col("_salt") >= 1)).groupBy(DEV, "_salt").agg(
-        F.count(F.lit(1)).alias("_dc"), F.sum("_h").alias("_dh"))
-    first_src = P if semantics == "batch" else P.where(F.col("_ph") > 0)
-    F2 = (first_src.where(F.col("_salt") >= 1).groupBy(DEV, CARD).agg(F.min("_salt").alias("_salt"))
-          .groupBy(DEV, "_salt").agg(F.count(F.lit(1)).alias("_nf")))
-    G = D.join(F2, on=[DEV, "_salt"], how="left").fillna(0, ["_nf"])
-    dw = Window.partitionBy(DEV).orderBy("_salt").rowsBetween(UNB, -1)
-    dev_off = G.select(DEV, "_salt",
-                       *[F.coalesce(F.sum(c).over(dw), F.lit(0)).alias("_o" + c[1:]) for c in ("_dc", "_dh", "_nf")],
-                       F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
-
-    u = (s.unionByName(pair_off, allowMissingColumns=True)
-         .unionByName(dev_off, allowMissingColumns=True)
-         .repartition(DEV, "_salt"))          # one exchange serves both window families
+    u = s.unionByName(pair_off, allowMissingColumns=True)
+    if hot is not None:
+        # Device offsets for hot devices: rows, history rows, pairs first seen earlier.
+        D = side.where(valid & (F.col("_salt") >= 1)).groupBy(DEV, "_salt").agg(
+            F.count(F.lit(1)).alias("_dc"), F.sum("_h").alias("_dh"))
+        first_src = P if semantics == "batch" else P.where(F.col("_ph") > 0)
+        F2 = (first_src.where(F.col("_salt") >= 1).groupBy(DEV, CARD).agg(F.min("_salt").alias("_salt"))
+              .groupBy(DEV, "_salt").agg(F.count(F.lit(1)).alias("_nf")))
+        G = D.join(F2, on=[DEV, "_salt"], how="left").fillna(0, ["_nf"])
+        dw = Window.partitionBy(DEV).orderBy("_salt").rowsBetween(UNB, -1)
+        dev_off = G.select(DEV, "_salt",
+                           *[F.coalesce(F.sum(c).over(dw), F.lit(0)).alias("_o" + c[1:]) for c in ("_dc", "_dh", "_nf")],
+                           F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
+        u = u.unionByName(dev_off, allowMissingColumns=True)
+    else:
+        u = (u.withColumn("_odc", F.lit(0).cast("long")).withColumn("_odh", F.lit(0).cast("long"))
+             .withColumn("_onf", F.lit(0).cast("long")))
+    u = u.repartition(DEV, "_salt")          # one exchange serves both window families
     is_row = F.col("_kind") == ROW
     is_poff, is_doff = F.col("_kind") == PAIR_OFFSET, F.col("_kind") == OFFSET
     PP, PD = Window.partitionBy(DEV, CARD, "_salt"), Window.partitionBy(DEV, "_salt")
@@ -243,7 +265,7 @@ def behaviour(frame: DataFrame, semantics: str = "batch", skew: SkewConfig | Non
     _check(semantics)
     cfg = skew or SkewConfig()
     n = n_rows if n_rows is not None else frame.count()
-    return _device_family(_card_family(frame, semantics, cfg, n), semantics, cfg, n)
+    return _device_family(_card_family(frame, semantics, cfg, n), semantics, cfg, n, base=frame)
 
 
 def build(txns: DataFrame, identity: DataFrame | None = None, raw_columns: Sequence[str] | None = None,

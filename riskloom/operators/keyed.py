@@ -50,10 +50,11 @@ def key_valid(keys: Sequence[str | Column]) -> Column:
 
 
 def hot_keys(df: DataFrame, key: str, order_col: str, cfg: SkewConfig, n_rows: int | None = None,
-             valid: Column | None = None) -> DataFrame:
+             valid: Column | None = None) -> DataFrame | None:
     """Keys with more than max(min_hot_rows, n/max_hot_keys) rows, with bucket geometry.
 
-    Returns (key, _lo, _width).  Row count <= max_hot_keys, so it may be broadcast.
+    Returns (key, _lo, _width) or None when no key is hot.  Row count <=
+    max_hot_keys, so it may be broadcast.
     """
     n = n_rows if n_rows is not None else df.count()
     threshold = max(cfg.min_hot_rows, -(-n // cfg.max_hot_keys))
@@ -62,13 +63,21 @@ def hot_keys(df: DataFrame, key: str, order_col: str, cfg: SkewConfig, n_rows: i
         F.count(F.lit(1)).alias("_cnt"), F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
     span = F.col("_hi") - F.col("_lo") + 1
     width = F.greatest(F.lit(cfg.min_width), F.ceil(span * F.lit(cfg.target_rows) / F.col("_cnt")))
-    return stats.where(F.col("_cnt") > F.lit(threshold)).select(key, "_lo", width.cast("long").alias("_width"))
+    hot = stats.where(F.col("_cnt") > F.lit(threshold)).select(key, "_lo", width.cast("long").alias("_width"))
+    # At most max_hot_keys rows by construction: collect once, so the detection
+    # job runs a single time and an empty result removes the offset machinery.
+    rows = hot.collect()
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def add_salt(df: DataFrame, key: str, order_col: str, spread_col: str, hot: DataFrame,
              cfg: SkewConfig, valid: Column | None = None) -> DataFrame:
     """Attach ``_salt`` (and the hot key's ``_lo``/``_width``)."""
     ok = valid if valid is not None else F.col(key).isNotNull()
+    if hot is None:
+        spread = F.lit(-1) - F.pmod(F.xxhash64(spread_col), F.lit(cfg.null_spread))
+        return df.withColumn("_salt", F.when(~ok, spread).otherwise(F.lit(0)).cast("long")) \
+                 .withColumn("_lo", F.lit(None).cast("long")).withColumn("_width", F.lit(None).cast("long"))
     j = df.join(F.broadcast(hot), on=key, how="left")
     salt = (
         F.when(~ok, F.lit(-1) - F.pmod(F.xxhash64(spread_col), F.lit(cfg.null_spread)))
