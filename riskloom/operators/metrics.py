@@ -33,8 +33,17 @@ def score_histogram(df: DataFrame, y: str, score: str, by: Sequence[str] | None
             .withColumn("neg", F.col("n") - F.col("pos")))
 
 
-def _with_below(hist: DataFrame, by: list[str], edges: list[float]) -> DataFrame:
-    """Add n_below / pos_below / neg_below (strictly lower scores, same group)."""
+def _with_below(hist: DataFrame, by: list[str], edges: list[float] | None) -> DataFrame:
+    """Add n_below / pos_below / neg_below (strictly lower scores, same group).
+
+    ``edges=None``: the histogram has few distinct scores per group (checked by
+    the caller), so one window per group is bounded and no buckets are needed.
+    """
+    if edges is None:
+        w = Window.partitionBy(*by).orderBy("score").rowsBetween(UNB, -1)
+        for c in ("n", "pos", "neg"):
+            hist = hist.withColumn(f"{c}_below", F.coalesce(F.sum(c).over(w), F.lit(0)))
+        return hist
     bucket = F.lit(0)
     for e in edges:
         bucket = bucket + (F.col("score") > F.lit(e)).cast("int")
@@ -62,8 +71,10 @@ def ranking_metrics(df: DataFrame, y: str, score: str, by: Sequence[str] | None
     g = _by(by)
     if not g:                                   # a constant group key keeps one code path (no cross join)
         df, g = df.withColumn("_all", F.lit(1)), ["_all"]
+    from riskloom.operators import stats as S
     hist = score_histogram(df, y, score, g)
-    h = _with_below(hist, g, _edges(df, score))
+    few = S.max_distinct(df, score, g) * 1.2 <= S.DIRECT_DISTINCT_LIMIT
+    h = _with_below(hist, g, None if few else _edges(df, score))
     totals = hist.groupBy(*g).agg(F.sum("n").alias("N_all"), F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
     h = h.join(totals, on=g, how="inner")
     tp = F.col("P") - F.col("pos_below")                  # positives with score >= s

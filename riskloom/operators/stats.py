@@ -18,6 +18,18 @@ from pyspark.sql.window import Window
 
 UNB = Window.unboundedPreceding
 N_BUCKETS = 256
+# Below this many distinct values per group, Spark's exact ``percentile``
+# aggregate (a value→count map per group, merged in one task) has a proven
+# memory bound; above it, the bucketed histogram plan is used.
+DIRECT_DISTINCT_LIMIT = 1_000_000
+
+
+def max_distinct(df: DataFrame, col: str, by: Sequence[str] = ()) -> int:
+    """Approximate (rsd 5%) largest number of distinct values of ``col`` in a group."""
+    g = df.groupBy(*by).agg(F.approx_count_distinct(col, 0.05).alias("_d")) if by else \
+        df.agg(F.approx_count_distinct(col, 0.05).alias("_d"))
+    r = g.agg(F.max("_d")).collect()[0][0]
+    return int(r or 0)
 
 
 def _qname(q: float) -> str:
@@ -46,6 +58,11 @@ def value_histogram(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFram
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a column per quantile (names ``q0_25`` …) plus ``n``."""
     by = list(by)
+    if max_distinct(df, col, by) * 1.2 <= DIRECT_DISTINCT_LIMIT:
+        d = df.where(F.col(col).isNotNull())
+        aggs = [F.count(F.lit(1)).alias("n")] + [
+            F.percentile(F.col(col).cast("double"), F.lit(float(q))).alias(_qname(q)) for q in qs]
+        return d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
     h = value_histogram(df, col, by)
     if not by:
         h, by_ = h.withColumn("_all", F.lit(1)), ["_all"]

@@ -72,3 +72,14 @@ def test_top_k_exact_size_with_ties(data):
     rows, df = data
     sel, k, cut = O.top_k(df, "score", 0.05)
     assert sel.where("selected").count() == k == 250
+
+
+def test_bucketed_paths_match_direct(data, monkeypatch):
+    rows, df = data
+    direct_q = S.quantiles(df, "score", [0.1, 0.5, 0.95]).collect()[0]
+    direct_m = M.ranking_metrics(df, "y", "score").collect()[0]
+    monkeypatch.setattr(S, "DIRECT_DISTINCT_LIMIT", 0)          # force the scalable plan
+    assert S.quantiles(df, "score", [0.1, 0.5, 0.95]).collect()[0] == direct_q
+    bucketed = M.ranking_metrics(df, "y", "score").collect()[0]
+    assert bucketed.roc_auc == direct_m.roc_auc
+    assert abs(bucketed.average_precision - direct_m.average_precision) < 1e-12
