@@ -87,9 +87,10 @@ def basic_features(df: DataFrame, raw_columns: Sequence[str] | None = None) -> D
 # ---------------------------------------------------------------------------
 # Card family: W1-W5
 # ---------------------------------------------------------------------------
-def _card_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int | None) -> DataFrame:
+def _card_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int | None,
+                 card_src: DataFrame | None = None) -> DataFrame:
     valid = F.col(CARD).isNotNull()
-    hot = K.hot_keys(frame.select(CARD, DT), CARD, DT, cfg, n_rows)
+    hot = K.hot_keys((card_src if card_src is not None else frame).select(CARD, DT), CARD, DT, cfg, n_rows)
     s = K.add_salt(frame, CARD, DT, TID, hot, cfg)
     s = K.with_halo(s, DT, DAY) if hot is not None else s.withColumn("_kind", F.lit(ROW))
     rows = F.col("_kind") == ROW
@@ -177,7 +178,11 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: in
     side_src = (base if base is not None else frame).select(TID, DT, CARD, DEV, "_h")
     hot = K.hot_keys(side_src, DEV, DT, cfg, n_rows, valid)
     s = K.add_salt(frame, DEV, DT, TID, hot, cfg, valid).withColumn("_kind", F.lit(ROW))
-    side = K.add_salt(side_src, DEV, DT, TID, hot, cfg, valid)
+    if hot is None:
+        return _device_windows(s.repartition(DEV, "_salt"), semantics, valid, pair_ok, ranked_in_partition=True)
+    # Hot devices: side tables read one narrow, checkpointed copy of (id, time, card, device).
+    from riskloom.session import cut_lineage
+    side = cut_lineage(K.add_salt(side_src, DEV, DT, TID, hot, cfg, valid))
 
     # Pair table (one row per device, card and bucket) — key-level, not row-level.
     P = side.where(pair_ok).groupBy(DEV, CARD, "_salt").agg(
@@ -194,23 +199,31 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: in
                         F.lit(SENTINEL).alias(TID)))
 
     u = s.unionByName(pair_off, allowMissingColumns=True)
-    if hot is not None:
-        # Device offsets for hot devices: rows, history rows, pairs first seen earlier.
-        D = side.where(valid & (F.col("_salt") >= 1)).groupBy(DEV, "_salt").agg(
-            F.count(F.lit(1)).alias("_dc"), F.sum("_h").alias("_dh"))
-        first_src = P if semantics == "batch" else P.where(F.col("_ph") > 0)
-        F2 = (first_src.where(F.col("_salt") >= 1).groupBy(DEV, CARD).agg(F.min("_salt").alias("_salt"))
-              .groupBy(DEV, "_salt").agg(F.count(F.lit(1)).alias("_nf")))
-        G = D.join(F2, on=[DEV, "_salt"], how="left").fillna(0, ["_nf"])
-        dw = Window.partitionBy(DEV).orderBy("_salt").rowsBetween(UNB, -1)
-        dev_off = G.select(DEV, "_salt",
-                           *[F.coalesce(F.sum(c).over(dw), F.lit(0)).alias("_o" + c[1:]) for c in ("_dc", "_dh", "_nf")],
-                           F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
-        u = u.unionByName(dev_off, allowMissingColumns=True)
-    else:
-        u = (u.withColumn("_odc", F.lit(0).cast("long")).withColumn("_odh", F.lit(0).cast("long"))
-             .withColumn("_onf", F.lit(0).cast("long")))
+    # Device offsets for hot devices: rows, history rows, pairs first seen earlier.
+    D = side.where(valid & (F.col("_salt") >= 1)).groupBy(DEV, "_salt").agg(
+        F.count(F.lit(1)).alias("_dc"), F.sum("_h").alias("_dh"))
+    first_src = P if semantics == "batch" else P.where(F.col("_ph") > 0)
+    F2 = (first_src.where(F.col("_salt") >= 1).groupBy(DEV, CARD).agg(F.min("_salt").alias("_salt"))
+          .groupBy(DEV, "_salt").agg(F.count(F.lit(1)).alias("_nf")))
+    G = D.join(F2, on=[DEV, "_salt"], how="left").fillna(0, ["_nf"])
+    dw = Window.partitionBy(DEV).orderBy("_salt").rowsBetween(UNB, -1)
+    dev_off = G.select(DEV, "_salt",
+                       *[F.coalesce(F.sum(c).over(dw), F.lit(0)).alias("_o" + c[1:]) for c in ("_dc", "_dh", "_nf")],
+                       F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
+    u = u.unionByName(dev_off, allowMissingColumns=True)
     u = u.repartition(DEV, "_salt")          # one exchange serves both window families
+    return _device_windows(u, semantics, valid, pair_ok, ranked_in_partition=False)
+
+
+def _device_windows(u: DataFrame, semantics: str, valid: Column, pair_ok: Column,
+                    ranked_in_partition: bool) -> DataFrame:
+    """W6-W12 windows on rows already partitioned by (DeviceInfo, salt).
+
+    ``ranked_in_partition``: no device is split, so the card rank of W12 is a
+    window inside the partition; otherwise it arrives on pair-offset rows."""
+    for c in ("_opc", "_oph", "_odc", "_odh", "_onf", "_smaller"):
+        if c not in u.columns:
+            u = u.withColumn(c, F.lit(None).cast("long"))
     is_row = F.col("_kind") == ROW
     is_poff, is_doff = F.col("_kind") == PAIR_OFFSET, F.col("_kind") == OFFSET
     PP, PD = Window.partitionBy(DEV, CARD, "_salt"), Window.partitionBy(DEV, "_salt")
@@ -240,7 +253,15 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: in
              .withColumn("_w8", F.coalesce(F.sum(
                 F.when(is_row, F.col("_flag")).when(is_doff, F.col("_onf")).otherwise(z)).over(drange), z)))
 
-    u = u.withColumn("_smaller", F.max(F.when(is_poff, F.col("_smaller"))).over(PP))
+    if ranked_in_partition:
+        # distinct history cards with a smaller number: flag one history row per (device, card),
+        # then a range frame over card numbers — all inside the device partition
+        first_h = F.row_number().over(PP.orderBy(F.desc("_h"), DT, TID)) == 1
+        u = u.withColumn("_fh", F.when(is_row & pair_ok & (F.col("_h") == 1) & first_h, 1).otherwise(z))
+        rank_w = Window.partitionBy(DEV, "_salt", pair_ok.alias("_pok")).orderBy(CARD).rangeBetween(UNB, -1)
+        u = u.withColumn("_smaller", F.coalesce(F.sum("_fh").over(rank_w), z))
+    else:
+        u = u.withColumn("_smaller", F.max(F.when(is_poff, F.col("_smaller"))).over(PP))
     u = (u.withColumn("has_device_info", valid.cast("int"))
          .withColumn("device_profile_count", F.when(valid, F.col("_w7")).otherwise(z).cast("long"))
          .withColumn("device_profile_unique_cards", F.when(valid, F.col("_w8")).otherwise(z).cast("long"))
@@ -259,13 +280,15 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: in
 
 
 def behaviour(frame: DataFrame, semantics: str = "batch", skew: SkewConfig | None = None,
-              n_rows: int | None = None) -> DataFrame:
+              n_rows: int | None = None, card_src: DataFrame | None = None) -> DataFrame:
     """W1-W12 over a frame with TID, DT, amt, card1, DeviceInfo, ``_h`` (history row) and
-    ``_o`` (output row) flags."""
+    ``_o`` (output row) flags.  ``card_src`` (same rows, card1 and DT) may be a cheaper
+    plan to detect hot cards on, e.g. the transactions before the identity join."""
     _check(semantics)
     cfg = skew or SkewConfig()
-    n = n_rows if n_rows is not None else frame.count()
-    return _device_family(_card_family(frame, semantics, cfg, n), semantics, cfg, n, base=frame)
+    n = n_rows if n_rows is not None else (card_src if card_src is not None else frame).count()
+    card_out = _card_family(frame, semantics, cfg, n, card_src)
+    return _device_family(card_out, semantics, cfg, n, base=frame)
 
 
 def build(txns: DataFrame, identity: DataFrame | None = None, raw_columns: Sequence[str] | None = None,
@@ -278,7 +301,7 @@ def build(txns: DataFrame, identity: DataFrame | None = None, raw_columns: Seque
     df = attach_identity(txns, identity) if identity is not None else txns
     df = basic_features(df, raw_columns)
     frame = df.withColumn("_h", F.lit(1)).withColumn("_o", F.lit(1))
-    out = behaviour(frame, semantics, skew, n_rows)
+    out = behaviour(frame, semantics, skew, n_rows, card_src=txns if identity is not None else None)
     return out.drop("_h", "_o")
 
 
