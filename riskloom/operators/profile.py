@@ -128,3 +128,48 @@ def key_uniqueness(df: DataFrame, key: str = "TransactionID") -> DataFrame:
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     return per.agg(F.sum("_c").alias("rows"), F.count(F.lit(1)).alias("distinct_keys"),
                    F.count_if(F.col("_c") > 1).alias("duplicated_keys"))
+
+
+# ---------------------------------------------------------------------------
+# T7-T10, P16, P17, J5
+# ---------------------------------------------------------------------------
+def best_threshold(sweep: DataFrame, metric: str = "f1", threshold: str = "threshold") -> DataFrame:
+    """Row with the best ``metric``; the lowest threshold wins ties (one aggregate)."""
+    best = F.max_by(F.struct(*sweep.columns), F.struct(F.col(metric), -F.col(threshold)))
+    return sweep.agg(best.alias("b")).select("b.*")
+
+
+def highest(df: DataFrame, score: str, tiebreak: Sequence[str] = ("TransactionDT", "TransactionID")) -> DataFrame:
+    """The row with the highest score (earliest on ties) — an aggregate, no sort."""
+    rank = F.struct(F.col(score), *[-F.col(c) for c in tiebreak])
+    return df.agg(F.max_by(F.struct(*df.columns), rank).alias("r")).select("r.*")
+
+
+def extremes(df: DataFrame, n: int = 5, order: Sequence[str] = ("TransactionDT", "TransactionID")) -> DataFrame:
+    """The n earliest and n latest rows (bounded top-n, no global sort)."""
+    first = df.orderBy(*order).limit(n).withColumn("end", F.lit("earliest"))
+    last = df.orderBy(*[F.desc(c) for c in order]).limit(n).withColumn("end", F.lit("latest"))
+    return first.unionByName(last)
+
+
+def seeded_sample(df: DataFrame, n: int = 5000, seed: int = 42, key: str = "TransactionID") -> DataFrame:
+    """Deterministic sample of at most n rows (hash order, independent of partitioning)."""
+    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(n).drop("_h")
+
+
+def fill_device(txns: DataFrame, identity: DataFrame, key: str = "TransactionID", dev: str = "DeviceInfo") -> DataFrame:
+    """Take the identity device only where the transaction has none."""
+    from riskloom.operators.features import keep_first
+    ident = keep_first(identity.select(key, dev), key, [dev]).withColumnRenamed(dev, "_idev")
+    j = txns.join(ident, on=key, how="left")
+    return j.withColumn(dev, F.coalesce(F.col(dev), F.col("_idev"))).drop("_idev")
+
+
+def drop_if_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """P17."""
+    return df.drop(*[c for c in columns if c in df.columns])
+
+
+def keep_known(store: DataFrame, history: DataFrame, key: str = "TransactionID") -> DataFrame:
+    """Store rows whose id occurs in the history (left semi join)."""
+    return store.join(history.select(key), on=key, how="left_semi")

@@ -622,3 +622,41 @@ def q_job_diag(spark, sf_dir):
 def q_job_calibrate(spark, sf_dir):
     from riskloom.plans import jobs as J
     return _job(spark, sf_dir, J.evaluate_and_calibrate_job)
+
+
+# --- T7-T10 / P16 / P17 / J5 -------------------------------------------------------------------
+@register("best_threshold_by_f1")
+def q_best_threshold(spark, sf_dir):
+    grid = [round(0.05 * i, 2) for i in range(1, 20)]
+    sweep = M.threshold_sweep(B.scored(spark, sf_dir), "y", "score", grid)
+    b = PF.best_threshold(sweep)
+    return b.select(rnd("threshold").alias("threshold"), rnd("f1").alias("f1"),
+                    *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")])
+
+
+@register("highest_score_row")
+def q_highest(spark, sf_dir):
+    return PF.highest(B.scored(spark, sf_dir), "score").select("TransactionID", "TransactionDT", "score", "y")
+
+
+@register("earliest_latest_rows")
+def q_extremes(spark, sf_dir):
+    t = B.transactions(spark, sf_dir).select("TransactionID", "TransactionDT", "TransactionAmt", "isFraud")
+    return PF.extremes(t, 5)
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf_dir):
+    return PF.seeded_sample(B.transactions(spark, sf_dir).select("TransactionID", "TransactionDT", "isFraud"), 5000)
+
+
+@register("device_fill_and_known_ids")
+def q_device_fill(spark, sf_dir):
+    """P16 + P17 + J5: orders keep their own priority as device unless missing; then the
+    rows whose id is also an event id are kept."""
+    o = B.order_transactions(spark, sf_dir)
+    o = o.withColumn("DeviceInfo", F.when(F.col("TransactionID") % 3 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.col("DeviceInfo")))
+    filled = PF.drop_if_present(PF.fill_device(o, B.identity(spark, sf_dir)), ["isFraud", "not_a_column"])
+    known = PF.keep_known(filled, B.transactions(spark, sf_dir))
+    return known.select("TransactionID", "card1", "DeviceInfo")

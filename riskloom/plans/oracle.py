@@ -511,3 +511,32 @@ FROM tx t"""
 
 ORACLE["stream_feedback"] = """
 SELECT * EXCLUDE (accepted) FROM (""" + ORACLE["feedback_validation"] + ") WHERE accepted = 1"
+
+
+# --- T7-T9 / P16 / J5 ------------------------------------------------------------------------------
+ORACLE["best_threshold_by_f1"] = with_sql(SQL_TX, SQL_SCORED) + f""",
+g AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85,
+                     0.9, 0.95]::DOUBLE[]) AS threshold),
+c AS (SELECT threshold, count_if(y = 0 AND score < threshold) AS tn, count_if(y = 0 AND score >= threshold) AS fp,
+             count_if(y = 1 AND score < threshold) AS fn, count_if(y = 1 AND score >= threshold) AS tp
+      FROM g, sc GROUP BY threshold),
+f AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c)
+SELECT {r6('threshold')} AS threshold, {r6('f1')} AS f1, tp, fp, fn, tn FROM f
+ORDER BY f1 DESC, threshold LIMIT 1"""
+
+ORACLE["highest_score_row"] = with_sql(SQL_TX, SQL_SCORED) + """
+SELECT TransactionID, TransactionDT, score, y FROM sc ORDER BY score DESC, TransactionDT, TransactionID LIMIT 1"""
+
+ORACLE["earliest_latest_rows"] = TX + """
+(SELECT TransactionID, TransactionDT, TransactionAmt, isFraud, 'earliest' AS "end" FROM tx
+ ORDER BY TransactionDT, TransactionID LIMIT 5)
+UNION ALL
+(SELECT TransactionID, TransactionDT, TransactionAmt, isFraud, 'latest' AS "end" FROM tx
+ ORDER BY TransactionDT DESC, TransactionID DESC LIMIT 5)"""
+
+ORACLE["device_fill_and_known_ids"] = with_sql(SQL_TX, SQL_ID, SQL_ORDERS_TX) + """,
+idd AS (SELECT TransactionID, min(DeviceInfo) AS DeviceInfo FROM idt GROUP BY 1),
+o AS (SELECT TransactionID, card1, CASE WHEN TransactionID % 3 = 0 THEN NULL ELSE DeviceInfo END AS DeviceInfo FROM otx)
+SELECT o.TransactionID, o.card1, coalesce(o.DeviceInfo, idd.DeviceInfo) AS DeviceInfo
+FROM o LEFT JOIN idd ON o.TransactionID = idd.TransactionID
+WHERE o.TransactionID IN (SELECT TransactionID FROM tx)"""

@@ -25,5 +25,6 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_oracle_or_is_model_or_stream():
     no_oracle = {n for n in QUERIES if n not in ORACLE}
-    allowed_prefixes = ("model_", "job_", "tree_", "linear_", "global_", "isotonic_", "ablation_", "investigation_")
+    allowed_prefixes = ("model_", "job_", "tree_", "linear_", "global_", "isotonic_", "ablation_", "investigation_",
+                        "seeded_")
     assert all(n.startswith(allowed_prefixes) for n in no_oracle), no_oracle
