@@ -59,29 +59,52 @@ def cold_start(features: DataFrame, sentinels: Sequence[str] = NO_DEVICE_SENTINE
 
 
 def card_profile(probes: DataFrame, history: DataFrame, skew: SkewConfig | None = None) -> DataFrame:
-    """A1: count, mean, max, min of earlier amounts of the probe's card (0 when none).
+    """A1: count, mean, max, min of strictly earlier amounts of the probe's card (0 when none).
 
-    Max/min need no offsets: they are computed on the (card) window directly but
-    the card history is first reduced per (card, second) — a bounded table —
-    before the union with probes, so a hot card never puts its raw rows in
-    one task: only one row per distinct second.
+    Same skew handling as the behaviour features: hot cards are split into
+    time buckets and each bucket receives one offset row carrying the count,
+    sum, max and min of all earlier buckets (prefix sums / prefix max / min
+    over the key-level bucket table), so no card lands whole in one task.
     """
-    hist = (history.where(F.col(CARD).isNotNull())
-            .groupBy(CARD, DT).agg(F.count(F.lit(1)).alias("_n"), F.count(AMT).alias("_nn"),
-                                   F.sum(F.col(AMT).cast(FE.MONEY)).alias("_s"),
-                                   F.max(AMT).alias("_mx"), F.min(AMT).alias("_mn"))
-            .withColumn("_p", F.lit(0)))
-    pr = probes.select(TID, CARD, DT).withColumn("_p", F.lit(1))
-    u = hist.unionByName(pr, allowMissingColumns=True)
-    w = Window.partitionBy(CARD).orderBy(DT).rangeBetween(Window.unboundedPreceding, -1)
-    u = u.select("*", F.sum("_n").over(w).alias("cnt"), F.sum("_nn").over(w).alias("nn"),
-                 F.sum("_s").over(w).alias("s"), F.max("_mx").over(w).alias("mx"), F.min("_mn").over(w).alias("mn"))
-    return u.where(F.col("_p") == 1).select(
+    from riskloom.operators import keyed as K
+    from riskloom.operators.keyed import OFFSET, ROW, SENTINEL
+
+    cfg = skew or SkewConfig()
+    frame = probe_frame(probes, history).select(TID, DT, AMT, CARD, "_h", "_o")
+    n = frame.count()
+    hot = K.hot_keys(frame.select(CARD, DT), CARD, DT, cfg, n)
+    s = K.add_salt(frame, CARD, DT, TID, hot, cfg).withColumn("_kind", F.lit(ROW))
+    hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
+    if hot is not None:
+        per = s.where(F.col("_salt") >= 1).groupBy(CARD, "_salt").agg(
+            F.sum("_h").alias("_c"), F.count(hist_amt).alias("_nn"),
+            F.sum(hist_amt.cast(FE.MONEY)).alias("_s"), F.max(hist_amt).alias("_mx"), F.min(hist_amt).alias("_mn"))
+        bw = Window.partitionBy(CARD).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+        offs = per.select(CARD, "_salt", F.sum("_c").over(bw).alias("_oc"), F.sum("_nn").over(bw).alias("_onn"),
+                          F.sum("_s").over(bw).alias("_os"), F.max("_mx").over(bw).alias("_omx"),
+                          F.min("_mn").over(bw).alias("_omn"), F.lit(OFFSET).alias("_kind"),
+                          F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
+        s = s.unionByName(offs, allowMissingColumns=True)
+    else:
+        for c, t in (("_oc", "long"), ("_onn", "long"), ("_os", FE.MONEY), ("_omx", "double"), ("_omn", "double")):
+            s = s.withColumn(c, F.lit(None).cast(t))
+    row, off = F.col("_kind") == ROW, F.col("_kind") == OFFSET
+    w = Window.partitionBy(CARD, "_salt").orderBy(DT).rangeBetween(Window.unboundedPreceding, -1)
+    u = s.select(
+        "*",
+        F.sum(F.when(row, F.col("_h")).when(off, F.col("_oc"))).over(w).alias("cnt"),
+        F.sum(F.when(row, hist_amt.isNotNull().cast("long")).when(off, F.col("_onn"))).over(w).alias("nn"),
+        F.sum(F.when(row, hist_amt.cast(FE.MONEY)).when(off, F.col("_os"))).over(w).alias("sm"),
+        F.max(F.when(row, hist_amt).when(off, F.col("_omx"))).over(w).alias("mx"),
+        F.min(F.when(row, hist_amt).when(off, F.col("_omn"))).over(w).alias("mn"))
+    valid = F.col(CARD).isNotNull()
+    return u.where(row & (F.col("_o") == 1)).select(
         TID,
-        F.coalesce(F.col("cnt"), F.lit(0)).alias("card_history_count"),
-        F.when(F.col("nn") > 0, F.col("s").cast("double") / F.col("nn")).otherwise(F.lit(0.0)).alias("card_history_mean"),
-        F.coalesce(F.col("mx"), F.lit(0.0)).alias("card_history_max"),
-        F.coalesce(F.col("mn"), F.lit(0.0)).alias("card_history_min"))
+        F.when(valid, F.coalesce(F.col("cnt"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("card_history_count"),
+        F.when(valid & (F.col("nn") > 0), F.col("sm").cast("double") / F.col("nn")).otherwise(F.lit(0.0))
+        .alias("card_history_mean"),
+        F.when(valid, F.coalesce(F.col("mx"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("card_history_max"),
+        F.when(valid, F.coalesce(F.col("mn"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("card_history_min"))
 
 
 def device_view(txns: DataFrame, identity: DataFrame) -> DataFrame:

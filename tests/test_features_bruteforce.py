@@ -96,3 +96,19 @@ def test_invariants_on_testdata(spark):
     bad = f.where((F.col("card_txn_count_24h") < F.col("card_txn_count_1h"))
                   | ((F.col("card_device_seen_before") == 1) != (F.col("card_device_transaction_count") > 0))).count()
     assert bad == 0
+
+
+@pytest.mark.parametrize("skew", [None, SkewConfig(min_hot_rows=5, target_rows=3, max_hot_keys=1000, null_spread=4)])
+def test_card_profile_matches_bruteforce(spark, skew):
+    rows = _rows(11, 300)
+    hist, probes = rows[:220], rows[220:]
+    got = {r.TransactionID: r for r in H.card_profile(spark.createDataFrame(probes, COLS),
+                                                      spark.createDataFrame(hist, COLS), skew).collect()}
+    for t in probes:
+        prev = [h for h in hist if t[3] is not None and h[3] == t[3] and h[1] < t[1]]
+        amts = [h[2] for h in prev if h[2] is not None]
+        g = got[t[0]]
+        assert g.card_history_count == len(prev)
+        assert abs(g.card_history_mean - (sum(amts) / len(amts) if amts else 0.0)) < 1e-9
+        assert g.card_history_max == (max(amts) if amts else 0.0)
+        assert g.card_history_min == (min(amts) if amts else 0.0)
