@@ -188,8 +188,11 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: in
     P = side.where(pair_ok).groupBy(DEV, CARD, "_salt").agg(
         F.count(F.lit(1)).alias("_pc"), F.sum("_h").alias("_ph"))
     Q = P.groupBy(DEV, CARD).agg((F.max("_ph") > 0).cast("int").alias("_hp"))
-    Q = Q.withColumn("_smaller", F.coalesce(
-        F.sum("_hp").over(Window.partitionBy(DEV).orderBy(CARD).rowsBetween(UNB, -1)), F.lit(0)))
+    # history cards below each card of the device: a bucketed prefix over card numbers,
+    # so a device type with very many cards is spread over many tasks
+    from riskloom.operators import stats as S
+    Q = S.value_histogram(Q, CARD, [DEV], weight="_hp", out=CARD).select(
+        DEV, CARD, F.col("n_below").alias("_smaller"))
     pw = Window.partitionBy(DEV, CARD).orderBy("_salt").rowsBetween(UNB, -1)
     pair_off = (P.select(DEV, CARD, "_salt",
                          F.coalesce(F.sum("_pc").over(pw), F.lit(0)).alias("_opc"),

@@ -36,22 +36,27 @@ def _qname(q: float) -> str:
     return "q" + format(q, "g").replace(".", "_").replace("-", "m")
 
 
-def value_histogram(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., v, n, n_below): rows per distinct value and rows with a smaller value."""
+def value_histogram(df: DataFrame, col: str, by: Sequence[str] = (), weight: str | None = None,
+                    out: str = "v") -> DataFrame:
+    """(by..., out, n, n_below): weight (default: rows) per distinct value and the
+    weight of all smaller values in the group.  Values are bucketed by global
+    approximate quantiles, so one large group is spread over up to N_BUCKETS
+    tasks; only (group, bucket) totals cross buckets."""
     by = list(by)
     d = df.where(F.col(col).isNotNull())
-    hist = d.groupBy(*by, F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    wexpr = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
+    hist = d.groupBy(*by, F.col(col).alias(out)).agg(wexpr.alias("n"))
     edges = d.agg(F.percentile_approx(F.col(col).cast("double"),
                                       [i / N_BUCKETS for i in range(1, N_BUCKETS)], 1000)).collect()[0][0]
     b = F.lit(0)
     for e in sorted(set(edges or [])):
-        b = b + (F.col("v") > F.lit(e)).cast("int")
+        b = b + (F.col(out).cast("double") > F.lit(e)).cast("int")
     h = hist.withColumn("_b", b)
     tot = h.groupBy(*by, "_b").agg(F.sum("n").alias("_t"))
     offs = tot.select(*by, "_b", F.coalesce(F.sum("_t").over(
         Window.partitionBy(*by).orderBy("_b").rowsBetween(UNB, -1)), F.lit(0)).alias("_o"))
     h = h.join(offs, on=[*by, "_b"], how="inner")
-    local = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("v").rowsBetween(UNB, -1)), F.lit(0))
+    local = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_b").orderBy(out).rowsBetween(UNB, -1)), F.lit(0))
     return h.withColumn("n_below", F.col("_o") + local).drop("_b", "_o", "_t")
 
 
@@ -63,7 +68,7 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] =
         aggs = [F.count(F.lit(1)).alias("n")] + [
             F.percentile(F.col(col).cast("double"), F.lit(float(q))).alias(_qname(q)) for q in qs]
         return d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
-    h = value_histogram(df, col, by)
+    h = value_histogram(df.withColumn("_qv", F.col(col).cast("double")), "_qv", by)
     if not by:
         h, by_ = h.withColumn("_all", F.lit(1)), ["_all"]
     else:
