@@ -154,9 +154,15 @@ def review_metrics(df: DataFrame, y: str, score: str, rate: float, rounding: str
     n, tot = head["n"], head["P"] or 0
     k = O.review_count(n, rate, rounding)
     so = O.score_order(score, order)
-    cut = O.kth_cut(df, so, k) if k > 0 else None
-    hit = 0
-    if cut is not None:
+    hit, cut = 0, None
+    if 0 < k <= O.SMALL:
+        # bounded top-k: one job returns the selected rows' keys and labels
+        top = (df.select(*[c for c, _ in so], y)
+               .orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in so]).limit(k).collect())
+        hit = sum(int(r[y] or 0) for r in top)
+        cut = tuple(top[-1][c] for c, _ in so)
+    elif k > 0:
+        cut = O.kth_cut(df, so, k)
         hit = df.where(O.lex_before(so, cut, True)).agg(F.sum(F.col(y).cast("long"))).collect()[0][0] or 0
     return {"review_rate": (k / n) if n else 0.0, "target_review_rate": float(rate), "review_count": k,
             "recall": (hit / tot) if tot else 0.0, "precision": (hit / k) if k else 0.0,

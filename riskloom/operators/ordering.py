@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 TIME_ORDER: Order = (("TransactionDT", True), ("TransactionID", True))
 
-SMALL = 2_000          # candidate sets this small are finished with a bounded top-n
+SMALL = 20_000         # candidate sets this small are finished with a bounded top-n
 FANOUT = 64            # buckets per narrowing round (rows collected per round)
 
 

@@ -83,3 +83,14 @@ def test_bucketed_paths_match_direct(data, monkeypatch):
     bucketed = M.ranking_metrics(df, "y", "score").collect()[0]
     assert bucketed.roc_auc == direct_m.roc_auc
     assert abs(bucketed.average_precision - direct_m.average_precision) < 1e-12
+
+
+def test_narrowing_path_matches_sort(data, monkeypatch):
+    rows, df = data
+    monkeypatch.setattr(O, "SMALL", 50)            # force the bucket-narrowing rounds
+    order = sorted(rows, key=lambda r: (-r[2], r[1], r[0]))
+    for k in (1, 333, 4999):
+        assert O.kth_cut(df, O.score_order("score"), k) == (order[k - 1][2], order[k - 1][1], order[k - 1][0])
+    m = M.review_metrics(df, "y", "score", 0.05)
+    top = order[:250]
+    assert m["selected_fraud_count"] == sum(r[3] for r in top)
