@@ -660,3 +660,10 @@ def q_device_fill(spark, sf_dir):
     filled = PF.drop_if_present(PF.fill_device(o, B.identity(spark, sf_dir)), ["isFraud", "not_a_column"])
     known = PF.keep_known(filled, B.transactions(spark, sf_dir))
     return known.select("TransactionID", "card1", "DeviceInfo")
+
+
+@register("assessment_records")
+def q_assessment_records(spark, sf_dir):
+    """(id, score, level, decision) under the simple tier policy, flat."""
+    s = B.scored(spark, sf_dir).withColumn("risk", PO.assessment("TransactionID", "score", None, "simple"))
+    return s.select("risk.transaction_id", "risk.risk_score", "risk.risk_level", "risk.decision")

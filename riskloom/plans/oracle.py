@@ -540,3 +540,9 @@ o AS (SELECT TransactionID, card1, CASE WHEN TransactionID % 3 = 0 THEN NULL ELS
 SELECT o.TransactionID, o.card1, coalesce(o.DeviceInfo, idd.DeviceInfo) AS DeviceInfo
 FROM o LEFT JOIN idd ON o.TransactionID = idd.TransactionID
 WHERE o.TransactionID IN (SELECT TransactionID FROM tx)"""
+
+ORACLE["assessment_records"] = with_sql(SQL_TX, SQL_SCORED) + """
+SELECT TransactionID AS transaction_id, score AS risk_score,
+       CASE WHEN score >= 0.7 THEN 'HIGH' WHEN score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+       CASE WHEN score >= 0.7 THEN 'REVIEW' WHEN score >= 0.3 THEN 'MONITOR' ELSE 'APPROVE' END AS decision
+FROM sc"""

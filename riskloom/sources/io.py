@@ -115,6 +115,7 @@ def labelled_join(features: DataFrame, labels: DataFrame, key: str = "Transactio
                   label: str = "isFraud", how: str = "left") -> tuple[DataFrame, DataFrame]:
     """1:1 feature×label join plus its contract report
     (duplicates on either side, unlabelled rows)."""
+    features = features.drop(label) if label in features.columns else features    # the label table wins
     j = features.join(labels.select(key, label), on=key, how=how)
     fk = features.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(
         F.count_if(F.col("_c") > 1).alias("feature_dupes"))
