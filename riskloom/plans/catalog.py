@@ -667,3 +667,28 @@ def q_assessment_records(spark, sf_dir):
     """(id, score, level, decision) under the simple tier policy, flat."""
     s = B.scored(spark, sf_dir).withColumn("risk", PO.assessment("TransactionID", "score", None, "simple"))
     return s.select("risk.transaction_id", "risk.risk_score", "risk.risk_level", "risk.decision")
+
+
+# --- the hot-key (split) plan must give the same answers ----------------------------------------
+from riskloom.operators.keyed import SkewConfig as _Skew      # noqa: E402
+
+# Fixed parameters: low enough that every device and most cards are split into buckets here.
+SPLIT_EVERYTHING = _Skew(min_hot_rows=40, target_rows=20, max_hot_keys=100_000, min_width=86_400, null_spread=16)
+
+
+@register("features_batch_hot_keys")
+def q_features_batch_hot(spark, sf_dir):
+    f = FE.build(B.transactions(spark, sf_dir), B.identity(spark, sf_dir), semantics="batch", skew=SPLIT_EVERYTHING)
+    return _out(f, C.MODEL_FEATURES)
+
+
+@register("features_pit_hot_keys")
+def q_features_pit_hot(spark, sf_dir):
+    f = FE.build(B.transactions(spark, sf_dir), B.identity(spark, sf_dir), semantics="pit", skew=SPLIT_EVERYTHING)
+    return _out(f, C.MODEL_FEATURES)
+
+
+@register("history_lookup_hot_keys")
+def q_history_lookup_hot(spark, sf_dir):
+    probes, hist = probes_and_history(spark, sf_dir)
+    return _out(H.lookup(probes, hist, SPLIT_EVERYTHING), BEHAVIOUR)

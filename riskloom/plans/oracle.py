@@ -546,3 +546,7 @@ SELECT TransactionID AS transaction_id, score AS risk_score,
        CASE WHEN score >= 0.7 THEN 'HIGH' WHEN score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
        CASE WHEN score >= 0.7 THEN 'REVIEW' WHEN score >= 0.3 THEN 'MONITOR' ELSE 'APPROVE' END AS decision
 FROM sc"""
+
+ORACLE["features_batch_hot_keys"] = ORACLE["features_batch"]
+ORACLE["features_pit_hot_keys"] = ORACLE["features_pit"]
+ORACLE["history_lookup_hot_keys"] = ORACLE["history_lookup"]
