@@ -63,3 +63,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never localCheckpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, shuffle_expansion: float = 1.5,
+               min_partitions: int = 200) -> dict[str, str]:
+    """Settings sized to the input volume for a cluster run.
+
+    Scan splits of ``partition_bytes``; shuffle partitions so that the largest
+    exchange (the full-width feature shuffle, ~``shuffle_expansion`` x the
+    compressed input) lands near ``partition_bytes`` per task before AQE
+    coalesces small ones; AQE skew handling splits partitions 4x the advisory
+    size.  At 100 TB this gives ~600k shuffle partitions — set it explicitly
+    rather than relying on the default 200.
+    """
+    parts = max(min_partitions, int(input_bytes * shuffle_expansion // partition_bytes) + 1)
+    mb = f"{partition_bytes >> 20}m"
+    return {
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{(partition_bytes * 4) >> 20}m",
+        # broadcast only what the planner can prove small; our own broadcasts are bounded by construction
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int, **kw) -> dict[str, str]:
+    conf = scale_conf(input_bytes, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
