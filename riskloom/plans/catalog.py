@@ -403,12 +403,15 @@ def q_id_validation(spark, sf_dir):
 
 
 def payloads(spark, sf_dir):
+    """Every transaction becomes a request: matching (card1, DT) with a new amount, an
+    unmatched time (synthetic), or a matching key without an amount field (base amount kept)."""
     t = B.transactions(spark, sf_dir)
     k = F.col("TransactionID") % 3
-    dt = F.when(k == 0, F.col("TransactionDT")).otherwise(F.col("TransactionDT") + 7)
-    p = F.create_map(F.lit("card1"), F.col("card1").cast("string"), F.lit("TransactionDT"), dt.cast("string"),
-                     F.lit("TransactionAmt"), (F.col("TransactionAmt") * 2).cast("string"))
-    return t.where(k != 2).select(F.col("TransactionID").alias("request_id"), p.alias("payload"))
+    dt = F.when(k == 1, F.col("TransactionDT") + 7).otherwise(F.col("TransactionDT"))
+    keys = F.create_map(F.lit("card1"), F.col("card1").cast("string"), F.lit("TransactionDT"), dt.cast("string"))
+    amt = F.create_map(F.lit("TransactionAmt"), (F.col("TransactionAmt") * 2).cast("string"))
+    p = F.when(k == 2, keys).otherwise(F.map_concat(keys, amt))
+    return t.select(F.col("TransactionID").alias("request_id"), p.alias("payload"))
 
 
 @register("payload_overlay")
@@ -556,11 +559,15 @@ def q_ablation(spark, sf_dir):
 
 @register("isotonic_calibration")
 def q_isotonic(spark, sf_dir):
-    train, test = _train_test(spark, sf_dir)
-    scored = ML.score(ML.train_gbt(train, **QUERY_GBT), test, keep=("TransactionID", "TransactionDT", "isFraud"))
-    cal_part = scored.where(F.col("TransactionID") % 2 == 0)       # fit on half, apply to all
-    iso = ML.fit_isotonic(cal_part, "model_score", "isFraud")
-    return ML.calibrate(iso, scored, "model_score").select("TransactionID", "model_score", "calibrated_model_score")
+    """Train on the train split, fit the calibrator on the whole validation split, apply to test."""
+    from riskloom.session import cut_lineage
+    cuts = O.split_cuts(B.transactions(spark, sf_dir))
+    f = cut_lineage(O.apply_split(feature_table(spark, sf_dir, "batch"), cuts))
+    model = ML.train_gbt(f.where(F.col("split") == "train"), **QUERY_GBT)
+    keep = ("TransactionID", "isFraud")
+    iso = ML.fit_isotonic(ML.score(model, f.where(F.col("split") == "validation"), keep=keep), "model_score", "isFraud")
+    test = ML.score(model, f.where(F.col("split") == "test"), keep=keep)
+    return ML.calibrate(iso, test, "model_score").select("TransactionID", "model_score", "calibrated_model_score")
 
 
 @register("tree_explanations")

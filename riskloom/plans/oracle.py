@@ -430,14 +430,16 @@ SELECT event_id, CASE WHEN v > 0 THEN v END AS TransactionID,
 
 ORACLE["payload_overlay"] = MERGED + """,
 p AS (SELECT TransactionID AS request_id, card1 AS pc,
-             CASE WHEN TransactionID % 3 = 0 THEN TransactionDT ELSE TransactionDT + 7 END AS pdt,
-             CAST(TransactionAmt * 2 AS VARCHAR) AS pamt FROM tx WHERE TransactionID % 3 <> 2),
+             CASE WHEN TransactionID % 3 = 1 THEN TransactionDT + 7 ELSE TransactionDT END AS pdt,
+             CASE WHEN TransactionID % 3 = 2 THEN NULL ELSE CAST(TransactionAmt * 2 AS VARCHAR) END AS pamt
+      FROM tx),
 b AS (SELECT card1, TransactionDT, arg_min(TransactionID, TransactionID) AS bid FROM m GROUP BY 1, 2),
-bb AS (SELECT b.card1, b.TransactionDT, m.TransactionID, m.DeviceInfo
+bb AS (SELECT b.card1, b.TransactionDT, m.TransactionID, m.DeviceInfo, m.TransactionAmt
        FROM b JOIN m ON m.TransactionID = b.bid)
 SELECT p.request_id, CAST(bb.TransactionID IS NULL AS BIGINT) AS synthetic,
        CAST(bb.TransactionID AS VARCHAR) AS TransactionID, CAST(p.pdt AS VARCHAR) AS TransactionDT,
-       p.pamt AS TransactionAmt, CAST(p.pc AS VARCHAR) AS card1, bb.DeviceInfo AS DeviceInfo,
+       coalesce(p.pamt, CAST(bb.TransactionAmt AS VARCHAR)) AS TransactionAmt, CAST(p.pc AS VARCHAR) AS card1,
+       bb.DeviceInfo AS DeviceInfo,
        CASE WHEN bb.TransactionID IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness
 FROM p LEFT JOIN bb ON bb.card1 = p.pc AND bb.TransactionDT = p.pdt"""
 
