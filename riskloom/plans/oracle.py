@@ -290,15 +290,15 @@ def _rates_sql(src: str) -> str:
 
 
 ORACLE["confusion_at_threshold"] = with_sql(SQL_TX, SQL_SCORED) + f""",
-c AS (SELECT count_if(y = 0 AND score < 0.5) AS tn, count_if(y = 0 AND score >= 0.5) AS fp,
-             count_if(y = 1 AND score < 0.5) AS fn, count_if(y = 1 AND score >= 0.5) AS tp FROM sc)
+c AS (SELECT CAST(count_if(y = 0 AND score < 0.5) AS BIGINT) AS tn, CAST(count_if(y = 0 AND score >= 0.5) AS BIGINT) AS fp,
+             CAST(count_if(y = 1 AND score < 0.5) AS BIGINT) AS fn, CAST(count_if(y = 1 AND score >= 0.5) AS BIGINT) AS tp FROM sc)
 SELECT tn, fp, fn, tp, 0.5::DOUBLE AS threshold, {_rates_sql('c')},
   {r6('CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0 END')} AS fnr FROM c"""
 
 ORACLE["threshold_sweep"] = with_sql(SQL_TX, SQL_SCORED) + f""",
 g AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS threshold),
-c AS (SELECT threshold, count_if(y = 0 AND score < threshold) AS tn, count_if(y = 0 AND score >= threshold) AS fp,
-             count_if(y = 1 AND score < threshold) AS fn, count_if(y = 1 AND score >= threshold) AS tp
+c AS (SELECT threshold, CAST(count_if(y = 0 AND score < threshold) AS BIGINT) AS tn, CAST(count_if(y = 0 AND score >= threshold) AS BIGINT) AS fp,
+             CAST(count_if(y = 1 AND score < threshold) AS BIGINT) AS fn, CAST(count_if(y = 1 AND score >= threshold) AS BIGINT) AS tp
       FROM g, sc GROUP BY threshold)
 SELECT {r6('threshold')} AS threshold, tn, fp, fn, tp, {_rates_sql('c')} FROM c"""
 
@@ -329,7 +329,7 @@ FROM tx GROUP BY isFraud"""
 _RAW = ["TransactionAmt", "card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2", "DeviceInfo"]
 ORACLE["null_shares"] = MERGED + """,
 u AS (""" + "\nUNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS nulls, count(*) AS n FROM m" for c in _RAW) + f""")
+    f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, count(*) AS n FROM m" for c in _RAW) + f""")
 SELECT column_name, nulls, {r6('nulls * 100.0 / n')} AS null_percent FROM u ORDER BY nulls DESC, column_name LIMIT 30"""
 
 ORACLE["id_coverage"] = MERGED + f"""
@@ -380,7 +380,7 @@ _FEATS = ["TransactionAmt", "TransactionAmt_log", "transaction_hour", "transacti
 ORACLE["feature_null_counts"] = MERGED + f""",
 f AS (SELECT t.TransactionID, {_basic_cols().replace('TransactionAmt_x', 'TransactionAmt')}, {_batch_cols('m', rounded=False)} FROM m t)
 SELECT column_name, nulls FROM (""" + "\nUNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS nulls FROM f" for c in _FEATS) + ")"
+    f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS nulls FROM f" for c in _FEATS) + ")"
 
 ORACLE["split_summary"] = ORD + f""",
 l AS (SELECT *, CASE WHEN rn <= te THEN 'train' WHEN rn <= ve THEN 'validation' ELSE 'test' END AS split FROM s)
@@ -392,10 +392,10 @@ ORACLE["velocity_summary"] = FB + f"""
 SELECT bool_and(card_txn_count_24h >= card_txn_count_1h) AS invariant_24h_ge_1h,
   count(card_txn_count_1h) AS card_txn_count_1h_count, {r6('avg(card_txn_count_1h)')} AS card_txn_count_1h_mean,
   {r6('stddev_samp(card_txn_count_1h)')} AS card_txn_count_1h_std, CAST(min(card_txn_count_1h) AS BIGINT) AS card_txn_count_1h_min,
-  CAST(max(card_txn_count_1h) AS BIGINT) AS card_txn_count_1h_max, count_if(card_txn_count_1h > 0) AS card_txn_count_1h_nonzero,
+  CAST(max(card_txn_count_1h) AS BIGINT) AS card_txn_count_1h_max, CAST(count_if(card_txn_count_1h > 0) AS BIGINT) AS card_txn_count_1h_nonzero,
   count(card_txn_count_24h) AS card_txn_count_24h_count, {r6('avg(card_txn_count_24h)')} AS card_txn_count_24h_mean,
   {r6('stddev_samp(card_txn_count_24h)')} AS card_txn_count_24h_std, CAST(min(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_min,
-  CAST(max(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_max, count_if(card_txn_count_24h > 0) AS card_txn_count_24h_nonzero
+  CAST(max(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_max, CAST(count_if(card_txn_count_24h > 0) AS BIGINT) AS card_txn_count_24h_nonzero
 FROM fb"""
 
 ORACLE["device_summary"] = MERGED + f"""
@@ -473,7 +473,7 @@ u AS (""" + "\nUNION ALL ".join(
     f"SELECT '{f}' AS feature, CAST(a.{f} AS DOUBLE) AS x, CAST(b.{f} AS DOUBLE) AS y FROM a JOIN b USING (TransactionID)"
     for f in _BEH) + """)
 SELECT feature, count(*) AS rows,
-  count_if(NOT ((x IS NULL AND y IS NULL) OR (x IS NOT NULL AND y IS NOT NULL AND abs(x - y) <= 1e-8 + 1e-5 * abs(y))))
+  CAST(count_if(NOT ((x IS NULL AND y IS NULL) OR (x IS NOT NULL AND y IS NOT NULL AND abs(x - y) <= 1e-8 + 1e-5 * abs(y)))) AS BIGINT)
     AS mismatches
 FROM u GROUP BY feature"""
 
@@ -488,8 +488,8 @@ th AS (SELECT w, quantile_cont(fused, 0.95) AS thr FROM f GROUP BY w),
 mm AS (SELECT rk.w, any_value(th.thr) AS thr,
         sum(CASE WHEN r <= least(n, greatest(1, ceil(n * 0.05::DOUBLE))) THEN y ELSE 0 END) AS hit,
         any_value(least(n, greatest(1, ceil(n * 0.05::DOUBLE)))) AS k, any_value(P) AS P,
-        count_if(y = 1 AND fused >= th.thr) AS tp, count_if(y = 0 AND fused >= th.thr) AS fp,
-        count_if(y = 1 AND fused < th.thr) AS fn
+        CAST(count_if(y = 1 AND fused >= th.thr) AS BIGINT) AS tp, CAST(count_if(y = 0 AND fused >= th.thr) AS BIGINT) AS fp,
+        CAST(count_if(y = 1 AND fused < th.thr) AS BIGINT) AS fn
       FROM rk JOIN th ON rk.w = th.w GROUP BY rk.w),
 s AS (SELECT w, hit * 1.0 / P AS rec, hit * 1.0 / k AS prec, thr,
         CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM mm)
@@ -519,8 +519,8 @@ SELECT * EXCLUDE (accepted) FROM (""" + ORACLE["feedback_validation"] + ") WHERE
 ORACLE["best_threshold_by_f1"] = with_sql(SQL_TX, SQL_SCORED) + f""",
 g AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85,
                      0.9, 0.95]::DOUBLE[]) AS threshold),
-c AS (SELECT threshold, count_if(y = 0 AND score < threshold) AS tn, count_if(y = 0 AND score >= threshold) AS fp,
-             count_if(y = 1 AND score < threshold) AS fn, count_if(y = 1 AND score >= threshold) AS tp
+c AS (SELECT threshold, CAST(count_if(y = 0 AND score < threshold) AS BIGINT) AS tn, CAST(count_if(y = 0 AND score >= threshold) AS BIGINT) AS fp,
+             CAST(count_if(y = 1 AND score < threshold) AS BIGINT) AS fn, CAST(count_if(y = 1 AND score >= threshold) AS BIGINT) AS tp
       FROM g, sc GROUP BY threshold),
 f AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c)
 SELECT {r6('threshold')} AS threshold, {r6('f1')} AS f1, tp, fp, fn, tn FROM f
