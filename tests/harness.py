@@ -13,6 +13,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -51,6 +54,9 @@ def compare(spark, con, sf_dir, name, query, sql):
     d_rows = res.fetchall()
     out = {"name": name, "rows_spark": len(s_rows), "rows_oracle": len(d_rows),
            "cols_match": sorted(s_cols) == sorted(d_cols)}
+    d_types = dict(zip(d_cols, [str(t) for t in res.types]))
+    out["type_mismatches"] = {c: (t, d_types.get(c)) for c, t in sdf.dtypes
+                              if SPARK_TO_DUCK.get(t, t) != d_types.get(c)}
     out["hash_match"] = out["cols_match"] and digest(s_cols, s_rows) == digest(d_cols, d_rows)
     if not out["cols_match"]:
         out["cols"] = (sorted(s_cols), sorted(d_cols))

@@ -21,6 +21,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, SF, name, QUERIES[name], ORACLE[name])
     assert r["cols_match"] and r["rows_spark"] == r["rows_oracle"] and r["hash_match"], r
+    assert not r["type_mismatches"], r["type_mismatches"]
 
 
 def test_every_query_has_oracle_or_is_model_or_stream():
