@@ -38,3 +38,11 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "device_unique_cards_historical" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_scale_conf_grows_with_input():
+    from riskloom.session import scale_conf
+    small, big = scale_conf(10 ** 9), scale_conf(100 * 10 ** 12)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert int(big["spark.sql.shuffle.partitions"]) > 500_000
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
