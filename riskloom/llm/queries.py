@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, license_scan, packing, secret_scan, toxicity, vector_search
+from riskloom.llm import decontaminate, langid, license_scan, packing, secret_scan, toxicity, vector_search
 from riskloom.llm.common import read
 from riskloom.llm.sql import ORACLE  # noqa: F401
 
@@ -26,6 +26,10 @@ def op7_language_id(spark, sf_dir):
     return langid.identify(docs, langid.train(docs))
 
 
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_vector_search(spark, sf_dir):
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op7_language_id, op9_packing,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op7_language_id, op8_decontaminate, op9_packing,
                                    op10_vector_search)}

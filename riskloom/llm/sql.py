@@ -1,6 +1,30 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+_WORDS = (r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+#: Used again for the pipeline, with its own documents.
+DECONTAMINATE = f"""
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+it AS (SELECT DISTINCT item_id::VARCHAR AS item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM it WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[s:s + least(len(ws), 10) - 1], ' ') AS w FROM iw),
+lens AS (SELECT DISTINCT n FROM win),
+dp AS (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, lens WHERE len(ws) >= n),
+dw AS (SELECT r, s, n, array_to_string(ws[s:s + n - 1], ' ') AS w FROM dp),
+hit AS (SELECT r, s, dw.n, item_id FROM dw JOIN win USING (n, w)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+        FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+"""
+
 ORACLE = {
+    "op8_decontaminate": f"""
+WITH {DECONTAMINATE}
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)
+""",
     "op10_vector_search": """
 WITH v AS (
   SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
