@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch sent to a Python worker; texts may be long, so batches stay small.
 BATCH_ROWS = 512
 #: Text handled at once inside a worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, langid, license_scan, packing, secret_scan, toxicity, vector_search
+from riskloom.llm import (
+    decontaminate,
+    langid,
+    language_model,
+    license_scan,
+    ngram_join,
+    packing,
+    secret_scan,
+    toxicity,
+    vector_search,
+)
 from riskloom.llm.common import read
 from riskloom.llm.sql import ORACLE  # noqa: F401
 
@@ -21,6 +31,14 @@ def op3_license_scan(spark, sf_dir):
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op6_language_model(spark, sf_dir):
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -38,5 +56,5 @@ def op10_vector_search(spark, sf_dir):
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op7_language_id, op8_decontaminate, op9_packing,
-                                   op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op4_ngram_join,
+                                   op6_language_model, op7_language_id, op8_decontaminate, op9_packing, op10_vector_search)}
