@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import ensure_checkpoint_dir
+
 #: Rows per Arrow batch sent to a Python worker; texts may be long, so batches stay small.
 BATCH_ROWS = 512
 #: Text handled at once inside a worker.
@@ -49,3 +52,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
             size += n
         if batch.num_rows > at:
             yield batch.slice(at)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as a table in the shared checkpoint folder and read it back (cuts lineage, survives lost executors)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(keys: DataFrame, limit: int) -> DataFrame:
+    """``keys`` as the side of a join: sent to all executors if it has at most ``limit`` rows, else shuffled."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys

@@ -11,6 +11,7 @@ from riskloom.llm import (
     license_scan,
     ngram_join,
     packing,
+    repeats,
     secret_scan,
     toxicity,
     vector_search,
@@ -35,6 +36,10 @@ def op4_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_repeated_strings(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_language_model(spark, sf_dir):
     return language_model.score(read(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_vector_search(spark, sf_dir):
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op4_ngram_join,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op4_ngram_join, op5_repeated_strings,
                                    op6_language_model, op7_language_id, op8_decontaminate, op9_packing, op10_vector_search)}
