@@ -92,3 +92,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     return small_batches(frame).mapInArrow(
         work, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def keep(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+
+    def work(batches):
+        made = compressors(dictionaries)
+        for b in chunks(batches):
+            found = [classify(t, made) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([lang != "und" and lead >= min_margin for lang, lead in found], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(work, docs.schema)

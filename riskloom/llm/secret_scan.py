@@ -127,3 +127,30 @@ def scan(docs: DataFrame) -> DataFrame:
 
     return small_batches(id_text(docs)).mapInArrow(
         work, "doc_id long, n_assign long, n_access long, n_hex long, n_checked long, base_sha256 string, spans string")
+
+
+def masked(text: str | None) -> str | None:
+    """The text with every span, overlapping ones together, replaced by the first one's kind in brackets."""
+    found = spans(text)
+    if not found:
+        return text
+    out, at, i = [], 0, 0
+    while i < len(found):
+        begin, end, kind = found[i]
+        while i < len(found) and found[i][0] < max(end, begin + 1):
+            end = max(end, found[i][1])
+            i += 1
+        out += [text[at:begin], f"[{kind.upper()}]"]
+        at = end
+    return "".join(out) + text[at:]
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, secrets in ``text`` replaced."""
+
+    def work(batches):
+        for b in chunks(batches):
+            texts = pa.array([masked(t) for t in b.column("text").to_pylist()], b.schema.field("text").type)
+            yield b.set_column(b.schema.get_field_index("text"), "text", texts)
+
+    return small_batches(docs).mapInArrow(work, docs.schema)
