@@ -79,9 +79,9 @@ def places(docs: DataFrame, tokens: DataFrame, width: int, limit: int) -> DataFr
     """doc_id, n_words, cands: where prefix tokens stand, each with the words around it."""
     known = literals(tokens, limit)
     if known is None:
-        at = (docs.select("doc_id", F.posexplode("words").alias("pos", "token")).join(tokens, "token", "left_semi")
-              .groupBy("doc_id").agg(F.collect_set("pos").alias("found")))
-        rows = docs.join(at, docs.doc_id.eqNullSafe(at.doc_id), "left").select(docs.doc_id, "words", "found")
+        at = (docs.select(F.col("doc_id").alias("id"), F.posexplode("words").alias("pos", "token"))
+              .join(tokens, "token", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("found")))
+        rows = docs.join(at, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "words", "found")
         inside = F.filter(F.coalesce("found", F.array().cast("array<int>")), lambda p: p < F.size("words"))
         cands = F.transform(inside, lambda p: F.struct(p.alias("pos"), F.get("words", p).alias("token"),
                                                        around("words", p, width).alias("near")))
