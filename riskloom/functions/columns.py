@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Raw card and address columns.
 CARD_COLUMNS = ["card1", "card2", "card3", "card4", "card5", "card6"]
 ADDRESS_COLUMNS = ["addr1", "addr2"]
 
@@ -133,6 +134,14 @@ def tier(score: str | Column, policy: str = "model", what: str = "level") -> Col
 
 
 # P13 -----------------------------------------------------------------------------
-def completeness(payload_map: str | Column, synthetic: str | Column, min_fields: int = 20) -> Column:
-    return F.when((F.size(col(payload_map)) < min_fields) & ~col(synthetic).cast("boolean"), F.lit("PARTIAL")) \
-        .otherwise(F.lit("COMPLETE"))
+def completeness(n_fields: str | Column, synthetic: str | Column, min_fields: int = 20) -> Column:
+    """PARTIAL if a record without a base row has fewer than ``min_fields`` fields (its flag counts as one)."""
+    few = (col(n_fields) < min_fields) & ~col(synthetic).cast("boolean")
+    return F.when(few, F.lit("PARTIAL")).otherwise(F.lit("COMPLETE"))
+
+
+# NaN --------------------------------------------------------------------------------
+def finite_or_null(c: str | Column) -> Column:
+    """A number as double, NaN as null: NaN sorts above every number in Spark, so it must not meet a threshold."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)

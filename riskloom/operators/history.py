@@ -115,24 +115,23 @@ def device_view(txns: DataFrame, identity: DataFrame) -> DataFrame:
 
 def overlay_payload(payloads: DataFrame, base: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Match each payload to a base row on (card1, DT) — first by id — and
-    let payload fields win where present; ``synthetic`` = no base row matched.
+    let payload fields win where present.
 
-    ``payloads`` has an id column ``request_id`` and a ``payload`` map<string,string>.
+    ``synthetic`` says that a base row was found (the record is then built from
+    it); ``_fields`` counts the fields of the record, the flag included.  Card
+    and time match as numbers, so "13926.0" finds 13926.  ``payloads`` has an id
+    column ``request_id`` and a ``payload`` map<string,string>.
     """
-    p = payloads.select("request_id", "payload",
-                        F.expr("try_cast(payload['card1'] as bigint)").alias("_card"),
-                        F.expr("try_cast(payload['TransactionDT'] as bigint)").alias("_dt"))
+    flag = (~F.map_contains_key("payload", F.lit("synthetic"))).cast("int")
+    p = payloads.select("request_id", "payload", (F.size("payload") + flag).alias("_fields"),
+                        F.expr("try_cast(payload['card1'] as double)").alias("_card"),
+                        F.expr("try_cast(payload['TransactionDT'] as double)").alias("_dt"))
     # keep the base row with the smallest id per (card1, DT): an aggregate, not a window
-    others = [c for c in base.columns if c not in (CARD, DT)]
-    b1 = (base.groupBy(CARD, DT).agg(F.min_by(F.struct(*others), F.col(TID)).alias("_b"))
-          .select(F.col(CARD).alias("_card"), F.col(DT).alias("_dt"), "_b"))
+    b1 = (base.groupBy(F.col(CARD).cast("double").alias("_card"), F.col(DT).cast("double").alias("_dt"))
+          .agg(F.min_by(F.struct(*base.columns), F.col(TID)).alias("_b")))
     j = p.join(b1, on=["_card", "_dt"], how="left")
-    cols = [F.col("request_id"), F.col("_b").isNull().alias("synthetic")]
+    cols = [F.col("request_id"), F.col("_b").isNotNull().alias("synthetic"), F.col("_fields")]
     for f in fields:
-        base_v = F.col(f"_b.{f}").cast("string") if f in others else F.lit(None).cast("string")
-        if f == CARD:
-            base_v = F.col("_card").cast("string")
-        if f == DT:
-            base_v = F.col("_dt").cast("string")
+        base_v = F.col(f"_b.{f}").cast("string") if f in base.columns else F.lit(None).cast("string")
         cols.append(F.when(F.map_contains_key("payload", F.lit(f)), F.col("payload")[f]).otherwise(base_v).alias(f))
     return j.select(*cols)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.operators import ordering as O
+from riskloom.session import cut_lineage
 
 UNB = Window.unboundedPreceding
 N_BUCKETS = 256
@@ -86,7 +87,8 @@ def ranking_metrics(df: DataFrame, y: str, score: str, by: Sequence[str] | None
     recall_gain = F.col("pos") / F.col("P")
     agg = h.groupBy(*g).agg(
         F.first("N_all").alias("rows"), F.first("P").alias("positives"), F.first("Nn").alias("negatives"),
-        F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))).alias("_mw"),
+        F.sum((F.col("pos") * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(38,0)")).cast("decimal(38,0)"))
+        .cast("double").alias("_mw"),
         F.sum(F.when(F.col("pos") > 0, recall_gain * prec)).alias("_ap"),
         F.sum(F.when(F.col("pos") > 0, recall_gain * (prec + prec_above) / 2)).alias("_tr"))
     keep = [c for c in g if c != "_all"]
@@ -147,32 +149,85 @@ def _rates_keep(long: DataFrame) -> DataFrame:
                        _safe_div(tp + fp, tp + fp + tn + fn).alias("review_rate"))
 
 
+def review_groups(df: DataFrame, y: str, score: str, rates: Sequence[float], rounding: str = "ceil",
+                  order: O.Order = O.TIME_ORDER, group: str | None = None, quantile: float | None = None) -> dict:
+    """M4/M4b/M5/M7 of every group and rate: exact top-k by (score desc, time, id), missing scores last.
+
+    Group values are few (weights, segments, scores).  All cuts of all groups
+    share the rounds of one selection, and one aggregate counts what lies
+    before them.  ``quantile`` adds M11 and the confusion at it (``at_quantile``).
+    """
+    g = F.col(group) if group else F.lit(None).cast("string")
+    heads = {r["g"]: r for r in df.groupBy(g.alias("g")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("p"),
+        F.count_if(~O.missing(df, score)).alias("present")).collect()}
+    so = O.score_order(score, order)
+    wanted, marks = [], []
+    for name, h in heads.items():
+        for rate in rates:
+            wanted.append((name, O.review_count(h["n"], rate, rounding)))
+            marks.append((name, rate))
+    near = {}
+    if quantile is not None:
+        for name, h in heads.items():
+            if h["present"]:
+                low, high, near[name] = O.quantile_positions(h["present"], quantile)
+                wanted += [(name, low), (name, high)]
+    cuts = O.kth_cuts(df, so, wanted, group)
+    thresholds = {}
+    for i, name in enumerate(near):
+        (a, *_), (b, *_) = cuts[len(marks) + 2 * i:len(marks) + 2 * i + 2]
+        thresholds[name] = a + near[name] * (b - a)
+    aggs = []
+    own = lambda name: F.col(group).eqNullSafe(F.lit(name)) if group else F.lit(True)
+    for i, rate in enumerate(rates):
+        cond = F.lit(False)
+        for name in heads:
+            cut = cuts[marks.index((name, rate))]
+            if cut is not None:
+                cond = F.when(own(name), O.lex_before(df, so, cut)).otherwise(cond)
+        aggs.append(F.sum(F.when(cond, F.col(y).cast("long"))).alias(f"hit{i}"))
+    over = F.lit(False)
+    for name, t in thresholds.items():
+        over = F.when(own(name), ~O.missing(df, score) & (F.col(score) >= F.lit(t))).otherwise(over)
+    yy = F.coalesce(F.col(y) == 1, F.lit(False))
+    aggs += [F.count_if(~yy & ~over).alias("tn"), F.count_if(~yy & over).alias("fp"),
+             F.count_if(yy & ~over).alias("fn"), F.count_if(yy & over).alias("tp")]
+    out: dict = {}
+    for r in df.groupBy(g.alias("g")).agg(*aggs).collect():
+        name, h = r["g"], heads[r["g"]]
+        for i, rate in enumerate(rates):
+            k, hit, cut = wanted[marks.index((name, rate))][1], r[f"hit{i}"] or 0, cuts[marks.index((name, rate))]
+            out[(name, rate)] = {
+                "review_rate": k / h["n"], "target_review_rate": float(rate), "review_count": k,
+                "recall": hit / h["p"] if h["p"] else 0.0, "precision": hit / k if k else 0.0,
+                "selected_fraud_count": int(hit), "cutoff_score": float(cut[0]) if cut and cut[0] is not None else 0.0,
+                "rows": h["n"], "frauds": int(h["p"] or 0)}
+            if name in thresholds:
+                tp, fp, fn, tn = (r[c] for c in ("tp", "fp", "fn", "tn"))
+                out[(name, rate)]["at_quantile"] = {
+                    "threshold": thresholds[name], "precision": tp / (tp + fp) if tp + fp else 0.0,
+                    "recall": tp / (tp + fn) if tp + fn else 0.0, "f1": 2 * tp / (2 * tp + fp + fn) if tp else 0.0,
+                    "review_rate": (tp + fp) / h["n"]}
+    return out
+
+
+NO_REVIEW = {"review_rate": 0.0, "review_count": 0, "recall": 0.0, "precision": 0.0, "selected_fraud_count": 0,
+             "cutoff_score": 0.0, "rows": 0, "frauds": 0}
+
+
 def review_metrics(df: DataFrame, y: str, score: str, rate: float, rounding: str = "ceil",
                    order: O.Order = O.TIME_ORDER) -> dict:
     """Exact top-k by (score desc, time) and recall/precision there."""
-    head = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("P")).collect()[0]
-    n, tot = head["n"], head["P"] or 0
-    k = O.review_count(n, rate, rounding)
-    so = O.score_order(score, order)
-    hit, cut = 0, None
-    if 0 < k <= O.SMALL:
-        # bounded top-k: one job returns the selected rows' keys and labels
-        top = (df.select(*[c for c, _ in so], y)
-               .orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in so]).limit(k).collect())
-        hit = sum(int(r[y] or 0) for r in top)
-        cut = tuple(top[-1][c] for c, _ in so)
-    elif k > 0:
-        cut = O.kth_cut(df, so, k)
-        hit = df.where(O.lex_before(so, cut, True)).agg(F.sum(F.col(y).cast("long"))).collect()[0][0] or 0
-    return {"review_rate": (k / n) if n else 0.0, "target_review_rate": float(rate), "review_count": k,
-            "recall": (hit / tot) if tot else 0.0, "precision": (hit / k) if k else 0.0,
-            "selected_fraud_count": int(hit), "cutoff_score": (float(cut[0]) if cut else 0.0), "rows": n}
+    found = review_groups(df, y, score, [rate], rounding, order)
+    return found.get((None, rate), {**NO_REVIEW, "target_review_rate": float(rate)})
 
 
 def capacity_sweep(df: DataFrame, y: str, score: str, rates: Sequence[float] = (0.01, 0.05, 0.10),
                    rounding: str = "ceil") -> list[dict]:
-    """M7: review metrics at each capacity (bounded list of rates)."""
-    return [review_metrics(df, y, score, r, rounding) for r in rates]
+    """M7: review metrics at each capacity, all in the same rounds."""
+    found = review_groups(df, y, score, rates, rounding)
+    return [found.get((None, r), {**NO_REVIEW, "target_review_rate": float(r)}) for r in rates]
 
 
 def brier(df: DataFrame, y: str, score: str, by: Sequence[str] | None = None) -> DataFrame:
@@ -203,17 +258,28 @@ def calibration_curve(df: DataFrame, y: str, score: str, n_bins: int = 10, strat
                  F.avg(F.col(score)).alias("prob_pred")))
 
 
+def by_case(df: DataFrame, cases: Sequence[tuple[str, Column, Column]], keep: Sequence[str]) -> DataFrame:
+    """Rows repeated for every (name, condition, score) they satisfy: columns ``keep``, ``case``, ``case_score``."""
+    each = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(name).alias("case"),
+                                                                    score.cast("double").alias("case_score")))
+                     for name, cond, score in cases])
+    long = df.select(*keep, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("_c"))
+    return long.select(*keep, "_c.case", "_c.case_score")
+
+
 def segment_review(df: DataFrame, y: str, scores: Sequence[str], segments: dict[str, Column], rate: float,
                    order: O.Order = O.TIME_ORDER) -> list[dict]:
-    """Exact top-k metrics of each score inside each (overlapping) segment."""
+    """Exact top-k metrics of each score inside each (overlapping) segment, in one selection."""
+    cases = [(f"{s}\t{name}", cond, F.col(s)) for name, cond in segments.items() for s in scores]
+    long = cut_lineage(by_case(df, cases, [c for c, _ in order] + [y]))
+    found = review_groups(long, y, "case_score", [rate], "ceil", order, "case")
     out = []
-    for name, cond in segments.items():
-        seg = df.where(cond)
+    for name in segments:
         for s in scores:
-            n = seg.count()
-            if n == 0:
-                out.append({"segment": name, "score": s, "rows": 0, "recall": None, "precision": None})
-                continue
-            m = review_metrics(seg, y, s, rate, "ceil", order)
-            out.append({"segment": name, "score": s, **{k: m[k] for k in ("rows", "recall", "precision", "review_count")}})
+            m = found.get((f"{s}\t{name}", rate))
+            row = {"segment": name, "score": s, "rows": m["rows"] if m else 0}
+            for k in ("recall", "precision", "review_count", "frauds"):
+                row[k] = m[k] if m else None
+            row["fraud_rate"] = m["frauds"] / m["rows"] if m else None
+            out.append(row)
     return out

@@ -1,9 +1,10 @@
 """Global order without a single-partition window.
 
 ``row_number()`` over an unpartitioned window moves every row into one task.
-Instead, positions are found by *selection*: ``kth_cut`` narrows a range of
-the leading sort column with bucket counts (one bounded aggregate per round)
-until the k-th row's value is pinned, then moves to the next sort column.
+Instead, positions are found by *selection*: ``kth_cuts`` narrows a range of
+the leading sort column with bucket counts (one bounded aggregate per round,
+shared by all wanted positions) until the k-th row's value is pinned, then
+moves to the next sort column.
 A split, a top-k set or an exact quantile is then a plain filter against the
 cut tuple, which Catalyst pushes into the scan.
 """
@@ -19,94 +20,161 @@ from pyspark.sql import functions as F
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 TIME_ORDER: Order = (("TransactionDT", True), ("TransactionID", True))
 
-SMALL = 20_000         # candidate sets this small are finished with a bounded top-n
-FANOUT = 64            # buckets per narrowing round (rows collected per round)
+FANOUT = 64            # buckets per region and round
+NARROW_ABOVE = 5_000_000   # larger inputs are written narrowed to the open regions after the second round
 
 
-def _key(c: str, asc: bool) -> Column:
-    x = F.col(c).cast("double")
-    return x if asc else -x
+def _is_float(df: DataFrame, c: str) -> bool:
+    return dict(df.dtypes)[c] in ("double", "float")
 
 
-def lex_before(order: Order, cut: Sequence, inclusive: bool = True) -> Column:
-    """Row sorts before (or at) ``cut`` in ``order`` — nulls are not expected in keys."""
-    cond = None
+def missing(df: DataFrame, c: str) -> Column:
+    """Null, or NaN in a floating column: such rows sort last in either direction."""
+    return F.col(c).isNull() | F.isnan(c) if _is_float(df, c) else F.col(c).isNull()
+
+
+def lex_before(df: DataFrame, order: Order, cut: Sequence, inclusive: bool = True) -> Column:
+    """Row sorts before (or at) ``cut`` in ``order``; missing values last, a missing cut value is ``None``.
+
+    Columns are compared in their own type (64-bit ids stay integers), so the condition reaches the scan.
+    """
+    cond = F.lit(inclusive)
     for (c, asc), v in reversed(list(zip(order, cut))):
-        col = F.col(c)
-        lt = (col < F.lit(v)) if asc else (col > F.lit(v))
-        eq = col == F.lit(v)
-        if cond is None:
-            cond = (lt | eq) if inclusive else lt
+        col, gone = F.col(c), missing(df, c)
+        if v is None:
+            cond = ~gone | (gone & cond)
         else:
-            cond = lt | (eq & cond)
-    return cond
+            lt = (col < F.lit(v)) if asc else (col > F.lit(v))
+            cond = ~gone & (lt | ((col == F.lit(v)) & cond))
+    return F.coalesce(cond, F.lit(False))
 
 
-def kth_cut(df: DataFrame, order: Order, k: int) -> tuple | None:
-    """Values of the order columns at the k-th row (1-based) in ``order``.
+class _Search:
+    """One wanted position: the region (equal keys so far, then lo < key <= hi) that still holds it."""
+
+    def __init__(self, group, rank: int) -> None:
+        self.group, self.rank = group, rank
+        self.fixed: list = []
+        self.lo = self.hi = None
+        self.pivots: tuple = ()
+
+    def region(self) -> tuple:
+        return (self.group, tuple(self.fixed), self.lo, self.hi, self.pivots)
+
 
-    Only bounded data reaches the driver: <= FANOUT bucket rows per round and
-    at most SMALL rows at the end.
+def _pivots(low, high, quantiles: Sequence, whole: bool) -> tuple:
+    """Values that cut [low, high]: approximate quantiles for speed, equal steps so that every round gains."""
+    if whole:
+        steps = [low + (high - low) * j // 16 for j in range(1, 16)]
+    else:
+        steps = [low + (high - low) * (j / 16) for j in range(1, 16)]
+    return tuple(sorted({q for q in [*quantiles, *steps, low] if low <= q < high}))
+
+
+def kth_cuts(df: DataFrame, order: Order, wanted: Sequence[tuple], group: str | None = None) -> list[tuple | None]:
+    """Values of the order columns at each wanted (group value, 1-based position); None outside the group.
+
+    All positions share the rounds.  A round is one aggregate: rows of the open
+    regions are counted by bucket, with each bucket's extremes and approximate
+    quantiles as the next pivots.  Integers are compared as integers, missing
+    values (null, NaN) come last.  Only bucket rows reach the driver.
     """
-    if k < 1:
-        return None
-    fixed: list = []
-    cand = df.select(*[c for c, _ in order])          # narrow: lets Catalyst prune everything else
-    rank = k
-    for i, (c, asc) in enumerate(order):
-        key = _key(c, asc)
-        lo = hi = None                      # bounds on key: lo < key <= hi
-        while True:
-            cur = cand
-            if lo is not None:
-                cur = cur.where(key > F.lit(lo))
-            if hi is not None:
-                cur = cur.where(key <= F.lit(hi))
-            stats = cur.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("mn"), F.max(key).alias("mx"),
-                            F.percentile_approx(key, [j / FANOUT for j in range(1, FANOUT)], 1000).alias("q")
-                            ).collect()[0]
-            n = stats["n"]
-            if rank > n:
-                return None
-            if stats["mn"] == stats["mx"]:
-                v = stats["mn"]
-                fixed.append(v if asc else -v)
-                cand = cur.where(key == F.lit(v))
-                break
-            if n <= SMALL:
-                rest = order[i:]
-                row = (cur.orderBy(*[F.col(cc).asc() if a else F.col(cc).desc() for cc, a in rest])
-                       .limit(rank).collect()[-1])
-                return tuple(fixed + [row[cc] for cc, _ in rest])
-            edges = sorted(set(stats["q"] or []))
-            edges = [e for e in edges if e < stats["mx"]] or [stats["mn"]]
+    keys: list[tuple[Column, bool]] = []       # (ascending key, is it whole) per level
+    cand = df.select(*[c for c, _ in order], *([group] if group else []))
+    for c, asc in order:
+        gone = missing(df, c)
+        keys.append((gone.cast("long"), True))
+        if _is_float(df, c):
+            x = F.col(c).cast("double") if asc else -F.col(c).cast("double")
+            keys.append((F.when(gone, F.lit(0.0)).otherwise(x), False))
+        else:
+            x = F.col(c).cast("long") if asc else F.bitwise_not(F.col(c).cast("long"))
+            keys.append((F.when(gone, F.lit(0).cast("long")).otherwise(x), True))
+    searches = [_Search(g, k) if k and k > 0 else None for g, k in wanted]
+    active = [s for s in searches if s is not None]
+    turn, total = 0, 0
+    while active:
+        regions = list(dict.fromkeys(s.region() for s in active))
+        tag, whole_key, real_key, inside = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double"), []
+        for i, (g, fixed, lo, hi, pivots) in enumerate(regions):
+            key, whole = keys[len(fixed)]
+            cond = F.col(group).eqNullSafe(F.lit(g)) if group else F.lit(True)
+            for (k, _), v in zip(keys, fixed):
+                cond = cond & (k == F.lit(v))
+            cond = cond if lo is None else cond & (key > F.lit(lo))
+            cond = cond if hi is None else cond & (key <= F.lit(hi))
             bucket = F.lit(0)
-            for e in edges:
-                bucket = bucket + (key > F.lit(e)).cast("int")
-            counts = cur.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-            counts = sorted((r["b"], r["n"]) for r in counts)
-            seen = 0
-            for b, cnt in counts:
-                if rank <= seen + cnt:
-                    rank -= seen
-                    lo = edges[b - 1] if b >= 1 else lo
-                    hi = edges[b] if b < len(edges) else hi
+            if pivots:                          # number of pivots below the key: a search in a sorted literal array
+                bucket = F.size(F.filter(F.array(*[F.lit(p) for p in pivots]), lambda p: p < key))
+            tag = F.when(cond, F.lit(i * 1000) + bucket).otherwise(tag)
+            whole_key = F.when(cond, key).otherwise(whole_key) if whole else whole_key
+            real_key = F.when(cond, key).otherwise(real_key) if not whole else real_key
+            inside.append(cond)
+        if turn == 2 and total > NARROW_ABOVE:
+            keep = inside[0]
+            for c in inside[1:]:
+                keep = keep | c
+            from riskloom.session import cut_lineage
+            cand = cut_lineage(cand.where(keep))
+        share = [j / FANOUT for j in range(1, FANOUT)]
+        rows = (cand.select(tag.alias("_tag"), whole_key.alias("_w"), real_key.alias("_r")).where("_tag is not null")
+                .groupBy("_tag").agg(F.count(F.lit(1)).alias("n"), F.min("_w").alias("wlo"), F.max("_w").alias("whi"),
+                                     F.percentile_approx("_w", share, 1000).alias("wq"), F.min("_r").alias("rlo"),
+                                     F.max("_r").alias("rhi"), F.percentile_approx("_r", share, 1000).alias("rq")).collect())
+        found: dict[int, list] = {}
+        for r in rows:
+            found.setdefault(r["_tag"] // 1000, []).append(r)
+        total = total or sum(r["n"] for r in rows)
+        still = []
+        for s in active:
+            whole = keys[len(s.fixed)][1]
+            buckets = sorted(found.get(regions.index(s.region()), []), key=lambda r: r["_tag"])
+            hit = None
+            for r in buckets:
+                if s.rank <= r["n"]:
+                    hit = r
                     break
-                seen += cnt
-    # all columns pinned: the k-th row is any row of the remaining tie set
-    return tuple(_restore(v, df, c) for v, (c, _) in zip(fixed, order))
+                s.rank -= r["n"]
+            if hit is None:
+                searches[searches.index(s)] = None
+                continue
+            low, high, q = (hit["wlo"], hit["whi"], hit["wq"]) if whole else (hit["rlo"], hit["rhi"], hit["rq"])
+            if low == high:
+                s.fixed.append(low)
+                s.lo = s.hi = None
+                s.pivots = ()
+                if len(s.fixed) == len(keys):
+                    continue
+            else:
+                at, old = hit["_tag"] % 1000, s.pivots
+                s.lo = old[at - 1] if at else s.lo
+                s.hi = old[at] if at < len(old) else s.hi
+                s.pivots = _pivots(low, high, q or [], whole)
+            still.append(s)
+        active = still
+        turn += 1
+    out = []
+    for s in searches:
+        if s is None:
+            out.append(None)
+            continue
+        values = []
+        for i, (c, asc) in enumerate(order):
+            flag, key = s.fixed[2 * i], s.fixed[2 * i + 1]
+            value = key if asc else (-key if _is_float(df, c) else ~key)
+            values.append(None if flag else value)
+        out.append(tuple(values))
+    return out
 
 
-def _restore(v, df: DataFrame, c: str):
-    t = dict(df.dtypes)[c]
-    if t in ("bigint", "int", "smallint", "tinyint"):
-        return int(round(v))
-    return v
+def kth_cut(df: DataFrame, order: Order, k: int) -> tuple | None:
+    """Values of the order columns at the k-th row (1-based) in ``order``."""
+    return kth_cuts(df, order, [(None, k)])[0]
 
 
 def position_of(df: DataFrame, order: Order, cut: Sequence) -> int:
     """Number of rows at or before ``cut`` (1-based position of the cut row)."""
-    return df.where(lex_before(order, cut, True)).count()
+    return df.where(lex_before(df, order, cut, True)).count()
 
 
 # ---------------------------------------------------------------------------
@@ -117,7 +185,7 @@ def label_by_cuts(df: DataFrame, order: Order, cuts: Sequence[tuple | None], lab
     """Label rows by consecutive cuts: rows <= cuts[0] get labels[0], and so on."""
     expr = None
     for cut, lab in zip(cuts, labels):
-        cond = F.lit(False) if cut is None else lex_before(order, cut, True)
+        cond = F.lit(False) if cut is None else lex_before(df, order, cut, True)
         expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
     expr = F.lit(labels[-1]) if expr is None else expr.otherwise(F.lit(labels[-1]))
     return df.withColumn(col, expr)
@@ -130,8 +198,7 @@ def split_cuts(df: DataFrame, train_ratio: float = 0.70, validation_ratio: float
     n = narrow.count()
     train_end = int(n * train_ratio)
     val_end = int(n * (train_ratio + validation_ratio))
-    return [kth_cut(narrow, order, train_end) if train_end > 0 else None,
-            kth_cut(narrow, order, val_end) if val_end > 0 else None]
+    return kth_cuts(narrow, order, [(None, train_end), (None, val_end)])
 
 
 def apply_split(df: DataFrame, cuts: list, order: Order = TIME_ORDER, col: str = "split") -> DataFrame:
@@ -151,19 +218,19 @@ def temporal_windows(validation: DataFrame, label: str = "isFraud", min_frauds:
     frauds = validation.where(F.col(label) == 1)
     n_fraud = frauds.count()
     if n_fraud < 3 * min_frauds:
-        raise ValueError(f"Validation period has {n_fraud} frauds; need at least {3 * min_frauds}.")
-    f1 = position_of(validation, order, kth_cut(frauds, order, min_frauds))
-    f2 = position_of(validation, order, kth_cut(frauds, order, 2 * min_frauds))
+        raise ValueError(f"three windows of {min_frauds} frauds each do not fit into {n_fraud}")
+    at = kth_cuts(frauds, order, [(None, min_frauds), (None, 2 * min_frauds)])
+    f1, f2 = validation.agg(*[F.count_if(lex_before(validation, order, c)) for c in at]).first()
     min_window = max(1000, int(n * 0.15))
     b1 = max(f1, min_window)
     b2 = min(max(f2, b1 + min_window), n - min_window)
-    out = label_by_cuts(validation, order, [kth_cut(validation, order, b1), kth_cut(validation, order, b2)],
+    out = label_by_cuts(validation, order, kth_cuts(validation, order, [(None, b1), (None, b2)]),
                         ["calibration", "policy", "stability"], "window")
     check = out.groupBy("window").agg(F.count(F.lit(1)).alias("rows"), F.sum(label).alias("frauds"),
                                        F.countDistinct(label).alias("classes")).collect()
     for r in check:
         if r["frauds"] < min_frauds or r["classes"] < 2:
-            raise ValueError(f"{r['window'].capitalize()} window invalid: rows={r['rows']:,}, frauds={r['frauds']:,}.")
+            raise ValueError(f"window {r['window']!r} has {r['frauds']} frauds in {r['rows']} rows and {r['classes']} classes")
     return out, {"n": n, "first_boundary": b1, "second_boundary": b2}
 
 
@@ -187,15 +254,23 @@ def top_k(df: DataFrame, score: str, rate: float, order: Order = TIME_ORDER, rou
     k = review_count(n, rate, rounding)
     so = score_order(score, order)
     cut = kth_cut(df, so, k) if k > 0 else None
-    sel = F.lit(False) if cut is None else lex_before(so, cut, True)
+    sel = F.lit(False) if cut is None else lex_before(df, so, cut, True)
     return df.withColumn(col, sel), k, cut
 
 
+def quantile_positions(n: int, q: float) -> tuple[int, int, float]:
+    """1-based positions, counted from the largest value, of the two neighbours of a numpy quantile, and its fraction."""
+    h = (n - 1) * q
+    low = math.floor(h)
+    return n - low, n - math.ceil(h), h - low
+
+
 def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
-    """Numpy-style linear-interpolated quantile, exact (see ``stats.quantiles``)."""
-    from riskloom.operators import stats as S
-    row = S.quantiles(df, col, [q]).collect()
-    if not row or row[0]["n"] is None:
+    """Numpy-style linear-interpolated quantile of the values that are not missing."""
+    present = df.where(~missing(df, col)).select(F.col(col).cast("double").alias(col))
+    n = present.count()
+    if not n:
         return None
-    v = row[0][S.quantile_name(q)]
-    return None if v is None else float(v)
+    low, high, part = quantile_positions(n, q)
+    (a,), (b,) = kth_cuts(present, ((col, False),), [(None, low), (None, high)])
+    return a + part * (b - a)

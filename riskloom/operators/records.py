@@ -42,13 +42,16 @@ def investigate(probes: DataFrame, history: DataFrame, params: R.RuleParams | No
                 review_threshold: float = 0.50) -> DataFrame:
     """One record per probe.  ``model_score`` (a probe column) is optional."""
     feats = H.cold_start(H.lookup(probes, history))
-    ms = F.col(model_score) if model_score else F.lit(None).cast("double")
+    ms = C.finite_or_null(model_score) if model_score else F.lit(None).cast("double")
     r = R.evaluate(feats.withColumn("_ms", ms), params, "_ms" if model_score else None)
     cfg = fusion or PO.FusionConfig()
     r = PO.fuse(r.withColumn("calibrated_model_score", F.coalesce(F.col("_ms"), F.lit(0.0))), cfg)
-    decision = PO.fail_closed(PO.decide(F.when(F.col("_ms").isNotNull(), F.col("final_risk_score")),
-                                        F.coalesce(F.col("_ms"), F.lit(0.0)), F.col("behavioral_risk_level"),
-                                        review_threshold))
+    scored = F.col("_ms").isNotNull()
+    decision = PO.decide(F.when(scored, F.col("final_risk_score")), F.coalesce(F.col("_ms"), F.lit(0.0)),
+                         F.col("behavioral_risk_level"), review_threshold)
+    if model_score:                 # a score was asked for and failed: no decision, so the row goes to review
+        decision = F.when(scored, decision)
+    decision = PO.fail_closed(decision)
     record = F.struct(
         F.struct(*[F.col(c) for c in TXN_FIELDS]).alias("transaction"),
         F.struct(*[F.col(c) for c in ("is_new_card", "is_new_device", "is_new_card_device_pair",
@@ -70,9 +73,12 @@ def to_json_context(records: DataFrame, col: str = "investigation") -> DataFrame
 
 
 def payload_requests(payloads: DataFrame, base: DataFrame, fields: Sequence[str] = TXN_FIELDS) -> DataFrame:
-    """J14 + P13: overlay payloads on matched base rows; completeness from payload size."""
+    """J14 + P13: overlay payloads on matched base rows; completeness from the size of the record."""
     o = H.overlay_payload(payloads, base, fields)
-    sizes = payloads.select("request_id", F.size("payload").alias("_fields"))
-    o = o.join(sizes, "request_id")
-    return o.withColumn("completeness", F.when((F.col("_fields") < 20) & ~F.col("synthetic"), F.lit("PARTIAL"))
-                        .otherwise(F.lit("COMPLETE"))).drop("_fields")
+    return o.withColumn("completeness", C.completeness(F.col("_fields"), "synthetic")).drop("_fields")
+
+
+def find_stored(requests: DataFrame, stored: DataFrame, id_col: str = "TransactionID") -> DataFrame:
+    """P10: many ids against the stored rows; ``found`` is false where there is none (the row's columns are null)."""
+    rows = stored.dropDuplicates([id_col]).withColumn("found", F.lit(True))
+    return requests.join(rows, id_col, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -74,18 +74,18 @@ def cold_start_from_features(df: DataFrame) -> DataFrame:
 
 def rule_hits(p: RuleParams, model_score: Column | None = None) -> Column:
     """``array<struct<rule_id, severity, reason>>`` in the fixed rule order."""
-    amount = F.coalesce(F.col("TransactionAmt").cast("double"), F.lit(0.0))
-    v1 = F.coalesce(F.col("card_txn_count_1h").cast("double"), F.lit(0.0))
-    v24 = F.coalesce(F.col("card_txn_count_24h").cast("double"), F.lit(0.0))
-    cards = F.coalesce(F.col("device_profile_unique_cards").cast("double"), F.lit(0.0))
-    ratio = F.col("amount_vs_card_avg").cast("double")
+    amount = F.coalesce(C.finite_or_null("TransactionAmt"), F.lit(0.0))
+    v1 = F.coalesce(C.finite_or_null("card_txn_count_1h"), F.lit(0.0))
+    v24 = F.coalesce(C.finite_or_null("card_txn_count_24h"), F.lit(0.0))
+    cards = F.coalesce(C.finite_or_null("device_profile_unique_cards"), F.lit(0.0))
+    ratio = C.finite_or_null("amount_vs_card_avg")
     new_card = F.coalesce(F.col("is_new_card").cast("boolean"), F.lit(False))
     new_dev = F.coalesce(F.col("is_new_device").cast("boolean"), F.lit(False))
     card_hist = F.coalesce(F.col("card_history_available").cast("boolean"), F.lit(False))
     both_new = new_card & new_dev
     hits = []
     if model_score is not None:
-        s = model_score.cast("double")
+        s = C.finite_or_null(model_score)
         s4 = F.format_string("%.4f", s)
         hits.append(F.when(s >= p.high_risk_model_threshold, _hit("HIGH_MODEL_RISK", F.format_string(
             REASON_HIGH_MODEL, s4, F.lit(_num_text(p.high_risk_model_threshold))))))
@@ -101,9 +101,7 @@ def rule_hits(p: RuleParams, model_score: Column | None = None) -> Column:
         "HIGH_CARD_VELOCITY", F.format_string(REASON_VELOCITY, _fmt_g(v1), _fmt_g(v24)))))
     hits.append(F.when(cards >= p.device_unique_card_threshold, _hit(
         "SHARED_DEVICE", F.format_string(REASON_SHARED, _fmt_g(cards), F.lit(_num_text(p.device_unique_card_threshold))))))
-    # NaN sorts above every number in Spark, so exclude it before comparing.
-    ratio_ok = ratio.isNotNull() & ~F.isnan(ratio)
-    hits.append(F.when(card_hist & ratio_ok & (ratio >= p.unusual_amount_ratio_threshold),
+    hits.append(F.when(card_hist & (ratio >= p.unusual_amount_ratio_threshold),
                        _hit("UNUSUAL_AMOUNT", F.format_string(REASON_UNUSUAL, F.format_string("%.2f", ratio)))))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
@@ -148,10 +146,10 @@ def explode_hits(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def conservative_score(df: DataFrame) -> Column:
     """Continuous behaviour overlay from velocity, relative and absolute amount."""
-    amount = F.coalesce(F.col("TransactionAmt").cast("double"), F.lit(0.0))
-    ratio = F.coalesce(F.col("amount_vs_card_avg").cast("double"), F.lit(1.0))
-    v1 = F.coalesce(F.col("card_txn_count_1h").cast("double"), F.lit(0.0))
-    v24 = F.coalesce(F.col("card_txn_count_24h").cast("double"), F.lit(0.0))
+    amount = F.coalesce(C.finite_or_null("TransactionAmt"), F.lit(0.0))
+    ratio = F.coalesce(C.finite_or_null("amount_vs_card_avg"), F.lit(1.0))
+    v1 = F.coalesce(C.finite_or_null("card_txn_count_1h"), F.lit(0.0))
+    v24 = F.coalesce(C.finite_or_null("card_txn_count_24h"), F.lit(0.0))
     known = F.coalesce(F.col("new_card").cast("double"), F.lit(0.0)) == 0
     velocity = F.greatest(C.clip01(v1 / 3.0), C.clip01(v24 / 10.0))
     unusual = F.when(known, C.clip01((ratio - 1.5) / 2.5)).otherwise(F.lit(0.0))

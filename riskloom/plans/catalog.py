@@ -420,6 +420,26 @@ def q_payload_overlay(spark, sf_dir):
     return o.select("request_id", F.col("synthetic").cast("long").alias("synthetic"), *RC.TXN_FIELDS, "completeness")
 
 
+@register("stored_row_lookup")
+def q_stored_row_lookup(spark, sf_dir):
+    """P10: every id, some of which are not stored."""
+    asked = B.table(spark, sf_dir, "events").select((F.col("event_id") + 3).alias("TransactionID"))
+    found = RC.find_stored(asked, B.transactions(spark, sf_dir).select("TransactionID", "TransactionDT"))
+    return found.select("TransactionID", F.coalesce("TransactionDT", F.lit(-1).cast("long")).alias("TransactionDT"), "found")
+
+
+@register("cold_start_null_keys")
+def q_cold_start_null_keys(spark, sf_dir):
+    """R2: probes without a card (even ids) or without a time (odd ids)."""
+    probes, hist = probes_and_history(spark, sf_dir)
+    even = F.col("TransactionID") % 2 == 0
+    probes = (probes.withColumn("card1", F.when(~even, F.col("card1")))
+              .withColumn("TransactionDT", F.when(even, F.col("TransactionDT"))))
+    c = H.cold_start(H.lookup(probes, hist))
+    return c.select("TransactionID", *[F.col(a).cast("long").alias(b) for a, b in (
+        ("is_new_card", "is_new_card"), ("is_new_device", "is_new_device"), ("is_new_card_device_pair", "is_new_pair"))])
+
+
 @register("feedback_validation")
 def q_feedback_validation(spark, sf_dir):
     e = B.table(spark, sf_dir, "events")
@@ -460,12 +480,107 @@ def q_batch_pit_parity(spark, sf_dir):
 def q_fusion_weight_search(spark, sf_dir):
     from riskloom.plans import jobs as J
     r = rules_table(spark, sf_dir)
-    grid = J.weight_grid_report(r, "y", "score", "behavioral_risk_score")
-    return spark.createDataFrame(grid, "model_weight double, recall_at_5pct double, precision_at_5pct double, "
-                                       "review_threshold double, high_threshold double, f1 double, chosen int") \
-        .select(rnd("model_weight").alias("model_weight"),
-                *[rnd(c).alias(c) for c in ("recall_at_5pct", "precision_at_5pct", "review_threshold",
-                                            "high_threshold", "f1")], F.col("chosen").cast("long").alias("chosen"))
+    grid = J.weight_grid(r, "y", "score", "behavioral_risk_score")
+    return grid.select(rnd("model_weight").alias("model_weight"), rnd("recall").alias("recall_at_5pct"),
+                       rnd("precision").alias("precision_at_5pct"),
+                       *[rnd(c).alias(c) for c in ("review_threshold", "high_threshold", "f1")], "chosen")
+
+
+# --- M4 / M4b / M5 / M7 / M13 / M14-M16 / M19 / T3 / T6: exact cuts in shared rounds -------------------
+def _review_rows(spark, rows):
+    """Rows (name, metrics) of bounded reports."""
+    out = [(name, m["rows"], m["review_count"], m["selected_fraud_count"], m["recall"], m["precision"], m["cutoff_score"])
+           for name, m in rows]
+    t = spark.createDataFrame(out, "name string, rows long, review_count long, selected_fraud_count long, "
+                                   "recall double, precision double, cutoff_score double")
+    return t.select("name", "rows", "review_count", "selected_fraud_count",
+                    *[rnd(c).alias(c) for c in ("recall", "precision", "cutoff_score")])
+
+
+@register("review_capacity_sweep")
+def q_capacity_sweep(spark, sf_dir):
+    """Three capacities, k rounded up and down."""
+    s = B.scored(spark, sf_dir)
+    rates = (0.01, 0.05, 0.10)
+    return _review_rows(spark, [(f"{how}_{r:.2f}", m) for how in ("ceil", "floor")
+                                for r, m in zip(rates, M.capacity_sweep(s, "y", "score", rates, how))])
+
+
+def _gappy_scores(spark, sf_dir):
+    """Scores with ids above 2^53 and missing (null, NaN) scores: T1-T4 must stay exact."""
+    e = F.col("TransactionID") % 7
+    score = F.when(e == 0, F.lit(None).cast("double")).when(e == 1, F.lit(float("nan"))).otherwise(F.round("score", 1))
+    return B.scored(spark, sf_dir).withColumn("score", score) \
+        .withColumn("TransactionID", F.col("TransactionID") + F.lit(1 << 60)).withColumn("TransactionDT", F.lit(7).cast("long"))
+
+
+@register("top_k_large_ids")
+def q_top_k_large_ids(spark, sf_dir):
+    sel, _, _ = O.top_k(_gappy_scores(spark, sf_dir), "score", 0.80)      # reaches into the missing scores
+    return sel.where("selected").select("TransactionID")
+
+
+@register("time_split_large_ids")
+def q_time_split_large_ids(spark, sf_dir):
+    return O.time_split(_gappy_scores(spark, sf_dir)).select("TransactionID", "split")
+
+
+@register("fusion_stability")
+def q_fusion_stability(spark, sf_dir):
+    """M13 on the fixed score."""
+    from riskloom.plans import jobs as J
+    g = J.fusion_gain(rules_table(spark, sf_dir), "y", "score", "behavioral_risk_score", 0.8)
+    names = ("baseline_recall", "baseline_precision", "fusion_recall", "fusion_precision", "recall_change", "precision_change")
+    t = spark.createDataFrame([(int(g["enabled"]), *[g[n] for n in names])],
+                              "enabled long, " + ", ".join(f"{n} double" for n in names))
+    return t.select("enabled", *[rnd(n).alias(n) for n in names])
+
+
+def _segment_deltas(spark, sf_dir):
+    from riskloom.plans import jobs as J
+    f = scored_features(spark, sf_dir)
+    f = f.withColumn("fused", F.lit(0.8) * F.col("score") + F.lit(0.2) * R.conservative_score(f))
+    return M.segment_review(f, "y", ["score", "fused"], J.diagnostic_segments(), 0.05)
+
+
+@register("segment_review")
+def q_segment_review(spark, sf_dir):
+    """Rows, frauds, fraud rate, review count, recall and precision of two scores in 17 segments."""
+    rows = [(r["segment"], r["score"], r["rows"], r["frauds"], r["review_count"], r["fraud_rate"], r["recall"], r["precision"])
+            for r in _segment_deltas(spark, sf_dir)]
+    t = spark.createDataFrame(rows, "segment string, score string, rows long, frauds long, review_count long, "
+                                    "fraud_rate double, recall double, precision double")
+    return t.select("segment", "score", "rows", "frauds", "review_count",
+                    *[rnd(c).alias(c) for c in ("fraud_rate", "recall", "precision")])
+
+
+@register("segment_extremes")
+def q_segment_extremes(spark, sf_dir):
+    """The five worst and best segments by change of recall."""
+    from riskloom.plans import jobs as J
+    pairs = J.segment_pairs(_segment_deltas(spark, sf_dir), "score", "fused")
+    deltas = [(n, *(None if b[k] is None else round(f[k] - b[k], 9) for k in ("recall", "precision"))) for n, b, f in pairs]
+    worst, best = J.extreme_segments(deltas)
+    rows = [(kind, i + 1, d[0], d[1]) for kind, ds in (("worst", worst), ("best", best)) for i, d in enumerate(ds)]
+    return spark.createDataFrame(rows, "kind string, place long, segment string, change double").select(
+        "kind", "place", "segment", rnd("change").alias("change"))
+
+
+@register("cold_start_segment_points")
+def q_segment_points(spark, sf_dir):
+    """Confusion and review metrics of the four cold-start segments."""
+    f = scored_features(spark, sf_dir).withColumn(
+        "segment", F.concat(F.when(F.col("new_card") == 1, "new_card").otherwise("existing_card"), F.lit("/"),
+                            F.when(F.col("new_device_profile") == 1, "new_device").otherwise("existing_device")))
+    from riskloom.session import cut_lineage
+    f = cut_lineage(f.select("TransactionID", "TransactionDT", "y", "score", "segment"))
+    conf = M.confusion(f, "y", "score", 0.5, ["segment"])
+    found = M.review_groups(f, "y", "score", [0.05], group="segment")
+    points = spark.createDataFrame([(g, m["review_count"], m["recall"], m["precision"]) for (g, _), m in found.items()],
+                                   "segment string, review_count long, recall_at_5pct double, precision_at_5pct double")
+    return conf.join(points, "segment").select(
+        "segment", *[F.col(x).cast("long").alias(x) for x in ("tn", "fp", "fn", "tp")], "review_count",
+        *[rnd(x).alias(x) for x in ("precision", "recall", "f1", "recall_at_5pct", "precision_at_5pct")])
 
 
 # --- X1-X3 (streams driven to completion with availableNow) ----------------------------------------

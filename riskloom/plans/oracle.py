@@ -431,17 +431,16 @@ SELECT event_id, CASE WHEN v > 0 THEN v END AS TransactionID,
 ORACLE["payload_overlay"] = MERGED + """,
 p AS (SELECT TransactionID AS request_id, card1 AS pc,
              CASE WHEN TransactionID % 3 = 1 THEN TransactionDT + 7 ELSE TransactionDT END AS pdt,
-             CASE WHEN TransactionID % 3 = 2 THEN NULL ELSE CAST(TransactionAmt * 2 AS VARCHAR) END AS pamt
+             CASE WHEN TransactionID % 3 = 2 THEN NULL ELSE CAST(TransactionAmt * 2 AS VARCHAR) END AS pamt,
+             CASE WHEN TransactionID % 3 = 2 THEN 2 ELSE 3 END + 1 AS n_fields
       FROM tx),
-b AS (SELECT card1, TransactionDT, arg_min(TransactionID, TransactionID) AS bid FROM m GROUP BY 1, 2),
-bb AS (SELECT b.card1, b.TransactionDT, m.TransactionID, m.DeviceInfo, m.TransactionAmt
-       FROM b JOIN m ON m.TransactionID = b.bid)
-SELECT p.request_id, CAST(bb.TransactionID IS NULL AS BIGINT) AS synthetic,
-       CAST(bb.TransactionID AS VARCHAR) AS TransactionID, CAST(p.pdt AS VARCHAR) AS TransactionDT,
-       coalesce(p.pamt, CAST(bb.TransactionAmt AS VARCHAR)) AS TransactionAmt, CAST(p.pc AS VARCHAR) AS card1,
-       bb.DeviceInfo AS DeviceInfo,
-       CASE WHEN bb.TransactionID IS NOT NULL THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness
-FROM p LEFT JOIN bb ON bb.card1 = p.pc AND bb.TransactionDT = p.pdt"""
+first_row AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY card1, TransactionDT ORDER BY TransactionID) = 1)
+SELECT p.request_id, CAST(f.TransactionID IS NOT NULL AS BIGINT) AS synthetic,
+       CAST(f.TransactionID AS VARCHAR) AS TransactionID, CAST(p.pdt AS VARCHAR) AS TransactionDT,
+       coalesce(p.pamt, CAST(f.TransactionAmt AS VARCHAR)) AS TransactionAmt, CAST(p.pc AS VARCHAR) AS card1,
+       f.DeviceInfo AS DeviceInfo,
+       CASE WHEN f.TransactionID IS NULL AND n_fields < 20 THEN 'PARTIAL' ELSE 'COMPLETE' END AS completeness
+FROM p LEFT JOIN first_row f ON f.card1 = p.pc AND f.TransactionDT = p.pdt"""
 
 ORACLE["feedback_validation"] = """
 WITH r AS (SELECT event_id AS transaction_id,
@@ -552,3 +551,102 @@ FROM sc"""
 ORACLE["features_batch_hot_keys"] = ORACLE["features_batch"]
 ORACLE["features_pit_hot_keys"] = ORACLE["features_pit"]
 ORACLE["history_lookup_hot_keys"] = ORACLE["history_lookup"]
+
+
+# --- exact cuts (M4-M7, M13-M16, M19, T3, T6) ----------------------------------------------------
+_K = "CASE how WHEN 'ceil' THEN least(n, greatest(1, ceil(n * rate))) ELSE floor(n * rate) END"
+ORACLE["review_capacity_sweep"] = with_sql(SQL_TX, SQL_SCORED) + f""",
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, TransactionDT, TransactionID) AS rk, count(*) OVER () AS n,
+             sum(y) OVER () AS P FROM sc),
+g AS (SELECT rate, how, CAST({_K} AS BIGINT) AS k FROM (SELECT count(*) AS n FROM sc),
+      (SELECT unnest([0.01, 0.05, 0.10]::DOUBLE[]) AS rate), (SELECT unnest(['ceil', 'floor']) AS how))
+SELECT how || '_' || CASE rate WHEN 0.01 THEN '0.01' WHEN 0.05 THEN '0.05' ELSE '0.10' END AS name, max(n) AS rows, k AS review_count,
+  CAST(sum(CASE WHEN rk <= k THEN y ELSE 0 END) AS BIGINT) AS selected_fraud_count,
+  {r6('sum(CASE WHEN rk <= k THEN y ELSE 0 END) * 1.0 / max(P)')} AS recall,
+  {r6('CASE WHEN k > 0 THEN sum(CASE WHEN rk <= k THEN y ELSE 0 END) * 1.0 / k ELSE 0 END')} AS precision,
+  {r6('coalesce(max(CASE WHEN rk = k THEN score END), 0)')} AS cutoff_score
+FROM g, r GROUP BY how, rate, k"""
+
+_GAPPY = with_sql(SQL_TX, SQL_SCORED) + """,
+gp AS (SELECT TransactionID + 1152921504606846976 AS TransactionID, 7 AS TransactionDT,
+              CASE WHEN TransactionID % 7 <= 1 THEN NULL ELSE round(score, 1) END AS score FROM sc)"""
+ORACLE["top_k_large_ids"] = _GAPPY + """,
+r AS (SELECT TransactionID, row_number() OVER (ORDER BY score DESC NULLS LAST, TransactionID) AS rk, count(*) OVER () AS n FROM gp)
+SELECT TransactionID FROM r WHERE rk <= ceil(n * 0.80::DOUBLE)"""
+ORACLE["time_split_large_ids"] = _GAPPY + """,
+r AS (SELECT TransactionID, row_number() OVER (ORDER BY TransactionID) AS rk, count(*) OVER () AS n FROM gp)
+SELECT TransactionID, CASE WHEN rk <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rk <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE))
+       THEN 'validation' ELSE 'test' END AS split FROM r"""
+
+ORACLE["fusion_stability"] = RULES + f""",
+sl AS (SELECT TransactionID, TransactionDT, y, score, {_score_level('(r5 + r6)', '(r2 + r3 + r4 + r7)')} FROM rf),
+f AS (SELECT *, 0.8::DOUBLE * score + (1 - 0.8::DOUBLE) * behavioral_risk_score AS fused FROM sl),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, TransactionDT, TransactionID) AS a,
+             row_number() OVER (ORDER BY fused DESC, TransactionDT, TransactionID) AS b,
+             greatest(1, ceil(count(*) OVER () * 0.05::DOUBLE)) AS k FROM f),
+fs AS (SELECT sum(y) AS P, max(k) AS k, sum(CASE WHEN a <= k THEN y ELSE 0 END) AS ha, sum(CASE WHEN b <= k THEN y ELSE 0 END) AS hb
+      FROM r)
+SELECT CAST(hb >= ha AND (hb - ha) / k >= -0.01 AS BIGINT) AS enabled, {r6('ha / P')} AS baseline_recall,
+  {r6('ha / k')} AS baseline_precision, {r6('hb / P')} AS fusion_recall, {r6('hb / k')} AS fusion_precision,
+  {r6('hb / P - ha / P')} AS recall_change, {r6('hb / k - ha / k')} AS precision_change FROM fs"""
+
+# fixed values: the 17 diagnostic segments
+_SEGMENTS = {
+    "all": "TRUE", "new_card": "new_card = 1", "known_card": "new_card = 0", "new_device": "new_device_profile = 1",
+    "known_device": "new_device_profile = 0", "new_card_and_new_device": "new_card = 1 AND new_device_profile = 1",
+    "known_card_new_device": "new_card = 0 AND new_device_profile = 1",
+    "new_card_known_device": "new_card = 1 AND new_device_profile = 0",
+    "new_card_device_pair": "card_device_seen_before = 0", "known_card_device_pair": "card_device_seen_before = 1",
+    "high_amount_gt_200": "TransactionAmt > 200", "high_amount_gt_500": "TransactionAmt > 500",
+    "amount_gt_2x_card_avg": "coalesce(amount_vs_card_avg, 0) > 2", "velocity_1h": "card_txn_count_1h > 0",
+    "velocity_24h": "card_txn_count_24h > 0", "shared_device_10plus_cards": "device_profile_unique_cards >= 10",
+    "shared_device_20plus_cards": "device_profile_unique_cards >= 20",
+}
+_C01 = lambda x: f"least(greatest({x}, 0.0::DOUBLE), 1.0::DOUBLE)"
+_CONSERVATIVE = _C01(
+    f"0.50::DOUBLE * greatest({_C01('card_txn_count_1h / 3.0::DOUBLE')}, {_C01('card_txn_count_24h / 10.0::DOUBLE')}) + 0.45::DOUBLE * "
+    f"(CASE WHEN new_card = 0 THEN {_C01('(coalesce(amount_vs_card_avg, 1) - 1.5::DOUBLE) / 2.5::DOUBLE')} ELSE 0 END) + "
+    f"0.05::DOUBLE * {_C01('(TransactionAmt - 500.0::DOUBLE) / 500.0::DOUBLE')}")
+_SEG_LONG = FB + f""",
+fz AS (SELECT *, 0.8::DOUBLE * score + 0.2::DOUBLE * {_CONSERVATIVE} AS fused FROM fb),
+names AS (SELECT * FROM (VALUES {', '.join(f"('{s}', {i})" for i, s in enumerate(_SEGMENTS))}) v(segment, i)),
+sl AS ({' UNION ALL '.join(f"SELECT '{s}' AS segment, TransactionID, TransactionDT, y, score, fused FROM fz WHERE {c}" for s, c in _SEGMENTS.items())}),
+lg AS (SELECT segment, 'score' AS score, TransactionID, TransactionDT, y, score AS v FROM sl
+       UNION ALL SELECT segment, 'fused', TransactionID, TransactionDT, y, fused FROM sl),
+rk AS (SELECT *, row_number() OVER (PARTITION BY segment, score ORDER BY v DESC, TransactionDT, TransactionID) AS r,
+              greatest(1, ceil(count(*) OVER (PARTITION BY segment, score) * 0.05::DOUBLE)) AS k FROM lg),
+ag AS (SELECT segment, score, count(*) AS n, sum(y) AS P, max(k) AS k, sum(CASE WHEN r <= k THEN y ELSE 0 END) AS h FROM rk
+       GROUP BY segment, score),
+sm AS (SELECT nm.segment, nm.i, s.score, n, P, k, CASE WHEN P > 0 THEN h / P WHEN P = 0 THEN 0 END AS rec, h / k AS prec
+       FROM names nm CROSS JOIN (VALUES ('score'), ('fused')) s(score) LEFT JOIN ag ON ag.segment = nm.segment AND ag.score = s.score)"""
+ORACLE["segment_review"] = _SEG_LONG + f"""
+SELECT segment, score, CAST(coalesce(n, 0) AS BIGINT) AS rows, CAST(P AS BIGINT) AS frauds, CAST(k AS BIGINT) AS review_count,
+  {r6('P / n')} AS fraud_rate, {r6('rec')} AS recall, {r6('prec')} AS precision FROM sm"""
+ORACLE["segment_extremes"] = _SEG_LONG + f""",
+d AS (SELECT a.segment, a.i, round(b.rec - a.rec, 9) AS dr, round(b.prec - a.prec, 9) AS dp FROM sm a JOIN sm b ON a.segment = b.segment
+      WHERE a.score = 'score' AND b.score = 'fused' AND a.segment <> 'all'),
+o AS (SELECT *, row_number() OVER (ORDER BY dr IS NULL, dr, dp, i) AS w, row_number() OVER (ORDER BY dr IS NULL, dr DESC, i) AS b FROM d)
+SELECT 'worst' AS kind, w AS place, segment, {r6('dr')} AS change FROM o WHERE w <= 5
+UNION ALL SELECT 'best', b, segment, {r6('dr')} FROM o WHERE b <= 5"""
+
+ORACLE["cold_start_segment_points"] = FB + f""",
+sg AS (SELECT *, (CASE WHEN new_card = 1 THEN 'new_card' ELSE 'existing_card' END) || '/' ||
+                 (CASE WHEN new_device_profile = 1 THEN 'new_device' ELSE 'existing_device' END) AS segment FROM fb),
+rk AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, TransactionDT, TransactionID) AS r,
+              greatest(1, ceil(count(*) OVER (PARTITION BY segment) * 0.05::DOUBLE)) AS k FROM sg),
+c AS (SELECT segment, CAST(count_if(y = 0 AND score < 0.5) AS BIGINT) AS tn, CAST(count_if(y = 0 AND score >= 0.5) AS BIGINT) AS fp,
+             CAST(count_if(y = 1 AND score < 0.5) AS BIGINT) AS fn, CAST(count_if(y = 1 AND score >= 0.5) AS BIGINT) AS tp,
+             CAST(max(k) AS BIGINT) AS review_count, sum(CASE WHEN r <= k THEN y ELSE 0 END) AS h, sum(y) AS P FROM rk GROUP BY segment)
+SELECT segment, tn, fp, fn, tp, review_count, {r6('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END')} AS precision,
+  {r6('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END')} AS recall,
+  {r6('CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END')} AS f1,
+  {r6('CASE WHEN P > 0 THEN h / P ELSE 0 END')} AS recall_at_5pct, {r6('h / review_count')} AS precision_at_5pct FROM c"""
+
+ORACLE["stored_row_lookup"] = TX + """
+SELECT e.event_id + 3 AS TransactionID, coalesce(t.TransactionDT, -1) AS TransactionDT, t.TransactionID IS NOT NULL AS found
+FROM events e LEFT JOIN tx t ON t.TransactionID = e.event_id + 3"""
+
+# a null card or time gives the all-new answer whatever the counts say
+ORACLE["cold_start_null_keys"] = PROBES + """
+SELECT TransactionID, CAST(1 AS BIGINT) AS is_new_card, CAST(1 AS BIGINT) AS is_new_device, CAST(1 AS BIGINT) AS is_new_pair
+FROM pr"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +44,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path} is missing required columns: {missing}")
-    return raw.select(*[F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) for f in schema])
+    return nan_to_null(raw.select(*[F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name)
+                                    for f in schema]))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Floating columns with NaN as null, as every later comparison expects."""
+    floats = {c for c, t in df.dtypes if t in ("double", "float")}
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
 def read_labels(df: DataFrame, key: str = "TransactionID", label: str = "isFraud") -> DataFrame:
@@ -52,10 +60,12 @@ def read_labels(df: DataFrame, key: str = "TransactionID", label: str = "isFraud
 
 
 def read_table_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table, or an empty typed table if it does not exist."""
+    """A stored table, or an empty typed table if the path does not exist; other errors are raised."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - missing path is the expected case
+        return nan_to_null(spark.read.schema(schema).parquet(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -85,12 +85,58 @@ def test_bucketed_paths_match_direct(data, monkeypatch):
     assert abs(bucketed.average_precision - direct_m.average_precision) < 1e-12
 
 
-def test_narrowing_path_matches_sort(data, monkeypatch):
+@pytest.mark.parametrize("narrow_above", [10**9, 0])
+def test_shared_rounds_match_sort(data, monkeypatch, narrow_above):
     rows, df = data
-    monkeypatch.setattr(O, "SMALL", 50)            # force the bucket-narrowing rounds
+    monkeypatch.setattr(O, "NARROW_ABOVE", narrow_above)
     order = sorted(rows, key=lambda r: (-r[2], r[1], r[0]))
-    for k in (1, 333, 4999):
-        assert O.kth_cut(df, O.score_order("score"), k) == (order[k - 1][2], order[k - 1][1], order[k - 1][0])
+    ks = [0, 1, 333, 334, 4999, 5000, 5001]
+    want = [(order[k - 1][2], order[k - 1][1], order[k - 1][0]) if 0 < k <= 5000 else None for k in ks]
+    assert O.kth_cuts(df, O.score_order("score"), [(None, k) for k in ks]) == want
     m = M.review_metrics(df, "y", "score", 0.05)
-    top = order[:250]
-    assert m["selected_fraud_count"] == sum(r[3] for r in top)
+    assert m["selected_fraud_count"] == sum(r[3] for r in order[:250])
+
+
+def test_large_ids_and_missing_scores(spark):
+    nan = float("nan")
+    rows = [((1 << 60) + i, 5, [None, nan, 0.5, 0.25][i % 4], i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, score double, y int")
+    gone = lambda r: r[2] is None or r[2] != r[2]
+    order = sorted(rows, key=lambda r: (gone(r), 0 if gone(r) else -r[2], r[0]))
+    for rate in (0.1, 0.2, 0.5, 0.7):
+        sel, k, _ = O.top_k(df, "score", rate)
+        assert {r.TransactionID for r in sel.where("selected").collect()} == {r[0] for r in order[:k]}
+    cut = O.kth_cut(df, O.TIME_ORDER, 777)
+    assert cut == (5, (1 << 60) + 776)
+    down = O.kth_cut(df, (("TransactionID", False),), 3)
+    assert down == ((1 << 60) + 997,)
+
+
+def test_all_missing_scores_end(spark):
+    df = spark.createDataFrame([(i, i, float("nan"), i % 2) for i in range(300)],
+                               "TransactionID long, TransactionDT long, score double, y int")
+    m = M.review_metrics(df, "y", "score", 0.1)
+    assert (m["review_count"], m["selected_fraud_count"], m["cutoff_score"]) == (30, 15, 0.0)
+    assert O.exact_quantile(df, "score", 0.5) is None
+
+
+def test_grouped_cuts(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(50), rnd.choice("abc"), round(rnd.random(), 1), int(rnd.random() < 0.4)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, g string, score double, y int")
+    got = M.review_groups(df, "y", "score", (0.05, 0.5), group="g", quantile=0.9)
+    for g in "abc":
+        own = sorted((r for r in rows if r[2] == g), key=lambda r: (-r[3], r[1], r[0]))
+        for rate in (0.05, 0.5):
+            m, k = got[(g, rate)], int(np.ceil(len(own) * rate))
+            assert (m["rows"], m["review_count"], m["selected_fraud_count"]) == (len(own), k, sum(r[4] for r in own[:k]))
+            assert abs(m["at_quantile"]["threshold"] - np.quantile([r[3] for r in own], 0.9)) < 1e-12
+
+
+def test_auc_of_huge_counts(spark, monkeypatch):
+    """1e9 positives over 1e11 negatives: the product sum needs more than 64 bits."""
+    hist = spark.createDataFrame([(1, 0.25, 10**11, 0, 10**11), (1, 0.75, 10**9, 10**9, 0)],
+                                 "_all int, score double, n long, pos long, neg long")
+    monkeypatch.setattr(M, "score_histogram", lambda *a: hist)
+    df = spark.createDataFrame([(0, 0.25), (1, 0.75)], "y int, score double")
+    assert M.ranking_metrics(df, "y", "score").first().roc_auc == 1.0

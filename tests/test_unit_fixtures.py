@@ -1,5 +1,6 @@
 """The reference's unit fixtures, restated as tiny DataFrames."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
@@ -114,7 +115,48 @@ def test_segments_one_row_each(spark):
 
 
 def test_partial_payload(spark):
-    df = spark.createDataFrame([({"TransactionID": "999999997", "card1": "1", "TransactionDT": "1",
-                                  "TransactionAmt": "5", "DeviceInfo": "x"}, False)],
-                               "payload map<string,string>, synthetic boolean")
-    assert df.select(C.completeness("payload", "synthetic").alias("c")).collect()[0].c == "PARTIAL"
+    from riskloom.operators import records as RC
+    base = spark.createDataFrame([(5, 100, 9.0, 13926, "iOS")], "TransactionID long, TransactionDT long, "
+                                 "TransactionAmt double, card1 long, DeviceInfo string")
+    five = {"TransactionID": "999999997", "card1": "1", "TransactionDT": "1", "TransactionAmt": "5", "DeviceInfo": "x"}
+    match = {"card1": "13926.0", "TransactionDT": "100", "TransactionAmt": "5"}
+    many = five | {f"V{i}": "0" for i in range(14)}
+    p = spark.createDataFrame([(1, five), (2, match), (3, many)], "request_id long, payload map<string,string>")
+    got = {r.request_id: r for r in RC.payload_requests(p, base).collect()}
+    assert (got[1].synthetic, got[1].completeness) == (False, "PARTIAL")
+    assert (got[2].synthetic, got[2].completeness) == (True, "COMPLETE")
+    assert (got[2].TransactionID, got[2].TransactionAmt, got[2].DeviceInfo) == ("5", "5", "iOS")
+    assert (got[3].synthetic, got[3].completeness) == (False, "COMPLETE")
+
+
+def test_failed_score_goes_to_review(spark):
+    from riskloom.operators import records as RC
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, DeviceInfo string"
+    hist = spark.createDataFrame([(i, i * 100, 10.0, 1, "iOS") for i in range(1, 20)], schema)
+    probe = spark.createDataFrame([(90, 10_000_000, 10.0, 1, "iOS", s) for s in (None, float("nan"), 0.1)], schema + ", s double")
+    got = RC.investigate(probe, hist, model_score="s").select("investigation.*").collect()
+    assert sorted(r.final_decision for r in got) == ["APPROVE", "REVIEW", "REVIEW"]
+
+
+def test_nan_fires_no_rule(spark):
+    from riskloom.operators import rules as R
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, nan, 0.0, 0.0, 0.0, nan, False, False, True)],
+                               "TransactionAmt double, s double, card_txn_count_1h double, card_txn_count_24h double, "
+                               "device_profile_unique_cards double, amount_vs_card_avg double, is_new_card boolean, "
+                               "is_new_device boolean, card_history_available boolean")
+    assert R.evaluate(df, None, "s").first().rules_triggered == []
+
+
+def test_missing_table_is_empty_other_errors_are_raised(spark, tmp_path):
+    from riskloom.sources import io
+    assert io.read_table_or_empty(spark, f"{tmp_path}/nothing", io.FEEDBACK_SCHEMA).count() == 0
+    with pytest.raises(Exception):
+        io.read_table_or_empty(spark, "nosuchfs://x/y", io.FEEDBACK_SCHEMA).count()
+
+
+def test_segment_extremes():
+    from riskloom.plans.jobs import extreme_segments
+    deltas = [("all", -1.0, -1.0), ("a", 0.1, 0.0), ("b", None, None), ("c", 0.1, 0.5), ("d", -0.2, 0.1), ("e", -0.2, 0.0)]
+    worst, best = extreme_segments(deltas)
+    assert [d[0] for d in worst] == ["e", "d", "a", "c", "b"] and [d[0] for d in best] == ["a", "c", "d", "e", "b"]
