@@ -162,7 +162,8 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshol
             texts = [fold(t) for t in b.column("text").to_pylist()]
             doc, col = once(*features(texts), vocabulary)
             logit = intercept + np.bincount(doc, weights=weights[col], minlength=len(texts))
-            p = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+            p = 1 / (1 + np.exp(-np.maximum(logit, -700)))
+            p[np.isneginf(logit)] = 0.0
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(p, pa.float64()),
                  pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
