@@ -52,7 +52,8 @@ def day_index(dt: str | Column = "TransactionDT") -> Column:
 
 # P4-P6, P18 ------------------------------------------------------------------
 def any_null(columns: Iterable[str]) -> Column:
-    cols = [F.col(c).isNull() for c in columns]
+    """1 if any of the columns is null, or if there is none of them (a record that lacks them all)."""
+    cols = [F.col(c).isNull() for c in columns] or [F.lit(True)]
     out = cols[0]
     for c in cols[1:]:
         out = out | c

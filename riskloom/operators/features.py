@@ -27,7 +27,7 @@ TID, DT, AMT, CARD, DEV = "TransactionID", "TransactionDT", "TransactionAmt", "c
 HOUR, DAY = 3600, 86400
 UNB = Window.unboundedPreceding
 # Money is summed as an exact decimal, so sums do not depend on shuffle order.
-MONEY = "decimal(38,6)"
+MONEY = "decimal(38,18)"
 def _zero_money() -> Column:
     return F.lit(0).cast(MONEY)
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from riskloom.operators import features as FE
 from riskloom.operators.keyed import SkewConfig
+from riskloom.session import cut_lineage
 
 TID, DT, AMT, CARD, DEV = FE.TID, FE.DT, FE.AMT, FE.CARD, FE.DEV
 # Fixed value: device texts that mean "no device" for cold start only (trap 7).
@@ -32,13 +33,42 @@ def probe_frame(probes: DataFrame, history: DataFrame) -> DataFrame:
     return h.unionByName(p, allowMissingColumns=True)
 
 
+#: Distinct probe cards / devices sent to every executor at most; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def relevant(probes: DataFrame, history: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """History rows that can matter to a probe: same card or same device.
+
+    The other rows never enter the window shuffle, so a small batch of probes
+    reads the history but does not sort it.
+    """
+    def keys(c: str) -> DataFrame:
+        k = cut_lineage(probes.select(F.col(c).alias(f"_k{c}")).where(F.col(c).isNotNull()).distinct())
+        return F.broadcast(k) if k.count() <= broadcast_keys else k
+
+    cards, devices = keys(CARD), keys(DEV)
+    card_too = F.col(f"_k{CARD}").isNotNull()
+    return (history.join(cards, F.col(CARD) == F.col(f"_k{CARD}"), "left")
+            .join(devices, F.col(DEV) == F.col(f"_k{DEV}"), "left")
+            .where(card_too | F.col(f"_k{DEV}").isNotNull()).drop(f"_k{CARD}", f"_k{DEV}"))
+
+
 def lookup(probes: DataFrame, history: DataFrame, skew: SkewConfig | None = None) -> DataFrame:
-    """The 12 behaviour features of each probe against strictly earlier history."""
-    frame = probe_frame(probes, history)
+    """The 13 behaviour features of each probe against strictly earlier history."""
+    frame = probe_frame(probes, relevant(probes, history))
     out = FE.behaviour(frame, "pit", skew)
     return out.where(F.col("_o") == 1).drop("_h", "_o")
 
 
+def features_21(probes: DataFrame, history: DataFrame, skew: SkewConfig | None = None,
+                raw_columns: Sequence[str] | None = None) -> DataFrame:
+    """W14 in full: the basic features of the probe itself and its point-in-time behaviour features."""
+    if "has_identity" not in probes.columns:
+        probes = probes.withColumn("has_identity", F.col(DEV).isNotNull().cast("int"))
+    return lookup(FE.basic_features(probes, raw_columns), history, skew)
+
+
 def cold_start(features: DataFrame, sentinels: Sequence[str] = NO_DEVICE_SENTINELS) -> DataFrame:
     """Six cold-start flags from point-in-time counts.
 
@@ -70,7 +100,7 @@ def card_profile(probes: DataFrame, history: DataFrame, skew: SkewConfig | None
     from riskloom.operators.keyed import OFFSET, ROW, SENTINEL
 
     cfg = skew or SkewConfig()
-    frame = probe_frame(probes, history).select(TID, DT, AMT, CARD, "_h", "_o")
+    frame = probe_frame(probes, relevant(probes, history)).select(TID, DT, AMT, CARD, "_h", "_o")
     n = frame.count()
     hot = K.hot_keys(frame.select(CARD, DT), CARD, DT, cfg, n)
     s = K.add_salt(frame, CARD, DT, TID, hot, cfg).withColumn("_kind", F.lit(ROW))

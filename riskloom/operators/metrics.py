@@ -19,7 +19,6 @@ from riskloom.operators import ordering as O
 from riskloom.session import cut_lineage
 
 UNB = Window.unboundedPreceding
-N_BUCKETS = 256
 
 
 def _by(by: Sequence[str] | None) -> list[str]:
@@ -34,21 +33,11 @@ def score_histogram(df: DataFrame, y: str, score: str, by: Sequence[str] | None
             .withColumn("neg", F.col("n") - F.col("pos")))
 
 
-def _with_below(hist: DataFrame, by: list[str], edges: list[float] | None) -> DataFrame:
-    """Add n_below / pos_below / neg_below (strictly lower scores, same group).
-
-    ``edges=None``: the histogram has few distinct scores per group (checked by
-    the caller), so one window per group is bounded and no buckets are needed.
-    """
-    if edges is None:
-        w = Window.partitionBy(*by).orderBy("score").rowsBetween(UNB, -1)
-        for c in ("n", "pos", "neg"):
-            hist = hist.withColumn(f"{c}_below", F.coalesce(F.sum(c).over(w), F.lit(0)))
-        return hist
-    bucket = F.lit(0)
-    for e in edges:
-        bucket = bucket + (F.col("score") > F.lit(e)).cast("int")
-    h = hist.withColumn("_b", bucket)
+def _with_below(hist: DataFrame, by: list[str], edges: list[float]) -> DataFrame:
+    """Add n_below / pos_below / neg_below (strictly lower scores, same group): sums inside a score bucket plus
+    the totals of the buckets below it."""
+    from riskloom.operators import stats as S
+    h = S.in_buckets(hist, "score", edges, "_b")
     tot = h.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t{c}") for c in ("n", "pos", "neg")])
     bw = Window.partitionBy(*by).orderBy("_b").rowsBetween(UNB, -1)
     offs = tot.select(*by, "_b", *[F.coalesce(F.sum(f"_t{c}").over(bw), F.lit(0)).alias(f"_o{c}")
@@ -60,12 +49,6 @@ def _with_below(hist: DataFrame, by: list[str], edges: list[float] | None) -> Da
     return h.drop("_b", "_on", "_opos", "_oneg")
 
 
-def _edges(df: DataFrame, score: str) -> list[float]:
-    q = df.agg(F.percentile_approx(F.col(score).cast("double"),
-                                   [i / N_BUCKETS for i in range(1, N_BUCKETS)], 1000)).collect()[0][0]
-    return sorted(set(q or []))
-
-
 def ranking_metrics(df: DataFrame, y: str, score: str, by: Sequence[str] | None = None) -> DataFrame:
     """M1, M2, M2b per group: roc_auc (null if one class), average_precision
     (0 if no positives), pr_auc_trapezoid; plus rows / positives."""
@@ -74,8 +57,7 @@ def ranking_metrics(df: DataFrame, y: str, score: str, by: Sequence[str] | None
         df, g = df.withColumn("_all", F.lit(1)), ["_all"]
     from riskloom.operators import stats as S
     hist = score_histogram(df, y, score, g)
-    few = S.max_distinct(df, score, g) * 1.2 <= S.DIRECT_DISTINCT_LIMIT
-    h = _with_below(hist, g, None if few else _edges(df, score))
+    h = _with_below(hist, g, S.value_edges(df, score))
     totals = hist.groupBy(*g).agg(F.sum("n").alias("N_all"), F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
     h = h.join(totals, on=g, how="inner")
     tp = F.col("P") - F.col("pos_below")                  # positives with score >= s

@@ -124,7 +124,16 @@ def q_identity_rate_by_label(spark, sf_dir):
 @register("history_lookup")
 def q_history_lookup(spark, sf_dir):
     probes, hist = probes_and_history(spark, sf_dir)
-    return _out(H.lookup(probes, hist), BEHAVIOUR)
+    return _out(H.features_21(probes, hist), C.MODEL_FEATURES)
+
+
+@register("features_tiny_amounts")
+def q_features_tiny_amounts(spark, sf_dir):
+    """Amounts of 1e-8 and the like: sums are exact, so averages and ratios hold."""
+    t = B.transactions(spark, sf_dir).withColumn("TransactionAmt", F.col("TransactionAmt") * 1e-8)
+    f = FE.build(t, B.identity(spark, sf_dir), semantics="batch")
+    return f.select("TransactionID", rnd("amount_vs_card_avg").alias("amount_vs_card_avg"),
+                    rnd(F.col("card_avg_amount") * 1e8).alias("scaled_avg"))
 
 
 @register("cold_start_flags")
@@ -602,8 +611,12 @@ def q_stream_scoring(spark, sf_dir):
     arrivals = (_stream_transactions(spark, sf_dir).where(F.col("TransactionDT") >= PROBE_START)
                 .join(ident, "TransactionID", "left"))          # stream-static join
     base = SJ.stream_dir(spark, "scoring")
-    SJ.run_to_end(SJ.score_arrivals(arrivals, hist, f"{base}/out", f"{base}/ckpt", TEST_RULES))
-    return _out(spark.read.parquet(f"{base}/out"), BEHAVIOUR)
+    model = lambda d: B.score_expr(F.col("TransactionAmt"), F.col("TransactionDT"))     # noqa: E731 - the fixed score
+    SJ.run_to_end(SJ.score_arrivals(arrivals, hist, f"{base}/out", f"{base}/ckpt", TEST_RULES, model=model))
+    out = spark.read.parquet(f"{base}/out")
+    extra = ("rule_ids", "behavioral_risk_level", "final_risk_level", "decision")
+    kept = out.select("TransactionID", *extra, rnd("model_score").alias("model_score"), rnd("final_risk_score").alias("final_risk_score"))
+    return _out(out, BEHAVIOUR).join(kept, "TransactionID")
 
 
 @register("stream_velocity")

@@ -124,7 +124,8 @@ SELECT isFraud, count(*) AS rows, CAST(sum(has_identity) AS BIGINT) AS with_iden
        {r6('avg(has_identity)')} AS identity_rate
 FROM m GROUP BY isFraud"""
 
-ORACLE["history_lookup"] = PROBES + f"\nSELECT t.TransactionID, {_pit_cols('hist')} FROM pr t"
+ORACLE["history_lookup"] = PROBES + f"""
+SELECT t.TransactionID, {_basic_cols().replace('TransactionAmt_x', 'TransactionAmt')}, {_pit_cols('hist')} FROM pr t"""
 
 ORACLE["cold_start_flags"] = PROBES + f""",
 c AS (SELECT t.TransactionID, t.card1, t.TransactionDT, t.DeviceInfo,
@@ -501,8 +502,28 @@ FROM s"""
 # --- streams: the stream's output must equal the batch answer ------------------------------------
 ORACLE["stream_scoring"] = MERGED + f""",
 hist AS (SELECT * FROM m WHERE TransactionDT < {PROBE_START}),
-pr AS (SELECT * FROM m WHERE TransactionDT >= {PROBE_START})
-SELECT t.TransactionID, {_pit_cols('hist')} FROM pr t"""
+pr AS (SELECT * FROM m WHERE TransactionDT >= {PROBE_START}),
+fp AS (SELECT t.TransactionID, t.TransactionAmt, {_pit_cols('hist', rounded=False)},
+         floor(1.0 / (1.0 + exp(-(ln(1 + t.TransactionAmt) - 3.5 + 0.05 * ((t.TransactionDT // 3600) % 24)))) * 100 + 0.5) / 100 AS score
+       FROM pr t),
+fr AS (SELECT *, CAST(score >= 0.8 AS INT) AS r0, CAST(score < 0.8 AND score >= 0.6 AS INT) AS r1,
+         CAST(new_card = 1 AND new_device_profile = 1 AND TransactionAmt >= 150 AS INT) AS r2,
+         CAST(new_card = 1 AND new_device_profile = 0 AS INT) AS r3, CAST(new_card = 0 AND new_device_profile = 1 AS INT) AS r4,
+         CAST(card_txn_count_1h >= 2 OR card_txn_count_24h >= 5 AS INT) AS r5,
+         CAST(device_profile_unique_cards >= 140 AS INT) AS r6,
+         CAST(new_card = 0 AND amount_vs_card_avg >= 3 AS INT) AS r7 FROM fp),
+fs AS (SELECT *, {_score_level('(r0 + r5 + r6)', '(r1 + r2 + r3 + r4 + r7)')} FROM fr),
+ff AS (SELECT *, least(greatest(0.8::DOUBLE * score + 0.2::DOUBLE * behavioral_risk_score, 0), 1) AS final FROM fs)
+SELECT TransactionID, card_transaction_count, {r6('card_avg_amount')} AS card_avg_amount, {r6('amount_vs_card_avg')} AS amount_vs_card_avg,
+  new_card, card_txn_count_1h, card_txn_count_24h, has_device_info, device_profile_count, device_profile_unique_cards,
+  new_device_profile, card_device_transaction_count, card_device_seen_before, device_unique_cards_historical,
+  concat_ws(',', CASE WHEN r0 = 1 THEN 'HIGH_MODEL_RISK' END, CASE WHEN r1 = 1 THEN 'MEDIUM_MODEL_RISK' END,
+            CASE WHEN r2 = 1 THEN 'NEW_CARD_NEW_DEVICE_HIGH_AMOUNT' END, CASE WHEN r3 = 1 THEN 'NEW_CARD' END,
+            CASE WHEN r4 = 1 THEN 'NEW_DEVICE' END, CASE WHEN r5 = 1 THEN 'HIGH_CARD_VELOCITY' END,
+            CASE WHEN r6 = 1 THEN 'SHARED_DEVICE' END, CASE WHEN r7 = 1 THEN 'UNUSUAL_AMOUNT' END) AS rule_ids,
+  behavioral_risk_level, CASE WHEN final >= 0.8 THEN 'HIGH' WHEN final >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS final_risk_level,
+  CASE WHEN final >= 0.5 THEN 'REVIEW' ELSE 'APPROVE' END AS decision, {r6('score')} AS model_score, {r6('final')} AS final_risk_score
+FROM ff"""
 
 ORACLE["stream_velocity"] = TX + """
 SELECT t.TransactionID,
@@ -550,7 +571,7 @@ FROM sc"""
 
 ORACLE["features_batch_hot_keys"] = ORACLE["features_batch"]
 ORACLE["features_pit_hot_keys"] = ORACLE["features_pit"]
-ORACLE["history_lookup_hot_keys"] = ORACLE["history_lookup"]
+ORACLE["history_lookup_hot_keys"] = PROBES + f"\nSELECT t.TransactionID, {_pit_cols('hist')} FROM pr t"
 
 
 # --- exact cuts (M4-M7, M13-M16, M19, T3, T6) ----------------------------------------------------
@@ -650,3 +671,8 @@ FROM events e LEFT JOIN tx t ON t.TransactionID = e.event_id + 3"""
 ORACLE["cold_start_null_keys"] = PROBES + """
 SELECT TransactionID, CAST(1 AS BIGINT) AS is_new_card, CAST(1 AS BIGINT) AS is_new_device, CAST(1 AS BIGINT) AS is_new_pair
 FROM pr"""
+
+ORACLE["features_tiny_amounts"] = MERGED + f""",
+tiny AS (SELECT * REPLACE (TransactionAmt * 1e-8 AS TransactionAmt) FROM m),
+f AS (SELECT t.TransactionID, {_batch_cols('tiny', rounded=False).replace('DECIMAL(38,6)', 'DECIMAL(38,18)')} FROM tiny t)
+SELECT TransactionID, {r6('amount_vs_card_avg')} AS amount_vs_card_avg, {r6('card_avg_amount * 1e8')} AS scaled_avg FROM f"""

@@ -15,22 +15,25 @@ Checkpoints and sinks live under the session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from riskloom.functions import columns as C
 from riskloom.functions import text as TX
 from riskloom.operators import history as H
 from riskloom.operators import policy as PO
 from riskloom.operators import rules as R
-from riskloom.session import ensure_checkpoint_dir
+from riskloom.session import cut_lineage, ensure_checkpoint_dir
 
 HOUR, DAY = 3600, 86400
+#: Added to event seconds for the watermark, which starts at the epoch: times from zero on are then not late.
+SHIFT = 1_000_000_000
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -52,12 +55,28 @@ def file_stream(spark: SparkSession, directory: str, name: str, fmt: str = "parq
 # X1
 # ---------------------------------------------------------------------------
 def score_arrivals(arrivals: DataFrame, history: DataFrame, sink: str, checkpoint: str,
-                   params: R.RuleParams | None = None, fusion: PO.FusionConfig | None = None):
-    """Start the X1 stream (availableNow); returns the StreamingQuery."""
+                   params: R.RuleParams | None = None, fusion: PO.FusionConfig | None = None,
+                   model: Callable[[DataFrame], Column] | None = None, review_threshold: float = 0.50):
+    """Start the X1 stream (availableNow); returns the StreamingQuery.
+
+    ``model`` maps the batch with its 21 features to a score column.  With a
+    model every row is scored, fused with the rules and decided (a row whose
+    score fails goes to review); without one the rules decide.  A batch is
+    written once before it is used, so its stream-static joins run once, and
+    the history is first cut to the batch's cards and devices.
+    """
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        feats = H.cold_start(H.lookup(batch, history))
-        scored = R.evaluate(feats, params)
-        out = scored.withColumn("rule_ids", R.rule_ids()).drop("rules_triggered")
+        batch = cut_lineage(batch)
+        feats = H.cold_start(H.features_21(batch, history))
+        scored = feats.withColumn("model_score", C.finite_or_null(model(feats)) if model else F.lit(None).cast("double"))
+        scored = R.evaluate(scored, params, "model_score" if model else None)
+        scored = PO.fuse(scored.withColumn("calibrated_model_score", F.coalesce("model_score", F.lit(0.0))),
+                         fusion or PO.FusionConfig())
+        present = F.col("model_score").isNotNull()
+        decision = PO.decide(F.when(present, F.col("final_risk_score")), F.coalesce("model_score", F.lit(0.0)),
+                             F.col("behavioral_risk_level"), review_threshold)
+        out = (scored.withColumn("decision", PO.fail_closed(F.when(present, decision) if model else decision))
+               .withColumn("rule_ids", R.rule_ids()).drop("rules_triggered"))
         out.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
 
     return (arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -71,32 +90,45 @@ VELOCITY_OUT = T.StructType([
     T.StructField("TransactionID", T.LongType()), T.StructField("card1", T.LongType()),
     T.StructField("TransactionDT", T.LongType()), T.StructField("card_txn_count_1h", T.LongType()),
     T.StructField("card_txn_count_24h", T.LongType())])
-VELOCITY_STATE = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
+# distinct event seconds of a card and how often each occurred: at most one entry per second kept
+VELOCITY_STATE = T.StructType([T.StructField("seconds", T.ArrayType(T.LongType())),
+                               T.StructField("counts", T.ArrayType(T.LongType()))])
 
 
-def card_velocity(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """X2 stream: per-event trailing counts; rows later than the watermark are dropped."""
+def card_velocity(events: DataFrame, delay_s: int = DAY) -> DataFrame:
+    """X2 stream: per-event trailing counts; rows later than the watermark (``delay_s``) are dropped.
+
+    A row that is late by less than the delay may need events up to 24 h before
+    it, so a card keeps the seconds of the last 24 h plus the delay.  A row's
+    counts cover all events that arrived with it or before it.
+    """
+    kept, shift = DAY + delay_s, SHIFT
+
     # Local function: shipped to the Python workers by value.
     def _velocity(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        prev = np.array(state.get[0] if state.exists else [], dtype=np.int64)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["TransactionDT", "TransactionID"])
-        t = pdf["TransactionDT"].to_numpy(dtype=np.int64)
-        times = np.sort(np.concatenate([prev, t]))
-        # strictly earlier seconds only: count times in [t - w, t - 1]
-        hi = np.searchsorted(times, t, side="left")
-        c1 = hi - np.searchsorted(times, t - HOUR, side="left")
-        c24 = hi - np.searchsorted(times, t - DAY, side="left")
-        newest = int(times[-1])
-        keep = times[times >= newest - DAY]
-        state.update((keep.tolist(),))
-        state.setTimeoutTimestamp((newest + DAY) * 1000)
-        yield pd.DataFrame({"TransactionID": pdf["TransactionID"].to_numpy(), "card1": key[0], "TransactionDT": t,
-                            "card_txn_count_1h": c1, "card_txn_count_24h": c24})
-
-    ev = events.withColumn("_ts", F.timestamp_seconds(F.col("TransactionDT"))).withWatermark("_ts", watermark)
+        old, old_n = (np.array(x, dtype=np.int64) for x in (state.get if state.exists else ([], [])))
+        rows = [(b["TransactionID"].to_numpy(), b["TransactionDT"].to_numpy(dtype=np.int64)) for b in batches]
+        new, new_n = np.unique(np.concatenate([t for _, t in rows]), return_counts=True)
+        seconds, back = np.unique(np.concatenate([old, new]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([old_n, new_n]), minlength=len(seconds)).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+
+        def before(t: np.ndarray) -> np.ndarray:
+            return upto[np.searchsorted(seconds, t, side="left")]
+
+        newest = int(seconds[-1])
+        keep = seconds >= newest - kept
+        state.update((seconds[keep].tolist(), counts[keep].tolist()))
+        state.setTimeoutTimestamp((newest + kept + shift) * 1000)
+        for ids, t in rows:     # strictly earlier seconds only: times in [t - w, t - 1]
+            yield pd.DataFrame({"TransactionID": ids, "card1": key[0], "TransactionDT": t,
+                                "card_txn_count_1h": before(t) - before(t - HOUR),
+                                "card_txn_count_24h": before(t) - before(t - DAY)})
+
+    ev = events.withColumn("_ts", F.timestamp_seconds(F.col("TransactionDT") + F.lit(SHIFT))).withWatermark("_ts", f"{delay_s} seconds")
     return ev.groupBy("card1").applyInPandasWithState(
         _velocity, VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -46,3 +46,57 @@ def test_scale_conf_grows_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 200
     assert int(big["spark.sql.shuffle.partitions"]) > 500_000
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_late_events_within_the_watermark(spark, tmp_path):
+    """Several out-of-order files: every row counts all strictly earlier events that came with it or before it."""
+    from riskloom.streaming import jobs as SJ
+    files = [[(1, 0), (2, 36_000)], [(3, 100_000)], [(4, 80_000), (5, 100_000)], [(6, 186_000), (7, 99_000)], [(8, 100_001)]]
+    src = f"{tmp_path}/in"
+    schema = "TransactionID long, card1 long, TransactionDT long"
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(k, 9, t) for k, t in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        __import__("time").sleep(1.1)       # the file source orders by modification time
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (SJ.card_velocity(ev).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/ckpt").outputMode("append").trigger(availableNow=True).start())
+    SJ.run_to_end(q)
+    got = {r.TransactionID: (r.card_txn_count_1h, r.card_txn_count_24h) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    seen, want = [], {}
+    for rows in files:
+        seen += [t for _, t in rows]
+        for k, t in rows:
+            want[k] = tuple(sum(t - w <= s < t for s in seen) for w in (3_600, 86_400))
+    assert got == want and want[4] == (0, 2)
+
+
+def test_cluster_without_checkpoint_folder_is_an_error(spark, monkeypatch):
+    import pytest
+    from riskloom import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_unrelated_history_stays_out_of_the_lookup(spark):
+    from riskloom.operators import history as H
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, DeviceInfo string"
+    hist = spark.createDataFrame([(i, i, 1.0, i % 50, f"d{i % 40}") for i in range(1000)], schema)
+    probes = spark.createDataFrame([(5000, 10_000, 1.0, 3, "d7"), (5001, 10_000, 1.0, None, None)], schema)
+    for limit in (10, 0):
+        kept = H.relevant(probes, hist, limit)
+        assert kept.columns == hist.columns
+        assert sorted(r.TransactionID for r in kept.collect()) == [i for i in range(1000) if i % 50 == 3 or i % 40 == 7]
