@@ -212,7 +212,7 @@ def time_split(df: DataFrame, train_ratio: float = 0.70, validation_ratio: float
 
 
 def temporal_windows(validation: DataFrame, label: str = "isFraud", min_frauds: int = 100,
-                     order: Order = TIME_ORDER) -> tuple[DataFrame, dict]:
+                     order: Order = TIME_ORDER, min_rows: int = 1000) -> tuple[DataFrame, dict]:
     """Cut validation into calibration / policy / stability windows."""
     n = validation.count()
     frauds = validation.where(F.col(label) == 1)
@@ -221,7 +221,7 @@ def temporal_windows(validation: DataFrame, label: str = "isFraud", min_frauds:
         raise ValueError(f"three windows of {min_frauds} frauds each do not fit into {n_fraud}")
     at = kth_cuts(frauds, order, [(None, min_frauds), (None, 2 * min_frauds)])
     f1, f2 = validation.agg(*[F.count_if(lex_before(validation, order, c)) for c in at]).first()
-    min_window = max(1000, int(n * 0.15))
+    min_window = max(min_rows, int(n * 0.15))
     b1 = max(f1, min_window)
     b2 = min(max(f2, b1 + min_window), n - min_window)
     out = label_by_cuts(validation, order, kth_cuts(validation, order, [(None, b1), (None, b2)]),

@@ -646,8 +646,7 @@ def q_stream_feedback(spark, sf_dir):
 # --- D1-D5 / D9 / D10 / D15-D18 / G4 / M17-M20 (trained models: rows-only checks) --------------------
 from riskloom.operators import ml as ML               # noqa: E402
 
-# Fixed parameters of the registered model queries (small trees keep the smoke run short).
-QUERY_GBT = {"max_iter": 15, "max_depth": 4}
+QUERY_GBT: dict = {}      # the library's model size
 
 
 def _train_test(spark, sf_dir):
@@ -719,20 +718,41 @@ def q_global_importance(spark, sf_dir):
     return ML.global_importance(ML.tree_contributions(m, test))
 
 
+def _investigations(spark, sf_dir):
+    """D18 on the fixed score; the evidence are the two terms of its logit, the stronger first."""
+    probes, hist = probes_and_history(spark, sf_dir)
+    score = B.score_expr(F.col("TransactionAmt"), F.col("TransactionDT"))
+    probes = probes.withColumn("score", F.when(F.col("TransactionID") % 9 != 0, score))      # some scores fail
+    terms = [F.struct(F.lit("TransactionAmt_log").alias("feature"), F.round(F.log1p("TransactionAmt"), 3).alias("weight")),
+             F.struct(F.lit("transaction_hour").alias("feature"),
+                      F.round(F.lit(0.05) * F.pmod(F.floor(F.col("TransactionDT") / 3600), F.lit(24)), 3).alias("weight"))]
+    probes = probes.withColumn("evidence", F.when(terms[0]["weight"] >= terms[1]["weight"], F.array(*terms))
+                               .otherwise(F.array(*terms[::-1])))
+    return RC.investigate(probes, hist, TEST_RULES, model_score="score", evidence="evidence")
+
+
 @register("investigation_records")
 def q_investigation_records(spark, sf_dir):
-    probes, hist = probes_and_history(spark, sf_dir)
-    probes = probes.withColumn("score", B.score_expr(F.col("TransactionAmt"), F.col("TransactionDT")))
-    recs = RC.investigate(probes, hist, TEST_RULES, model_score="score")
-    return RC.to_json_context(recs)
+    r = RC.flat_record(_investigations(spark, sf_dir))
+    first = F.get_json_object("evidence", "$[0].feature")
+    rounded = {"model_score", "behavioral_score", "final_risk_score", "card_average_amount", "card_max_amount", "card_min_amount"}
+    return r.withColumn("evidence", first).select(*[
+        rnd(c).alias(c) if c in rounded else F.col(c).cast("long").alias(c) if t in ("boolean", "int") else F.col(c)
+        for c, t in r.dtypes])
+
 
+@register("investigation_context")
+def q_investigation_context(spark, sf_dir):
+    """The records as JSON text."""
+    return RC.to_json_context(_investigations(spark, sf_dir))
 
-def _job(spark, sf_dir, fn):
+
+def _job(spark, sf_dir, fn, part=0):
     from riskloom.plans import jobs as J
-    cfg = J.EvalConfig(gbt_iter=QUERY_GBT["max_iter"], gbt_depth=QUERY_GBT["max_depth"],
-                       train_ratio=0.55, validation_ratio=0.30)   # 100-fraud windows need the wider validation at sf0.01
+    # windows of the 70/15/15 split sized for the smallest test data; everything else is the default
+    cfg = J.EvalConfig(min_frauds=5, min_rows=20)
     out = fn(spark, B.transactions(spark, sf_dir), B.identity(spark, sf_dir), cfg)
-    return out[0] if isinstance(out, tuple) else out
+    return out[part] if isinstance(out, tuple) else out
 
 
 @register("job_system_evaluation")
@@ -747,6 +767,13 @@ def q_job_ranked(spark, sf_dir):
     return _job(spark, sf_dir, J.ranked_production_job)
 
 
+@register("job_ranked_selection")
+def q_job_ranked_selection(spark, sf_dir):
+    """The rows that the ranked production job selects."""
+    from riskloom.plans import jobs as J
+    return _job(spark, sf_dir, J.ranked_production_job, 1)
+
+
 @register("job_fusion_diagnostics")
 def q_job_diag(spark, sf_dir):
     from riskloom.plans import jobs as J

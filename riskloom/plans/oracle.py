@@ -676,3 +676,41 @@ ORACLE["features_tiny_amounts"] = MERGED + f""",
 tiny AS (SELECT * REPLACE (TransactionAmt * 1e-8 AS TransactionAmt) FROM m),
 f AS (SELECT t.TransactionID, {_batch_cols('tiny', rounded=False).replace('DECIMAL(38,6)', 'DECIMAL(38,18)')} FROM tiny t)
 SELECT TransactionID, {r6('amount_vs_card_avg')} AS amount_vs_card_avg, {r6('card_avg_amount * 1e8')} AS scaled_avg FROM f"""
+
+ORACLE["investigation_records"] = PROBES + f""",
+fp AS (SELECT t.TransactionID, t.card1, t.TransactionDT, t.DeviceInfo, t.TransactionAmt, {_pit_cols('hist', rounded=False)},
+         CASE WHEN t.TransactionID % 9 <> 0 THEN floor(1.0 / (1.0 + exp(-(ln(1 + t.TransactionAmt) - 3.5
+              + 0.05 * ((t.TransactionDT // 3600) % 24)))) * 100 + 0.5) / 100 END AS score,
+         coalesce((SELECT max(h.TransactionAmt) FROM hist h WHERE h.card1 = t.card1 AND {EARLIER}), 0) AS mx,
+         coalesce((SELECT min(h.TransactionAmt) FROM hist h WHERE h.card1 = t.card1 AND {EARLIER}), 0) AS mn
+       FROM pr t),
+cs AS (SELECT *, card_transaction_count > 0 AS ch,
+         coalesce(DeviceInfo IS NOT NULL AND upper(DeviceInfo) <> 'UNKNOWN-DEVICE' AND device_profile_count > 0, FALSE) AS dh FROM fp),
+fr AS (SELECT *, NOT ch AS nc, NOT dh AS nd, CAST(coalesce(score >= 0.8, FALSE) AS INT) AS r0,
+         CAST(coalesce(score < 0.8 AND score >= 0.6, FALSE) AS INT) AS r1,
+         CAST(NOT ch AND NOT dh AND TransactionAmt >= 150 AS INT) AS r2, CAST(NOT ch AND dh AS INT) AS r3,
+         CAST(ch AND NOT dh AS INT) AS r4, CAST(card_txn_count_1h >= 2 OR card_txn_count_24h >= 5 AS INT) AS r5,
+         CAST(device_profile_unique_cards >= 140 AS INT) AS r6, CAST(ch AND amount_vs_card_avg >= 3 AS INT) AS r7 FROM cs),
+fs AS (SELECT *, {_score_level('(r0 + r5 + r6)', '(r1 + r2 + r3 + r4 + r7)')} FROM fr),
+ff AS (SELECT *, least(greatest(0.8::DOUBLE * coalesce(score, 0) + 0.2::DOUBLE * behavioral_risk_score, 0), 1) AS final FROM fs)
+SELECT TransactionID, {r6('score')} AS model_score,
+  CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.7 THEN 'MEDIUM' WHEN score IS NOT NULL THEN 'LOW' END AS model_level,
+  CASE WHEN score >= 0.7 THEN 'REVIEW' WHEN score IS NOT NULL THEN 'APPROVE' END AS model_decision,
+  {r6('behavioral_risk_score')} AS behavioral_score, behavioral_risk_level AS behavioral_level,
+  concat_ws(',', CASE WHEN r0 = 1 THEN 'HIGH_MODEL_RISK' END, CASE WHEN r1 = 1 THEN 'MEDIUM_MODEL_RISK' END,
+            CASE WHEN r2 = 1 THEN 'NEW_CARD_NEW_DEVICE_HIGH_AMOUNT' END, CASE WHEN r3 = 1 THEN 'NEW_CARD' END,
+            CASE WHEN r4 = 1 THEN 'NEW_DEVICE' END, CASE WHEN r5 = 1 THEN 'HIGH_CARD_VELOCITY' END,
+            CASE WHEN r6 = 1 THEN 'SHARED_DEVICE' END, CASE WHEN r7 = 1 THEN 'UNUSUAL_AMOUNT' END) AS rule_ids,
+  {r6('final')} AS final_risk_score,
+  CASE WHEN final >= 0.8 THEN 'HIGH' WHEN final >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS final_risk_level,
+  CASE WHEN score IS NULL OR final >= 0.5 THEN 'REVIEW' ELSE 'APPROVE' END AS final_decision,
+  CAST(nc AS BIGINT) AS is_new_card, CAST(nd AS BIGINT) AS is_new_device,
+  CAST(NOT (ch AND dh AND card_device_transaction_count > 0) AS BIGINT) AS is_new_card_device_pair,
+  CAST(ch AS BIGINT) AS card_history_available, CAST(dh AS BIGINT) AS device_history_available,
+  'COMPLETE' AS input_completeness,
+  CASE WHEN round(ln(1 + TransactionAmt), 3) >= round(0.05 * ((TransactionDT // 3600) % 24), 3) THEN 'TransactionAmt_log'
+       ELSE 'transaction_hour' END AS evidence,
+  card_transaction_count, {r6('card_avg_amount')} AS card_average_amount, {r6('mx')} AS card_max_amount, {r6('mn')} AS card_min_amount,
+  DeviceInfo AS device_info, CASE WHEN DeviceInfo IS NULL THEN 0 ELSE device_profile_count END AS device_transaction_count,
+  CASE WHEN DeviceInfo IS NULL THEN 0 ELSE device_profile_unique_cards END AS device_unique_cards
+FROM ff"""
