@@ -31,7 +31,7 @@ def model_input(df: DataFrame, features: Sequence[str] = C.MODEL_FEATURES, keep:
     """Exactly ``features`` in model order, coerced (bad/inf → 0); error if one is missing."""
     missing = [f for f in features if f not in df.columns]
     if missing:
-        raise ValueError("Feature table is missing model features: " + ", ".join(missing))
+        raise ValueError(f"model input lacks {len(missing)} column(s): {missing}")
     return df.select(*keep, *[C.model_ready(f).alias(f) for f in features])
 
 
@@ -103,7 +103,7 @@ def fit_isotonic(df: DataFrame, score_col: str, label: str) -> IsotonicRegressio
     score histogram, not the rows, reaches the final (driver-side) PAV step."""
     classes = df.agg(F.countDistinct(label)).collect()[0][0]
     if classes < 2:
-        raise ValueError("Calibration window must contain both legitimate and fraud examples.")
+        raise ValueError(f"isotonic calibration needs two label classes, found {classes}")
     grouped = (df.groupBy(F.col(score_col).cast("double").alias("s"))
                .agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
     iso = IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w", isotonic=True)
@@ -139,7 +139,7 @@ def linear_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str
     for j, f in enumerate(feats):
         z = (F.col(f) - F.lit(float(mean[j]))) / F.lit(float(std[j])) if std[j] > 0 else F.lit(0.0)
         contribs.append(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
-                                 (F.lit(float(coef[j])) * z).alias("shap_value")))
+                                 (F.lit(float(coef[j])) * z).alias("contribution")))
     return data.select(*keep, F.array(*contribs).alias("contributions"),
                        F.lit(float(lr.intercept)).alias("base_value"))
 
@@ -189,7 +189,7 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str]
     schema = T.StructType([data.schema[k] for k in keep] + [
         T.StructField("contributions", T.ArrayType(T.StructType([
             T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
-            T.StructField("shap_value", T.DoubleType())]))),
+            T.StructField("contribution", T.DoubleType())]))),
         T.StructField("base_value", T.DoubleType())])
 
     def attribute(batches):
@@ -215,7 +215,7 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str]
                     active = feat[node] >= 0
             out = pdf[list(keep)].copy()
             out["contributions"] = [
-                [{"feature": feats[j], "value": float(x[i, j]), "shap_value": float(contrib[i, j])} for j in range(nf)]
+                [{"feature": feats[j], "value": float(x[i, j]), "contribution": float(contrib[i, j])} for j in range(nf)]
                 for i in range(n)]
             out["base_value"] = base
             yield out
@@ -226,14 +226,14 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str]
 def top_evidence(contrib: DataFrame, k: int = 5) -> DataFrame:
     """T5: the k largest |contribution| per row (ties by feature order), nested."""
     ranked = F.transform(F.col("contributions"), lambda c, i: F.struct(
-        c["feature"].alias("feature"), c["value"].alias("value"), c["shap_value"].alias("shap_value"),
-        F.abs(c["shap_value"]).alias("abs_shap"), i.alias("pos")))
-    ordered = F.array_sort(ranked, lambda a, b: F.when(a["abs_shap"] > b["abs_shap"], -1)
-                           .when(a["abs_shap"] < b["abs_shap"], 1)
+        c["feature"].alias("feature"), c["value"].alias("value"), c["contribution"].alias("contribution"),
+        F.abs(c["contribution"]).alias("abs_contribution"), i.alias("pos")))
+    ordered = F.array_sort(ranked, lambda a, b: F.when(a["abs_contribution"] > b["abs_contribution"], -1)
+                           .when(a["abs_contribution"] < b["abs_contribution"], 1)
                            .when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
     top = F.transform(F.slice(ordered, 1, k), lambda e: F.struct(
-        e["feature"].alias("feature"), e["value"].alias("value"), e["shap_value"].alias("shap_value"),
-        e["abs_shap"].alias("abs_shap"), X.impact(e["shap_value"]).alias("impact")))
+        e["feature"].alias("feature"), e["value"].alias("value"), e["contribution"].alias("contribution"),
+        e["abs_contribution"].alias("abs_contribution"), X.impact(e["contribution"]).alias("impact")))
     return contrib.withColumn("evidence", top)
 
 
@@ -244,14 +244,14 @@ def evidence_rows(contrib: DataFrame, keys: Sequence[str], k: int = 5) -> DataFr
     template chain stays within whole-stage codegen limits.
     """
     ev = top_evidence(contrib, k).select(*keys, F.posexplode("evidence").alias("rank", "e"))
-    flat = ev.select(*keys, (F.col("rank") + 1).alias("rank"), "e.feature", "e.value", "e.shap_value",
-                     "e.abs_shap", "e.impact")
-    return flat.withColumn("explanation", X.describe(F.col("feature"), F.col("value"), F.col("shap_value")))
+    flat = ev.select(*keys, (F.col("rank") + 1).alias("rank"), "e.feature", "e.value", "e.contribution",
+                     "e.abs_contribution", "e.impact")
+    return flat.withColumn("explanation", X.describe(F.col("feature"), F.col("value"), F.col("contribution")))
 
 
 def global_importance(contrib: DataFrame) -> DataFrame:
     """Mean |contribution| per feature, largest first."""
     e = contrib.select(F.explode("contributions").alias("c"))
     return (e.groupBy(F.col("c.feature").alias("feature"))
-            .agg(F.avg(F.abs("c.shap_value")).alias("mean_abs_contribution"))
+            .agg(F.avg(F.abs("c.contribution")).alias("mean_abs_contribution"))
             .orderBy(F.desc("mean_abs_contribution"), "feature"))

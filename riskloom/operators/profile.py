@@ -153,8 +153,9 @@ def extremes(df: DataFrame, n: int = 5, order: Sequence[str] = ("TransactionDT",
 
 
 def seeded_sample(df: DataFrame, n: int = 5000, seed: int = 42, key: str = "TransactionID") -> DataFrame:
-    """Deterministic sample of at most n rows (hash order, independent of partitioning)."""
-    return df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(n).drop("_h")
+    """Deterministic sample of at most n rows (order of an md5 of seed and id, independent of partitioning)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
 def fill_device(txns: DataFrame, identity: DataFrame, key: str = "TransactionID", dev: str = "DeviceInfo") -> DataFrame:

@@ -112,6 +112,13 @@ def q_identity_keep_first(spark, sf_dir):
     return FE.keep_first(B.identity(spark, sf_dir), "TransactionID", ["DeviceInfo"])
 
 
+@register("identity_keep_first_duplicates")
+def q_identity_keep_first_duplicates(spark, sf_dir):
+    """J2 where ids repeat: three events share an id."""
+    i = B.identity(spark, sf_dir).withColumn("TransactionID", F.expr("TransactionID div 3"))
+    return FE.keep_first(i, "TransactionID", ["DeviceInfo"])
+
+
 @register("identity_rate_by_label")
 def q_identity_rate_by_label(spark, sf_dir):
     m = merged(spark, sf_dir)
@@ -469,6 +476,16 @@ def q_label_join_contract(spark, sf_dir):
     return rep.select(*[F.col(c).cast("long").alias(c) for c in rep.columns])
 
 
+@register("label_join_unlabelled")
+def q_label_join_unlabelled(spark, sf_dir):
+    """S14 where every fifth row has no label and every seventh label row is there twice."""
+    t = B.transactions(spark, sf_dir)
+    labels = t.select("TransactionID", "isFraud").where(F.col("TransactionID") % 5 != 0)
+    labels = labels.unionAll(labels.where(F.col("TransactionID") % 7 == 0))
+    _, rep = IO.labelled_join(t.select("TransactionID", "TransactionAmt"), labels)
+    return rep.select(*[F.col(c).cast("long").alias(c) for c in rep.columns])
+
+
 # --- W15 / W16 ----------------------------------------------------------------------------
 @register("features_test_split")
 def q_features_test_split(spark, sf_dir):
@@ -731,6 +748,33 @@ def _investigations(spark, sf_dir):
     return RC.investigate(probes, hist, TEST_RULES, model_score="score", evidence="evidence")
 
 
+EXPLAINED = [f for f in C.MODEL_FEATURES if f != "TransactionAmt_log"]
+
+
+def _fixed_contributions(spark, sf_dir):
+    """Contributions that any engine can compute: value times a fixed weight, the sign by the parity of the id."""
+    f = feature_table(spark, sf_dir, "batch")
+    sign = F.when(F.col("TransactionID") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    value = lambda c: rnd(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 1)      # noqa: E731 - no halves to round
+    each = [F.struct(F.lit(c).alias("feature"), value(c).alias("value"), (sign * F.lit((i + 1) / 8) * value(c)).alias("contribution"))
+            for i, c in enumerate(EXPLAINED)]
+    return f.select("TransactionID", F.array(*each).alias("contributions"))
+
+
+@register("explanation_sentences")
+def q_explanation_sentences(spark, sf_dir):
+    """The five strongest contributions of every row with impact and sentence."""
+    e = ML.evidence_rows(_fixed_contributions(spark, sf_dir), ["TransactionID"], 5)
+    return e.select("TransactionID", F.col("rank").cast("long").alias("rank"), "feature", "impact", "explanation")
+
+
+@register("global_importance_fixed")
+def q_global_importance_fixed(spark, sf_dir):
+    """D17 on the fixed contributions."""
+    g = ML.global_importance(_fixed_contributions(spark, sf_dir))
+    return g.select("feature", F.round("mean_abs_contribution", 3).alias("mean_abs_contribution"))
+
+
 @register("investigation_records")
 def q_investigation_records(spark, sf_dir):
     r = RC.flat_record(_investigations(spark, sf_dir))

@@ -714,3 +714,53 @@ SELECT TransactionID, {r6('score')} AS model_score,
   DeviceInfo AS device_info, CASE WHEN DeviceInfo IS NULL THEN 0 ELSE device_profile_count END AS device_transaction_count,
   CASE WHEN DeviceInfo IS NULL THEN 0 ELSE device_profile_unique_cards END AS device_unique_cards
 FROM ff"""
+
+ORACLE["identity_keep_first_duplicates"] = with_sql(SQL_TX, SQL_ID) + """
+SELECT TransactionID // 3 AS TransactionID, min(DeviceInfo) AS DeviceInfo FROM idt GROUP BY 1"""
+
+ORACLE["label_join_unlabelled"] = TX + """,
+l AS (SELECT TransactionID FROM tx WHERE TransactionID % 5 <> 0
+      UNION ALL SELECT TransactionID FROM tx WHERE TransactionID % 5 <> 0 AND TransactionID % 7 = 0),
+j AS (SELECT tx.TransactionID, l.TransactionID AS lid FROM tx LEFT JOIN l ON tx.TransactionID = l.TransactionID)
+SELECT count(*) AS rows, CAST(count_if(lid IS NULL) AS BIGINT) AS unlabelled, CAST(0 AS BIGINT) AS feature_dupes,
+  (SELECT count(*) FROM (SELECT TransactionID FROM l GROUP BY 1 HAVING count(*) > 1)) AS label_dupes FROM j"""
+
+ORACLE["seeded_sample"] = TX + """
+SELECT TransactionID, TransactionDT, isFraud FROM tx ORDER BY md5('42:' || CAST(TransactionID AS VARCHAR)), TransactionID LIMIT 5000"""
+
+
+def _sentence(feature: str) -> str:
+    """SQL of a feature's sentence from the fixed templates; v: value, c: contribution."""
+    from riskloom.functions.explain_text import TEMPLATES
+    text = TEMPLATES[feature]
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    if isinstance(text, tuple):
+        return f"CASE WHEN v = 1 THEN {quoted(text[0])} ELSE {quoted(text[1])} END"
+    text = text.replace("{dir}", "%s")
+    args = ["CAST(trunc(v) AS BIGINT)" if "%d" in text else "v"]
+    if "%s" in text:
+        args.append("CASE WHEN c > 0 THEN 'increases' ELSE 'decreases' END")
+    return f"printf({quoted(text)}, {', '.join(args)})"
+
+
+def _contributions() -> str:
+    from riskloom.plans.catalog import EXPLAINED
+    rows = " UNION ALL ".join(
+        f"SELECT TransactionID, {i} AS i, '{f}' AS feature, floor(CAST(coalesce({f}, 0) AS DOUBLE) * 10 + 0.5) / 10 AS v FROM ft" for i, f in enumerate(EXPLAINED))
+    return MERGED + f""",
+ft AS (SELECT t.TransactionID, {_basic_cols().replace('TransactionAmt_x', 'TransactionAmt')}, {_batch_cols('m', rounded=False)} FROM m t),
+cv AS (SELECT *, (CASE WHEN TransactionID % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE * ((i + 1) / 8.0::DOUBLE) * v AS c FROM ({rows}))"""
+
+
+def _explanations() -> str:
+    from riskloom.plans.catalog import EXPLAINED
+    cases = " ".join(f"WHEN '{f}' THEN {_sentence(f)}" for f in EXPLAINED)
+    return _contributions() + f""",
+rk AS (SELECT *, row_number() OVER (PARTITION BY TransactionID ORDER BY abs(c) DESC, i) AS rank FROM cv)
+SELECT TransactionID, rank, feature, CASE WHEN c > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS impact,
+  CASE feature {cases} END AS explanation FROM rk WHERE rank <= 5"""
+
+
+ORACLE["explanation_sentences"] = _explanations()
+ORACLE["global_importance_fixed"] = _contributions() + """
+SELECT feature, round(avg(abs(c)), 3) AS mean_abs_contribution FROM cv GROUP BY feature"""

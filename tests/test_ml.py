@@ -9,7 +9,7 @@ from riskloom.plans import catalog as CT
 
 
 def _sum_contrib():
-    return F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["shap_value"]) + F.col("base_value")
+    return F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["contribution"]) + F.col("base_value")
 
 
 def test_tree_and_linear_contributions_sum_to_margin(spark):
