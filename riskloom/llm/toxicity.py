@@ -6,8 +6,8 @@ text's logit when its identity terms are swapped for terms of another group,
 so that naming a group does not by itself raise a score.
 
 Training uses a bounded sample: the ``TRAIN_DOCS`` labelled documents of the
-training fold with the smallest id hash, and the ``FEATURES`` features that
-tell the labels apart best in it.  Scoring reads every whole text.
+training fold with the smallest id hash, and at most ``FEATURES`` features (three
+for each text of the rarer class) that tell the labels apart best in it.  Scoring reads every whole text.
 
 Defined results: null, empty and wordless texts get the model's intercept;
 labels that are null or conflict (repeated rows) count as their maximum; with
@@ -27,7 +27,10 @@ from riskloom.llm.common import chunks, crc_mod, id_text, small_batches
 from riskloom.llm.hashing import FOLD_ALNUM, U, mix, range_hashes, word_bounds
 
 TRAIN_DOCS = 20_000
-FEATURES = 8_192
+FEATURES = 4_096
+#: Features for each training text of the rarer class (more would only fit its noise); at least LEAST_FEATURES.
+FEATURES_PER_TEXT = 3
+LEAST_FEATURES = 64
 LEAST_DOCS = 5
 PREFIX_BYTES = 6
 SWAP_WEIGHT = 1.0
@@ -123,7 +126,8 @@ def fit(table: pa.Table) -> tuple[float, np.ndarray, np.ndarray]:
     rate = y.mean()
     far = np.abs(toxic - count * rate) / np.sqrt(count * rate * (1 - rate))
     far[count < LEAST_DOCS] = -1
-    best = np.sort(np.argsort(-far, kind="stable")[: min(FEATURES, int((far >= 0).sum()))])
+    fair = max(LEAST_FEATURES, int(FEATURES_PER_TEXT * min(y.sum(), len(y) - y.sum())))
+    best = np.sort(np.argsort(-far, kind="stable")[: min(FEATURES, fair, int((far >= 0).sum()))])
     vocabulary = found[best]
     doc, col = once(hashes, owner, vocabulary)
     other, its = once(*flat("swapped"), vocabulary)
