@@ -38,11 +38,11 @@ from riskloom.llm.suffix_sort import Slices
 LENGTH = 100
 GRAM = 24
 #: Bytes of text whose grams are hashed together; a longer text is cut into overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 17
 #: Runs in a group that one task sorts.
-GROUP = 20_000
+GROUP = 2_000
 #: Classes with one anchor from which on it is spread over several groups.
-HOT = 5_000
+HOT = 1_500
 #: Keys sent to every executor at most; more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
 PLACE = U((1 << 24) - 1)
