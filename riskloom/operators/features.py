@@ -6,9 +6,10 @@ in id order.  ``semantics="pit"`` (point-in-time form): only strictly earlier
 seconds count, as for a newly arriving transaction.
 
 Plan shape: one shuffle by (card1, salt) for the card family and one by
-(DeviceInfo, salt) for the device family; every offset/rank a bucket needs
-is unioned into the same shuffle as marker rows (see ``keyed``), so no
-per-row join back is needed.
+(DeviceInfo, salt) for the device family.  Cards with very many rows take
+their totals from one row per card and second instead; devices with very many
+rows are cut into stretches whose offsets are unioned into the same shuffle as
+marker rows (see ``keyed``).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from riskloom.functions import columns as C
 from riskloom.operators import keyed as K
-from riskloom.operators.keyed import HALO, OFFSET, PAIR_OFFSET, ROW, SENTINEL, SkewConfig
+from riskloom.operators.keyed import OFFSET, PAIR_OFFSET, ROW, SENTINEL, SkewConfig
 
 TID, DT, AMT, CARD, DEV = "TransactionID", "TransactionDT", "TransactionAmt", "card1", "DeviceInfo"
 HOUR, DAY = 3600, 86400
@@ -42,7 +43,6 @@ DEVICE_FEATURES = ["has_device_info", "device_profile_count", "device_profile_un
                    "device_unique_cards_historical"]
 BASIC_FEATURES = ["TransactionAmt_log", "transaction_hour", "transaction_day", "has_identity",
                   "missing_card_info", "missing_address", "missing_value_count"]
-INTERNAL = ["_h", "_o", "_kind", "_salt", "_lo", "_width"]
 
 
 def _check(semantics: str) -> None:
@@ -87,68 +87,90 @@ def basic_features(df: DataFrame, raw_columns: Sequence[str] | None = None) -> D
 # ---------------------------------------------------------------------------
 # Card family: W1-W5
 # ---------------------------------------------------------------------------
-def _card_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int | None,
-                 card_src: DataFrame | None = None) -> DataFrame:
-    valid = F.col(CARD).isNotNull()
-    hot = K.hot_keys((card_src if card_src is not None else frame).select(CARD, DT), CARD, DT, cfg, n_rows)
-    s = K.add_salt(frame, CARD, DT, TID, hot, cfg)
-    s = K.with_halo(s, DT, DAY) if hot is not None else s.withColumn("_kind", F.lit(ROW))
-    rows = F.col("_kind") == ROW
-    hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
-    u = s if hot is None else s.unionByName(_card_offsets(s.where(rows), hist_amt), allowMissingColumns=True)
-    return _card_windows(u, semantics, valid)
+def _card_family(frame: DataFrame, semantics: str, cfg: SkewConfig, card_src: DataFrame | None = None) -> DataFrame:
+    hot = K.hot_days((card_src if card_src is not None else frame).select(CARD, DT), CARD, DT, cfg)
+    if hot is None:
+        return _finish_card(_card_windows(K.add_salt(frame, CARD, DT, TID, None, cfg), semantics), semantics)
+    cards = K.few(hot.select(CARD).distinct(), cfg.broadcast_days)
+    rest = K.add_salt(frame.join(cards, CARD, "left_anti"), CARD, DT, TID, None, cfg)
+    crowded = frame.join(cards, CARD, "left_semi")
+    return _finish_card(_card_windows(rest, semantics).drop("_salt").unionByName(_card_seconds(crowded, semantics)), semantics)
 
 
-def _card_offsets(s: DataFrame, hist_amt: Column) -> DataFrame:
-    offs = K.bucket_offsets(s, [CARD], {
-        "_oc": F.count(F.lit(1)),
-        "_os": F.sum(F.coalesce(_money(F.col(AMT)), _zero_money())),
-        "_oh": F.sum("_h"),
-        "_ohs": F.coalesce(F.sum(_money(hist_amt)), _zero_money()),
-        "_ohn": F.count(hist_amt),
-    })
-    return offs.select("*", F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
+def _zero_if_null(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0))
 
 
-def _card_windows(u: DataFrame, semantics: str, valid: Column) -> DataFrame:
-    hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
-    is_row, is_off = F.col("_kind") == ROW, F.col("_kind") == OFFSET
-    is_data = F.col("_kind").isin(ROW, HALO).cast("int")
+def _card_windows(u: DataFrame, semantics: str) -> DataFrame:
+    """Running totals of a card: windows over (card, salt).  Adds _cnt, _sm, _nn, _v1, _v24."""
     part = Window.partitionBy(CARD, "_salt")
-
-    has_off = "_oc" in u.columns
-
-    def cum(row_val: Column, off_col: str) -> Column:
-        if not has_off:
-            return F.when(is_row, row_val).otherwise(F.lit(0))
-        return F.when(is_row, row_val).when(is_off, F.col(off_col)).otherwise(F.lit(0))
-
-    z = F.lit(0)
+    hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
     if semantics == "batch":
         rows_w = part.orderBy(DT, TID).rowsBetween(UNB, -1)
-        cnt = F.coalesce(F.sum(cum(F.lit(1), "_oc")).over(rows_w), z)
-        sm = F.coalesce(F.sum(cum(F.coalesce(_money(F.col(AMT)), _zero_money()), "_os")).over(rows_w), _zero_money())
-        seen = F.coalesce(F.sum(is_data).over(rows_w), z)
-        old1 = F.coalesce(F.sum(is_data).over(part.orderBy(DT).rangeBetween(UNB, -(HOUR + 1))), z)
-        old24 = F.coalesce(F.sum(is_data).over(part.orderBy(DT).rangeBetween(UNB, -(DAY + 1))), z)
-        u = (u.withColumn("_cnt", cnt).withColumn("_sm", sm)
-             .withColumn("_v1", seen - old1).withColumn("_v24", seen - old24))
-        avg = F.when(valid & F.col(AMT).isNotNull() & (F.col("_cnt") > 0),
-                     F.col("_sm").cast("double") / F.col("_cnt"))
+        seen = _zero_if_null(F.count(F.lit(1)).over(rows_w))
+        old = lambda w: _zero_if_null(F.count(F.lit(1)).over(part.orderBy(DT).rangeBetween(UNB, -(w + 1))))
+        total = F.coalesce(F.sum(F.coalesce(_money(F.col(AMT)), _zero_money())).over(rows_w), _zero_money())
+        return (u.withColumn("_cnt", seen).withColumn("_sm", total).withColumn("_nn", seen)
+                .withColumn("_v1", seen - old(HOUR)).withColumn("_v24", seen - old(DAY)))
+    pit_w = part.orderBy(DT).rangeBetween(UNB, -1)
+    recent = lambda w: _zero_if_null(F.sum("_h").over(part.orderBy(DT).rangeBetween(-w, -1)))
+    return (u.withColumn("_cnt", _zero_if_null(F.sum("_h").over(pit_w)))
+            .withColumn("_sm", F.coalesce(F.sum(F.coalesce(_money(hist_amt), _zero_money())).over(pit_w), _zero_money()))
+            .withColumn("_nn", _zero_if_null(F.count(hist_amt).over(pit_w)))
+            .withColumn("_v1", recent(HOUR)).withColumn("_v24", recent(DAY)))
+
+
+def _card_seconds(rows: DataFrame, semantics: str) -> DataFrame:
+    """The same totals for cards with very many rows, from one row per card and second.
+
+    Totals of earlier days are added up over (card, day), those of earlier
+    seconds inside a day, and trailing windows reach into a copy of the day
+    before.  So no window holds more than two days of seconds; rows meet only
+    those of their own second (batch order inside it).
+    """
+    batch = semantics == "batch"
+    hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
+    amount = F.coalesce(_money(F.col(AMT) if batch else hist_amt), _zero_money())
+    n = F.lit(1) if batch else F.col("_h")
+    per = rows.groupBy(CARD, DT).agg(F.sum(n).alias("_n"), F.sum(amount).alias("_s"),
+                                     (F.count(F.lit(1)) if batch else F.count(hist_amt)).alias("_a"))
+    per = per.withColumn("_day", K.day_of(DT))
+    names = ("_n", "_s", "_a")
+    days = per.groupBy(CARD, "_day").agg(*[F.sum(c).alias(c) for c in names])
+    earlier_days = Window.partitionBy(CARD).orderBy("_day").rowsBetween(UNB, -1)
+    days = days.select(CARD, "_day", *[F.sum(c).over(earlier_days).alias(f"{c}0") for c in names])
+    twice = per.withColumn("_home", F.explode(F.array(F.col("_day"), F.col("_day") + 1)))
+    own = F.col("_home") == F.col("_day")
+    w = Window.partitionBy(CARD, "_home").orderBy(DT)
+    before = lambda c: F.sum(F.when(own, F.col(c))).over(w.rowsBetween(UNB, -1))
+    recent = lambda k: _zero_if_null(F.sum("_n").over(w.rangeBetween(-k, -1)))
+    seconds = twice.select(CARD, DT, "_day", own.alias("_own"), *[before(c).alias(f"{c}1") for c in names],
+                           recent(HOUR).alias("_r1"), recent(DAY).alias("_r24")).where("_own")
+    seconds = seconds.join(days, [CARD, "_day"]).select(
+        CARD, DT, "_r1", "_r24", *[(F.coalesce(f"{c}0", _zero_money() if c == "_s" else F.lit(0))
+                                   + F.coalesce(f"{c}1", _zero_money() if c == "_s" else F.lit(0))).alias(f"{c}b") for c in names])
+    out = rows.join(seconds, [CARD, DT])
+    same, money = F.lit(0), _zero_money()
+    if batch:
+        inside = Window.partitionBy(CARD, DT).orderBy(TID).rowsBetween(UNB, -1)
+        same = F.count(F.lit(1)).over(inside)
+        money = F.coalesce(F.sum(F.coalesce(_money(F.col(AMT)), _zero_money())).over(inside), _zero_money())
+    return (out.withColumn("_cnt", F.col("_nb") + same).withColumn("_sm", (F.col("_sb") + money).cast(MONEY))
+            .withColumn("_nn", F.col("_ab") + same).withColumn("_v1", F.col("_r1") + same)
+            .withColumn("_v24", F.col("_r24") + same).drop("_nb", "_sb", "_ab", "_r1", "_r24"))
+
+
+def _finish_card(u: DataFrame, semantics: str) -> DataFrame:
+    """W1-W5 from the running totals."""
+    valid, z = F.col(CARD).isNotNull(), F.lit(0)
+    if semantics == "batch":
+        avg = F.when(valid & F.col(AMT).isNotNull() & (F.col("_cnt") > 0), F.col("_sm").cast("double") / F.col("_nn"))
         u = (u.withColumn("card_transaction_count", F.when(valid, F.col("_cnt")))
              .withColumn("card_avg_amount", avg)
              .withColumn("amount_vs_card_avg", F.try_divide(F.col(AMT), F.col("card_avg_amount")))
              .withColumn("new_card", F.coalesce((F.col("card_transaction_count") == 0).cast("int"), F.lit(0))))
     else:
-        pit_w = part.orderBy(DT).rangeBetween(UNB, -1)
-        hv = F.when(F.col("_kind").isin(ROW, HALO), F.col("_h")).otherwise(z)
-        u = (u.withColumn("_cnt", F.coalesce(F.sum(cum(F.col("_h"), "_oh")).over(pit_w), z))
-             .withColumn("_hs", F.coalesce(F.sum(cum(F.coalesce(_money(hist_amt), _zero_money()), "_ohs")).over(pit_w),
-                                           _zero_money()))
-             .withColumn("_hn", F.coalesce(F.sum(cum(hist_amt.isNotNull().cast("int"), "_ohn")).over(pit_w), z))
-             .withColumn("_v1", F.coalesce(F.sum(hv).over(part.orderBy(DT).rangeBetween(-HOUR, -1)), z))
-             .withColumn("_v24", F.coalesce(F.sum(hv).over(part.orderBy(DT).rangeBetween(-DAY, -1)), z)))
-        avg = F.when(valid & (F.col("_hn") > 0), F.col("_hs").cast("double") / F.col("_hn")).otherwise(F.lit(0.0))
+        avg = F.when(valid & (F.col("_nn") > 0), F.col("_sm").cast("double") / F.col("_nn")).otherwise(F.lit(0.0))
         u = (u.withColumn("card_transaction_count", F.when(valid, F.col("_cnt")).otherwise(z).cast("long"))
              .withColumn("card_avg_amount", avg)
              .withColumn("amount_vs_card_avg",
@@ -157,7 +179,7 @@ def _card_windows(u: DataFrame, semantics: str, valid: Column) -> DataFrame:
              .withColumn("new_card", (F.col("card_transaction_count") == 0).cast("int")))
     u = (u.withColumn("card_txn_count_1h", F.when(valid, F.col("_v1")).otherwise(z).cast("long"))
          .withColumn("card_txn_count_24h", F.when(valid, F.col("_v24")).otherwise(z).cast("long")))
-    return u.where(is_row).drop(*[c for c in u.columns if c.startswith("_") and c not in ("_h", "_o")])
+    return u.drop(*[c for c in u.columns if c.startswith("_") and c not in ("_h", "_o")])
 
 
 # ---------------------------------------------------------------------------
@@ -168,15 +190,14 @@ def device_valid(semantics: str) -> Column:
     return d.isNotNull() if semantics == "batch" else (d.isNotNull() & (F.trim(d) != ""))
 
 
-def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int | None,
-                   base: DataFrame | None = None) -> DataFrame:
+def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, base: DataFrame | None = None) -> DataFrame:
     """``frame`` carries the rows (with card features); ``base`` is the same rows
     before the card windows — side tables are computed from it so that they do
     not re-run the card-family shuffle."""
     valid = device_valid(semantics)
     pair_ok = valid & F.col(CARD).isNotNull()
     side_src = (base if base is not None else frame).select(TID, DT, CARD, DEV, "_h")
-    hot = K.hot_keys(side_src, DEV, DT, cfg, n_rows, valid)
+    hot = K.hot_days(side_src, DEV, DT, cfg, valid)
     s = K.add_salt(frame, DEV, DT, TID, hot, cfg, valid).withColumn("_kind", F.lit(ROW))
     if hot is None:
         return _device_windows(s.repartition(DEV, "_salt"), semantics, valid, pair_ok, ranked_in_partition=True)
@@ -283,19 +304,17 @@ def _device_windows(u: DataFrame, semantics: str, valid: Column, pair_ok: Column
 
 
 def behaviour(frame: DataFrame, semantics: str = "batch", skew: SkewConfig | None = None,
-              n_rows: int | None = None, card_src: DataFrame | None = None) -> DataFrame:
+              card_src: DataFrame | None = None) -> DataFrame:
     """W1-W12 over a frame with TID, DT, amt, card1, DeviceInfo, ``_h`` (history row) and
     ``_o`` (output row) flags.  ``card_src`` (same rows, card1 and DT) may be a cheaper
     plan to detect hot cards on, e.g. the transactions before the identity join."""
     _check(semantics)
     cfg = skew or SkewConfig()
-    n = n_rows if n_rows is not None else (card_src if card_src is not None else frame).count()
-    card_out = _card_family(frame, semantics, cfg, n, card_src)
-    return _device_family(card_out, semantics, cfg, n, base=frame)
+    return _device_family(_card_family(frame, semantics, cfg, card_src), semantics, cfg, base=frame)
 
 
 def build(txns: DataFrame, identity: DataFrame | None = None, raw_columns: Sequence[str] | None = None,
-          semantics: str = "batch", skew: SkewConfig | None = None, n_rows: int | None = None) -> DataFrame:
+          semantics: str = "batch", skew: SkewConfig | None = None) -> DataFrame:
     """Identity join → basic features → card and device features (unsorted).
 
     If ``identity`` is None, ``txns`` must already carry DeviceInfo/has_identity.
@@ -304,7 +323,7 @@ def build(txns: DataFrame, identity: DataFrame | None = None, raw_columns: Seque
     df = attach_identity(txns, identity) if identity is not None else txns
     df = basic_features(df, raw_columns)
     frame = df.withColumn("_h", F.lit(1)).withColumn("_o", F.lit(1))
-    out = behaviour(frame, semantics, skew, n_rows, card_src=txns if identity is not None else None)
+    out = behaviour(frame, semantics, skew, card_src=txns if identity is not None else None)
     return out.drop("_h", "_o")
 
 

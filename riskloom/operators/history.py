@@ -101,8 +101,7 @@ def card_profile(probes: DataFrame, history: DataFrame, skew: SkewConfig | None
 
     cfg = skew or SkewConfig()
     frame = probe_frame(probes, relevant(probes, history)).select(TID, DT, AMT, CARD, "_h", "_o")
-    n = frame.count()
-    hot = K.hot_keys(frame.select(CARD, DT), CARD, DT, cfg, n)
+    hot = K.hot_days(frame.select(CARD, DT), CARD, DT, cfg)
     s = K.add_salt(frame, CARD, DT, TID, hot, cfg).withColumn("_kind", F.lit(ROW))
     hist_amt = F.when(F.col("_h") == 1, F.col(AMT))
     if hot is not None:

@@ -2,110 +2,75 @@
 
 A running count "per card, in time order" is a window partitioned by the
 card.  If one card (or device) holds a third of all rows, that window is one
-task.  Here a key is *hot* when it has more than ``threshold`` rows; a hot
-key is cut into time buckets (``_salt`` >= 1) so that each (key, bucket) is a
-separate window partition.  What a bucket cannot see by itself comes in as
-extra marker rows that are unioned into the same shuffle:
-
-* offset rows (time = ``SENTINEL``, sorted first) carry the totals of all
-  earlier buckets of the key, so cumulative sums stay exact;
-* halo rows are copies of the previous bucket's last ``min_width`` seconds,
-  so trailing range frames (1 h, 24 h) stay exact.
-
-Non-hot keys keep ``_salt = 0`` and get no marker rows.  Rows with a null key
-are scattered over ``null_spread`` salts (their features are constants), so
-they never form one giant group.  The hot-key table has at most
-``max_hot_keys`` rows by construction, which is what makes broadcasting it
-safe.
+task.  Here a key is *hot* when it has more than ``min_hot_rows`` rows,
+whatever the size of the table.  A hot key is cut by day, and each of its days
+into equal stretches of about ``target_rows`` rows by that day's own count, so
+rows that crowd into one day spread as well; rows of one second stay together.
+Each (key, stretch) is a window partition of its own (``_salt`` >= 1, rising
+with time).  What it cannot see comes in as offset rows (time = ``SENTINEL``,
+sorted first) with the totals of all earlier stretches, unioned into the same
+shuffle.
+
+Other keys keep ``_salt = 0``.  Rows with a null key have constant features
+and are scattered over ``null_spread`` salts, so they never form a large group.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from riskloom.session import cut_lineage
 
 SENTINEL = -(2 ** 62)          # time/id of offset rows: before every real row
+DAY = 86_400
+FIRST_DAY, STRETCHES = 10 ** 6, 10 ** 5     # make a rising positive number of (day, stretch)
 
-ROW, HALO, OFFSET, PAIR_OFFSET = 0, 1, 2, 3
+ROW, OFFSET, PAIR_OFFSET = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class SkewConfig:
     min_hot_rows: int = 2_000_000   # a key with fewer rows is never split
-    target_rows: int = 1_000_000    # aim for this many rows per (key, bucket)
-    max_hot_keys: int = 10_000      # bound on the broadcast hot-key table
-    min_width: int = 86_400         # bucket width floor, >= longest range frame
-    null_spread: int = 1024         # null keys scatter over this many salts
-
+    target_rows: int = 1_000_000    # aim for this many rows per (key, stretch)
+    null_spread: int = 1 << 20      # null keys scatter over this many salts
+    broadcast_days: int = 200_000   # larger (hot key, day) tables are joined by shuffle
 
-def key_valid(keys: Sequence[str | Column]) -> Column:
-    cond = None
-    for k in keys:
-        c = (F.col(k) if isinstance(k, str) else k).isNotNull()
-        cond = c if cond is None else cond & c
-    return cond
 
+def day_of(order_col: str) -> Column:
+    return F.floor(F.col(order_col) / DAY).cast("long")
 
-def hot_keys(df: DataFrame, key: str, order_col: str, cfg: SkewConfig, n_rows: int | None = None,
-             valid: Column | None = None) -> DataFrame | None:
-    """Keys with more than max(min_hot_rows, n/max_hot_keys) rows, with bucket geometry.
 
-    Returns (key, _lo, _width) or None when no key is hot.  Row count <=
-    max_hot_keys, so it may be broadcast.
-    """
-    n = n_rows if n_rows is not None else df.count()
-    threshold = max(cfg.min_hot_rows, -(-n // cfg.max_hot_keys))
+def hot_days(df: DataFrame, key: str, order_col: str, cfg: SkewConfig, valid: Column | None = None) -> DataFrame | None:
+    """(key, _day, _width): the days of the hot keys and how many seconds a stretch of that day has; None if no key is hot."""
     ok = valid if valid is not None else F.col(key).isNotNull()
-    stats = df.where(ok).groupBy(key).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo") + 1
-    width = F.greatest(F.lit(cfg.min_width), F.ceil(span * F.lit(cfg.target_rows) / F.col("_cnt")))
-    hot = stats.where(F.col("_cnt") > F.lit(threshold)).select(key, "_lo", width.cast("long").alias("_width"))
-    # At most max_hot_keys rows by construction: collect once, so the detection
-    # job runs a single time and an empty result removes the offset machinery.
-    rows = hot.collect()
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-
-
-def add_salt(df: DataFrame, key: str, order_col: str, spread_col: str, hot: DataFrame,
-             cfg: SkewConfig, valid: Column | None = None) -> DataFrame:
-    """Attach ``_salt`` (and the hot key's ``_lo``/``_width``)."""
+    days = df.where(ok).groupBy(key, day_of(order_col).alias("_day")).agg(F.count(F.lit(1)).alias("_cnt"))
+    days = days.withColumn("_all", F.sum("_cnt").over(Window.partitionBy(key))).where(F.col("_all") > cfg.min_hot_rows)
+    width = F.greatest(F.lit(1), F.floor(F.lit(float(DAY * cfg.target_rows)) / F.col("_cnt"))).cast("long")
+    hot = cut_lineage(days.select(key, "_day", width.alias("_width")))
+    return None if hot.isEmpty() else hot
+
+
+def few(table: DataFrame, limit: int) -> DataFrame:
+    """The side of a join, sent to all executors only if it has at most ``limit`` rows."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
+def null_salt(spread_col: str, cfg: SkewConfig) -> Column:
+    return F.lit(-1) - F.pmod(F.xxhash64(spread_col), F.lit(cfg.null_spread))
+
+
+def add_salt(df: DataFrame, key: str, order_col: str, spread_col: str, hot: DataFrame | None, cfg: SkewConfig,
+             valid: Column | None = None) -> DataFrame:
+    """Attach ``_salt``."""
     ok = valid if valid is not None else F.col(key).isNotNull()
     if hot is None:
-        spread = F.lit(-1) - F.pmod(F.xxhash64(spread_col), F.lit(cfg.null_spread))
-        return df.withColumn("_salt", F.when(~ok, spread).otherwise(F.lit(0)).cast("long")) \
-                 .withColumn("_lo", F.lit(None).cast("long")).withColumn("_width", F.lit(None).cast("long"))
-    j = df.join(F.broadcast(hot), on=key, how="left")
-    salt = (
-        F.when(~ok, F.lit(-1) - F.pmod(F.xxhash64(spread_col), F.lit(cfg.null_spread)))
-        .when(F.col("_lo").isNull(), F.lit(0))
-        .otherwise(F.lit(1) + F.floor((F.col(order_col) - F.col("_lo")) / F.col("_width")))
-    ).cast("long")
-    return j.withColumn("_salt", salt)
-
-
-def with_halo(df: DataFrame, order_col: str, frame: int) -> DataFrame:
-    """Copy the last ``frame`` seconds of each hot bucket into the next bucket."""
-    bucket_end = F.col("_lo") + F.col("_salt") * F.col("_width")
-    copy = (F.col("_salt") >= 1) & (F.col(order_col) >= bucket_end - F.lit(frame))
-    salts = F.when(copy, F.array(F.col("_salt"), F.col("_salt") + 1)).otherwise(F.array(F.col("_salt")))
-    out = df.withColumn("_salts", salts).withColumn("_s2", F.explode("_salts"))
-    return (out.withColumn("_kind", F.when(F.col("_s2") == F.col("_salt"), F.lit(ROW)).otherwise(F.lit(HALO)))
-            .drop("_salt", "_salts").withColumnRenamed("_s2", "_salt"))
-
-
-def bucket_offsets(df: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """For hot rows: per (keys, _salt) the sums over all *earlier* buckets of the key.
-
-    Works on the key-level aggregate (one row per key and bucket), never on rows.
-    """
-    from pyspark.sql.window import Window
-
-    per_bucket = df.where(F.col("_salt") >= 1).groupBy(*keys, "_salt").agg(
-        *[expr.alias(name) for name, expr in sums.items()])
-    w = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    return per_bucket.select(
-        *keys, "_salt", *[F.coalesce(F.sum(name).over(w), F.lit(0)).alias(name) for name in sums])
+        return df.withColumn("_salt", F.when(~ok, null_salt(spread_col, cfg)).otherwise(F.lit(0)).cast("long"))
+    j = df.withColumn("_day", day_of(order_col)).join(few(hot, cfg.broadcast_days), on=[key, "_day"], how="left")
+    stretch = F.floor(F.pmod(F.col(order_col), F.lit(DAY)) / F.col("_width"))
+    salt = (F.when(~ok, null_salt(spread_col, cfg)).when(F.col("_width").isNull(), F.lit(0))
+            .otherwise((F.col("_day") + FIRST_DAY) * STRETCHES + stretch + 1))
+    return j.withColumn("_salt", salt.cast("long")).drop("_day", "_width")

@@ -61,7 +61,7 @@ def investigate(probes: DataFrame, history: DataFrame, params: R.RuleParams | No
                          F.col("behavioral_risk_level"), review_threshold)
     if model_score:                 # a score was asked for and failed: no decision, so the row goes to review
         decision = F.when(scored, decision)
-    r = r.join(H.card_profile(probes, history), "TransactionID", "left")
+    r = r.join(H.card_profile(probes, history).dropDuplicates(["TransactionID"]), "TransactionID", "left")
     dev_known = F.col("DeviceInfo").isNotNull() & F.col("TransactionDT").isNotNull()
     none = F.lit(None).cast("string")
     record = F.struct(

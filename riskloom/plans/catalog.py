@@ -878,8 +878,8 @@ def q_assessment_records(spark, sf_dir):
 # --- the hot-key (split) plan must give the same answers ----------------------------------------
 from riskloom.operators.keyed import SkewConfig as _Skew      # noqa: E402
 
-# Fixed parameters: low enough that every device and most cards are split into buckets here.
-SPLIT_EVERYTHING = _Skew(min_hot_rows=40, target_rows=20, max_hot_keys=100_000, min_width=86_400, null_spread=16)
+# Fixed parameters: low enough that every device and most cards are split here.
+SPLIT_EVERYTHING = _Skew(min_hot_rows=40, target_rows=20, null_spread=16)
 
 
 @register("features_batch_hot_keys")
@@ -898,3 +898,25 @@ def q_features_pit_hot(spark, sf_dir):
 def q_history_lookup_hot(spark, sf_dir):
     probes, hist = probes_and_history(spark, sf_dir)
     return _out(H.lookup(probes, hist, SPLIT_EVERYTHING), BEHAVIOUR)
+
+
+def crowded(spark, sf_dir):
+    """A third of all rows with one card and one device inside one day."""
+    t = merged(spark, sf_dir)
+    third = F.col("TransactionID") % 3 == 0
+    return (t.withColumn("card1", F.when(third, F.lit(7).cast("long")).otherwise(F.col("card1")))
+            .withColumn("DeviceInfo", F.when(third, F.lit("crowd")).otherwise(F.col("DeviceInfo")))
+            .withColumn("TransactionDT", F.when(third, F.lit(10 * 86_400) + F.pmod("TransactionDT", F.lit(86_400)))
+                        .otherwise(F.col("TransactionDT"))))
+
+
+@register("features_crowded_day")
+def q_features_crowded_day(spark, sf_dir):
+    f = FE.build(crowded(spark, sf_dir), semantics="batch", skew=SPLIT_EVERYTHING)
+    return _out(f, BEHAVIOUR)
+
+
+@register("features_crowded_day_pit")
+def q_features_crowded_day_pit(spark, sf_dir):
+    f = FE.build(crowded(spark, sf_dir), semantics="pit", skew=SPLIT_EVERYTHING)
+    return _out(f, BEHAVIOUR)

@@ -764,3 +764,10 @@ SELECT TransactionID, rank, feature, CASE WHEN c > 0 THEN 'increases_risk' ELSE
 ORACLE["explanation_sentences"] = _explanations()
 ORACLE["global_importance_fixed"] = _contributions() + """
 SELECT feature, round(avg(abs(c)), 3) AS mean_abs_contribution FROM cv GROUP BY feature"""
+
+_CROWDED = MERGED + """,
+cr AS (SELECT * REPLACE (CASE WHEN TransactionID % 3 = 0 THEN 7 ELSE card1 END AS card1,
+         CASE WHEN TransactionID % 3 = 0 THEN 'crowd' ELSE DeviceInfo END AS DeviceInfo,
+         CASE WHEN TransactionID % 3 = 0 THEN 864000 + TransactionDT % 86400 ELSE TransactionDT END AS TransactionDT) FROM m)"""
+ORACLE["features_crowded_day"] = _CROWDED + f"\nSELECT t.TransactionID, {_batch_cols('cr')} FROM cr t"
+ORACLE["features_crowded_day_pit"] = _CROWDED + f"\nSELECT t.TransactionID, {_pit_cols('cr')} FROM cr t"

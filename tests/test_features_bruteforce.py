@@ -62,7 +62,7 @@ def brute(rows, sem):
 
 
 @pytest.mark.parametrize("sem", ["batch", "pit"])
-@pytest.mark.parametrize("skew", [None, SkewConfig(min_hot_rows=5, target_rows=3, max_hot_keys=1000, null_spread=4)])
+@pytest.mark.parametrize("skew", [None, SkewConfig(min_hot_rows=5, target_rows=3, null_spread=4)])
 def test_features_match_bruteforce(spark, sem, skew):
     rows = _rows()
     df = spark.createDataFrame(rows, COLS).withColumn("_h", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)) \
@@ -98,7 +98,7 @@ def test_invariants_on_testdata(spark):
     assert bad == 0
 
 
-@pytest.mark.parametrize("skew", [None, SkewConfig(min_hot_rows=5, target_rows=3, max_hot_keys=1000, null_spread=4)])
+@pytest.mark.parametrize("skew", [None, SkewConfig(min_hot_rows=5, target_rows=3, null_spread=4)])
 def test_card_profile_matches_bruteforce(spark, skew):
     rows = _rows(11, 300)
     hist, probes = rows[:220], rows[220:]

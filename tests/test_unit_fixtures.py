@@ -13,7 +13,7 @@ from riskloom.operators.keyed import SkewConfig
 HIST = [(101, 1000, 11111, 50.0, "iOS-Device"), (102, 2000, 11111, 100.0, "iOS-Device"),
         (103, 1500, 22222, 200.0, "Android-Device")]
 COLS = "TransactionID long, TransactionDT long, card1 long, TransactionAmt double, DeviceInfo string"
-SMALL = SkewConfig(min_hot_rows=1, target_rows=1, max_hot_keys=100)
+SMALL = SkewConfig(min_hot_rows=1, target_rows=1)
 
 
 def _cold(spark, probe, skew=None):
@@ -133,7 +133,8 @@ def test_failed_score_goes_to_review(spark):
     from riskloom.operators import records as RC
     schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, DeviceInfo string"
     hist = spark.createDataFrame([(i, i * 100, 10.0, 1, "iOS") for i in range(1, 20)], schema)
-    probe = spark.createDataFrame([(90, 10_000_000, 10.0, 1, "iOS", s) for s in (None, float("nan"), 0.1)], schema + ", s double")
+    probe = spark.createDataFrame([(90 + i, 10_000_000, 10.0, 1, "iOS", s)
+                                   for i, s in enumerate((None, float("nan"), 0.1))], schema + ", s double")
     got = RC.investigate(probe, hist, model_score="s").select("investigation.*").collect()
     assert sorted(r.final_decision for r in got) == ["APPROVE", "REVIEW", "REVIEW"]
 
