@@ -225,17 +225,14 @@ def calibration_curve(df: DataFrame, y: str, score: str, n_bins: int = 10, strat
     if strategy == "quantile":
         from riskloom.operators import stats as S
         qs = [i / n_bins for i in range(1, n_bins)]
-        edges = S.quantiles(df, score, qs).drop("n").withColumn("_k", F.lit(1))
-        d = df.withColumn("_k", F.lit(1)).join(F.broadcast(edges), on="_k")      # one-row table
-        b = F.lit(0)
-        for q in qs:
-            b = b + (F.col(score) > F.col(S.quantile_name(q))).cast("int")
+        row = S.quantiles(df, score, qs).first()            # one row: the edges become literals
+        edges = [row[S.quantile_name(q)] for q in qs] if row and row["n"] else []
     else:
-        d = df
-        b = F.lit(0)
-        for e in [i / n_bins for i in range(1, n_bins)]:
-            b = b + (F.col(score) > F.lit(float(e))).cast("int")
-    return (d.groupBy(b.alias("bin"))
+        edges = [i / n_bins for i in range(1, n_bins)]
+    b = F.lit(0)
+    for e in edges:
+        b = b + (F.col(score) > F.lit(float(e))).cast("int")
+    return (df.groupBy(b.alias("bin"))
             .agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(y).cast("double")).alias("prob_true"),
                  F.avg(F.col(score)).alias("prob_pred")))
 

@@ -187,9 +187,7 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str]
     data = model_input(df, feats, list(keep))
     nf = len(feats)
     schema = T.StructType([data.schema[k] for k in keep] + [
-        T.StructField("contributions", T.ArrayType(T.StructType([
-            T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
-            T.StructField("contribution", T.DoubleType())]))),
+        T.StructField("_values", T.ArrayType(T.DoubleType())), T.StructField("_parts", T.ArrayType(T.DoubleType())),
         T.StructField("base_value", T.DoubleType())])
 
     def attribute(batches):
@@ -214,13 +212,14 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str]
                     node[active] = child
                     active = feat[node] >= 0
             out = pdf[list(keep)].copy()
-            out["contributions"] = [
-                [{"feature": feats[j], "value": float(x[i, j]), "contribution": float(contrib[i, j])} for j in range(nf)]
-                for i in range(n)]
+            out["_values"], out["_parts"] = list(x), list(contrib)
             out["base_value"] = base
             yield out
 
-    return data.mapInPandas(attribute, schema)
+    names = F.array(*[F.lit(f) for f in feats])         # names are attached in the JVM
+    each = F.transform("_parts", lambda c, i: F.struct(F.get(names, i).alias("feature"), F.get("_values", i).alias("value"),
+                                                       c.alias("contribution")))
+    return data.mapInPandas(attribute, schema).select(*keep, each.alias("contributions"), "base_value")
 
 
 def top_evidence(contrib: DataFrame, k: int = 5) -> DataFrame:

@@ -101,12 +101,15 @@ def split_summary(df: DataFrame, split: str = "split", label: str = "isFraud", d
 
 
 def velocity_summary(df: DataFrame, cols: Sequence[str] = ("card_txn_count_1h", "card_txn_count_24h")) -> DataFrame:
-    """A18 + A19: invariant 24h >= 1h, and count / mean / std / min / max / non-zero per column."""
+    """A18 + A19: invariant 24h >= 1h, and count / mean / std / min / quartiles / max / non-zero per column."""
     aggs = [F.bool_and(F.col(cols[1]) >= F.col(cols[0])).alias("invariant_24h_ge_1h")]
     for c in cols:
         aggs += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"),
-                 F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.count_if(F.col(c) > 0).alias(f"{c}_nonzero")]
-    return df.agg(*aggs)
+                 F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.count_if(F.col(c) > 0).alias(f"{c}_nonzero"),
+                 F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}")]
+    quartiles = [F.get(f"_q_{c}", F.lit(i)).alias(f"{c}_q{q}") for c in cols for i, q in enumerate((25, 50, 75))]
+    out = df.agg(*aggs)
+    return out.select(*[c for c in out.columns if not c.startswith("_q_")], *quartiles)
 
 
 def device_summary(df: DataFrame, dev: str = "DeviceInfo") -> DataFrame:

@@ -396,7 +396,13 @@ SELECT bool_and(card_txn_count_24h >= card_txn_count_1h) AS invariant_24h_ge_1h,
   CAST(max(card_txn_count_1h) AS BIGINT) AS card_txn_count_1h_max, CAST(count_if(card_txn_count_1h > 0) AS BIGINT) AS card_txn_count_1h_nonzero,
   count(card_txn_count_24h) AS card_txn_count_24h_count, {r6('avg(card_txn_count_24h)')} AS card_txn_count_24h_mean,
   {r6('stddev_samp(card_txn_count_24h)')} AS card_txn_count_24h_std, CAST(min(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_min,
-  CAST(max(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_max, CAST(count_if(card_txn_count_24h > 0) AS BIGINT) AS card_txn_count_24h_nonzero
+  CAST(max(card_txn_count_24h) AS BIGINT) AS card_txn_count_24h_max, CAST(count_if(card_txn_count_24h > 0) AS BIGINT) AS card_txn_count_24h_nonzero,
+  {r6('quantile_cont(card_txn_count_1h, 0.25)')} AS card_txn_count_1h_q25,
+  {r6('quantile_cont(card_txn_count_1h, 0.5)')} AS card_txn_count_1h_q50,
+  {r6('quantile_cont(card_txn_count_1h, 0.75)')} AS card_txn_count_1h_q75,
+  {r6('quantile_cont(card_txn_count_24h, 0.25)')} AS card_txn_count_24h_q25,
+  {r6('quantile_cont(card_txn_count_24h, 0.5)')} AS card_txn_count_24h_q50,
+  {r6('quantile_cont(card_txn_count_24h, 0.75)')} AS card_txn_count_24h_q75
 FROM fb"""
 
 ORACLE["device_summary"] = MERGED + f"""
