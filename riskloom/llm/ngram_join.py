@@ -11,11 +11,14 @@ with the same set form a class, and one of each class joins.
 2. *Rare-first prefixes.*  The rest counts all its n-grams.  In the order
    (frequency, hash) a document's prefix is its first ``n - ceil(t * n) + 1``
    n-grams; partners share an n-gram of their prefixes.  N-grams of frequency
-   one fill places but join nothing.
+   one fill places but join nothing.  The smaller set of a pair joins by a
+   shorter prefix, as more of its n-grams must be common.
 3. *Candidates* share a prefix n-gram and pass the length filter, the
    positional filter (places before and after the shared n-gram) and the
-   suffix filter (n-grams counted by hash range bound the overlap).  Pairs are
-   made distinct, and each is verified once on the whole sets.
+   suffix filter: every set carries, for each of ``BITS`` hash ranges, whether
+   it has an odd number of n-grams there; two sets differ in at least as many
+   n-grams as in odd ranges.  All are tested inside the join.  Pairs are made
+   distinct, and each is verified once on the whole sets.
 4. *Large groups.*  While the pairs of documents not yet known to be connected
    outgrow the prefix entries, each n-gram first joins its documents with one
    of them only (a random order, another one in each round); documents that
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import chunks, id_text, small_batches
+from riskloom.llm.common import chunks, few, id_text, small_batches
 from riskloom.llm.components import components
 from riskloom.llm.hashing import FOLD, U, mix, shingle_hashes, word_hashes
 from riskloom.session import cut_lineage
@@ -45,12 +48,15 @@ WIDTH = 5
 #: Least similarity, in hundredths.
 SIMILARITY = 80
 PROBE_SHARE = 0.28
-BINS = 64
+BITS = 256
+WORDS = [f"g{i}" for i in range(BITS // 64)]
 #: Ids sent to every executor at most; more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 #: Pairs left to join, per prefix entry, above which another round of single partners comes first.
-PAIRS_PER_ENTRY = 2
-ROUNDS = 8
+PAIRS_PER_ENTRY = 5
+ROUNDS = 3
+#: Prefix entries for each task of the steps that work on candidates.
+ENTRIES_PER_TASK = 50_000
 
 
 def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -90,18 +96,21 @@ def probes(docs: DataFrame, width: int, share: float) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, s1, grams, bins: whole sets with their counts by hash range."""
+    """doc_id, s1, grams, g0..g3: whole sets, and the ranges with an odd number of n-grams as bits."""
 
     def work(batches):
         for b in chunks(batches):
             sets = sets_of(b.column("text").to_pylist(), width)
-            bins = [np.bincount((x >> U(58)).astype(np.int64), minlength=BINS).astype(np.int32) for x in sets]
+            odd = [np.packbits((np.bincount((x >> U(56)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+                   for x in sets]
             s1 = np.array([int(mix(x ^ U(0x51)).sum()) if len(x) else 0 for x in sets], dtype=U).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(s1), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
-                 pa.array(bins, pa.list_(pa.int32()))], names=["doc_id", "s1", "grams", "bins"])
+                 *(pa.array([o[i] for o in odd], pa.int64()) for i in range(len(WORDS)))],
+                names=["doc_id", "s1", "grams", *WORDS])
 
-    return small_batches(docs).mapInArrow(work, "doc_id long, s1 long, grams array<long>, bins array<int>")
+    return small_batches(docs).mapInArrow(
+        work, "doc_id long, s1 long, grams array<long>, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def least(n: str, similarity: int) -> str:
@@ -114,76 +123,80 @@ def overlap(x: str, y: str, similarity: int) -> str:
     return f"(({similarity} * ({x} + {y}) + {99 + similarity}) div {100 + similarity})"
 
 
-def some_of(frame: DataFrame, ids: DataFrame, on: list[str], limit: int) -> DataFrame:
-    """Rows of ``frame`` whose key is in ``ids``; sent to all executors only if few."""
-    return frame.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_semi")
-
-
 def postings(sets: DataFrame, similarity: int) -> DataFrame:
-    """gram, doc_id, n, pos: the entries of rare-first prefixes that more than one document has (pos from 1)."""
+    """gram, doc_id, n, pos, short: the entries of rare-first prefixes that more than one document has (pos from 1).
+
+    ``short`` marks the prefix that is enough for the smaller set of a pair: the larger one then has at least as
+    many n-grams, so more of them must be common.
+    """
     entries = sets.select("doc_id", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
     shared = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     by_doc = Window.partitionBy("doc_id")
     placed = (entries.join(shared, "gram")
               .withColumn("pos", F.expr("n") - F.count("*").over(by_doc)
                           + F.row_number().over(by_doc.orderBy("df", "gram"))))
-    return placed.where(f"pos <= n - {least('n', similarity)} + 1").select("gram", "doc_id", "n", "pos")
+    short = F.expr(f"pos <= n - {overlap('n', 'n', similarity)} + 1").alias("short")
+    return placed.where(f"pos <= n - {least('n', similarity)} + 1").select("gram", "doc_id", "n", "pos", short)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The links (a, b) among candidate pairs (a, b, na, nb): suffix filter, then the whole sets."""
-    side = lambda end, what: sets.select(F.col("doc_id").alias(end), F.col(what).alias(f"{end}_{what}"))
-    bound = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = (pairs.join(side("a", "bins"), "a").join(side("b", "bins"), "b")
-            .where(bound >= F.expr(overlap("na", "nb", similarity))).select("a", "b", "na", "nb"))
+    """The links (a, b) among candidate pairs (a, b, na, nb), on the whole sets."""
+    side = lambda end: sets.select(F.col("doc_id").alias(end), F.col("grams").alias(f"{end}_grams"))
     common = F.size(F.array_intersect("a_grams", "b_grams")).cast("long")
-    return (near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("common", common)
+    return (pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", common)
             .where(f"100 * common >= {similarity} * (na + nb - common)").select("a", "b"))
 
 
 def passes(similarity: int) -> str:
-    """Length and positional filters on a candidate."""
+    """Length, positional and suffix filters on a candidate."""
+    odd = " + ".join(f"bit_count(a{w} ^ b{w})" for w in WORDS)
+    need = overlap("na", "nb", similarity)
     return (f"100 * least(na, nb) >= {similarity} * greatest(na, nb) AND "
-            f"least(pa, pb) + least(na - pa, nb - pb) >= {overlap('na', 'nb', similarity)}")
+            f"least(pa, pb) + least(na - pa, nb - pb) >= {need} AND {odd} <= na + nb - 2 * {need}")
 
 
 def link_components(entries: DataFrame, sets: DataFrame, similarity: int, rounds: int = ROUNDS,
                     pairs_per_entry: float = PAIRS_PER_ENTRY) -> DataFrame | None:
-    """(id, component) of all documents with a link; None if there is none."""
-    links, known, total = None, None, entries.count()
+    """(id, component) of all documents with a link; None if there is none.  ``sets`` has the sets of all of them."""
+    total = entries.count()
+    parts = max(1, total // ENTRIES_PER_TASK)
+    links = known = None
 
     def end(name: str, frame: DataFrame) -> DataFrame:
-        return frame.select("gram", F.col("doc_id").alias(name), F.col("n").alias(f"n{name}"),
-                            F.col("pos").alias(f"p{name}"), F.col("component").alias(f"c{name}"))
-
-    def settle(pairs: DataFrame, links: DataFrame | None) -> DataFrame | None:
-        found = verified(pairs.select("a", "b", "na", "nb").distinct(), sets, similarity)
-        links = cut_lineage(found if links is None else links.unionAll(found))
-        return links
+        return frame.select("gram", F.col("member").alias(name), F.col("n").alias(f"n{name}"),
+                            F.col("pos").alias(f"p{name}"), F.col("component").alias(f"c{name}"),
+                            *[F.col(w).alias(f"{name}{w}") for w in WORDS])
 
+    left_over = entries.join(sets.select("doc_id", *WORDS), "doc_id").withColumnRenamed("doc_id", "member")
     for turn in range(rounds + 1):
-        rows = entries.withColumn("component", F.col("doc_id")) if known is None else (
-            entries.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-            .withColumn("component", F.coalesce("component", "doc_id")))
-        mixed = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        rows = cut_lineage(rows.join(mixed.select("gram"), "gram", "left_semi"))
-        # pairs of one n-gram that are not yet in one component
-        per = rows.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k")).groupBy("gram").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        left = per.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0] or 0
+        rows = left_over.withColumn("component", F.col("member"))
+        if known is not None:
+            rows = left_over.join(known.withColumnRenamed("id", "member"), "member", "left").withColumn(
+                "component", F.coalesce("component", "member"))
+            rows = cut_lineage(rows.coalesce(parts))
+        # pairs (smaller set by its short prefix, larger set) of one n-gram that are not yet in one component
+        per = rows.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k"),
+                                                    F.count(F.when(F.col("short"), 1)).cast("double").alias("s"))
+        open_ = per.groupBy("gram").agg((F.sum("k") * F.sum("s") - F.sum(F.col("k") * F.col("s"))).alias("pairs"))
+        open_ = cut_lineage(open_.where("pairs > 0").coalesce(parts))
+        left = open_.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
+        rows = cut_lineage(rows.join(open_.select("gram"), "gram", "left_semi").coalesce(parts))
+        left_over = rows.drop("component")
         last = turn == rounds or left <= pairs_per_entry * total
         if last:
-            pairs = end("a", rows).join(end("b", rows), "gram").where("a < b AND ca <> cb AND " + passes(similarity))
+            smaller, larger = end("a", rows.where("short")), end("b", rows)
+            met = smaller.join(larger, "gram").where("(na < nb OR na = nb AND a < b) AND ca <> cb AND " + passes(similarity))
         else:
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("o"), "doc_id", "n", "pos", "component")
+            order = F.struct(F.xxhash64("member", F.lit(turn)).alias("o"), "member", "n", "pos", "component", *WORDS)
             lead = rows.groupBy("gram").agg(F.min(order).alias("x")).select("gram", "x.*")
-            pairs = (end("a", lead).join(end("b", rows), "gram").where("a <> b AND ca <> cb AND " + passes(similarity))
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                             F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")))
-        links = settle(pairs, links)
-        known = components(links)
+            met = end("a", lead).join(end("b", rows), "gram").where("a <> b AND ca <> cb AND " + passes(similarity))
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                           F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"))
+        found = verified(cut_lineage(pairs.distinct().coalesce(parts)), sets, similarity).coalesce(parts)
+        links = cut_lineage(found if links is None else links.unionAll(found).coalesce(parts))
+        known = components(links, parts)
         if last:
             break
     return known
@@ -206,9 +219,13 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int =
     left = (sized.where("doc_id = rep").join(lonely, "doc_id", "left")
             .where(f"coalesce(unshared, 0) <= n - {least('n', similarity)}").select("doc_id", "s1"))
     left = cut_lineage(left)
-    some = some_of(docs, left.select("doc_id"), ["doc_id"], broadcast_ids)
-    sets = cut_lineage(whole_sets(some, width).join(left, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id"]))
-    entries = cut_lineage(postings(sets, similarity))
+    some = lambda ids: whole_sets(docs.join(few(ids, broadcast_ids), "doc_id", "left_semi"), width).join(
+        few(left, broadcast_ids), ["doc_id", "s1"], "left_semi")
+    twice = each.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    single = (lambda df: df) if twice.isEmpty() else (lambda df: df.dropDuplicates(["doc_id"]))
+    entries = cut_lineage(postings(single(some(left.select("doc_id"))), similarity))
+    # the documents that can still have a partner are few, so only their sets are kept
+    sets = cut_lineage(single(some(cut_lineage(entries.select("doc_id").distinct()))))
     known = link_components(entries, sets, similarity, rounds, pairs_per_entry)
 
     component = F.coalesce("rep", "doc_id")
