@@ -4,6 +4,7 @@ A lower-cased text is cut into blocks of ``BLOCK`` bytes and every block is comp
 with one zstandard raw-content dictionary per language.  The language whose
 dictionary gives the smallest total wins; the relative distance to the second
 best is the score, and a text whose score is below ``min_margin`` is rejected.
+A short text on which the dictionaries tie is tried once more, repeated.
 Whole texts are read.  Only the dictionaries come from a bounded sample:
 ``SAMPLE_DOCS`` documents per language (smallest hash of the id), at most
 ``SAMPLE_CHARS`` characters of each, ``DICT_BYTES`` per dictionary.
@@ -28,6 +29,8 @@ SAMPLE_DOCS = 64
 SAMPLE_CHARS = 1_000
 DICT_BYTES = 32 << 10
 BLOCK = 4 << 10
+#: Copies of a text of one block whose sizes tie.
+REPEAT = 16
 #: Short matches matter in short texts: binary-tree search, matches from four bytes on.
 SEARCH = {"window_log": 18, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4, "target_length": 16,
           "strategy": zstandard.STRATEGY_BTLAZY2, "write_content_size": 0, "write_dict_id": 0, "write_checksum": 0}
@@ -70,6 +73,10 @@ def classify(text: str | None, made: list[tuple[str, zstandard.ZstdCompressor]])
     data = text.lower().encode()
     blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in made)
+    if len(sizes) > 1 and sizes[0][0] == sizes[1][0] and len(data) <= BLOCK:
+        # too short to be worth compressing, so stored as it is: repeated, it is compressed, and dictionaries differ
+        again = (b" " + data + b" ") * REPEAT
+        sizes = sorted((len(c.compress(again)), lang) for lang, c in made)
     best = sizes[0]
     second = sizes[1][0] if len(sizes) > 1 else best[0] + len(data)
     return best[1], max(0.0, min(1.0, 1.0 - best[0] / second))
