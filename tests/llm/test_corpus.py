@@ -178,3 +178,38 @@ def test_registered_queries_agree_with_sql(spark):
 def test_ten_operators_are_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "secret_scan", "packing"]
+
+
+def test_language_model_vocabulary_grows_with_the_corpus(spark, quick):
+    """Words beyond the first 125 are told by the word before them, and a larger corpus gives a larger model."""
+    import random
+
+    rng = random.Random(4)
+
+    def rows_of(n):
+        pairs = [(f"a{i}", f"b{i}") for i in range(n)]
+        return [(i, " ".join(x for _ in range(30) for x in rng.choice(pairs)), None) for i in range(n)]
+
+    sizes = []
+    for n in (150, 300):
+        docs = cases.documents(spark, rows_of(n))
+        seen = []
+        patch = pytest.MonkeyPatch()
+        plain = language_model.Model.train
+        patch.setattr(language_model.Model, "train", lambda self, *a: (seen.append(self), plain(self, *a)))
+        got = language_model.score(docs).collect()
+        patch.undo()
+        sizes.append(len(seen[0].r))
+        assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)  # both negative
+    assert sizes[0] > 250 and sizes[1] > 1.8 * sizes[0]
+
+
+def test_tree_probabilities_add_up():
+    freq = 1000 / np.arange(1, 400)
+    model = language_model.Model(language_model.Tree(freq))
+    for q in model.q:
+        q += model.rng.normal(0, 1, q.shape).astype(np.float32)
+    w = np.arange(len(freq))
+    for u, v in ((3, 9), (len(freq), 300)):
+        p = 10 ** model.log_probs(np.full(len(w), u), np.full(len(w), v), w)
+        assert abs(p.sum() - 1) < 1e-4
