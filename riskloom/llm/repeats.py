@@ -45,6 +45,8 @@ GROUP = 2_000
 HOT = 1_500
 #: Keys sent to every executor at most; more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
+#: Bytes that are hashed at once: a few pieces, so that a place in them always fits in the low bits of a key.
+AT_ONCE = 4 * PIECE
 PLACE = U((1 << 24) - 1)
 
 
@@ -65,9 +67,23 @@ class Hashes:
 
 def runs_of(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of pieces (owner, offset in its text, bytes): owner, start, count, anchor hash, class hash."""
+    lists, size = [[]], 0
+    for p in pieces:
+        if lists[-1] and size + len(p[2]) > AT_ONCE:
+            lists.append([])
+            size = 0
+        lists[-1].append(p)
+        size += len(p[2])
+    return tuple(map(np.concatenate, zip(*(runs_of_few(x, length, gram) for x in lists), strict=True)))
+
+
+def runs_of_few(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """``runs_of`` for pieces whose bytes together are counted by ``PLACE``."""
     data = np.frombuffer(b"".join(p[2] for p in pieces), dtype=np.uint8)
     size = np.fromiter((len(p[2]) for p in pieces), dtype=np.int64, count=len(pieces))
     empty = np.empty(0, dtype=np.int64)
+    if len(data) > int(PLACE):
+        raise ValueError("too many bytes for the places in a key")
     if len(data) < length:
         return empty, empty, empty, empty.astype(U), empty.astype(U)
     hashes = Hashes(data)

@@ -82,6 +82,23 @@ def test_remove_repeats_small_pieces(spark, monkeypatch):
     assert len(cut) > len(pieces) and starts(cut) == starts(pieces)
 
 
+def test_remove_repeats_beyond_the_places_of_a_key(monkeypatch):
+    """The tail of a text of over 16 MiB has the runs it has alone, whatever stands before it."""
+    rng = np.random.default_rng(3)
+    tail = rng.integers(97, 123, 3_000, dtype=np.uint8).tobytes()
+    for bits, filler, piece in ((12, 9_000, 500), (24, (1 << 24) + 5_000, repeats.PIECE)):
+        monkeypatch.setattr(repeats, "PLACE", repeats.U((1 << bits) - 1))
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        monkeypatch.setattr(repeats, "AT_ONCE", min(4 * piece, 2_000) if bits == 12 else 4 * piece, raising=False)
+        long = rng.integers(97, 123, filler, dtype=np.uint8).tobytes() + tail
+
+        def anchors(text, shift):
+            found = zip(*repeats.runs_of(repeats.pieces_of(0, text, 100), 100, 24)[1:4], strict=True)
+            return {(int(s) + k - shift, int(a)) for s, n, a in found for k in range(n) if s + k >= shift}
+
+        assert anchors(long, filler) == anchors(tail, 0) and len(anchors(tail, 0)) == 2_901
+
+
 def test_remove_repeats_of_nothing(spark):
     assert repeats.remove_repeats(cases.empty(spark)).count() == 0
 
