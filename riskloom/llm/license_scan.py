@@ -29,23 +29,75 @@ from riskloom.llm.common import chunks, id_text, small_batches
 # fixed values: base phrases and their labels
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+# parts of the templates: replaceable names of holders, and wording that several templates share
+WHO = "<<var:1-12>>"
+BSD_OPENING = ("redistribution and use in source and binary forms with or without modification are permitted "
+               "provided that the following conditions are met <<opt>> 1 <<end>> <<opt>> a <<end>> "
+               "redistributions of source code must retain the above copyright notice this list of conditions and "
+               "the following disclaimer <<opt>> 2 <<end>> <<opt>> b <<end>> "
+               "redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+               "the following disclaimer in the documentation and or other materials provided with the distribution")
+BSD_ADVERTISING = ("<<opt>> 3 <<end>> <<opt>> c <<end>> all advertising materials mentioning features or use of this "
+                   "software must display the following acknowledgement this product includes software developed by "
+                   "<<var:1-20>>")
+BSD_NAMES = ("<<opt>> 3 <<end>> <<opt>> 4 <<end>> <<opt>> c <<end>> <<opt>> d <<end>> neither the name <<opt>> s <<end>> "
+             f"of {WHO} nor the names of <<opt>> its <<end>> <<opt>> the <<end>> <<opt>> their <<end>> contributors "
+             "may be used to endorse or promote products derived from this software without specific prior written "
+             "permission")
+BSD_DISCLAIMER = (f"this software is provided by {WHO} as is and any express or implied warranties including but not "
+                  "limited to the implied warranties of merchantability and fitness for a particular purpose are "
+                  f"disclaimed in no event shall {WHO} be liable for any direct indirect incidental special exemplary or "
+                  "consequential damages including but not limited to procurement of substitute goods or services loss "
+                  "of use data or profits or business interruption however caused and on any theory of liability whether "
+                  "in contract strict liability or tort including negligence or otherwise arising in any way out of the "
+                  "use of this software even if advised of the possibility of such damage")
+
+
+def gnu(name: str, version: str) -> str:
+    """Notice of a GNU licence; how the work is passed on (licensed, released, ...) is free."""
+    return (f"under the <<opt>> terms of <<opt>> version {version} of <<end>> the <<end>> gnu {name} public license "
+            "<<opt>> as published by the free software foundation <<end>> <<opt>> either <<end>> <<opt>> version <<end>> "
+            f"<<opt>> v <<end>> {version} <<opt>> 0 <<end>> <<opt>> of the license <<end>> <<opt>> or <<opt>> at your "
+            "option <<end>> any later version <<end>> <<opt>> or later <<end>>").replace("  ", " ")
+
+
 # wording of well-known public licences and notices, as templates
 TEMPLATES = {
+    "mit": "under the mit license <<opt>> see <<var:1-8>> for details <<end>>",  # passed on in any way: the base label
     "mit-notice": "licensed under the mit license <<opt>> see <<var:1-8>> for details <<end>>",
-    "apache-2-notice": ("licensed under the apache license version 2 <<opt>> 0 <<end>> <<opt>> the license <<end>> "
-                        "you may not use this file except in compliance with the license"),
-    "cc-by-nc-notice": ("licensed under <<opt>> a <<end>> <<opt>> the <<end>> <<opt>> creative commons <<end>> "
+    "apache-2-notice": ("under the apache license version 2 <<opt>> 0 <<end>> <<opt>> the license <<end>> "
+                        "<<opt>> you may not use this file except in compliance with the license <<end>>"),
+    "cc-by-nc-notice": ("under <<opt>> a <<end>> <<opt>> the <<end>> <<opt>> creative commons <<end>> "
                         "<<opt>> attribution noncommercial <<end>> cc by nc <<opt>> <<var:1-2>> <<end>> "
                         "<<opt>> international <<end>> <<opt>> license <<end>>"),
+    "gpl-2-notice": gnu("general", "2"),
+    "gpl-3-notice": gnu("general", "3"),
+    "lgpl-2.1-notice": gnu("lesser general", "2 1"),
+    "lgpl-3-notice": gnu("lesser general", "3"),
+    "agpl-3-notice": gnu("affero general", "3"),
+    "mpl-2-notice": ("mozilla public license <<opt>> version <<end>> <<opt>> v <<end>> 2 0 <<opt>> if a copy of the mpl was not "
+                     "distributed with this file you can obtain one at <<var:1-8>> <<end>>"),
     "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of "
                  "<<var:1-8>> and associated documentation files <<opt>> the software <<end>> to deal in the software "
                  "without restriction including without limitation the rights to use copy modify merge publish "
-                 "distribute sublicense and or sell copies of the software"),
+                 "distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+                 "furnished to do so subject to the following conditions the above copyright notice and this permission "
+                 "notice <<opt>> including the next paragraph <<end>> shall be included in all copies or substantial "
+                 "portions of the software the software is provided as is without warranty of any kind express or implied "
+                 "including but not limited to the warranties of merchantability fitness for a particular purpose and "
+                 f"noninfringement in no event shall {WHO} be liable for any claim damages or other liability whether "
+                 "in an action of contract tort or otherwise arising from out of or in connection with the software or the "
+                 "use or other dealings in the software"),
     "isc-text": ("permission to use copy modify and <<opt>> or <<end>> distribute this software for any purpose with "
                  "or without fee is hereby granted provided that the above copyright notice and this permission "
-                 "notice appear in all copies"),
-    "bsd-text": ("redistribution and use in source and binary forms with or without modification are permitted "
-                 "provided that the following conditions are met"),
+                 f"notice appear in all copies the software is provided as is and {WHO} disclaims all warranties with regard "
+                 "to this software including all implied warranties of merchantability and fitness in no event shall "
+                 f"{WHO} be liable for any special direct indirect or consequential damages or any damages whatsoever "
+                 "resulting from loss of use data or profits whether in an action of contract negligence or other "
+                 "tortious action arising out of or in connection with the use or performance of this software"),
+    "bsd-2-clause-text": f"{BSD_OPENING} {BSD_DISCLAIMER}",
+    "bsd-3-clause-text": f"{BSD_OPENING} {BSD_NAMES} {BSD_DISCLAIMER}",
+    "bsd-4-clause-text": f"{BSD_OPENING} {BSD_ADVERTISING} {BSD_NAMES} {BSD_DISCLAIMER}",
 }
 
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -86,6 +87,42 @@ def test_license_scan_base(spark):
     assert got[-1].labels == "apache-2,apache-2-notice,cc-by-nc,mit"
 
 
+def filled(template):
+    """A text of a template: optional parts left out, two words for each replaceable one."""
+    while "<<opt>>" in template:
+        template = re.sub(r"<<opt>>((?!<<opt>>).)*?<<end>>", "", template)
+    return re.sub("<<var[^>]*>>", "Jane Doe", template)
+
+
+def labels_of(text):
+    made = license_scan.compiled(tuple(sorted(license_scan.TEMPLATES.items())))
+    return set(license_scan.scan_text(text, made)[5].split(",")) - {""}
+
+
+def test_license_notices():
+    for text, want in (
+            ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3-notice"}),
+            ("released under the terms of the GNU General Public License as published by the Free Software Foundation, "
+             "either version 2 of the License, or (at your option) any later version", {"gpl-2-notice"}),
+            ("under the GNU Lesser General Public License, version 2.1", {"lgpl-2.1-notice"}),
+            ("distributed under the GNU Affero General Public License, version 3 or later", {"agpl-3-notice"}),
+            ("subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2-notice"}),
+            ("Licensed under the Apache License, Version 2.0.", {"apache-2", "apache-2-notice"}),
+            ("Licensed under CC BY-NC 4.0.", {"cc-by-nc", "cc-by-nc-notice"}),
+            ("Released under the MIT License.", {"mit"})):
+        assert labels_of(text) == want, text
+
+
+def test_license_texts_need_conditions_and_disclaimer():
+    texts = {k: filled(v) for k, v in license_scan.TEMPLATES.items() if k.endswith("-text")}
+    assert {"mit-text", "isc-text", "bsd-2-clause-text", "bsd-3-clause-text", "bsd-4-clause-text"} == set(texts)
+    for label, text in texts.items():
+        words = text.split()
+        assert labels_of(f"x {text} y") == {label}
+        assert labels_of(" ".join(words[:len(words) // 2])) == set()
+        assert labels_of(text.replace("warranties", "promises")) == set()
+
+
 def accepts(words, parts):
     """All ends of a template over words[0:], by trying every choice."""
     if not parts:
