@@ -9,6 +9,7 @@ from riskloom.llm import (
     langid,
     language_model,
     license_scan,
+    minhash,
     ngram_join,
     packing,
     repeats,
@@ -61,5 +62,10 @@ def op10_vector_search(spark, sf_dir):
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_minmax_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op4_ngram_join, op5_repeated_strings,
-                                   op6_language_model, op7_language_id, op8_decontaminate, op9_packing, op10_vector_search)}
+                                   op6_language_model, op7_language_id, op8_decontaminate, op9_packing, op10_vector_search,
+                                   op11_minmax_duplicates)}

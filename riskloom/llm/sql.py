@@ -54,5 +54,20 @@ p AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_minmax_duplicates": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_BLANK_WORDS} AS ws FROM documents),
+p AS (SELECT r, ws, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) AS s FROM d WHERE len(ws) > 0),
+g AS MATERIALIZED (SELECT DISTINCT r, array_to_string(ws[s:s + 1], ' ') AS gram FROM p),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM g GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+                   UNION SELECT x.r, y.r FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.r < y.r),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT r, r AS reach FROM d UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.reach),
+m AS (SELECT t.r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.reach GROUP BY t.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id,
+       coalesce(d.doc_id = m.component_id, m.component_id IS NULL) AS kept
+FROM d JOIN m USING (r) LEFT JOIN n USING (r)
 """,
 }
