@@ -14,6 +14,7 @@ from riskloom.llm import (
     packing,
     repeats,
     secret_scan,
+    spelling,
     toxicity,
     vector_search,
 )
@@ -66,6 +67,10 @@ def op11_minmax_duplicates(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op4_ngram_join, op5_repeated_strings,
                                    op6_language_model, op7_language_id, op8_decontaminate, op9_packing, op10_vector_search,
-                                   op11_minmax_duplicates)}
+                                   op11_minmax_duplicates, op12_spelling_variants)}
