@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
+    alignment,
     decontaminate,
     langid,
     language_model,
@@ -71,6 +72,11 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_license_scan, op4_ngram_join, op5_repeated_strings,
                                    op6_language_model, op7_language_id, op8_decontaminate, op9_packing, op10_vector_search,
-                                   op11_minmax_duplicates, op12_spelling_variants)}
+                                   op11_minmax_duplicates, op12_spelling_variants,
+                                   op13_token_alignment)}
