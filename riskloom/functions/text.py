@@ -15,7 +15,7 @@ SECRET_PATTERNS = [r"gsk_[A-Za-z0-9_-]+", r"sk-[A-Za-z0-9_-]+"]
 # Analyst feedback labels accepted by the feedback sink.
 FEEDBACK_LABELS = ["CONFIRMED_FRAUD", "FALSE_POSITIVE", "LEGITIMATE", "NEEDS_MORE_INFORMATION"]
 # Violation names in check order.
-VIOLATIONS = ["unsupported_claim", "score_mismatch", "level_mismatch", "decision_mismatch", "secret_exposure"]
+VIOLATIONS = ["missing_report", "unsupported_claim", "score_mismatch", "level_mismatch", "decision_mismatch", "secret_exposure"]
 
 
 def has_forbidden(text: Column, phrases: Sequence[str] = FORBIDDEN_PHRASES) -> Column:
@@ -35,12 +35,17 @@ def has_secret(text: Column, patterns: Sequence[str] = SECRET_PATTERNS) -> Colum
 
 def first_violation(text: Column, score: Column, level: Column, decision: Column,
                     phrases: Sequence[str] = FORBIDDEN_PHRASES, patterns: Sequence[str] = SECRET_PATTERNS) -> Column:
-    """G1 → G2 (score, level, decision: case-sensitive substrings) → G3, first failure wins."""
-    return (F.when(has_forbidden(text, phrases), F.lit(VIOLATIONS[0]))
-            .when(~F.contains(text, score), F.lit(VIOLATIONS[1]))
-            .when(~F.contains(text, level), F.lit(VIOLATIONS[2]))
-            .when(~F.contains(text, decision), F.lit(VIOLATIONS[3]))
-            .when(has_secret(text, patterns), F.lit(VIOLATIONS[4])))
+    """G1 → G2 (score, level, decision: case-sensitive substrings) → G3, first failure wins.
+
+    Fails closed: a null report is a violation of its own, and an expected value that is null is not in any report.
+    """
+    lacks = lambda part: ~F.coalesce(F.contains(text, part), F.lit(False))
+    return (F.when(text.isNull(), F.lit(VIOLATIONS[0]))
+            .when(has_forbidden(text, phrases), F.lit(VIOLATIONS[1]))
+            .when(lacks(score), F.lit(VIOLATIONS[2]))
+            .when(lacks(level), F.lit(VIOLATIONS[3]))
+            .when(lacks(decision), F.lit(VIOLATIONS[4]))
+            .when(has_secret(text, patterns), F.lit(VIOLATIONS[5])))
 
 
 def validate_reports(reports: DataFrame, id_cols: Sequence[str], text: str = "report", score: str = "risk_score",

@@ -286,21 +286,25 @@ def _device_windows(u: DataFrame, semantics: str, valid: Column, pair_ok: Column
         u = u.withColumn("_smaller", F.coalesce(F.sum("_fh").over(rank_w), z))
     else:
         u = u.withColumn("_smaller", F.max(F.when(is_poff, F.col("_smaller"))).over(PP))
+    u = finish_device(u, semantics, F.col("_w7"), F.col("_w8"), F.col("_w10"), F.col("_smaller"))
+    return u.where(is_row).drop(*[c for c in u.columns if c.startswith("_") and c not in ("_h", "_o")])
+
+
+def finish_device(u: DataFrame, semantics: str, rows: Column, cards: Column, pair_rows: Column, smaller: Column) -> DataFrame:
+    """W6-W12 from the running totals: device rows, its distinct cards, pair rows, distinct cards of a smaller number."""
+    z, valid = F.lit(0), device_valid(semantics)
+    pair_ok = valid & F.col(CARD).isNotNull()
     u = (u.withColumn("has_device_info", valid.cast("int"))
-         .withColumn("device_profile_count", F.when(valid, F.col("_w7")).otherwise(z).cast("long"))
-         .withColumn("device_profile_unique_cards", F.when(valid, F.col("_w8")).otherwise(z).cast("long"))
-         .withColumn("card_device_transaction_count", F.when(pair_ok, F.col("_w10")).otherwise(z).cast("long"))
+         .withColumn("device_profile_count", F.when(valid, rows).otherwise(z).cast("long"))
+         .withColumn("device_profile_unique_cards", F.when(valid, cards).otherwise(z).cast("long"))
+         .withColumn("card_device_transaction_count", F.when(pair_ok, pair_rows).otherwise(z).cast("long"))
          .withColumn("card_device_seen_before", (F.col("card_device_transaction_count") > 0).cast("int")))
     if semantics == "batch":
-        u = (u.withColumn("new_device_profile", (valid & (F.col("device_profile_count") == 0)).cast("int"))
-             .withColumn("device_unique_cards_historical",
-                         F.when(pair_ok, F.coalesce(F.col("_smaller"), z) + F.col("card_device_seen_before"))
-                         .otherwise(z).cast("long")))
-    else:
-        u = (u.withColumn("new_device_profile", (~valid | (F.col("device_profile_count") == 0)).cast("int"))
-             .withColumn("device_unique_cards_historical",
-                         F.when(pair_ok, F.coalesce(F.col("_smaller"), z)).otherwise(z).cast("long")))
-    return u.where(is_row).drop(*[c for c in u.columns if c.startswith("_") and c not in ("_h", "_o")])
+        return (u.withColumn("new_device_profile", (valid & (F.col("device_profile_count") == 0)).cast("int"))
+                .withColumn("device_unique_cards_historical",
+                            F.when(pair_ok, F.coalesce(smaller, z) + F.col("card_device_seen_before")).otherwise(z).cast("long")))
+    return (u.withColumn("new_device_profile", (~valid | (F.col("device_profile_count") == 0)).cast("int"))
+            .withColumn("device_unique_cards_historical", F.when(pair_ok, F.coalesce(smaller, z)).otherwise(z).cast("long")))
 
 
 def behaviour(frame: DataFrame, semantics: str = "batch", skew: SkewConfig | None = None,

@@ -401,6 +401,15 @@ def q_report_guardrail(spark, sf_dir):
     return TX.validate_reports(report_table(spark, sf_dir), ["doc_id"], phrases=TEST_PHRASES, patterns=TEST_PATTERNS)
 
 
+@register("report_guardrail_nulls")
+def q_report_guardrail_nulls(spark, sf_dir):
+    """The same checks where reports and expected values are missing: every such row fails."""
+    r = report_table(spark, sf_dir)
+    gone = lambda c, k: F.when(F.col("doc_id") % 5 != k, F.col(c)).alias(c)
+    r = r.select("doc_id", gone("report", 1), gone("risk_score", 2), gone("risk_level", 3), gone("decision", 4))
+    return TX.validate_reports(r, ["doc_id"], phrases=TEST_PHRASES, patterns=TEST_PATTERNS)
+
+
 def id_requests(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").select("event_id")
     k = F.col("event_id") % 4
@@ -613,27 +622,36 @@ def q_segment_points(spark, sf_dir):
 def _stream_transactions(spark, sf_dir):
     """The events → transactions binding applied to a file stream of ``events``."""
     from riskloom.streaming import jobs as SJ
-    e = SJ.file_stream(spark, sf_dir, "events")
-    eid = F.col("event_id")
-    return e.select(eid.alias("TransactionID"),
-                    (F.expr("unix_micros(cast(ts as timestamp)) div 1000000") - F.lit(B.ORIGIN_EPOCH)).alias("TransactionDT"),
-                    F.col("value").cast("double").alias("TransactionAmt"), F.col("user_id").alias("card1"))
+    return B.as_transactions(SJ.file_stream(spark, sf_dir, "events"))
 
 
 @register("stream_scoring")
 def q_stream_scoring(spark, sf_dir):
+    from riskloom.operators import profiles as PR
     from riskloom.streaming import jobs as SJ
-    hist = merged(spark, sf_dir).where(F.col("TransactionDT") < PROBE_START)
-    ident = FE.keep_first(B.identity(spark, sf_dir), "TransactionID", ["DeviceInfo"])
-    arrivals = (_stream_transactions(spark, sf_dir).where(F.col("TransactionDT") >= PROBE_START)
-                .join(ident, "TransactionID", "left"))          # stream-static join
     base = SJ.stream_dir(spark, "scoring")
+    store = PR.ProfileStore(spark, f"{base}/profiles")
+    store.add(merged(spark, sf_dir).where(F.col("TransactionDT") < PROBE_START))
+    arrivals = _stream_transactions(spark, sf_dir).where(F.col("TransactionDT") >= PROBE_START)
     model = lambda d: B.score_expr(F.col("TransactionAmt"), F.col("TransactionDT"))     # noqa: E731 - the fixed score
-    SJ.run_to_end(SJ.score_arrivals(arrivals, hist, f"{base}/out", f"{base}/ckpt", TEST_RULES, model=model))
+    SJ.run_to_end(SJ.score_arrivals(arrivals, store, f"{base}/out", f"{base}/ckpt", TEST_RULES, model=model,
+                                    identity=B.identity(spark, sf_dir)))
     out = spark.read.parquet(f"{base}/out")
     extra = ("rule_ids", "behavioral_risk_level", "final_risk_level", "decision")
     kept = out.select("TransactionID", *extra, rnd("model_score").alias("model_score"), rnd("final_risk_score").alias("final_risk_score"))
-    return _out(out, BEHAVIOUR).join(kept, "TransactionID")
+    return _out(out, C.MODEL_FEATURES).join(kept, "TransactionID")
+
+
+@register("profile_lookup")
+def q_profile_lookup(spark, sf_dir):
+    """W14 answered from maintained profiles that grew in three epochs; equals ``history_lookup``."""
+    from riskloom.operators import profiles as PR
+    from riskloom.streaming import jobs as SJ
+    probes, hist = probes_and_history(spark, sf_dir)
+    store = PR.ProfileStore(spark, SJ.stream_dir(spark, "profiles"))
+    for epoch in range(3):
+        store.add(hist.where(F.pmod(F.col("TransactionID"), F.lit(3)) == epoch), epoch)
+    return _out(PR.answer(FE.basic_features(probes), store, 3), C.MODEL_FEATURES)
 
 
 @register("stream_velocity")

@@ -127,6 +127,8 @@ FROM m GROUP BY isFraud"""
 ORACLE["history_lookup"] = PROBES + f"""
 SELECT t.TransactionID, {_basic_cols().replace('TransactionAmt_x', 'TransactionAmt')}, {_pit_cols('hist')} FROM pr t"""
 
+ORACLE["profile_lookup"] = ORACLE["history_lookup"]
+
 ORACLE["cold_start_flags"] = PROBES + f""",
 c AS (SELECT t.TransactionID, t.card1, t.TransactionDT, t.DeviceInfo,
         (SELECT count(*) FROM hist h WHERE h.card1 = t.card1 AND h.TransactionDT < t.TransactionDT) AS cc,
@@ -426,6 +428,15 @@ _V = ("CASE WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in _PHRAS
 ORACLE["report_guardrail"] = f"""
 SELECT doc_id, ({_V}) IS NULL AS passed, {_V} AS first_violation FROM documents"""
 
+ORACLE["report_guardrail_nulls"] = f"""
+SELECT doc_id, v IS NULL AS passed, v AS first_violation FROM (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 1 OR text IS NULL THEN 'missing_report'
+    WHEN ({_V}) = 'unsupported_claim' THEN 'unsupported_claim'
+    WHEN doc_id % 5 = 2 OR ({_V}) = 'score_mismatch' THEN 'score_mismatch'
+    WHEN doc_id % 5 = 3 OR ({_V}) = 'level_mismatch' THEN 'level_mismatch'
+    WHEN doc_id % 5 = 4 OR ({_V}) = 'decision_mismatch' THEN 'decision_mismatch'
+    ELSE ({_V}) END AS v FROM documents)"""
+
 ORACLE["id_validation"] = """
 WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR)
                                             WHEN 1 THEN CAST(-event_id AS VARCHAR)
@@ -509,7 +520,7 @@ FROM s"""
 ORACLE["stream_scoring"] = MERGED + f""",
 hist AS (SELECT * FROM m WHERE TransactionDT < {PROBE_START}),
 pr AS (SELECT * FROM m WHERE TransactionDT >= {PROBE_START}),
-fp AS (SELECT t.TransactionID, t.TransactionAmt, {_pit_cols('hist', rounded=False)},
+fp AS (SELECT t.*, {_pit_cols('hist', rounded=False)},
          floor(1.0 / (1.0 + exp(-(ln(1 + t.TransactionAmt) - 3.5 + 0.05 * ((t.TransactionDT // 3600) % 24)))) * 100 + 0.5) / 100 AS score
        FROM pr t),
 fr AS (SELECT *, CAST(score >= 0.8 AS INT) AS r0, CAST(score < 0.8 AND score >= 0.6 AS INT) AS r1,
@@ -520,7 +531,8 @@ fr AS (SELECT *, CAST(score >= 0.8 AS INT) AS r0, CAST(score < 0.8 AND score >=
          CAST(new_card = 0 AND amount_vs_card_avg >= 3 AS INT) AS r7 FROM fp),
 fs AS (SELECT *, {_score_level('(r0 + r5 + r6)', '(r1 + r2 + r3 + r4 + r7)')} FROM fr),
 ff AS (SELECT *, least(greatest(0.8::DOUBLE * score + 0.2::DOUBLE * behavioral_risk_score, 0), 1) AS final FROM fs)
-SELECT TransactionID, card_transaction_count, {r6('card_avg_amount')} AS card_avg_amount, {r6('amount_vs_card_avg')} AS amount_vs_card_avg,
+SELECT TransactionID, {_basic_cols().replace('TransactionAmt_x', 'TransactionAmt')},
+  card_transaction_count, {r6('card_avg_amount')} AS card_avg_amount, {r6('amount_vs_card_avg')} AS amount_vs_card_avg,
   new_card, card_txn_count_1h, card_txn_count_24h, has_device_info, device_profile_count, device_profile_unique_cards,
   new_device_profile, card_device_transaction_count, card_device_seen_before, device_unique_cards_historical,
   concat_ws(',', CASE WHEN r0 = 1 THEN 'HIGH_MODEL_RISK' END, CASE WHEN r1 = 1 THEN 'MEDIUM_MODEL_RISK' END,
@@ -529,7 +541,7 @@ SELECT TransactionID, card_transaction_count, {r6('card_avg_amount')} AS card_av
             CASE WHEN r6 = 1 THEN 'SHARED_DEVICE' END, CASE WHEN r7 = 1 THEN 'UNUSUAL_AMOUNT' END) AS rule_ids,
   behavioral_risk_level, CASE WHEN final >= 0.8 THEN 'HIGH' WHEN final >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS final_risk_level,
   CASE WHEN final >= 0.5 THEN 'REVIEW' ELSE 'APPROVE' END AS decision, {r6('score')} AS model_score, {r6('final')} AS final_risk_score
-FROM ff"""
+FROM ff t"""
 
 ORACLE["stream_velocity"] = TX + """
 SELECT t.TransactionID,

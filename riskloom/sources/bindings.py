@@ -37,7 +37,11 @@ def _epoch_seconds(ts: str) -> Column:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events → transactions (11 used columns + label)."""
-    e = table(spark, sf_dir, "events")
+    return as_transactions(table(spark, sf_dir, "events"))
+
+
+def as_transactions(e: DataFrame) -> DataFrame:
+    """The binding alone, for a table or a stream of events."""
     eid = F.col("event_id")
     return e.select(
         eid.alias("TransactionID"),

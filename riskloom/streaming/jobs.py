@@ -1,8 +1,9 @@
 """Streams of arriving transactions and feedback.
 
 * X1 ``score_arrivals``: each micro-batch of arrivals is answered against the
-  stored history in one plan (``foreachBatch``); every epoch overwrites its own
-  output partition, so a retried epoch is idempotent.
+  maintained profiles of its cards and devices (``operators/profiles``) and then
+  added to them (``foreachBatch``); every epoch overwrites its own output and
+  profile folders, so a retried epoch is idempotent.
 * X2 ``card_velocity``: trailing 1 h / 24 h counts per card with event-time
   state (``applyInPandasWithState``); state keeps only the last 24 h of event
   times per card and is dropped by an event-time timeout after the watermark.
@@ -26,8 +27,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.functions import columns as C
 from riskloom.functions import text as TX
+from riskloom.operators import features as FE
 from riskloom.operators import history as H
 from riskloom.operators import policy as PO
+from riskloom.operators import profiles as PR
 from riskloom.operators import rules as R
 from riskloom.session import cut_lineage, ensure_checkpoint_dir
 
@@ -54,20 +57,29 @@ def file_stream(spark: SparkSession, directory: str, name: str, fmt: str = "parq
 # ---------------------------------------------------------------------------
 # X1
 # ---------------------------------------------------------------------------
-def score_arrivals(arrivals: DataFrame, history: DataFrame, sink: str, checkpoint: str,
+def score_arrivals(arrivals: DataFrame, profiles: PR.ProfileStore, sink: str, checkpoint: str,
                    params: R.RuleParams | None = None, fusion: PO.FusionConfig | None = None,
-                   model: Callable[[DataFrame], Column] | None = None, review_threshold: float = 0.50):
+                   model: Callable[[DataFrame], Column] | None = None, review_threshold: float = 0.50,
+                   identity: DataFrame | None = None, raw_columns: Sequence[str] | None = None, learn: bool = True):
     """Start the X1 stream (availableNow); returns the StreamingQuery.
 
-    ``model`` maps the batch with its 21 features to a score column.  With a
-    model every row is scored, fused with the rules and decided (a row whose
-    score fails goes to review); without one the rules decide.  A batch is
-    written once before it is used, so its stream-static joins run once, and
-    the history is first cut to the batch's cards and devices.
+    ``profiles`` holds the history (``ProfileStore.add``); with ``learn`` every
+    batch is added to it after it is answered, so the next batch has it as
+    history.  ``identity`` gives arrivals their first device and says whether
+    they have an identity row at all; without it arrivals carry both columns.
+    ``raw_columns`` are those that count as missing values.  ``model`` maps the
+    batch with its 21 features to a score column.  With a model every row is
+    scored, fused with the rules and decided (a row whose score fails goes to
+    review); without one the rules decide.
     """
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        batch = cut_lineage(batch)
-        feats = H.cold_start(H.features_21(batch, history))
+        if identity is not None:
+            ids = batch.select("TransactionID").distinct()
+            batch = FE.attach_identity(batch, identity.join(ids, "TransactionID", "left_semi"))
+        elif "has_identity" not in batch.columns:
+            batch = batch.withColumn("has_identity", F.col("DeviceInfo").isNotNull().cast("int"))
+        batch = cut_lineage(FE.basic_features(batch, raw_columns))
+        feats = H.cold_start(PR.answer(batch, profiles, epoch_id))
         scored = feats.withColumn("model_score", C.finite_or_null(model(feats)) if model else F.lit(None).cast("double"))
         scored = R.evaluate(scored, params, "model_score" if model else None)
         scored = PO.fuse(scored.withColumn("calibrated_model_score", F.coalesce("model_score", F.lit(0.0))),
@@ -78,6 +90,8 @@ def score_arrivals(arrivals: DataFrame, history: DataFrame, sink: str, checkpoin
         out = (scored.withColumn("decision", PO.fail_closed(F.when(present, decision) if model else decision))
                .withColumn("rule_ids", R.rule_ids()).drop("rules_triggered"))
         out.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
+        if learn:
+            profiles.add(batch, epoch_id)
 
     return (arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -143,7 +157,12 @@ def feedback_sink(feedback: DataFrame, sink: str, checkpoint: str, allowed: Sequ
             .outputMode("append").trigger(availableNow=True).start())
 
 
-def run_to_end(query, timeout_s: int = 600) -> None:
-    query.awaitTermination(timeout_s)
+def run_to_end(query, timeout_s: int | None = None) -> None:
+    """Wait until the stream has ended; with a limit, one that has not ended by then is stopped and is an error."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {timeout_s} s")
     if query.exception():
         raise query.exception()

@@ -82,3 +82,34 @@ def test_calibration_is_required_unless_raw_is_allowed(spark):
     with pytest.raises(ValueError):
         ML.calibrate(None, df, "s")
     assert sorted(r[0] for r in ML.calibrate(None, df, "s", allow_raw=True).select("calibrated_model_score").collect()) == [0.25, 1.0]
+
+
+def test_reports_fail_closed(spark):
+    from riskloom.functions import text as TX
+    rows = [(1, "score 0.5 LOW APPROVE", "0.5", "LOW", "APPROVE"), (2, None, "0.5", "LOW", "APPROVE"),
+            (3, "score 0.5 LOW APPROVE", None, "LOW", "APPROVE"), (4, "score 0.5 LOW APPROVE", "0.5", None, "APPROVE"),
+            (5, "score 0.5 LOW APPROVE", "0.5", "LOW", None), (6, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, report string, risk_score string, risk_level string, decision string")
+    got = {r.id: r.first_violation for r in TX.validate_reports(df, ["id"]).collect()}
+    assert got == {1: None, 2: "missing_report", 3: "score_mismatch", 4: "level_mismatch", 5: "decision_mismatch",
+                   6: "missing_report"}
+
+
+def test_entry_without_the_optional_subpackage():
+    import pathlib
+    import subprocess
+    import sys
+    root = pathlib.Path(__file__).resolve().parent.parent
+    code = ("import sys; sys.modules['riskloom.llm'] = None; import __spark_entry__ as E; "
+            "print(len(E.queries()), any(n.startswith('op') or n == 'pipeline' for n in E.queries()))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    from riskloom.plans.catalog import QUERIES
+    assert out.stdout.split() == [str(len(QUERIES)), "False"], out.stderr[-500:]
+
+
+def test_a_stream_that_does_not_end_is_an_error(spark):
+    from riskloom.streaming import jobs as SJ
+    q = spark.readStream.format("rate").load().writeStream.format("noop").start()
+    with pytest.raises(TimeoutError):
+        SJ.run_to_end(q, 1)
+    assert not q.isActive
