@@ -7,10 +7,13 @@ breakpoints) — bounded by the model, not by the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -22,6 +25,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions import columns as C
 from riskloom.functions import explain_text as X
+from riskloom.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -98,16 +102,71 @@ def load(path: str) -> PipelineModel:
 # ---------------------------------------------------------------------------
 # D9 / D10 isotonic calibration
 # ---------------------------------------------------------------------------
-def fit_isotonic(df: DataFrame, score_col: str, label: str) -> IsotonicRegressionModel:
-    """Fit on distinct scores (weight = rows, label = fraud share): only the
-    score histogram, not the rows, reaches the final (driver-side) PAV step."""
+BLOCKS = "part long, lo double, hi double, y double, w double"
+#: Neighbouring score ranges whose blocks one task pools in a merging round.
+MERGED = 16
+#: Distinct scores of one score range, about.
+SCORES_PER_RANGE = 200_000
+
+
+def pool(lo: np.ndarray, hi: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Pool-adjacent-violators over blocks in score order (``y``: weighted label sums): ends, sums and weights of the
+    pooled blocks, whose means do not fall.  Pooling parts first gives the blocks of the whole, so parts can be merged."""
+    stack: list[list[float]] = []
+    for block in zip(lo.tolist(), hi.tolist(), y.tolist(), w.tolist(), strict=True):
+        top = list(block)
+        while stack and stack[-1][2] * top[3] >= top[2] * stack[-1][3]:
+            below = stack.pop()
+            top = [below[0], top[1], below[2] + top[2], below[3] + top[3]]
+        stack.append(top)
+    return [np.array(c) for c in zip(*stack, strict=True)] if stack else [np.empty(0)] * 4
+
+
+def _pooled(part: int, table: pa.Table) -> pa.Table:
+    order = np.argsort(table["lo"].to_numpy(), kind="stable")
+    columns = pool(*(table[c].to_numpy()[order] for c in ("lo", "hi", "y", "w")))
+    return pa.table([pa.array(np.full(len(columns[0]), part, dtype=np.int64)), *map(pa.array, columns)],
+                    names=["part", "lo", "hi", "y", "w"])
+
+
+def isotonic_blocks(hist: DataFrame, ranges: int | None = None, merged: int = MERGED) -> DataFrame:
+    """Blocks (lo, hi, y, w) of the isotonic fit of a score histogram (s, y: label sum, w: weight).
+
+    Every score range is pooled in a task of its own; the blocks of ``merged``
+    neighbouring ranges are then pooled together, round by round.
+    """
+    left = ranges or hist.count() // SCORES_PER_RANGE + 1
+
+    def first(batches):
+        rows = list(batches)
+        if rows:
+            table = pa.Table.from_batches(rows)
+            yield from _pooled(TaskContext.get().partitionId(), table).to_batches()
+
+    one = hist.select(F.lit(0).cast("long").alias("part"), F.col("s").alias("lo"), F.col("s").alias("hi"), "y", "w")
+    blocks = cut_lineage(one.repartitionByRange(left, "lo").mapInArrow(first, BLOCKS))
+    while left > 1:
+        left = -(-left // merged)
+        up = blocks.withColumn("part", F.floor(F.col("part") / merged))
+        blocks = cut_lineage(up.groupBy("part").applyInArrow(
+            lambda key, table: _pooled(key[0].as_py(), table), BLOCKS))
+    return blocks.drop("part")
+
+
+def fit_isotonic(df: DataFrame, score_col: str, label: str, ranges: int | None = None) -> IsotonicRegressionModel:
+    """Isotonic fit over the score histogram, pooled on the executors; only the final blocks reach the driver.
+
+    The model interpolates between the ends of its blocks, as Spark's own fit does.
+    """
     classes = df.agg(F.countDistinct(label)).collect()[0][0]
     if classes < 2:
         raise ValueError(f"isotonic calibration needs two label classes, found {classes}")
-    grouped = (df.groupBy(F.col(score_col).cast("double").alias("s"))
-               .agg(F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
+    hist = (df.where(F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s"))
+            .agg(F.sum(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
+    ends = F.explode(F.array_distinct(F.array("lo", "hi"))).alias("s")
+    points = isotonic_blocks(cut_lineage(hist), ranges).select(ends, (F.col("y") / F.col("w")).alias("y"), "w")
     iso = IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w", isotonic=True)
-    return iso.fit(grouped)
+    return iso.fit(points)
 
 
 def calibrate(model: IsotonicRegressionModel | None, df: DataFrame, score_col: str,
@@ -145,13 +204,13 @@ def linear_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str
 
 
 def _tree_tables(model: PipelineModel) -> tuple[list, list[float]]:
-    """Flatten the GBT trees (model parameters) into numpy arrays per tree."""
+    """Flatten the GBT trees (model parameters) into numpy arrays per tree, with each node's share of training weight."""
     gbt = model.stages[-1]
     jtrees = gbt._java_obj.trees()
     weights = list(gbt.treeWeights)
     tables = []
     for t in range(len(weights)):
-        feat, thr, left, right, value = [], [], [], [], []
+        feat, thr, left, right, value, cover = [], [], [], [], [], []
         stack = [(jtrees[t].rootNode(), -1, False)]
         while stack:
             node, parent, is_left = stack.pop()
@@ -159,6 +218,7 @@ def _tree_tables(model: PipelineModel) -> tuple[list, list[float]]:
             if parent >= 0:
                 (left if is_left else right)[parent] = i
             value.append(float(node.prediction()))
+            cover.append(float(node.impurityStats().count()))
             left.append(-1)
             right.append(-1)
             if node.getClass().getSimpleName() == "InternalNode":
@@ -170,22 +230,87 @@ def _tree_tables(model: PipelineModel) -> tuple[list, list[float]]:
             else:
                 feat.append(-1)
                 thr.append(0.0)
-        tables.append(tuple(np.array(a) for a in (feat, thr, left, right, value)))
+        tables.append(tuple(np.array(a) for a in (feat, thr, left, right, value, cover)))
     return tables, weights
 
 
-def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("TransactionID",)) -> DataFrame:
-    """Path attribution (Saabas) for the boosted trees, vectorised per Arrow batch.
-
-    For each tree and row the walk from root to leaf credits each split
-    feature with (child value - parent value); base = sum of weighted root
-    values, so base + sum(contrib) = raw margin of the GBT.
+def leaf_paths(tree: tuple) -> list[tuple[float, list[tuple[int, float, list[tuple[float, bool]]]]]]:
+    """(leaf value, [(feature, share of training weight that takes the path's turns on it, [(threshold, left)])])."""
+    feat, thr, left, right, value, cover = tree
+    out, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if feat[node] < 0:
+            out.append((float(value[node]), [(f, share, turns) for f, (share, turns) in path.items()]))
+            continue
+        for child, is_left in ((left[node], True), (right[node], False)):
+            share, turns = path.get(int(feat[node]), (1.0, []))
+            part = cover[child] / cover[node] if cover[node] else 0.0
+            todo.append((int(child), path | {int(feat[node]): (share * part, [*turns, (float(thr[node]), is_left)])}))
+    return out
+
+
+def shapley(trees: Sequence[tuple], weights: Sequence[float], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(values (row, feature), base): Shapley values of a tree ensemble, absent features averaged by training weight.
+
+    A leaf pays its value to the features of its path.  With o (a row takes the
+    turns on a feature: 1 or 0) and z (the share of weight that does), the sum
+    over all subsets S of the others is a polynomial: the coefficient of t^k in
+    the product of (z + o t) adds up all subsets of k present features, and its
+    weight is k! (d - k - 1)! / d!.
+    """
+    out, base = np.zeros(x.shape), 0.0
+    for tree, w in zip(trees, weights, strict=True):
+        for leaf, path in leaf_paths(tree):
+            d = len(path)
+            base += w * leaf * float(np.prod([z for _, z, _ in path]))
+            taken = []
+            for f, _, turns in path:
+                o = np.ones(len(x), dtype=bool)
+                for t, is_left in turns:
+                    o &= (x[:, f] <= t) == is_left
+                taken.append(o.astype(float))
+            for i, (f, z, _) in enumerate(path):
+                others = np.zeros((d, len(x)))
+                others[0] = 1.0
+                for j, (_, zj, _) in enumerate(path):
+                    if j != i:
+                        others[1:] = others[1:] * zj + others[:-1] * taken[j]
+                        others[0] *= zj
+                share = sum(math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) * others[k] for k in range(d))
+                out[:, f] += w * leaf * (taken[i] - z) * share
+    return out, base
+
+
+def path_attribution(trees: Sequence[tuple], weights: Sequence[float], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(values (row, feature), base): the walk from root to leaf credits each split feature with the change of the value."""
+    out, base, rows = np.zeros(x.shape), 0.0, np.arange(len(x))
+    for (feat, thr, left, right, value, _), w in zip(trees, weights, strict=True):
+        base += w * value[0]
+        node = np.zeros(len(x), dtype=int)
+        active = feat[node] >= 0
+        while active.any():
+            r, nd = rows[active], node[active]
+            child = np.where(x[r, feat[nd]] <= thr[nd], left[nd], right[nd])
+            np.add.at(out, (r, feat[nd]), w * (value[child] - value[nd]))
+            node[active] = child
+            active = feat[node] >= 0
+    return out, base
+
+
+ATTRIBUTIONS = {"shapley": shapley, "path": path_attribution}
+
+
+def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("TransactionID",),
+                       method: str = "shapley") -> DataFrame:
+    """Contributions of the boosted trees, vectorised per Arrow batch; ``method`` (a column too) is shapley or path.
+
+    base + sum(contributions) = raw margin of the GBT either way.
     """
     feats = model_features(model)
-    tables, weights = _tree_tables(model)
-    bc = df.sparkSession.sparkContext.broadcast((tables, weights))
+    bc = df.sparkSession.sparkContext.broadcast(_tree_tables(model))
     data = model_input(df, feats, list(keep))
-    nf = len(feats)
+    attribution = ATTRIBUTIONS[method]
     schema = T.StructType([data.schema[k] for k in keep] + [
         T.StructField("_values", T.ArrayType(T.DoubleType())), T.StructField("_parts", T.ArrayType(T.DoubleType())),
         T.StructField("base_value", T.DoubleType())])
@@ -194,32 +319,17 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str]
         trees, w = bc.value
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
-            n = len(x)
-            contrib = np.zeros((n, nf))
-            base = 0.0
-            rows = np.arange(n)
-            for (feat, thr, left, right, value), wt in zip(trees, w):
-                base += wt * value[0]
-                node = np.zeros(n, dtype=int)
-                active = feat[node] >= 0
-                while active.any():
-                    r = rows[active]
-                    nd = node[active]
-                    f = feat[nd]
-                    go_left = x[r, f] <= thr[nd]
-                    child = np.where(go_left, left[nd], right[nd])
-                    np.add.at(contrib, (r, f), wt * (value[child] - value[nd]))
-                    node[active] = child
-                    active = feat[node] >= 0
+            parts, base = attribution(trees, w, x)
             out = pdf[list(keep)].copy()
-            out["_values"], out["_parts"] = list(x), list(contrib)
+            out["_values"], out["_parts"] = list(x), list(parts)
             out["base_value"] = base
             yield out
 
     names = F.array(*[F.lit(f) for f in feats])         # names are attached in the JVM
     each = F.transform("_parts", lambda c, i: F.struct(F.get(names, i).alias("feature"), F.get("_values", i).alias("value"),
                                                        c.alias("contribution")))
-    return data.mapInPandas(attribute, schema).select(*keep, each.alias("contributions"), "base_value")
+    return data.mapInPandas(attribute, schema).select(*keep, each.alias("contributions"), "base_value",
+                                                      F.lit(method).alias("method"))
 
 
 def top_evidence(contrib: DataFrame, k: int = 5) -> DataFrame:

@@ -43,6 +43,8 @@ TABLES = {
 BASE = -1
 #: Distinct cards, devices or days of a batch sent to every executor at most; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Rows of ``pair_days`` of a batch's devices up to which one window ranks the cards of a device.
+DIRECT_PAIRS = 200_000
 #: Days of a batch up to which the folders to read are named one by one.
 NAMED_DAYS = 400
 
@@ -147,9 +149,14 @@ def answer(rows: DataFrame, store: ProfileStore, epoch: int) -> DataFrame:
     pairs = cut_lineage(_own(store.read("pair_days", epoch), devices, DEV))
     first = pairs.groupBy(*pair).agg(F.min("first").alias(DT)).withColumn("day", K.day_of(DT)).withColumn("c", F.lit(1))
 
-    # distinct history cards of the device with a smaller number: a bucketed prefix, asked cards weighing nothing
+    # distinct history cards of the device with a smaller number, asked cards weighing nothing: a window while the
+    # pairs of all devices together are few, else a prefix over buckets of card numbers
     ranked = first.select(*pair, F.lit(1).alias("w")).unionByName(of_pair.select(*pair).distinct().withColumn("w", F.lit(0)))
-    smaller = S.value_histogram(ranked, CARD, [DEV], weight="w", out=CARD).select(*pair, F.col("n_below").alias("_smaller"))
+    if pairs.count() <= DIRECT_PAIRS:
+        below = Window.partitionBy(DEV).orderBy(CARD).rangeBetween(FE.UNB, -1)
+        smaller = ranked.select(*pair, F.sum("w").over(below).alias("_smaller")).distinct()
+    else:
+        smaller = S.value_histogram(ranked, CARD, [DEV], weight="w", out=CARD).select(*pair, F.col("n_below").alias("_smaller"))
 
     parts = [
         (_earlier_days(of_card, _own(store.read("card_days", epoch), cards, CARD), [CARD], money), [CARD, "day"], ""),
