@@ -14,8 +14,8 @@ documents are joined with them instead.  Both ways give the same rows.
 
 Defined results: null and empty texts have no words and no hits; items that
 are null, without words or without id are no items; repeated items count
-once; rows that share a doc_id (or have none) share their hits; with an empty
-benchmark no document is hit.
+once; every row is judged by its own text, also where ids repeat or are null;
+very long texts are searched whole; with an empty benchmark no document is hit.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import id_text
+from riskloom.llm.common import id_text, stored
 from riskloom.session import cut_lineage
 
 WIDTH = 10
@@ -79,9 +79,10 @@ def places(docs: DataFrame, tokens: DataFrame, width: int, limit: int) -> DataFr
     """doc_id, n_words, cands: where prefix tokens stand, each with the words around it."""
     known = literals(tokens, limit)
     if known is None:
-        at = (docs.select(F.col("doc_id").alias("id"), F.posexplode("words").alias("pos", "token"))
-              .join(tokens, "token", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("found")))
-        rows = docs.join(at, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "words", "found")
+        docs = stored(docs.withColumn("r", F.monotonically_increasing_id()))       # both sides of a join read it
+        at = (docs.select("r", F.posexplode("words").alias("pos", "token"))
+              .join(tokens, "token", "left_semi").groupBy("r").agg(F.collect_set("pos").alias("found")))
+        rows = docs.join(at, "r", "left").select("doc_id", "words", "found")
         inside = F.filter(F.coalesce("found", F.array().cast("array<int>")), lambda p: p < F.size("words"))
         cands = F.transform(inside, lambda p: F.struct(p.alias("pos"), F.get("words", p).alias("token"),
                                                        around("words", p, width).alias("near")))
@@ -104,19 +105,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
                 .groupBy("item_id", "s", "win").agg(rarest.alias("rare")).where("rare.df > 0")
                 .select("item_id", "win", F.col("rare.word").alias("token"), F.col("rare.off").alias("off")).distinct())
     prefixed = cut_lineage(prefixed)
-    found = cut_lineage(places(docs, prefixed.select("token").distinct(), width, limit))
+    found = cut_lineage(places(docs, prefixed.select("token").distinct(), width, limit)
+                        .withColumn("r", F.monotonically_increasing_id()))
 
     fits = prefixed if prefixed.count() > broadcast_windows else F.broadcast(prefixed)
     start, before = F.col("c.pos") - F.col("off"), F.least(F.col("c.pos"), F.lit(width - 1))
-    hits = (found.select("doc_id", "n_words", F.explode("cands").alias("c")).withColumn("token", F.col("c.token"))
+    hits = (found.select("r", "n_words", F.explode("cands").alias("c")).withColumn("token", F.col("c.token"))
             .join(fits, "token").where((start >= 0) & (start + F.size("win") <= F.col("n_words")))
             .where(F.slice("c.near", F.greatest(before - F.col("off") + 1, F.lit(1)), F.size("win")) == F.col("win")))
     run = F.sequence(start, start + F.size("win") - 1)
-    by_doc = hits.groupBy(F.col("doc_id").alias("id")).agg(
+    by_row = hits.groupBy("r").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(run)))).alias("n_hit"),
         F.array_sort(F.collect_set("item_id")).alias("items"))
     n_hit, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
-    return (found.select("doc_id", "n_words").join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return (found.select("r", "doc_id", "n_words").join(by_row, "r", "left")
             .select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"),
                     F.size(items).cast("long").alias("n_items"),
                     F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))

@@ -27,8 +27,10 @@ with the same set form a class, and one of each class joins.
 
 Defined results: null, empty and wordless texts have an empty set and are
 linked with nothing; a text of fewer words is one shingle; rows that repeat an
-id are one document (the largest set counts); rows without an id come back
-with their set size and no component, and link with nothing.
+id are one document: each row links by its own text, the document reaches what
+any of them reaches, and its set size is the largest; rows without an id come
+back with their set size and no component, and link with nothing.  Very long
+texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import chunks, few, id_text, small_batches
+from riskloom.llm.common import chunks, few, id_text, small_batches, stored
 from riskloom.llm.components import components
 from riskloom.llm.hashing import FOLD, U, mix, shingle_hashes, word_hashes
 from riskloom.session import cut_lineage
@@ -206,7 +208,27 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int =
                     probe_share: float = PROBE_SHARE, broadcast_ids: int = BROADCAST_IDS, rounds: int = ROUNDS,
                     pairs_per_entry: float = PAIRS_PER_ENTRY) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    docs = id_text(documents)
+    docs, options = id_text(documents), (width, similarity, probe_share, broadcast_ids, rounds, pairs_per_entry)
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return _unique_ids(docs, *options)
+    # rows that repeat an id join as documents of their own, under the number of their row
+    rows = stored(docs.withColumn("r", F.monotonically_increasing_id()))
+    found = _unique_ids(rows.where("doc_id IS NOT NULL").select(F.col("r").alias("doc_id"), "text"), *options)
+    found = cut_lineage(found.withColumnRenamed("doc_id", "r").join(rows.select("r", "doc_id"), "r"))
+    each = found.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("a"),
+                                       F.max("component_id").alias("z"))
+    ties = found.join(each.where("a <> z").select("doc_id", "a"), "doc_id").select("a", F.col("component_id").alias("b"))
+    known = components(ties).withColumnRenamed("id", "a")
+    named = lambda df, at: df.withColumnRenamed(at, "a").join(known, "a", "left").withColumn("a", F.coalesce("component", "a"))
+    least_id = named(found.select("doc_id", "component_id"), "component_id").groupBy("a").agg(F.min("doc_id").alias("component_id"))
+    out = named(each, "a").join(least_id, "a").select("doc_id", "n_shingles", "component_id")
+    lost = signatures(rows.where("doc_id IS NULL"), width).select("doc_id", "n", F.lit(None).cast("long"))
+    return out.unionAll(lost)
+
+
+def _unique_ids(docs: DataFrame, width: int, similarity: int, probe_share: float, broadcast_ids: int, rounds: int,
+                pairs_per_entry: float) -> DataFrame:
+    """The same for documents whose ids are different where they are not null."""
     each = cut_lineage(signatures(docs, width))
     sized = each.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select(
         "doc_id", "x.*")
@@ -221,11 +243,9 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int =
     left = cut_lineage(left)
     some = lambda ids: whole_sets(docs.join(few(ids, broadcast_ids), "doc_id", "left_semi"), width).join(
         few(left, broadcast_ids), ["doc_id", "s1"], "left_semi")
-    twice = each.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    single = (lambda df: df) if twice.isEmpty() else (lambda df: df.dropDuplicates(["doc_id"]))
-    entries = cut_lineage(postings(single(some(left.select("doc_id"))), similarity))
+    entries = cut_lineage(postings(some(left.select("doc_id")), similarity))
     # the documents that can still have a partner are few, so only their sets are kept
-    sets = cut_lineage(single(some(cut_lineage(entries.select("doc_id").distinct()))))
+    sets = cut_lineage(some(cut_lineage(entries.select("doc_id").distinct())))
     known = link_components(entries, sets, similarity, rounds, pairs_per_entry)
 
     component = F.coalesce("rep", "doc_id")

@@ -14,12 +14,14 @@ leaves its worker except as a CRC.  ``sequence_id`` is the worker's number
 times 2^32 plus a running number, so a lost task recreates the same ids.
 
 Defined results: null and empty texts are one piece holding the end id alone;
-repeated rows are packed one by one; a null doc_id is packed like any other.
+repeated rows are packed one by one; a null doc_id is packed like any other;
+very long texts are encoded whole, whatever runs they hold.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +36,9 @@ from riskloom.llm.common import chunks, id_text, small_batches
 CAPACITY = 1024
 SMALLEST = 64
 END_ID = 0
+#: Texts with a longer run of white space or of anything else go through the tokenizers library: the other one's
+#: pattern search goes as deep as a run is long, and ends the process at some hundred thousand characters.
+LONG_RUN = 20_000
 TOKENIZER = "byte_bpe_50k.json"
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -69,8 +74,10 @@ def encoder(path: str):
         "byte-level", mergeable_ranks=ranks, special_tokens={},
         pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+    run = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+
     def encode(text: str) -> list[int]:
-        if any(a in text for a in added):
+        if any(a in text for a in added) or len(text) >= LONG_RUN and run.search(text):
             return exact.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 

@@ -75,25 +75,24 @@ def shingles(text: str | None, width: int = 5) -> frozenset:
 
 
 def near_components(rows, similarity: int = 80) -> dict:
-    sets = {}
-    for i, t, _ in rows:
-        if i is not None:
-            sets[i] = shingles(t)
-    ids, parent = sorted(sets), {i: i for i in sets}
+    """doc_id -> (largest set size, component); rows link by their own texts, rows of one id are one document."""
+    sets = [(i, shingles(t)) for i, t, _ in rows if i is not None]
+    sizes, parent = {}, {i: i for i, _ in sets}
+    for i, s in sets:
+        sizes[i] = max(len(s), sizes.get(i, 0))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b]:
-                o = len(sets[a] & sets[b])
-                if 100 * o >= similarity * (len(sets[a]) + len(sets[b]) - o):
-                    x, y = find(a), find(b)
-                    parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            o = len(x & y)
+            if a != b and o and 100 * o >= similarity * (len(x) + len(y) - o):
+                u, v = find(a), find(b)
+                parent[max(u, v)] = min(u, v)
+    return {i: (n, find(i)) for i, n in sizes.items()}
 
 
 def removed_repeats(rows, length: int = 100) -> dict:

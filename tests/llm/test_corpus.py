@@ -112,6 +112,30 @@ def test_packing(spark):
     assert [(r.length, r.ids_crc32, r.doc_tokens) for r in lone] == [(1, zlib.crc32(bytes(4)), 1)] * 2
 
 
+def test_long_runs_get_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+    path = packing.tokenizer_path()
+    exact, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for text in (" " * 2_000_000, " \n" * 1_000_000, "word" + " " * 2_000_000 + "x", "a" * 1_000_000, "é" * 30_000 + " b", "- " * 30_000):
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_pipeline_judges_rows_without_or_with_repeated_ids(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    near, passage = " ".join([*base[:30], "other", *base[31:]]), " ".join(f"p{i}" for i in range(20))
+    rows = [(5, " ".join(base), None), (5, "a text of its own that nobody else has", None), (9, near, None), (None, near, None),
+            (None, passage, None), (None, "clean and alone without any number", None), (None, "clean and alone without any number", None),
+            (7, passage + " and more", None), (7, "clean as well", None)]
+    cases.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = read(spark, str(tmp_path), "documents")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(kept, key=key) == sorted(((i, t) for k, (i, t, _) in enumerate(rows) if k not in (2, 3, 4, 6)), key=key)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=key) == sorted(((i, t) for k, (i, t, _) in enumerate(rows) if k not in (4, 7)), key=key)
+
+
 def test_packer_cuts_cover_every_length():
     for n in range(0, 1024, 7):
         pieces = packing.rest_lengths(n)
@@ -175,8 +199,8 @@ def test_registered_queries_agree_with_sql(spark):
         assert r["cols_match"] and r["hash_match"] and not r["type_mismatches"], r
 
 
-def test_ten_operators_are_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+def test_all_operators_are_registered():
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "secret_scan", "packing"]
 
 

@@ -22,6 +22,18 @@ def test_near_duplicates(spark, options):
     assert len({c for _, c in want.values()}) < len(want) - 12
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Every row of an id links by its own text."""
+    base = [f"b{i}" for i in range(104)]
+    near = " ".join([*base[:50], "other", *base[51:]])
+    rows = [(5, " ".join(base), None), (5, "some other text of another length altogether", None), (9, near, None),
+            (3, "Some other  text of another length altogether", None), (12, near, None), (12, None, None), (20, "alone", None),
+            (None, near, None), (30, "very long " * 60_000, None)]
+    got = ngram_join.near_duplicates(cases.documents(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == cases.near_components(rows)
+    assert {r.doc_id: r.component_id for r in got}[9] == 3 and len(got) == 7
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(cases.empty(spark)).count() == 0
     blank = cases.documents(spark, [(1, None, None), (2, "", None), (3, " ", None)])
@@ -134,10 +146,12 @@ BENCH = "item_id long, text string, token string"
 
 @pytest.mark.parametrize("options", [{}, {"limit": 3, "broadcast_windows": 0}])
 def test_decontaminate(spark, options):
-    rows = [r for r in ROWS if r[0] is not None]
+    rows = [*ROWS, (5, "one two", None), (5, "nothing here", None), (None, "one two", None), (None, "nor here", None),
+            (300, "long " * 100_000 + ROWS[7][1], None)]
     items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], BENCH)
     got = decontaminate.decontaminate(cases.documents(spark, rows), items, **options).collect()
-    assert sorted(map(tuple, got)) == sorted(brute_hits(rows, ITEMS)) and sum(r.contaminated for r in got) > 7
+    key = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute_hits(rows, ITEMS), key=key) and sum(r.contaminated for r in got) > 7
 
 
 def test_decontaminate_empty_tables_and_no_ids(spark):
