@@ -15,10 +15,14 @@ them with a chance below 10^-7.
    link of their own.  All pairs that are still open are joined at the end,
    so a large group of near copies costs a few rows a member, and no pair that
    shares a band is left out.
-3. A candidate whose sizes cannot reach the similarity goes, and so does one
-   with fewer than ``AGREE`` equal signature values: at similarity 0.8 about
-   102 of 128 agree, with a deviation of at most 4.5, so 70 is 7 of them off.
-   What is left is confirmed on the full sets.
+3. A candidate whose sizes cannot reach the similarity goes.  So does one that
+   differs too much for it: every set has, for each of ``BITS`` hash ranges,
+   whether it holds an odd number of shingles, and two sets differ in at least
+   as many shingles as in odd ranges (this loses nothing).  Both are tested
+   inside the join, which lets a pair through in the first band it shares.
+   Then one with fewer than ``AGREE`` equal signature values goes: at
+   similarity 0.8 about 102 of 128 agree, with a deviation of at most 4.5, so
+   78 is more than 5 of them off.  What is left is confirmed on the full sets.
 
 Defined results: null, empty and wordless texts have an empty set and link
 with nothing; a text of one word is one shingle.  Every row is judged by its
@@ -46,12 +50,16 @@ WIDTH = 2
 SIMILARITY = 80
 PERMUTATIONS = 64
 ROWS = 4
-AGREE = 70
+AGREE = 78
+BITS = 1024
+ODD_WORDS = [f"w{i}" for i in range(BITS // 64)]
 #: Keys sent to every executor at most; more are joined by shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Classes whose filter columns (400 bytes each) are sent to every executor at most.
+BROADCAST_CLASSES = 100_000
 #: Open pairs, per band entry, above which another round of single partners comes first.
 PAIRS_PER_ENTRY = 3
-ROUNDS = 4
+ROUNDS = 5
 #: Band entries for each task of the steps that work on candidates.
 ENTRIES_PER_TASK = 50_000
 
@@ -104,41 +112,53 @@ def set_hashes(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def odd_ranges(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(set, word): the hash ranges that hold an odd number of a set's shingles, as bits."""
+    at = np.repeat(np.arange(len(sizes)) * BITS, sizes) + (hashes >> U(40)).astype(np.int64) % BITS
+    odd = (np.bincount(at, minlength=len(sizes) * BITS) & 1).astype(np.uint8).reshape(len(sizes), BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, s1, s2 (set size and hashes), bands, sketch (one byte of each signature value)."""
+    """doc_id, n, s1, s2 (set size and hashes), bands."""
 
     def work(batches):
         for b in chunks(batches):
             hashes, sizes = sets_of(b.column("text").to_pylist(), width)
-            s1, s2 = set_hashes(hashes, sizes)
             full = np.flatnonzero(sizes)
-            bands, sketch = [None] * len(sizes), [None] * len(sizes)
+            bands = [None] * len(sizes)
             if len(full):
-                values = min_max(hashes, sizes[full])
-                bytes_ = np.ascontiguousarray(((values * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).T)
-                for i, keys, row in zip(full.tolist(), band_keys(values).view(np.int64), bytes_, strict=True):
-                    bands[i], sketch[i] = keys, row.tobytes()
+                for i, keys in zip(full.tolist(), band_keys(min_max(hashes, sizes[full])).view(np.int64), strict=True):
+                    bands[i] = keys
+            s1, s2 = set_hashes(hashes, sizes)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1), pa.array(s2),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "bands", "sketch"])
+                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "bands"])
 
-    return small_batches(docs).mapInArrow(work, "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch binary")
+    return small_batches(docs).mapInArrow(work, "doc_id long, n long, s1 long, s2 long, bands array<long>")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, s1, s2, grams."""
+    """doc_id, n, s1, s2, grams, sketch (one byte of each signature value), w0.. (odd ranges); sets that are not empty."""
 
     def work(batches):
         for b in chunks(batches):
             hashes, sizes = sets_of(b.column("text").to_pylist(), width)
+            full = np.flatnonzero(sizes)
+            if not len(full):
+                continue
+            ids, sizes = b.column("doc_id").take(pa.array(full)), sizes[full]
             s1, s2 = set_hashes(hashes, sizes)
             grams = np.split(hashes.view(np.int64), np.cumsum(sizes)[:-1])
+            sketch = ((min_max(hashes, sizes) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).T
+            odd = odd_ranges(hashes, sizes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(s1), pa.array(s2),
-                 pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "grams"])
+                [ids, pa.array(sizes, pa.int64()), pa.array(s1), pa.array(s2), pa.array(grams, pa.list_(pa.int64())),
+                 pa.array([x.tobytes() for x in sketch], pa.binary()), *(pa.array(x) for x in odd.T)],
+                names=["doc_id", "n", "s1", "s2", "grams", "sketch", *ODD_WORDS])
 
-    return small_batches(docs).mapInArrow(work, "doc_id long, n long, s1 long, s2 long, grams array<long>")
+    return small_batches(docs).mapInArrow(
+        work, "doc_id long, n long, s1 long, s2 long, grams array<long>, sketch binary, " + ", ".join(f"{w} long" for w in ODD_WORDS))
 
 
 def alike(pairs: DataFrame, sketches: DataFrame, agree: int = AGREE) -> DataFrame:
@@ -165,12 +185,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             .where(100 * F.col("common").cast("long") >= similarity * every.cast("long")).select("a", "b"))
 
 
-def linked(entries: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: int, rounds: int,
+def linked(entries: DataFrame, sets: DataFrame, similarity: int, rounds: int,
            pairs_per_entry: float) -> DataFrame | None:
-    """Links (a, b) that connect all classes with a link; None if there is none.  ``entries``: key, r, n."""
+    """Links (a, b) that connect all classes with a link; None if there is none.
+
+    ``entries``: key, band, r, n; ``sets``: r, grams, sketch, odd ranges, heads (31 bits of every band key).
+    """
     total = entries.count()
     parts = max(1, total // ENTRIES_PER_TASK)
     sizes_fit = f"100 * least(na, nb) >= {similarity} * greatest(na, nb)"
+    odd = " + ".join(f"bit_count(a{w} ^ b{w})" for w in ODD_WORDS)
+    may_differ = f"na + nb - 2 * (({similarity} * (na + nb) + {99 + similarity}) div {100 + similarity})"
+    before = "exists(zip_with(slice(aheads, 1, band), slice(bheads, 1, band), (x, y) -> x = y), same -> same)"
+    filters = [*ODD_WORDS, "heads"]
     links = known = None
     left_over = entries
     for turn in range(rounds + 1):
@@ -187,16 +214,22 @@ def linked(entries: DataFrame, sets: DataFrame, sketches: DataFrame, similarity:
         rows = cut_lineage(rows.join(open_.select("key"), "key", "left_semi").coalesce(parts))
         left_over = rows.drop("c")
         last = turn == rounds or left <= pairs_per_entry * total
-        end = lambda e: rows.select("key", F.col("r").alias(e), F.col("n").alias(f"n{e}"), F.col("c").alias(f"c{e}"))
+
+        def end(e: str, frame: DataFrame, *more: str) -> DataFrame:
+            return frame.select("key", F.col("r").alias(e), F.col("n").alias(f"n{e}"), F.col("c").alias(f"c{e}"),
+                                *[F.col(x).alias(f"{e}{x}") for x in more])
+
         if last:
-            pairs = end("a").join(end("b"), "key").where(f"a < b AND ca <> cb AND {sizes_fit}").select("a", "b").distinct()
+            full = rows.join(few(sets.select("r", *filters), BROADCAST_CLASSES), "r")
+            met = end("a", full, "band", *filters).join(end("b", full, *filters), "key").withColumnRenamed("aband", "band")
+            pairs = met.where(f"a < b AND ca <> cb AND {sizes_fit} AND {odd} <= {may_differ} AND NOT {before}").select("a", "b")
         else:
             order = F.struct(F.xxhash64("r", F.lit(turn)).alias("o"), F.col("r").alias("a"), F.col("n").alias("na"),
                              F.col("c").alias("ca"))
             lead = rows.groupBy("key").agg(F.min(order).alias("x"))
-            met = lead.join(end("b"), "key").where(f"x.a <> b AND x.ca <> cb AND {sizes_fit.replace('na', 'x.na')}")
+            met = lead.join(end("b", rows), "key").where(f"x.a <> b AND x.ca <> cb AND {sizes_fit.replace('na', 'x.na')}")
             pairs = met.groupBy("b").agg(F.min("x").alias("x")).select(F.col("x.a").alias("a"), "b")
-        near = cut_lineage(alike(pairs, sketches).coalesce(parts))
+        near = cut_lineage(alike(pairs, sets).coalesce(parts))
         found = confirmed(near, sets, similarity).coalesce(parts)
         links = cut_lineage(found if links is None else links.unionAll(found).coalesce(parts))
         if last:
@@ -216,20 +249,21 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int =
     rows = cut_lineage(each.select("doc_id", *of_set, "r").join(classes, of_set, "left")
                        .select("doc_id", "n", "r", F.coalesce("rep", "r").alias("rep")))
 
-    banded = each.select(F.explode("bands").alias("key"), "r", "n", "s1")
+    banded = each.select(F.posexplode("bands").alias("band", "key"), "r", "n", "s1")
     shared = banded.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("key")
     first = classes.select(F.col("rep").alias("r"))
     entries = cut_lineage(banded.drop("s1").join(few(cut_lineage(shared), broadcast_keys), "key", "left_semi")
                           .join(first, "r", "left_semi"))
 
-    wanted = cut_lineage(each.join(entries.select("r").distinct(), "r", "left_semi").select("doc_id", *of_set, "r", "sketch"))
+    heads = F.transform("bands", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("heads")
+    wanted = cut_lineage(each.join(entries.select("r").distinct(), "r", "left_semi").select("doc_id", *of_set, "r", heads))
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     some = docs.join(few(ids, broadcast_keys), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    keys = few(wanted.select(F.col("doc_id").alias("id"), *of_set, "r"), broadcast_keys)
-    sets = whole_sets(some, width).join(keys, of_set).where(F.col("doc_id").eqNullSafe(F.col("id"))).select("r", "grams")
+    keys = few(wanted.select(F.col("doc_id").alias("id"), *of_set, "r", "heads"), BROADCAST_CLASSES)
+    sets = whole_sets(some, width).join(keys, of_set).where(F.col("doc_id").eqNullSafe(F.col("id"))).drop("doc_id", "id", *of_set)
     repeated = each.groupBy("doc_id", *of_set).agg(F.count("*").alias("c")).where("c > 1")
     sets = stored(sets if repeated.isEmpty() else sets.dropDuplicates(["r"]))
-    links = linked(entries, sets, wanted.select("r", "sketch"), similarity, rounds, pairs_per_entry)
+    links = linked(entries, sets, similarity, rounds, pairs_per_entry)
 
     spread = (rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
               .where("a <> z").select("doc_id", "a"))
