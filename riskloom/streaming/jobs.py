@@ -5,10 +5,11 @@
   added to them (``foreachBatch``); every epoch overwrites its own output and
   profile folders, so a retried epoch is idempotent.
 * X2 ``card_velocity``: trailing 1 h / 24 h counts per card with event-time
-  state (``applyInPandasWithState``); state keeps only the last 24 h of event
-  times per card and is dropped by an event-time timeout after the watermark.
+  state (``applyInPandasWithState``); state keeps the last 24 h plus the delay
+  of event times per card and is dropped by an event-time timeout after the watermark.
 * X3 ``feedback_sink``: validated feedback appended by the file sink
-  (exactly-once with its checkpoint) — no read-modify-write of a JSON file.
+  (exactly-once with its checkpoint), each (transaction, label) once within a
+  time bound — no read-modify-write of a JSON file.
 
 Checkpoints and sinks live under the session's ``spark.checkpoint.dir``.
 """
@@ -150,10 +151,16 @@ def card_velocity(events: DataFrame, delay_s: int = DAY) -> DataFrame:
 # ---------------------------------------------------------------------------
 # X3
 # ---------------------------------------------------------------------------
-def feedback_sink(feedback: DataFrame, sink: str, checkpoint: str, allowed: Sequence[str] = TX.FEEDBACK_LABELS):
-    """Append validated feedback (with a UTC ingestion timestamp) to a Parquet sink."""
+def feedback_sink(feedback: DataFrame, sink: str, checkpoint: str, allowed: Sequence[str] = TX.FEEDBACK_LABELS,
+                  within: str = "7 days"):
+    """Append validated feedback (with a UTC ingestion timestamp) to a Parquet sink.
+
+    The same (transaction, label) is appended once, however often it arrives within ``within`` of its first arrival;
+    state older than that is dropped by the watermark on the ingestion time.
+    """
     ok = feedback.where(F.col("analyst_label").isin(list(allowed))).withColumn("timestamp", F.current_timestamp())
-    return (ok.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    once = ok.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["transaction_id", "analyst_label"])
+    return (once.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
 

@@ -100,3 +100,25 @@ def test_unrelated_history_stays_out_of_the_lookup(spark):
         kept = H.relevant(probes, hist, limit)
         assert kept.columns == hist.columns
         assert sorted(r.TransactionID for r in kept.collect()) == [i for i in range(1000) if i % 50 == 3 or i % 40 == 7]
+
+
+def test_feedback_that_arrives_again_is_appended_once(spark, tmp_path):
+    """Twice in one file, in two files of a run, and in a later run with the same checkpoint."""
+    from riskloom.streaming import jobs as SJ
+    schema = "transaction_id long, analyst_label string"
+    rows = [(1, "LEGITIMATE"), (1, "LEGITIMATE"), (1, "FALSE_POSITIVE"), (2, "LEGITIMATE"), (3, "nonsense"), (None, "LEGITIMATE")]
+
+    def feed(data):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        fb = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        SJ.run_to_end(SJ.feedback_sink(fb, f"{tmp_path}/out", f"{tmp_path}/ckpt"))
+        return sorted((r.transaction_id or 0, r.analyst_label) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    feed(rows)
+    feed(rows)
+    once = [(0, "LEGITIMATE"), (1, "FALSE_POSITIVE"), (1, "LEGITIMATE"), (2, "LEGITIMATE")]
+    assert run() == once
+    feed([*rows, (4, "LEGITIMATE")])
+    assert run() == [*once, (4, "LEGITIMATE")]
