@@ -6,8 +6,9 @@ with the same set form a class, and one of each class joins.
 1. *Unshared n-grams.*  Two sets of similarity t share at least ``t * n``
    n-grams, so a document with more than ``n - ceil(t * n)`` n-grams that no
    other document has, has no partner.  A fixed share of the hash space
-   (``PROBE_SHARE``) is counted over all documents; documents beyond the bound
-   are settled.  This is exact: the count is a lower bound.
+   (``PROBE_SHARE``) is counted over one document of each class; documents
+   beyond the bound are settled.  This is exact: the count is a lower bound,
+   and copies of a document are no partners of their class.
 2. *Rare-first prefixes.*  The rest counts all its n-grams.  In the order
    (frequency, hash) a document's prefix is its first ``n - ceil(t * n) + 1``
    n-grams; partners share an n-gram of their prefixes.  N-grams of frequency
@@ -54,6 +55,8 @@ BITS = 256
 WORDS = [f"g{i}" for i in range(BITS // 64)]
 #: Ids sent to every executor at most; more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+#: Rows of ``WORDS`` (40 bytes each) and of known components sent to every executor at most.
+BROADCAST_ROWS = 500_000
 #: Pairs left to join, per prefix entry, above which another round of single partners comes first.
 PAIRS_PER_ENTRY = 5
 ROUNDS = 3
@@ -141,9 +144,14 @@ def postings(sets: DataFrame, similarity: int) -> DataFrame:
     return placed.where(f"pos <= n - {least('n', similarity)} + 1").select("gram", "doc_id", "n", "pos", short)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The links (a, b) among candidate pairs (a, b, na, nb), on the whole sets."""
-    side = lambda end: sets.select(F.col("doc_id").alias(end), F.col("grams").alias(f"{end}_grams"))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int, parts: int) -> DataFrame:
+    """The links (a, b) among candidate pairs (a, b, na, nb), on the whole sets of their ends alone."""
+
+    def side(end: str) -> DataFrame:
+        ends = cut_lineage(pairs.select(end).distinct().coalesce(parts))
+        grams = sets.select(F.col("doc_id").alias(end), F.col("grams").alias(f"{end}_grams"))
+        return grams.join(few(ends, BROADCAST_IDS), end, "left_semi")
+
     common = F.size(F.array_intersect("a_grams", "b_grams")).cast("long")
     return (pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", common)
             .where(f"100 * common >= {similarity} * (na + nb - common)").select("a", "b"))
@@ -169,11 +177,13 @@ def link_components(entries: DataFrame, sets: DataFrame, similarity: int, rounds
                             F.col("pos").alias(f"p{name}"), F.col("component").alias(f"c{name}"),
                             *[F.col(w).alias(f"{name}{w}") for w in WORDS])
 
-    left_over = entries.join(sets.select("doc_id", *WORDS), "doc_id").withColumnRenamed("doc_id", "member")
+    left_over = entries.withColumnRenamed("doc_id", "member")
+    words = few(sets.select(F.col("doc_id").alias("member"), *WORDS), BROADCAST_ROWS)
     for turn in range(rounds + 1):
         rows = left_over.withColumn("component", F.col("member"))
         if known is not None:
-            rows = left_over.join(known.withColumnRenamed("id", "member"), "member", "left").withColumn(
+            at = few(known.withColumnRenamed("id", "member"), BROADCAST_ROWS)
+            rows = left_over.join(at, "member", "left").withColumn(
                 "component", F.coalesce("component", "member"))
             rows = cut_lineage(rows.coalesce(parts))
         # pairs (smaller set by its short prefix, larger set) of one n-gram that are not yet in one component
@@ -185,7 +195,7 @@ def link_components(entries: DataFrame, sets: DataFrame, similarity: int, rounds
         if not left:
             break
         rows = cut_lineage(rows.join(open_.select("gram"), "gram", "left_semi").coalesce(parts))
-        left_over = rows.drop("component")
+        left_over, rows = rows.drop("component"), rows.join(words, "member")
         last = turn == rounds or left <= pairs_per_entry * total
         if last:
             smaller, larger = end("a", rows.where("short")), end("b", rows)
@@ -196,7 +206,7 @@ def link_components(entries: DataFrame, sets: DataFrame, similarity: int, rounds
             met = end("a", lead).join(end("b", rows), "gram").where("a <> b AND ca <> cb AND " + passes(similarity))
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                            F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"))
-        found = verified(cut_lineage(pairs.distinct().coalesce(parts)), sets, similarity).coalesce(parts)
+        found = verified(cut_lineage(pairs.distinct().coalesce(parts)), sets, similarity, parts).coalesce(parts)
         links = cut_lineage(found if links is None else links.unionAll(found).coalesce(parts))
         known = components(links, parts)
         if last:
@@ -235,7 +245,9 @@ def _unique_ids(docs: DataFrame, width: int, similarity: int, probe_share: float
     classes = sized.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     sized = cut_lineage(sized.join(classes, ["n", "s1", "s2"], "left"))
 
-    grams = probes(docs, width, probe_share).select("doc_id", F.explode("grams").alias("gram"))
+    copies = cut_lineage(sized.where("doc_id <> rep").select("doc_id"))
+    grams = (probes(docs, width, probe_share).join(few(copies, broadcast_ids), "doc_id", "left_anti")
+             .select("doc_id", F.explode("grams").alias("gram")))
     lonely = (grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1")
               .groupBy("doc_id").agg(F.count("*").alias("unshared")))
     left = (sized.where("doc_id = rep").join(lonely, "doc_id", "left")
