@@ -37,20 +37,28 @@ def probe_frame(probes: DataFrame, history: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 1_000_000
 
 
+def wanted_keys(keys: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, bool]:
+    """(distinct keys without nulls, whether they are few): sent to every executor if counted to be few, else shuffled."""
+    k = cut_lineage(keys.dropna().distinct())
+    few = k.count() <= broadcast_keys
+    return (F.broadcast(k) if few else k), few
+
+
 def relevant(probes: DataFrame, history: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """History rows that can matter to a probe: same card or same device.
 
     The other rows never enter the window shuffle, so a small batch of probes
     reads the history but does not sort it.
     """
-    def keys(c: str) -> DataFrame:
-        k = cut_lineage(probes.select(F.col(c).alias(f"_k{c}")).where(F.col(c).isNotNull()).distinct())
-        return F.broadcast(k) if k.count() <= broadcast_keys else k
-
-    cards, devices = keys(CARD), keys(DEV)
+    cards, few_cards = wanted_keys(probes.select(F.col(CARD).alias(f"_k{CARD}")), broadcast_keys)
+    devices, few_devices = wanted_keys(probes.select(F.col(DEV).alias(f"_k{DEV}")), broadcast_keys)
+    of_card, of_device = F.col(CARD) == F.col(f"_k{CARD}"), F.col(DEV) == F.col(f"_k{DEV}")
+    if not (few_cards and few_devices):
+        # two halves that never overlap; a semi join drops null keys before its shuffle
+        other = history.join(cards, of_card, "left_anti").join(devices, of_device, "left_semi")
+        return history.join(cards, of_card, "left_semi").unionByName(other)
     card_too = F.col(f"_k{CARD}").isNotNull()
-    return (history.join(cards, F.col(CARD) == F.col(f"_k{CARD}"), "left")
-            .join(devices, F.col(DEV) == F.col(f"_k{DEV}"), "left")
+    return (history.join(cards, of_card, "left").join(devices, of_device, "left")
             .where(card_too | F.col(f"_k{DEV}").isNotNull()).drop(f"_k{CARD}", f"_k{DEV}"))
 
 
@@ -155,9 +163,12 @@ def overlay_payload(payloads: DataFrame, base: DataFrame, fields: Sequence[str])
     p = payloads.select("request_id", "payload", (F.size("payload") + flag).alias("_fields"),
                         F.expr("try_cast(payload['card1'] as double)").alias("_card"),
                         F.expr("try_cast(payload['TransactionDT'] as double)").alias("_dt"))
-    # keep the base row with the smallest id per (card1, DT): an aggregate, not a window
-    b1 = (base.groupBy(F.col(CARD).cast("double").alias("_card"), F.col(DT).cast("double").alias("_dt"))
-          .agg(F.min_by(F.struct(*base.columns), F.col(TID)).alias("_b")))
+    # only base rows that a payload asks for are grouped; the one with the smallest id per (card1, DT) by an aggregate
+    asked, _ = wanted_keys(p.select("_card", "_dt"))
+    keyed = base.select(F.col(CARD).cast("double").alias("_card"), F.col(DT).cast("double").alias("_dt"),
+                        F.struct(*base.columns).alias("_row"))
+    b1 = (keyed.join(asked, ["_card", "_dt"], "left_semi").groupBy("_card", "_dt")
+          .agg(F.min_by("_row", F.col(f"_row.{TID}")).alias("_b")))
     j = p.join(b1, on=["_card", "_dt"], how="left")
     cols = [F.col("request_id"), F.col("_b").isNotNull().alias("synthetic"), F.col("_fields")]
     for f in fields:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
+from riskloom.operators import features as FE
 from riskloom.operators import history as H
 from riskloom.operators import policy as PO
 from riskloom.operators import rules as R
@@ -114,6 +115,14 @@ def payload_requests(payloads: DataFrame, base: DataFrame, fields: Sequence[str]
 
 
 def find_stored(requests: DataFrame, stored: DataFrame, id_col: str = "TransactionID") -> DataFrame:
-    """P10: many ids against the stored rows; ``found`` is false where there is none (the row's columns are null)."""
-    rows = stored.dropDuplicates([id_col]).withColumn("found", F.lit(True))
+    """P10: many ids against the stored rows; ``found`` is false where there is none (the row's columns are null).
+
+    Stored rows that nobody asked for are left out at the scan (few ids) or by
+    a semi join.  Of rows that repeat an id the earliest is found, ties going
+    to the smallest values of the other columns.
+    """
+    asked, _ = H.wanted_keys(requests.select(id_col))
+    rows = stored.join(asked, id_col, "left_semi").withColumn("found", F.lit(True))
+    order = sorted((c for c in rows.columns if c != id_col), key=lambda c: c != "TransactionDT")
+    rows = FE.keep_first(rows, id_col, order)
     return requests.join(rows, id_col, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -453,6 +453,32 @@ def q_stored_row_lookup(spark, sf_dir):
     return found.select("TransactionID", F.coalesce("TransactionDT", F.lit(-1).cast("long")).alias("TransactionDT"), "found")
 
 
+@register("stored_row_repeated_ids")
+def q_stored_row_repeated_ids(spark, sf_dir):
+    """P10: every order asks for its customer's earliest order, ids repeated on both sides."""
+    orders = B.table(spark, sf_dir, "orders")
+    stored = orders.select(F.col("o_custkey").alias("TransactionID"),
+                           F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("TransactionDT"), "o_orderkey")
+    asked = orders.select((F.col("o_custkey") + F.col("o_orderkey") % 2).alias("TransactionID"), F.col("o_orderkey").alias("asked_by"))
+    found = RC.find_stored(asked, stored)
+    return found.select("asked_by", "TransactionID", F.coalesce("TransactionDT", F.lit(-1).cast("long")).alias("TransactionDT"),
+                        F.coalesce("o_orderkey", F.lit(-1).cast("long")).alias("first_order"), "found")
+
+
+@register("rejected_lines")
+def q_rejected_lines(spark, sf_dir):
+    """Transactions as CSV lines, some with words, fractions or missing fields; all lines come back."""
+    tid, dt = F.col("TransactionID"), F.col("TransactionDT").cast("string")
+    time = F.when(tid % 7 == 0, F.lit("noon")).when(tid % 13 == 0, F.concat(dt, F.lit(".5"))).when(tid % 17 != 0, dt).otherwise("")
+    line = F.when(tid % 11 == 0, F.concat_ws(",", tid, time)).otherwise(F.concat_ws(",", tid, time, F.lit("x"), tid % 5))
+    lines = B.transactions(spark, sf_dir).select(line.alias("value"))
+    schema = IO.T.StructType([f for f in IO.TRANSACTION_SCHEMA if f.name in ("TransactionID", "TransactionDT", "card1")])
+    good, rejected = IO.parse_lines(lines, ["TransactionID", "TransactionDT", "V1", "card1"], schema)
+    none = F.lit(-1).cast("long")
+    return good.select("TransactionID", F.coalesce("TransactionDT", none).alias("TransactionDT"), "card1", F.lit("").alias("line")) \
+        .unionAll(rejected.select(none, none, none, "line"))
+
+
 @register("cold_start_null_keys")
 def q_cold_start_null_keys(spark, sf_dir):
     """R2: probes without a card (even ids) or without a time (odd ids)."""

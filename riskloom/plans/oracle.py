@@ -685,6 +685,23 @@ ORACLE["stored_row_lookup"] = TX + """
 SELECT e.event_id + 3 AS TransactionID, coalesce(t.TransactionDT, -1) AS TransactionDT, t.TransactionID IS NOT NULL AS found
 FROM events e LEFT JOIN tx t ON t.TransactionID = e.event_id + 3"""
 
+ORACLE["stored_row_repeated_ids"] = """
+WITH a AS (SELECT o_orderkey AS asked_by, o_custkey + o_orderkey % 2 AS k FROM orders)
+SELECT a.asked_by, a.k AS TransactionID, count(s.o_orderkey) > 0 AS found,
+       coalesce(min(datediff('day', DATE '1970-01-01', CAST(s.o_orderdate AS DATE))), -1) AS TransactionDT,
+       coalesce(arg_min(s.o_orderkey, (CAST(s.o_orderdate AS DATE), s.o_orderkey)), -1) AS first_order
+FROM a LEFT JOIN orders s ON s.o_custkey = a.k GROUP BY a.asked_by, a.k"""
+
+ORACLE["rejected_lines"] = TX + """,
+w AS (SELECT TransactionID AS i, CASE WHEN TransactionID % 7 = 0 THEN 'noon'
+               WHEN TransactionID % 13 = 0 THEN CAST(TransactionDT AS VARCHAR) || '.5'
+               WHEN TransactionID % 17 <> 0 THEN CAST(TransactionDT AS VARCHAR) ELSE '' END AS t FROM tx)
+SELECT CAST(-1 AS BIGINT) AS TransactionID, CAST(-1 AS BIGINT) AS TransactionDT, CAST(-1 AS BIGINT) AS card1,
+       i || ',' || t || CASE WHEN i % 11 = 0 THEN '' ELSE ',x,' || (i % 5) END AS line
+FROM w WHERE i % 7 = 0 OR i % 11 = 0 OR i % 13 = 0
+UNION ALL
+SELECT i, coalesce(try_cast(t AS BIGINT), -1), i % 5, '' FROM w WHERE i % 7 <> 0 AND i % 11 <> 0 AND i % 13 <> 0"""
+
 # a null card or time gives the all-new answer whatever the counts say
 ORACLE["cold_start_null_keys"] = PROBES + """
 SELECT TransactionID, CAST(1 AS BIGINT) AS is_new_card, CAST(1 AS BIGINT) AS is_new_device, CAST(1 AS BIGINT) AS is_new_pair

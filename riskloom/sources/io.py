@@ -48,6 +48,39 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
                                     for f in schema]))
 
 
+def parse_lines(lines: DataFrame, header: Sequence[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """S1/S3 on raw CSV lines (one string column): (typed rows, rejected lines).
+
+    ``header`` names the fields of a line, in order; the columns of ``schema``
+    come back.  A line is rejected, and kept whole as ``line``, if a listed
+    value is not of its type or if it has too few or too many fields.  Empty
+    values are null, empty lines are no rows; every other line is in one of the
+    two frames.  No quoted line breaks.
+    """
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    bad = "_corrupt_record"
+    while bad in header:
+        bad += "_"
+    types = {f.name: f.dataType.simpleString() for f in schema}
+    ddl = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in [*header, bad])
+    line = F.col(lines.columns[0])
+    parsed = lines.where(F.length(line) > 0).select(line.alias("line"), F.from_csv(
+        line, ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("_r"))
+    is_bad = F.col("_r").getField(bad).isNotNull()
+    good = parsed.where(~is_bad).select(*[F.col("_r").getField(f.name).alias(f.name) for f in schema])
+    return nan_to_null(good), parsed.where(is_bad).select("line")
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejected lines) of header CSV files that share their header line."""
+    lines = spark.read.text(path)
+    first = lines.first()
+    head = first["value"] if first else ""
+    return parse_lines(lines.where(F.col("value") != head), header_columns(spark, path), schema)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating columns with NaN as null, as every later comparison expects."""
     floats = {c for c, t in df.dtypes if t in ("double", "float")}

@@ -31,6 +31,20 @@ def test_csv_typed_read_and_header(spark, scratch):
         IO.read_csv(spark, f"{scratch}/tx", IO.IDENTITY_SCHEMA.add("missing_col", "string"))
 
 
+def test_rejected_lines_are_kept(spark, scratch):
+    rows = ["TransactionID,TransactionDT,V1,card1", "1,10,x,5", "2,ten,x,5", "3,30", "4,,x,", "5,50,x,5,more", "6,6.5,x,1", "", "7,70,,9"]
+    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.text(f"{scratch}/lines")
+    schema = IO.T.StructType([f for f in IO.TRANSACTION_SCHEMA if f.name in ("TransactionID", "TransactionDT", "card1")])
+    good, rejected = IO.read_csv_checked(spark, f"{scratch}/lines", schema)
+    assert good.schema == schema
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 10, 5), (4, None, None), (7, 70, 9)]
+    assert sorted(r.line for r in rejected.collect()) == [rows[2], rows[3], rows[5], rows[6]]
+    assert rejected.count() + good.count() == len(rows) - 2
+    assert [good.select("card1").count(), good.select("TransactionID").agg(F.sum("TransactionID")).first()[0]] == [3, 12]
+    with pytest.raises(ValueError):
+        IO.read_csv_checked(spark, f"{scratch}/lines", IO.IDENTITY_SCHEMA)
+
+
 def test_empty_table_when_absent(spark, scratch):
     df = IO.read_table_or_empty(spark, f"{scratch}/nothing", IO.IDENTITY_SCHEMA)
     assert df.count() == 0 and df.schema == IO.IDENTITY_SCHEMA
