@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,17 +157,48 @@ def unique_key_report(df: DataFrame, key: str) -> DataFrame:
 def labelled_join(features: DataFrame, labels: DataFrame, key: str = "TransactionID",
                   label: str = "isFraud", how: str = "left") -> tuple[DataFrame, DataFrame]:
     """1:1 feature×label join plus its contract report
-    (duplicates on either side, unlabelled rows)."""
+    (duplicates on either side, unlabelled rows).
+
+    The report reads the keys of both sides once, adds them up per key before
+    the only shuffle, and needs no join.  ``how`` is left or inner.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"how must be left or inner, not {how}")
     features = features.drop(label) if label in features.columns else features    # the label table wins
     j = features.join(labels.select(key, label), on=key, how=how)
-    fk = features.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(
-        F.count_if(F.col("_c") > 1).alias("feature_dupes"))
-    lk = labels.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(
-        F.count_if(F.col("_c") > 1).alias("label_dupes"))
-    un = j.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label).isNull()).alias("unlabelled"))
-    rep = un.withColumn("_k", F.lit(1)).join(fk.withColumn("_k", F.lit(1)), "_k") \
-            .join(lk.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return j, rep
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = features.select(key, one.alias("f"), no.alias("l"), no.alias("n")).unionAll(
+        labels.select(key, no, one, F.col(label).isNull().cast("long")))
+    per = sides.groupBy(key).agg(F.sum("f").alias("f"), F.sum("l").alias("l"), F.sum("n").alias("n"))
+    met = F.when(F.col(key).isNotNull(), F.col("l")).otherwise(no)      # a null key meets no label
+    alone = (met == 0) & F.lit(how == "left")
+    return j, per.agg(
+        F.coalesce(F.sum(F.col("f") * F.when(alone, one).otherwise(met)), no).alias("rows"),
+        F.coalesce(F.sum(F.col("f") * F.when(alone, one).when(met > 0, F.col("n")).otherwise(no)), no).alias("unlabelled"),
+        F.count_if(F.col("f") > 1).alias("feature_dupes"), F.count_if(F.col("l") > 1).alias("label_dupes"))
+
+
+def write_labelled(features: DataFrame, labels: DataFrame, path: str, key: str = "TransactionID",
+                   label: str = "isFraud") -> dict[str, int]:
+    """Write the left join and check it in the same pass.
+
+    The features are computed once.  Rows and unlabelled rows are observed
+    while they are written; duplicates come from the key column of what was
+    written and from the labels.  Returns the report of ``labelled_join``.
+    """
+    require_columns(features, [key], "features")
+    require_columns(labels, [key, label], "labels")
+    seen = Observation()
+    j = features.drop(label).join(labels.select(key, label), on=key, how="left")
+    j.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label).isNull()).alias("unlabelled")) \
+        .write.mode("overwrite").parquet(path)
+    out = features.sparkSession.read.schema(j.schema).parquet(path)
+    written = out.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    given = labels.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("l"))
+    copies = F.col("c") > F.coalesce("l", F.lit(1))                      # more rows than one feature row makes
+    dupes = written.join(given, F.col(key) == F.col("_key"), "full").agg(
+        F.count_if(copies).alias("feature_dupes"), F.count_if(F.col("l") > 1).alias("label_dupes")).first()
+    return seen.get | dupes.asDict()
 
 
 def assert_contract(report: DataFrame) -> None:

@@ -82,3 +82,24 @@ def test_contracts(spark):
     _, rep2 = IO.labelled_join(dup, t.select("TransactionID", "isFraud"))
     with pytest.raises(ValueError):
         IO.assert_contract(rep2)
+
+
+def test_contract_of_a_join_is_checked_while_it_is_written(spark, scratch):
+    """Against plain counting: repeated ids on both sides, null ids, null labels, ids on one side alone."""
+    f = [1, 1, 2, 3, 4, 4, None, None, 9]
+    lab = [(1, 0), (2, 1), (2, None), (4, None), (7, 1), (None, 1), (None, 0)]
+    features = spark.createDataFrame([(k, float(i)) for i, k in enumerate(f)], "TransactionID long, x double")
+    labels = spark.createDataFrame(lab, "TransactionID long, isFraud int")
+    for how in ("left", "inner"):
+        made = [m for k in f for m in ([v for j, v in lab if j == k and k is not None] or (["alone"] if how == "left" else []))]
+        j, rep = IO.labelled_join(features, labels, how=how)
+        want = {"rows": len(made), "unlabelled": sum(m in (None, "alone") for m in made), "feature_dupes": 3, "label_dupes": 2}
+        assert j.count() == want["rows"]
+        assert rep.first().asDict() == want
+        if how == "left":
+            assert IO.write_labelled(features, labels, f"{scratch}/joined") == want
+            assert spark.read.parquet(f"{scratch}/joined").count() == want["rows"]
+    none = IO.labelled_join(features.limit(0), labels.limit(0))[1].first()
+    assert tuple(none) == (0, 0, 0, 0)
+    with pytest.raises(ValueError):
+        IO.write_labelled(features, labels.drop("isFraud"), f"{scratch}/never")
