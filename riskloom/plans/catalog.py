@@ -7,6 +7,7 @@ is not SQL-expressible (model training, streams).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -382,6 +383,8 @@ def q_union_uniqueness(spark, sf_dir):
 # --- G1-G3 / G5 / P12 / J14 / P13 / S13 / S14 -----------------------------------------
 from riskloom.functions import text as TX            # noqa: E402
 from riskloom.operators import records as RC         # noqa: E402
+from riskloom.session import ensure_checkpoint_dir     # noqa: E402
+from riskloom.sources import history_store as HS       # noqa: E402
 from riskloom.sources import io as IO                # noqa: E402
 
 # Fixed parameters of the registered text checks: the reference's lists plus
@@ -465,6 +468,18 @@ def q_stored_row_repeated_ids(spark, sf_dir):
                         F.coalesce("o_orderkey", F.lit(-1).cast("long")).alias("first_order"), "found")
 
 
+@register("history_by_days")
+def q_history_by_days(spark, sf_dir):
+    """The history stored in three goes that overlap, then read up to the middle of its time."""
+    t = B.transactions(spark, sf_dir).select("TransactionID", "TransactionDT", "TransactionAmt", "card1")
+    path = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    for part in ("TransactionID % 2 = 0", "TransactionID % 3 <> 0", "true"):
+        HS.add_rows(t.where(part), path)
+    ends = t.agg(F.min("TransactionDT").alias("a"), F.max("TransactionDT").alias("z")).first()
+    days = HS.read_days(spark, path, last=(ends.a + ends.z) // 2 // HS.DAY_SECONDS)
+    return days.select("day", "TransactionID", "TransactionDT", "card1")
+
+
 @register("rejected_lines")
 def q_rejected_lines(spark, sf_dir):
     """Transactions as CSV lines, some with words, fractions or missing fields; all lines come back."""

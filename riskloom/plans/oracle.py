@@ -692,6 +692,10 @@ SELECT a.asked_by, a.k AS TransactionID, count(s.o_orderkey) > 0 AS found,
        coalesce(arg_min(s.o_orderkey, (CAST(s.o_orderdate AS DATE), s.o_orderkey)), -1) AS first_order
 FROM a LEFT JOIN orders s ON s.o_custkey = a.k GROUP BY a.asked_by, a.k"""
 
+ORACLE["history_by_days"] = TX + """
+SELECT TransactionDT // 86400 AS day, TransactionID, TransactionDT, card1 FROM tx
+WHERE TransactionDT // 86400 <= (SELECT (min(TransactionDT) + max(TransactionDT)) // 2 // 86400 FROM tx)"""
+
 ORACLE["rejected_lines"] = TX + """,
 w AS (SELECT TransactionID AS i, CASE WHEN TransactionID % 7 = 0 THEN 'noon'
                WHEN TransactionID % 13 = 0 THEN CAST(TransactionDT AS VARCHAR) || '.5'

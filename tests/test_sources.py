@@ -103,3 +103,39 @@ def test_contract_of_a_join_is_checked_while_it_is_written(spark, scratch):
     assert tuple(none) == (0, 0, 0, 0)
     with pytest.raises(ValueError):
         IO.write_labelled(features, labels.drop("isFraud"), f"{scratch}/never")
+
+
+def test_history_grows_by_days(spark, scratch):
+    """Only the days of new rows are rewritten, files are sorted, and rows added again change nothing."""
+    import glob
+
+    from riskloom.operators import history as H
+    from riskloom.sources import history_store as HS
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, DeviceInfo string"
+    make = lambda ids: spark.createDataFrame([(i, (i * 7919) % 400_000, float(i), i % 5, "d") for i in ids], schema)
+    path = f"{scratch}/history"
+
+    def files():
+        return {d: sorted(glob.glob(f"{path.removeprefix('file:')}/day={d}/*.parquet")) for d in range(-1, 6)}
+
+    assert HS.add_rows(make(range(300)), path) == [0, 1, 2, 3, 4]
+    first = files()
+    extra = spark.createDataFrame([(1000, 2 * 86_400 + 5, 1.0, 1, None), (1001, None, 2.0, 1, None)], schema)
+    assert HS.add_rows(extra.unionAll(extra), path) == [-1, 2]
+    second = files()
+    assert [d for d in first if first[d] != second[d]] == [-1, 2]
+    assert HS.add_rows(make(range(0, 300, 3)).unionAll(extra), path) == [-1, 0, 1, 2, 3, 4]
+    assert HS.add_rows(extra.limit(0), path) == []
+    rows = [tuple(r) for r in HS.read_days(spark, path).select(*extra.columns).collect()]
+    assert sorted(rows, key=lambda r: r[0]) == [tuple(r) for r in make(range(300)).collect()] + [tuple(r) for r in extra.collect()]
+    for name in sum(files().values(), []):
+        times = [(r.TransactionDT or 0, r.TransactionID) for r in spark.read.parquet(name).coalesce(1).collect()]
+        assert times == sorted(times)
+    probes = spark.createDataFrame([(5000, 90_000, 1.0, 1, "d")], schema)
+    near = HS.before(probes, path)
+    assert {r.TransactionDT // 86_400 for r in near.where("TransactionDT IS NOT NULL").collect()} == {0, 1}
+    assert "day" in near._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    whole = HS.read_days(spark, path).drop("day")
+    assert H.lookup(probes, near).collect() == H.lookup(probes, whole).collect()
+    with pytest.raises(ValueError):
+        HS.add_rows(extra.withColumn("TransactionID", F.lit(None).cast("long")), path)
