@@ -26,7 +26,7 @@ def add_rows(rows: DataFrame, path: str) -> list[int]:
     """Merge ``rows`` into the history at ``path``; returns the days that were rewritten.
 
     A transaction id that is stored on its day already keeps the stored row, so
-    the same rows added again change nothing.  Of ids repeated within ``rows``
+    the same rows added again change nothing; on another day it is another row.  Of ids repeated within ``rows``
     the earliest stays, ties going to the smallest values; rows without an id
     are refused, as they could not be told from copies.
     """
@@ -39,8 +39,8 @@ def add_rows(rows: DataFrame, path: str) -> list[int]:
     if not days:
         return []
     stored = read_table_or_empty(spark, path, fresh.schema).where(F.col(DAY).isin(days))
-    left = fresh.join(stored.select(FE.TID, F.col(DAY).alias("_day")), FE.TID, "left").where(f"_day IS NULL OR _day <> {DAY}")
-    changed = cut_lineage(stored.select(*fresh.columns).unionByName(left.select(*fresh.columns).distinct()))
+    left = fresh.join(stored.select(FE.TID, DAY), [FE.TID, DAY], "left_anti")
+    changed = cut_lineage(stored.select(*fresh.columns).unionByName(left.select(*fresh.columns)))
     order = [DAY, FE.DT, FE.TID]
     (changed.repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path))

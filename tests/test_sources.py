@@ -137,5 +137,9 @@ def test_history_grows_by_days(spark, scratch):
     assert "day" in near._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
     whole = HS.read_days(spark, path).drop("day")
     assert H.lookup(probes, near).collect() == H.lookup(probes, whole).collect()
+    other = spark.createDataFrame([(7, 4 * 86_400 + 1, 1.0, 1, "d")], schema)
+    for again in (other, make([7]), other):
+        HS.add_rows(again, path)
+    assert sorted(r.TransactionDT for r in HS.read_days(spark, path).where("TransactionID = 7").collect()) == [55_433, 4 * 86_400 + 1]
     with pytest.raises(ValueError):
         HS.add_rows(extra.withColumn("TransactionID", F.lit(None).cast("long")), path)
