@@ -237,3 +237,83 @@ def test_tree_probabilities_add_up():
     for u, v in ((3, 9), (len(freq), 300)):
         p = 10 ** model.log_probs(np.full(len(w), u), np.full(len(w), v), w)
         assert abs(p.sum() - 1) < 1e-4
+
+
+def small_model():
+    return language_model.Model(language_model.Tree(1000 / np.arange(1, 400)))
+
+
+def learned(base, seed):
+    import copy
+
+    mine = copy.deepcopy(base)
+    mine.rng = np.random.default_rng(seed)
+    u, v, w = (mine.rng.integers(0, n, 3_000) for n in (400, 400, 399))
+    mine.go_through((u, v, w, np.ones(3_000, dtype=np.float32)), lambda _: 0.1)
+    return mine
+
+
+def test_changes_of_one_task_give_its_model():
+    """What a task hands over, put on the model it began with, is the model that plain training gives."""
+    base = small_model()
+    base.scales("r")[:] = 0.5  # not the first round
+    mine = learned(base, 1)
+    for name, _, at, rows, grown in mine.changes(base):
+        base.add(name, at, rows, grown)
+    for name, param in mine.arrays().items():
+        assert np.allclose(param, base.arrays()[name], atol=1e-6) and np.allclose(mine.scales(name), base.scales(name), atol=1e-5)
+
+
+def test_rows_move_by_the_mean_of_the_tasks_that_changed_them(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_model, "CHANGED", 50)  # several blocks
+    base = small_model()
+    tasks = [learned(base, seed) for seed in (1, 2, 3)]
+    parts = [c for t in tasks for c in t.changes(base)]
+    for key in {(name, block) for name, block, *_ in parts}:
+        table = pa.Table.from_batches([language_model.change_batch([p for p in parts if p[:2] == key])])
+        for r in language_model.mean_change(table).to_pylist():
+            assert (r["name"], r["block"]) == key
+            base.add(r["name"], *language_model.numbers_of(r["name"], r["at"], r["rows"], r["grown"]))
+    plain = small_model()
+    for name, before in plain.arrays().items():
+        for i in range(len(before)):
+            moved = [t.arrays()[name][i] - before[i] for t in tasks if t.scales(name)[i] != 0]
+            want = before[i] + (sum(moved) / len(moved) if moved else 0)
+            assert np.allclose(base.arrays()[name][i], want, atol=1e-5), (name, i)
+
+
+def test_training_in_rounds_learns_and_rare_words_fall_into_buckets(spark, monkeypatch):
+    """Small limits send a small corpus through every round and most of its words through buckets."""
+    import random
+
+    for name, value in (("STEPS", 4), ("TASK_DRAWS", 2_000), ("HELD_DRAWS", 1_000), ("TARGETS", 60), ("BUCKET_TOKENS", 32)):
+        monkeypatch.setattr(language_model, name, value)
+    rng = random.Random(8)
+    pairs = [(f"a{i}", f"b{i}") for i in range(120)]
+    rows = [(i, " ".join(x for _ in range(60) for x in rng.choice(pairs)), None) for i in range(300)]
+    rounds = []
+    plain = language_model.learn_in_rounds
+    monkeypatch.setattr(language_model, "learn_in_rounds", lambda model, table, n: (rounds.append(n), plain(model, table, n)))
+    got = language_model.score(cases.documents(spark, rows)).collect()
+    assert rounds[0] > 0.9 * 4 * language_model.BATCH and len(got) == 300
+    assert sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)  # both negative
+
+
+def test_bucket_shares_add_up():
+    """Over all words of a bucket and one unseen word the shares are the whole of the bucket."""
+    hashes, counts = np.array([8, 16], dtype=np.uint64), np.array([9, 7])
+    rare = {3: 2, 7: 1, 11: 4, 6: 3}  # hash: tokens
+    tokens, distinct = np.zeros(4, dtype=np.int64), np.zeros(4, dtype=np.int64)
+    for h, c in rare.items():
+        tokens[h % 4] += c
+        distinct[h % 4] += 1
+    words = language_model.Words(hashes, counts, tokens, distinct, 5)
+    assert not words.rare[words.of(hashes)].any() and sorted(words.freq, reverse=True) == list(words.freq)
+    for bucket in (2, 3):
+        of = [h for h in rare if h % 4 == bucket]
+        number = words.of(np.array(of, dtype=np.uint64))
+        assert len(set(number.tolist())) == 1 and words.rare[number].all()
+        share = sum(rare[h] + 1 for h in of) + 1
+        assert abs(share / 10 ** words.spread[number[0]] - 1) < 1e-9
