@@ -889,6 +889,15 @@ def q_job_calibrate(spark, sf_dir):
     return _job(spark, sf_dir, J.evaluate_and_calibrate_job)
 
 
+@register("job_evaluate_and_calibrate_fixed")
+def q_job_calibrate_fixed(spark, sf_dir):
+    """M20 with D9 / D10 on the fixed score: split, isotonic fit on validation, metrics and curve on test."""
+    from riskloom.plans import jobs as J
+    cfg = J.EvalConfig(score=B.score_expr(F.col("TransactionAmt"), F.col("TransactionDT")))
+    out = J.evaluate_and_calibrate_job(spark, B.transactions(spark, sf_dir), B.identity(spark, sf_dir), cfg)
+    return out.withColumn("value", rnd("value"))
+
+
 # --- T7-T10 / P16 / P17 / J5 -------------------------------------------------------------------
 @register("best_threshold_by_f1")
 def q_best_threshold(spark, sf_dir):

@@ -810,3 +810,43 @@ cr AS (SELECT * REPLACE (CASE WHEN TransactionID % 3 = 0 THEN 7 ELSE card1 END A
          CASE WHEN TransactionID % 3 = 0 THEN 864000 + TransactionDT % 86400 ELSE TransactionDT END AS TransactionDT) FROM m)"""
 ORACLE["features_crowded_day"] = _CROWDED + f"\nSELECT t.TransactionID, {_batch_cols('cr')} FROM cr t"
 ORACLE["features_crowded_day_pit"] = _CROWDED + f"\nSELECT t.TransactionID, {_pit_cols('cr')} FROM cr t"
+
+
+# --- M20 on the fixed score: isotonic fit by its max-min formula ----------------------------------
+_RANK_CTES, _RANK_SELECT = _ranking("ca", None).split("\nSELECT ", 1)
+_TOP = "sum(CASE WHEN rk <= floor(n * {rate}::DOUBLE) THEN y ELSE 0 END) * 1.0 / max(p)"
+_JOB_METRICS = [
+    ("roc_auc", "SELECT roc_auc FROM rm"), ("pr_auc", "SELECT pr_auc_trapezoid FROM rm"),
+    ("precision", "SELECT precision FROM cr"), ("recall", "SELECT recall FROM cr"), ("f1", "SELECT f1 FROM cr"),
+    *[(f"recall_at_{int(rate * 100)}pct", f"SELECT {r6(_TOP.format(rate=rate))} FROM rt") for rate in (0.01, 0.05, 0.10)],
+    ("brier_raw", f"SELECT {r6('avg((raw - y) * (raw - y))')} FROM ca"),
+    ("brier_calibrated", f"SELECT {r6('avg((score - y) * (score - y))')} FROM ca")]
+ORACLE["job_evaluate_and_calibrate_fixed"] = with_sql(SQL_TX, SQL_SCORED) + """,
+so AS (SELECT *, row_number() OVER (ORDER BY TransactionDT, TransactionID) AS rn, count(*) OVER () AS n FROM sc),
+va AS (SELECT * FROM so WHERE rn > floor(n * 0.7::DOUBLE) AND rn <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE))),
+vh AS (SELECT score AS s, sum(y) AS p, count(*) AS w, row_number() OVER (ORDER BY score) AS i FROM va GROUP BY score),
+cu AS (SELECT *, sum(p) OVER (ORDER BY i) AS cp, sum(w) OVER (ORDER BY i) AS cw FROM vh),
+sg AS (SELECT a.i AS a, b.i AS b, CAST(b.cp - a.cp + a.p AS DOUBLE) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS m
+       FROM cu a JOIN cu b ON a.i <= b.i),
+mn AS (SELECT vh.i, sg.a, min(sg.m) AS m FROM vh JOIN sg ON sg.a <= vh.i AND sg.b >= vh.i GROUP BY vh.i, sg.a),
+iso AS (SELECT vh.s, max(mn.m) AS v FROM vh JOIN mn ON mn.i = vh.i GROUP BY vh.s),
+te AS (SELECT TransactionID, TransactionDT, y, score AS raw, (SELECT max(s) FROM iso WHERE s <= score) AS sl,
+         (SELECT min(s) FROM iso WHERE s >= score) AS su
+       FROM so WHERE rn > floor(n * (0.7::DOUBLE + 0.15::DOUBLE))),
+ca AS (SELECT te.*, CASE WHEN sl IS NULL THEN hi.v WHEN su IS NULL OR sl = su THEN lo.v
+         ELSE lo.v + (hi.v - lo.v) * (raw - sl) / (su - sl) END AS score
+       FROM te LEFT JOIN iso lo ON lo.s = te.sl LEFT JOIN iso hi ON hi.s = te.su)""" + _RANK_CTES + f""",
+rm AS (SELECT {_RANK_SELECT}),
+cc AS (SELECT CAST(count_if(y = 0 AND score < 0.5) AS BIGINT) AS tn, CAST(count_if(y = 0 AND score >= 0.5) AS BIGINT) AS fp,
+         CAST(count_if(y = 1 AND score < 0.5) AS BIGINT) AS fn, CAST(count_if(y = 1 AND score >= 0.5) AS BIGINT) AS tp FROM ca),
+cr AS (SELECT {_rates_sql('cc')} FROM cc),
+rt AS (SELECT y, row_number() OVER (ORDER BY score DESC, TransactionDT, TransactionID) AS rk, count(*) OVER () AS n,
+         sum(y) OVER () AS p FROM ca),
+bi AS (SELECT ca.*, (SELECT count(*) FROM unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS u(x)
+         WHERE u.x < ca.score) AS bin FROM ca),
+cv AS (SELECT bin, {r6('avg(y)')} AS prob_true, {r6('avg(score)')} AS prob_pred FROM bi GROUP BY bin),
+al AS (""" + "\nUNION ALL ".join(
+    f"SELECT 'metrics' AS section, '{name}' AS metric, CAST(({sql}) AS DOUBLE) AS value" for name, sql in _JOB_METRICS) + """
+UNION ALL SELECT 'calibration_curve', 'bin_' || CAST(bin AS VARCHAR) || '_mean_predicted', prob_pred FROM cv
+UNION ALL SELECT 'calibration_curve', 'bin_' || CAST(bin AS VARCHAR) || '_fraction_positive', prob_true FROM cv)
+SELECT 'evaluation_metrics' AS report, section, metric, value FROM al"""
