@@ -17,14 +17,12 @@ blocks of matrix products.
 
 The size of the model is bounded, the work that fits it grows with the corpus
 and is done by the executors: children of a node are told from noise drawn from
-their frequencies, on a share of all training tokens (never under ``STEPS`` x
-``BATCH`` draws) and of every word at least ``PER_WORD`` tokens where it has
-them, each weighted by the inverse of its chance.  The draws are stored in
-rounds.  In a round every task starts from the same model, trains on draws of
-its own and gives the rows that it changed; each row moves by the mean change
-of the tasks that touched it, added up block by block in a shuffle.  The driver
-holds one model and no draws.  A corpus with fewer draws is gone through
-several times in one task.
+their frequencies, on every training token.  The training texts are dealt to
+rounds.  In a round every task starts from the same model, trains on all tokens
+of its own texts and gives the rows that it changed; each row moves by the mean
+change of the tasks that touched it, added up block by block in a shuffle.  The
+driver holds one model and no tokens.  A corpus of fewer than ``STEPS`` x
+``BATCH`` tokens is gone through several times in one task.
 
 The ``TABLE`` most frequent words go to every worker with their counts; rarer
 words are joined with the counts by Spark.
@@ -38,7 +36,6 @@ a text of any length is scored whole, ``SCORE_TOKENS`` tokens at a time.
 from __future__ import annotations
 
 import copy
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import chunks, crc_mod, id_text, small_batches
-from riskloom.llm.hashing import BASE, FOLD, U, mix, word_hashes
-from riskloom.session import cut_lineage, ensure_checkpoint_dir
+from riskloom.llm.hashing import FOLD, U, word_hashes
+from riskloom.session import cut_lineage
 
 #: Training tokens from which on a word has its own vectors.
 LEAST = 5
@@ -56,14 +53,12 @@ LEAST = 5
 TARGETS, BUCKETS, BUCKET_TOKENS = 131_072, 4_096, 256
 TABLE = 1 << 19
 DIM = 24
-#: Draws: at least STEPS x BATCH, at least SHARE of the training tokens, and PER_WORD of each word.
+#: Steps of a small corpus at least, tokens of a step.
 STEPS = 1_000
 BATCH = 2_048
 PIECE = 128
-SHARE = 1 / 16
-PER_WORD = 10
-#: Rounds of training, draws of a task in a round, most tasks in a round, draws that a task holds at once.
-ROUNDS, TASK_DRAWS, MOST_TASKS, HELD_DRAWS = 6, 400_000, 1_024, 1 << 19
+#: Rounds of training, tokens of a task in a round, most tasks in a round, tokens that a task holds at once.
+ROUNDS, TASK_DRAWS, MOST_TASKS, HELD_DRAWS = 6, 2_400_000, 1_024, 1 << 19
 #: Rows of a block of changes.
 CHANGED = 4_096
 #: Noise of a batch among the top nodes, and of each draw among the children of its other nodes.
@@ -142,10 +137,16 @@ class Tree:
 
 def summed_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct numbers, sum of the rows of each)."""
-    order = np.argsort(at, kind="stable")
+    order, first, at = grouped(at)
+    return at, np.add.reduceat(rows[order], first, axis=0)
+
+
+def grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts the numbers, where each distinct one begins in it, the distinct numbers)."""
+    order = np.argsort(at)
     at = at[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+    return order, first, at[first]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -183,9 +184,11 @@ class Model:
 
     def step(self, name: str, param: np.ndarray, at: np.ndarray, rows: np.ndarray, rate: float) -> None:
         """Adagrad with one scale a row, on the rows that the batch touches."""
-        at, g = summed_rows(at, rows)
+        self.move(name, param, *summed_rows(at, rows), rate)
+
+    def move(self, name: str, param: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
         scale = self.seen.setdefault(name, np.zeros(len(param), dtype=np.float32))
-        scale[at] += (g * g).mean(1) if g.ndim == 2 else g * g
+        scale[at] += np.einsum("nd,nd->n", g, g) / g.shape[1] if g.ndim == 2 else g * g
         size = np.sqrt(scale[at]) + 1e-6
         param[at] -= np.float32(rate) * (g / (size[:, None] if g.ndim == 2 else size))
 
@@ -213,26 +216,30 @@ class Model:
             low, high = upto[begin[parent]][:, None], upto[begin[parent + 1]][:, None]
             at = np.searchsorted(upto, low + self.rng.random((len(some), NOISE_BELOW)) * (high - low), side="right") - 1
             at = np.clip(at, begin[parent][:, None], begin[parent + 1][:, None] - 1)
-            at = np.concatenate([self.tree.paths[level][w[some]][:, None], at], axis=1)  # the true child first
+            at = np.concatenate([self.tree.paths[level][w[some]][:, None], at.astype(np.int32)], axis=1)  # the true child first
             rows, hs = self.q[level][at], h[some]
             g = sigmoid(np.einsum("nkd,nd->nk", rows, hs) + self.b[level][at] - self.noise[level][at]
                         - np.float32(np.log(NOISE_BELOW)))
             g[:, 0] -= 1
             g *= weight[some][:, None]
             gh[some] += np.einsum("nk,nkd->nd", g, rows)
-            self.step(f"q{level}", self.q[level], at.ravel(), (g[:, :, None] * hs[:, None, :]).reshape(-1, DIM), rate)
-            self.step(f"b{level}", self.b[level], at.ravel(), g.ravel(), rate)
+            order, first, at = grouped(at.ravel())
+            g = g.ravel()[order]
+            moved = hs[order // (1 + NOISE_BELOW)]
+            moved *= g[:, None]
+            self.move(f"q{level}", self.q[level], at, np.add.reduceat(moved, first, axis=0), rate)
+            self.move(f"b{level}", self.b[level], at, np.add.reduceat(g, first), rate)
         back = [product(gh, c.T) for c in self.c]
         for k, x in enumerate((ru, rv)):
             self.step(f"c{k}", self.c[k], np.arange(DIM), inner(x, gh), rate / 10)
         self.step("r", self.r, np.concatenate([u, v]), np.concatenate(back), rate)
 
     def train(self, source, n_draws: int) -> None:
-        """``source`` is a table of draws by round, or a function that gives one shard of (u, v, w, weight) arrays."""
-        if isinstance(source, DataFrame):
-            learn_in_rounds(self, source, n_draws)
-        else:
+        """``source`` is (training texts, words), or a function that gives one shard of (u, v, w, weight) arrays."""
+        if callable(source):
             self.passes(source(), n_draws, STEPS)
+        else:
+            learn_in_rounds(self, source, n_draws)
 
     def passes(self, shard: tuple[np.ndarray, ...], n_draws: int, steps: int) -> None:
         """Goes through the shard until ``steps`` batches are done at least."""
@@ -336,33 +343,37 @@ def mean_change(table: pa.Table) -> pa.Table:
         table.column("name")[0].as_py(), table.column("block")[0].as_py(), at, mean[:, :-1], mean[:, -1])])])
 
 
-def learn_in_rounds(model: Model, draws_by_round: DataFrame, n_draws: int) -> None:
-    """Trains ``model`` on executors; the driver holds the model alone, whose size is bounded by its vocabulary's."""
-    few_draws = n_draws < 0.9 * STEPS * BATCH  # a larger corpus draws about STEPS x BATCH at least
+def learn_in_rounds(model: Model, source: tuple[DataFrame, Words], n_tokens: int) -> None:
+    """Trains ``model`` on every token of the texts, on executors; the driver holds the model alone, whose size is
+    bounded by its vocabulary's."""
+    training, words = source
+    few_draws = n_tokens < STEPS * BATCH
     rounds = 1 if few_draws else ROUNDS
-    while n_draws > rounds * MOST_TASKS * TASK_DRAWS:
+    while n_tokens > rounds * MOST_TASKS * TASK_DRAWS:
         rounds += ROUNDS
-    tasks = max(1, -(-n_draws // (rounds * TASK_DRAWS)))
+    tasks = max(1, -(-n_tokens // (rounds * TASK_DRAWS)))
     steps = STEPS
-    for k in range(rounds if n_draws else 0):
-        sent = draws_by_round.sparkSession.sparkContext.broadcast(model)
+    for k in range(rounds if n_tokens else 0):
+        sent = training.sparkSession.sparkContext.broadcast((model, words))
 
         def work(batches, sent=sent, k=k):
-            base = sent.value
+            base, words = sent.value
             mine = copy.deepcopy(base)
             mine.rng = np.random.default_rng([k, TaskContext.get().partitionId()])
             held, n = [], 0
 
             def learn():
-                shard = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+                shard = u, v, w, np.ones(len(w), dtype=np.float32)
                 if few_draws:
                     mine.passes(shard, n, steps)
                 else:
                     mine.go_through(shard, lambda _: RATE * max(0.05, 1 - k / rounds))
 
-            for b in batches:
-                held.append(tuple(b.column(i).to_numpy() for i in range(4)))
-                n += b.num_rows
+            for b in chunks(batches):
+                hashes, owner = hashes_of(b)
+                held.append(words.trigrams(words.of(hashes), owner, b.num_rows)[:3])
+                n += len(held[-1][2])
                 if n >= HELD_DRAWS and not few_draws:
                     learn()
                     held, n = [], 0
@@ -372,8 +383,8 @@ def learn_in_rounds(model: Model, draws_by_round: DataFrame, n_draws: int) -> No
             if changes:
                 yield change_batch(changes)
 
-        part = draws_by_round.where((F.col("round") % rounds) == k).select("u", "v", "w", "weight")
-        changed = (small_batches(part.coalesce(tasks), 1 << 16).mapInArrow(work, CHANGE_SCHEMA)
+        part = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
+        changed = (small_batches(part.coalesce(tasks)).mapInArrow(work, CHANGE_SCHEMA)
                    .groupBy("name", "block").applyInArrow(mean_change, CHANGE_SCHEMA))
         for b in changed.toArrow().to_batches():
             for r in b.to_pylist():
@@ -436,39 +447,10 @@ def train(codes: np.ndarray, counts: np.ndarray, size: int, seed: int = 11) -> n
                            np.tile(number[:outs], size * size)).reshape(size * size, outs)
 
 
-def draws(training: DataFrame, words: Words, n_tokens: int) -> DataFrame:
-    """Weighted training trigrams (u, v, w, weight, round), stored in the shared checkpoint folder by round."""
-    share = min(1.0, max(SHARE, STEPS * BATCH / max(1, n_tokens)))
-    chance = np.minimum(1.0, np.maximum(share, PER_WORD / words.freq))
-    rounds = ROUNDS
-    while (chance * words.freq).sum() > rounds * MOST_TASKS * TASK_DRAWS:
-        rounds += ROUNDS
-    sent = training.sparkSession.sparkContext.broadcast((words, chance))
-
-    def work(batches):
-        words, chance = sent.value
-        for b in chunks(batches):
-            hashes, owner = hashes_of(b)
-            u, v, w, text, place = words.trigrams(words.of(hashes), owner, b.num_rows)
-            ids = np.asarray(b.column("doc_id")).astype(np.int64).view(U)
-            key = mix(mix(ids[text] * BASE + U(1)) + place.astype(U))
-            keep = (key >> U(11)).astype(np.float64) < chance[w] * 2.0 ** 53
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (u, v, w)] + [pa.array((1 / chance[w[keep]]).astype(np.float32)),
-                 pa.array((mix(key[keep]) % U(rounds)).astype(np.int32))], names=["u", "v", "w", "weight", "round"])
-
-    path = f"{ensure_checkpoint_dir(training.sparkSession).rstrip('/')}/draws-{uuid.uuid4().hex}"
-    schema = "u int, v int, w int, weight float, round int"
-    small_batches(training).mapInArrow(work, schema).write.partitionBy("round").parquet(path)
-    sent.destroy()
-    return training.sparkSession.read.schema(schema).parquet(path)
-
-
 def fitted(training: DataFrame, words: Words, n_tokens: int, classes: int | None) -> Model:
     model = Model(Tree(words.freq, classes))
     if n_tokens:
-        table = draws(training, words, n_tokens)
-        model.train(table, table.count())
+        model.train((training, words), n_tokens)
     model.seen, model.noise, model.upto = {}, [], []  # only needed to learn
     return model
 

@@ -301,6 +301,41 @@ def test_training_in_rounds_learns_and_rare_words_fall_into_buckets(spark, monke
     assert sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)  # both negative
 
 
+def test_every_training_token_is_learned_once(spark, monkeypatch):
+    """A model that only counts what it is trained on has the counts of the whole corpus in the end."""
+    import random
+
+    monkeypatch.setattr(language_model, "STEPS", 1)
+
+    class Counting(language_model.Model):
+        def go_through(self, shard, rate):
+            for name, at in (("b2", shard[2]), ("r", shard[1])):
+                n = np.bincount(at, weights=shard[3], minlength=len(self.scales(name))).astype(np.float32)
+                self.arrays()[name][:] += n if name == "b2" else n[:, None]
+                self.scales(name)[:] += n
+
+    class Sent:  # goes with the function, as the class above does
+        def __init__(self, value):
+            self.value = value
+
+        def destroy(self):
+            pass
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", Sent)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(100)), None) for i in range(400)]
+    rows += rows[:5]  # repeated rows count again
+    hashes, owner = language_model.word_hashes([t.encode() for _, t, _ in rows])
+    keys, counts = np.unique(hashes, return_counts=True)
+    words = language_model.Words(keys, counts, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), len(rows))
+    model = Counting(language_model.Tree(words.freq))
+    before = model.b[2].copy()
+    language_model.learn_in_rounds(model, (language_model.id_text(cases.documents(spark, rows)), words), len(hashes) + len(rows))
+    learned_counts = model.b[2] - before
+    assert np.allclose(learned_counts[words.of(keys)], counts, atol=0.1)
+    assert abs(learned_counts[words.end] - len(rows)) < 0.1
+
+
 def test_bucket_shares_add_up():
     """Over all words of a bucket and one unseen word the shares are the whole of the bucket."""
     hashes, counts = np.array([8, 16], dtype=np.uint64), np.array([9, 7])
