@@ -160,23 +160,26 @@ def review_groups(df: DataFrame, y: str, score: str, rates: Sequence[float], rou
     for i, name in enumerate(near):
         (a, *_), (b, *_) = cuts[len(marks) + 2 * i:len(marks) + 2 * i + 2]
         thresholds[name] = a + near[name] * (b - a)
-    aggs = []
-    own = lambda name: F.col(group).eqNullSafe(F.lit(name)) if group else F.lit(True)
-    for i, rate in enumerate(rates):
-        cond = F.lit(False)
-        for name in heads:
-            cut = cuts[marks.index((name, rate))]
-            if cut is not None:
-                cond = F.when(own(name), O.lex_before(df, so, cut)).otherwise(cond)
-        aggs.append(F.sum(F.when(cond, F.col(y).cast("long"))).alias(f"hit{i}"))
-    over = F.lit(False)
-    for name, t in thresholds.items():
-        over = F.when(own(name), ~O.missing(df, score) & (F.col(score) >= F.lit(t))).otherwise(over)
+    keys = O.sort_keys(df, so)
+    name_of = lambda k, i, x: f"_c{k}{x}{i}"
+    columns = [f"{name_of(k, i, 's')} int, {name_of(k, i, 'v')} {O.key_type(whole)}"
+               for k in range(len(rates)) for i, (_, _, whole) in enumerate(keys)]
+    at = []
+    for name in heads:
+        row = [cuts[marks.index((name, rate))] for rate in rates]
+        row = [O.cut_key(df, so, cut) if cut is not None else [(None, None)] * len(keys) for cut in row]
+        at.append((name, thresholds.get(name), *[x for key in row for pair in key for x in pair]))
+    if not at:
+        return {}
+    marked = O.by_group(df, group, at, ", ".join(["_over double", *columns]))
+    aggs = [F.sum(F.when(O.at_or_before(df, so, lambda i, x, k=k: name_of(k, i, x)), F.col(y).cast("long"))).alias(f"hit{k}")
+            for k in range(len(rates))]
+    over = F.coalesce(~O.missing(df, score) & (F.col(score) >= F.col("_over")), F.lit(False))
     yy = F.coalesce(F.col(y) == 1, F.lit(False))
     aggs += [F.count_if(~yy & ~over).alias("tn"), F.count_if(~yy & over).alias("fp"),
              F.count_if(yy & ~over).alias("fn"), F.count_if(yy & over).alias("tp")]
     out: dict = {}
-    for r in df.groupBy(g.alias("g")).agg(*aggs).collect():
+    for r in marked.groupBy(g.alias("g")).agg(*aggs).collect():
         name, h = r["g"], heads[r["g"]]
         for i, rate in enumerate(rates):
             k, hit, cut = wanted[marks.index((name, rate))][1], r[f"hit{i}"] or 0, cuts[marks.index((name, rate))]
@@ -237,20 +240,36 @@ def calibration_curve(df: DataFrame, y: str, score: str, n_bins: int = 10, strat
                  F.avg(F.col(score)).alias("prob_pred")))
 
 
-def by_case(df: DataFrame, cases: Sequence[tuple[str, Column, Column]], keep: Sequence[str]) -> DataFrame:
-    """Rows repeated for every (name, condition, score) they satisfy: columns ``keep``, ``case``, ``case_score``."""
-    each = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(name).alias("case"),
-                                                                    score.cast("double").alias("case_score")))
-                     for name, cond, score in cases])
-    long = df.select(*keep, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("_c"))
+def by_case(df: DataFrame, cases: Sequence[tuple[str, Column, Column | str]], keep: Sequence[str]) -> DataFrame:
+    """Rows repeated for every (name, condition, score) they satisfy: columns ``keep``, ``case``, ``case_score``.
+
+    Only one narrow row of conditions (bits) and scores for each row of ``df`` is stored; it is repeated where it is
+    read.  Scores given by name are stored once.
+    """
+    stored, at = {}, []
+    for i, (_, _, score) in enumerate(cases):
+        at.append(f"_score_{score}" if isinstance(score, str) else f"_case{i}")
+        stored.setdefault(at[-1], (F.col(score) if isinstance(score, str) else score).cast("double").alias(at[-1]))
+    bits = []
+    for first in range(0, len(cases), 60):
+        one = [F.when(F.coalesce(cond, F.lit(False)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+               for i, (_, cond, _) in enumerate(cases[first:first + 60])]
+        bits.append(F.lit(0).cast("long"))
+        for b in one:
+            bits[-1] = bits[-1].bitwiseOR(b)
+    narrow = cut_lineage(df.select(*keep, *stored.values(), *[b.alias(f"_bits{k}") for k, b in enumerate(bits)]))
+    each = [F.when(F.col(f"_bits{i // 60}").bitwiseAND(F.lit(1 << i % 60).cast("long")) != 0,
+                   F.struct(F.lit(name).alias("case"), F.col(at[i]).alias("case_score")))
+            for i, (name, _, _) in enumerate(cases)]
+    long = narrow.select(*keep, F.explode(F.array(*each)).alias("_c")).where("_c is not null")
     return long.select(*keep, "_c.case", "_c.case_score")
 
 
 def segment_review(df: DataFrame, y: str, scores: Sequence[str], segments: dict[str, Column], rate: float,
                    order: O.Order = O.TIME_ORDER) -> list[dict]:
     """Exact top-k metrics of each score inside each (overlapping) segment, in one selection."""
-    cases = [(f"{s}\t{name}", cond, F.col(s)) for name, cond in segments.items() for s in scores]
-    long = cut_lineage(by_case(df, cases, [c for c, _ in order] + [y]))
+    cases = [(f"{s}\t{name}", cond, s) for name, cond in segments.items() for s in scores]
+    long = by_case(df, cases, [c for c, _ in order] + [y])
     found = review_groups(long, y, "case_score", [rate], "ceil", order, "case")
     out = []
     for name in segments:

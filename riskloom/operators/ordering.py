@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 Order = Sequence[tuple[str, bool]]      # (column, ascending)
 TIME_ORDER: Order = (("TransactionDT", True), ("TransactionID", True))
 
-FANOUT = 64            # buckets per region and round
-NARROW_ABOVE = 5_000_000   # larger inputs are written narrowed to the open regions after the second round
+BUCKETS = 1024         # buckets per region and round
+NARROW_ABOVE = 5_000_000   # larger inputs are written narrowed to the open regions once these are a quarter or less
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -49,88 +49,156 @@ def lex_before(df: DataFrame, order: Order, cut: Sequence, inclusive: bool = Tru
     return F.coalesce(cond, F.lit(False))
 
 
+# A column's key is a pair (side, value) that rises with the order: the sides are -inf, below 0, 0, above 0, inf and
+# missing in a floating column, present and missing in another one.
+SIDES, REAL_GONE, WHOLE_GONE = {0: -math.inf, 2: 0.0, 4: math.inf, 5: 0.0}, 5, 1
+WIDE = 1 << 20         # more than any bucket number
+
+
+def sort_keys(df: DataFrame, order: Order) -> list[tuple[Column, Column, bool]]:
+    """(side, value, is it whole) of every order column; descending columns are turned round."""
+    out = []
+    for c, asc in order:
+        gone = missing(df, c)
+        if _is_float(df, c):
+            x = F.col(c).cast("double") if asc else -F.col(c).cast("double")
+            side = (F.when(gone, REAL_GONE).when(x == -math.inf, 0).when(x < 0, 1).when(x == 0, 2)
+                    .when(x == math.inf, 4).otherwise(3))
+            out.append((side, F.when(gone, F.lit(0.0)).otherwise(x), False))
+        else:
+            x = F.col(c).cast("long") if asc else F.bitwise_not(F.col(c).cast("long"))
+            out.append((F.when(gone, WHOLE_GONE).otherwise(0), F.when(gone, F.lit(0).cast("long")).otherwise(x), True))
+    return out
+
+
+def cut_key(df: DataFrame, order: Order, cut: Sequence) -> list[tuple]:
+    """(side, value) of every value of a cut tuple."""
+    out = []
+    for (c, asc), v in zip(order, cut):
+        if not _is_float(df, c):
+            out.append((WHOLE_GONE, 0) if v is None else (0, v if asc else ~v))
+            continue
+        x = v if v is None or asc else -v
+        side = REAL_GONE if x is None else 1 if x < 0 else 2 if x == 0 else 3
+        out.append((0 if x == -math.inf else 4 if x == math.inf else side, 0.0 if x is None else x))
+    return out
+
+
+def key_type(whole: bool) -> str:
+    return "long" if whole else "double"
+
+
+def by_group(df: DataFrame, group: str | None, rows: list[tuple], columns: str) -> DataFrame:
+    """``df`` with the columns of ``rows`` (group value first), a few for each group, sent to all tasks."""
+    kind = dict(df.dtypes)[group] if group else "string"
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, f"_g {kind}, {columns}"))
+    return df.join(table, F.col(group).eqNullSafe(F.col("_g"))).drop("_g") if group else df.crossJoin(table.drop("_g"))
+
+
 class _Search:
-    """One wanted position: the region (equal keys so far, then lo < key <= hi) that still holds it."""
+    """One wanted position: the region (equal keys so far, then one side's lo..hi) that still holds it.
+
+    ``spread`` is (lowest, highest) value of the rows that the next round cuts into buckets; without it the round
+    only looks for them.
+    """
 
     def __init__(self, group, rank: int) -> None:
         self.group, self.rank = group, rank
-        self.fixed: list = []
-        self.lo = self.hi = None
-        self.pivots: tuple = ()
+        self.fixed: list[tuple] = []
+        self.side = self.spread = None
+        self.rows = 0
 
     def region(self) -> tuple:
-        return (self.group, tuple(self.fixed), self.lo, self.hi, self.pivots)
+        return (self.group, tuple(self.fixed), self.side, self.spread)
 
+    def fix(self, side: int, value) -> None:
+        self.fixed.append((side, value))
+        self.side = self.spread = None
 
-def _pivots(low, high, quantiles: Sequence, whole: bool) -> tuple:
-    """Values that cut [low, high]: approximate quantiles for speed, equal steps so that every round gains."""
+
+def _cutting(side: int | None, spread: tuple | None, whole: bool) -> tuple:
+    """How a region's values become buckets: (mode, whole origin, whole step, real origin, real span).
+
+    Modes: 0 none, 1 whole steps, 2 whole steps of 256 (so that differences fit), 3 real steps, 4 steps of the
+    logarithm, 5 real steps of half the value.  Each rises with the value.
+    """
+    if spread is None:
+        return 0, 0, 1, 0.0, 1.0
+    low, high = spread
     if whole:
-        steps = [low + (high - low) * j // 16 for j in range(1, 16)]
-    else:
-        steps = [low + (high - low) * (j / 16) for j in range(1, 16)]
-    return tuple(sorted({q for q in [*quantiles, *steps, low] if low <= q < high}))
+        shift = 0 if high - low < 1 << 62 else 8
+        return 2 if shift else 1, low >> shift, ((high >> shift) - (low >> shift)) // BUCKETS + 1, 0.0, 1.0
+    if side is None:                     # values of several signs
+        return 5, 0, 1, low / 2, (high / 2 - low / 2) or 1.0
+    if max(abs(low), abs(high)) / BUCKETS > min(abs(low), abs(high)):
+        sign = math.copysign(1.0, low)
+        return 4, 0, 1, sign * math.log(abs(low)), sign * (math.log(abs(high)) - math.log(abs(low)))
+    return 3, 0, 1, low, high - low
 
 
 def kth_cuts(df: DataFrame, order: Order, wanted: Sequence[tuple], group: str | None = None) -> list[tuple | None]:
     """Values of the order columns at each wanted (group value, 1-based position); None outside the group.
 
-    All positions share the rounds.  A round is one aggregate: rows of the open
-    regions are counted by bucket, with each bucket's extremes and approximate
-    quantiles as the next pivots.  Integers are compared as integers, missing
-    values (null, NaN) come last.  Only bucket rows reach the driver.
+    All positions share the rounds.  A round joins every row with the open
+    region of its group that holds it (a small table) and counts the rows by
+    region and bucket; a bucket's lowest and highest value are the next region.
+    The work of a row does not depend on the number of regions.  Integers are
+    compared as integers, missing values (null, NaN) come last.  Only bucket
+    rows reach the driver.
     """
-    keys: list[tuple[Column, bool]] = []       # (ascending key, is it whole) per level
-    cand = df.select(*[c for c, _ in order], *([group] if group else []))
-    for c, asc in order:
-        gone = missing(df, c)
-        keys.append((gone.cast("long"), True))
-        if _is_float(df, c):
-            x = F.col(c).cast("double") if asc else -F.col(c).cast("double")
-            keys.append((F.when(gone, F.lit(0.0)).otherwise(x), False))
-        else:
-            x = F.col(c).cast("long") if asc else F.bitwise_not(F.col(c).cast("long"))
-            keys.append((F.when(gone, F.lit(0).cast("long")).otherwise(x), True))
+    from riskloom.session import cut_lineage
+    keys = sort_keys(df, order)
+    wholes = [whole for _, _, whole in keys]
+    cand = df.select(*([F.col(group).alias("_group")] if group else []),
+                     *[x for i, (s, v, _) in enumerate(keys) for x in (s.cast("int").alias(f"_s{i}"), v.alias(f"_v{i}"))])
     searches = [_Search(g, k) if k and k > 0 else None for g, k in wanted]
     active = [s for s in searches if s is not None]
-    turn, total = 0, 0
+    names = ["_id int", "_level int", "_side int", "_wlo long", "_whi long", "_rlo double", "_rhi double",
+             "_mode int", "_w0 long", "_wstep long", "_r0 double", "_rspan double",
+             *[f"_fs{i} int, _fv{i} {key_type(w)}" for i, w in enumerate(wholes)]]
+    pick = lambda name: F.expr("case " + " ".join(f"when _level = {i} then {name(i)}" for i in range(len(keys))) + " end")
+    size = still_open = None
     while active:
         regions = list(dict.fromkeys(s.region() for s in active))
-        tag, whole_key, real_key, inside = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double"), []
-        for i, (g, fixed, lo, hi, pivots) in enumerate(regions):
-            key, whole = keys[len(fixed)]
-            cond = F.col(group).eqNullSafe(F.lit(g)) if group else F.lit(True)
-            for (k, _), v in zip(keys, fixed):
-                cond = cond & (k == F.lit(v))
-            cond = cond if lo is None else cond & (key > F.lit(lo))
-            cond = cond if hi is None else cond & (key <= F.lit(hi))
-            bucket = F.lit(0)
-            if pivots:                          # number of pivots below the key: a search in a sorted literal array
-                bucket = F.size(F.filter(F.array(*[F.lit(p) for p in pivots]), lambda p: p < key))
-            tag = F.when(cond, F.lit(i * 1000) + bucket).otherwise(tag)
-            whole_key = F.when(cond, key).otherwise(whole_key) if whole else whole_key
-            real_key = F.when(cond, key).otherwise(real_key) if not whole else real_key
-            inside.append(cond)
-        if turn == 2 and total > NARROW_ABOVE:
-            keep = inside[0]
-            for c in inside[1:]:
-                keep = keep | c
-            from riskloom.session import cut_lineage
-            cand = cut_lineage(cand.where(keep))
-        share = [j / FANOUT for j in range(1, FANOUT)]
-        rows = (cand.select(tag.alias("_tag"), whole_key.alias("_w"), real_key.alias("_r")).where("_tag is not null")
-                .groupBy("_tag").agg(F.count(F.lit(1)).alias("n"), F.min("_w").alias("wlo"), F.max("_w").alias("whi"),
-                                     F.percentile_approx("_w", share, 1000).alias("wq"), F.min("_r").alias("rlo"),
-                                     F.max("_r").alias("rhi"), F.percentile_approx("_r", share, 1000).alias("rq")).collect())
+        rows = []
+        for i, (g, fixed, side, spread) in enumerate(regions):
+            level, bounds = len(fixed), [None] * 4
+            if side is not None:
+                bounds = [*spread, None, None] if wholes[level] else [None, None, *spread]
+            rest = [x for j in range(len(keys)) for x in (fixed[j] if j < level else (None, None))]
+            rows.append((g, i, level, side, *bounds, *_cutting(side, spread, wholes[level]), *rest))
+        held = by_group(cand, "_group" if group else None, rows, ", ".join(names))
+        cond = " and ".join(f"(_level <= {i} or (_s{i} = _fs{i} and _v{i} = _fv{i}))" for i in range(len(keys)))
+        held = held.where(cond).select(
+            "*", pick(lambda i: f"_s{i}").alias("_s"),
+            pick(lambda i: f"_v{i}" if wholes[i] else "cast(null as long)").alias("_w"),
+            pick(lambda i: "cast(null as double)" if wholes[i] else f"_v{i}").alias("_r"))
+        held = held.where("_side is null or (_s = _side and coalesce(_w between _wlo and _whi, _r between _rlo and _rhi))")
+        if size is not None and size > NARROW_ABOVE and still_open * 4 <= size:
+            cand, size = cut_lineage(held.select(cand.columns)), still_open    
+            continue
+        real = "(case _mode when 3 then _r when 5 then _r / 2 else sign(_r) * ln(abs(_r)) end - _r0) / _rspan"
+        bucket = F.expr(f"""case when _mode = 0 then 0
+            when _mode = 1 and _s = 0 then try_subtract(_w, _w0) div _wstep
+            when _mode = 2 and _s = 0 then (shiftright(_w, 8) - _w0) div _wstep
+            when _mode > 2 and _s in (1, 3) then
+                cast(least(greatest({real} * {BUCKETS}, cast(-1 as double)), cast({2 * BUCKETS} as double)) as long)
+            else 0 end""")
+        side = F.when(F.col("_mode") == 0, 0).otherwise(F.col("_s"))
+        finite = F.when(F.col("_s").isin(1, 2, 3), F.col("_r"))
+        present = F.when(F.col("_s") == 0, F.col("_w"))
         found: dict[int, list] = {}
-        for r in rows:
-            found.setdefault(r["_tag"] // 1000, []).append(r)
-        total = total or sum(r["n"] for r in rows)
+        for r in held.groupBy("_id", (side * WIDE + bucket).alias("_tag")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("_s").alias("slo"), F.max("_s").alias("shi"), F.min(present).alias("wlo"),
+                F.max(present).alias("whi"), F.min(finite).alias("rlo"), F.max(finite).alias("rhi")).collect():
+            found.setdefault(r["_id"], []).append(r)
+        if size is None:
+            size = sum(r["n"] for rs in found.values() for r in rs)
+        number = {region: i for i, region in enumerate(regions)}
         still = []
         for s in active:
-            whole = keys[len(s.fixed)][1]
-            buckets = sorted(found.get(regions.index(s.region()), []), key=lambda r: r["_tag"])
-            hit = None
-            for r in buckets:
+            hit, whole = None, wholes[len(s.fixed)]
+            for r in sorted(found.get(number[s.region()], []), key=lambda r: r["_tag"]):
                 if s.rank <= r["n"]:
                     hit = r
                     break
@@ -138,35 +206,41 @@ def kth_cuts(df: DataFrame, order: Order, wanted: Sequence[tuple], group: str |
             if hit is None:
                 searches[searches.index(s)] = None
                 continue
-            low, high, q = (hit["wlo"], hit["whi"], hit["wq"]) if whole else (hit["rlo"], hit["rhi"], hit["rq"])
-            if low == high:
-                s.fixed.append(low)
-                s.lo = s.hi = None
-                s.pivots = ()
+            low, high = (hit["wlo"], hit["whi"]) if whole else (hit["rlo"], hit["rhi"])
+            if hit["slo"] == hit["shi"] and (low is None or low == high):
+                s.fix(hit["slo"], low if low is not None else 0 if whole else SIDES[hit["slo"]])
                 if len(s.fixed) == len(keys):
                     continue
             else:
-                at, old = hit["_tag"] % 1000, s.pivots
-                s.lo = old[at - 1] if at else s.lo
-                s.hi = old[at] if at < len(old) else s.hi
-                s.pivots = _pivots(low, high, q or [], whole)
+                s.side = hit["slo"] if hit["slo"] == hit["shi"] else None
+                s.spread = (low, high) if low is not None else (0, 0) if whole else (0.0, 0.0)
+            s.rows = hit["n"]
             still.append(s)
         active = still
-        turn += 1
+        still_open = sum({s.region(): s.rows for s in active}.values())
     out = []
     for s in searches:
         if s is None:
             out.append(None)
             continue
         values = []
-        for i, (c, asc) in enumerate(order):
-            flag, key = s.fixed[2 * i], s.fixed[2 * i + 1]
-            value = key if asc else (-key if _is_float(df, c) else ~key)
-            values.append(None if flag else value)
+        for (c, asc), (side, key) in zip(order, s.fixed):
+            gone = side == (REAL_GONE if _is_float(df, c) else WHOLE_GONE)
+            values.append(None if gone else key if asc else -key if _is_float(df, c) else ~key)
         out.append(tuple(values))
     return out
 
 
+def at_or_before(df: DataFrame, order: Order, name) -> Column:
+    """Row sorts at or before the cut whose key (``cut_key``) stands in the columns ``name(i, "s")`` and ``name(i, "v")``;
+    false where the cut is null."""
+    cond = F.lit(True)
+    for i, (side, value, _) in reversed(list(enumerate(sort_keys(df, order)))):
+        s, v = F.col(name(i, "s")), F.col(name(i, "v"))
+        cond = (side < s) | ((side == s) & ((value < v) | ((value == v) & cond)))
+    return F.coalesce(cond, F.lit(False))
+
+
 def kth_cut(df: DataFrame, order: Order, k: int) -> tuple | None:
     """Values of the order columns at the k-th row (1-based) in ``order``."""
     return kth_cuts(df, order, [(None, k)])[0]

@@ -140,3 +140,37 @@ def test_auc_of_huge_counts(spark, monkeypatch):
     monkeypatch.setattr(M, "score_histogram", lambda *a: hist)
     df = spark.createDataFrame([(0, 0.25), (1, 0.75)], "y int, score double")
     assert M.ranking_metrics(df, "y", "score").first().roc_auc == 1.0
+
+
+def test_cuts_of_many_groups_with_extreme_values(spark, monkeypatch):
+    """Infinities, tiny and huge values of both signs and ids at both ends of 64 bits, every position of every group."""
+    monkeypatch.setattr(O, "NARROW_ABOVE", 0)
+    rnd = random.Random(9)
+    inf = float("inf")
+    values = [inf, -inf, 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1e-300, -1e-200, 3.5, 3.5000000000000004, None]
+    ids = [-(1 << 63), (1 << 63) - 1, 0, 1, -1, (1 << 62) + 1, (1 << 62) + 2, None]
+    rows = list({(rnd.choice(ids), rnd.choice(values), rnd.choice(["a", "b", None])) for _ in range(400)})
+    df = spark.createDataFrame(rows, "id long, v double, g string")
+    for g in ("a", "b", None):
+        for asc in (True, False):
+            own = sorted((r for r in rows if r[2] == g), key=lambda r: (
+                r[1] is None, 0 if r[1] is None else r[1] if asc else -r[1], r[0] is None, r[0] or 0))
+            ks = range(1, len(own) + 1, 5)
+            got = O.kth_cuts(df, (("v", asc), ("id", True)), [(g, k) for k in ks], "g")
+            assert got == [(own[k - 1][1], own[k - 1][0]) for k in ks]
+
+
+def test_segments_store_each_row_once(spark, monkeypatch):
+    """Overlapping segments repeat rows where they are read, not in what is stored."""
+    stored, plain = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: (stored.append(df.count()), plain(df))[1])
+    df = spark.createDataFrame([(i, i, i % 2, i / 50, i / 70) for i in range(50)],
+                               "TransactionID long, TransactionDT long, y int, a double, b double")
+    segments = {f"s{k}": F.col("TransactionID") % k == 0 for k in range(1, 70)}
+    found = M.segment_review(df, "y", ["a", "b"], segments, 0.1)
+    assert stored == [50]
+    for r in found:
+        own = [i for i in range(49, -1, -1) if i % int(r["segment"][1:]) == 0]
+        k = -(-len(own) // 10)
+        assert (r["rows"], r["review_count"]) == (len(own), k)
+        assert r["recall"] == (sum(i % 2 for i in own[:k]) / max(1, sum(i % 2 for i in own)))
