@@ -250,38 +250,64 @@ def leaf_paths(tree: tuple) -> list[tuple[float, list[tuple[int, float, list[tup
     return out
 
 
-def shapley(trees: Sequence[tuple], weights: Sequence[float], x: np.ndarray) -> tuple[np.ndarray, float]:
+def shapley(trees: Sequence[tuple], weights: Sequence[float], x: np.ndarray,
+            leaves: list[tuple] | None = None) -> tuple[np.ndarray, float]:
     """(values (row, feature), base): Shapley values of a tree ensemble, absent features averaged by training weight.
 
     A leaf pays its value to the features of its path.  With o (a row takes the
     turns on a feature: 1 or 0) and z (the share of weight that does), the sum
     over all subsets S of the others is a polynomial: the coefficient of t^k in
     the product of (z + o t) adds up all subsets of k present features, and its
-    weight is k! (d - k - 1)! / d!.
+    weight is k! (d - k - 1)! / d!.  A leaf's payments depend on the pattern of
+    taken turns alone, so they are worked out once for each pattern
+    (``leaf_tables``, given as ``leaves`` where many blocks of rows follow).
     """
-    out, base = np.zeros(x.shape), 0.0
-    for tree, w in zip(trees, weights, strict=True):
-        for leaf, path in leaf_paths(tree):
-            d = len(path)
-            base += w * leaf * float(np.prod([z for _, z, _ in path]))
-            taken = []
-            for f, _, turns in path:
-                o = np.ones(len(x), dtype=bool)
-                for t, is_left in turns:
-                    o &= (x[:, f] <= t) == is_left
-                taken.append(o.astype(float))
-            for i, (f, z, _) in enumerate(path):
-                others = np.zeros((d, len(x)))
-                others[0] = 1.0
-                for j, (_, zj, _) in enumerate(path):
-                    if j != i:
-                        others[1:] = others[1:] * zj + others[:-1] * taken[j]
-                        others[0] *= zj
-                share = sum(math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) * others[k] for k in range(d))
-                out[:, f] += w * leaf * (taken[i] - z) * share
+    out, base, turned = np.zeros(x.shape), 0.0, {}
+    for value, path, paid in leaf_tables(trees, weights) if leaves is None else leaves:
+        base += value * float(np.prod([z for _, z, _ in path]))
+        pattern = np.zeros(len(x), dtype=np.int64)
+        for i, (f, _, turns) in enumerate(path):
+            o = np.ones(len(x), dtype=bool)
+            for t, is_left in turns:
+                if (f, t) not in turned:
+                    turned[f, t] = x[:, f] <= t
+                o &= turned[f, t] == is_left
+            pattern |= o.astype(np.int64) << i
+        if paid is None:
+            patterns, pattern = np.unique(pattern, return_inverse=True)
+            paid = payments(value, path, patterns)
+        for i, (f, _, _) in enumerate(path):
+            out[:, f] += paid[pattern, i]
     return out, base
 
 
+def payments(value: float, path: list[tuple], patterns: np.ndarray) -> np.ndarray:
+    """What a leaf pays to each feature of its path, for patterns of taken turns (bit i: those on the i-th feature)."""
+    d = len(path)
+    taken = [(patterns >> i & 1).astype(float) for i in range(d)]
+    out = np.zeros((len(patterns), d))
+    for i, (_, z, _) in enumerate(path):
+        others = np.zeros((d, len(patterns)))
+        others[0] = 1.0
+        for j, (_, zj, _) in enumerate(path):
+            if j != i:
+                others[1:] = others[1:] * zj + others[:-1] * taken[j]
+                others[0] *= zj
+        share = sum(math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) * others[k] for k in range(d))
+        out[:, i] = value * (taken[i] - z) * share
+    return out
+
+
+#: Longest paths whose payments are tabled for every pattern beforehand.
+TABLED = 12
+
+
+def leaf_tables(trees: Sequence[tuple], weights: Sequence[float]) -> list[tuple[float, list[tuple], np.ndarray | None]]:
+    """(weighted value, path, payments by pattern) of every leaf: the work on trees that no row changes."""
+    return [(w * leaf, path, payments(w * leaf, path, np.arange(1 << len(path))) if len(path) <= TABLED else None)
+            for tree, w in zip(trees, weights, strict=True) for leaf, path in leaf_paths(tree)]
+
+
 def path_attribution(trees: Sequence[tuple], weights: Sequence[float], x: np.ndarray) -> tuple[np.ndarray, float]:
     """(values (row, feature), base): the walk from root to leaf credits each split feature with the change of the value."""
     out, base, rows = np.zeros(x.shape), 0.0, np.arange(len(x))
@@ -317,9 +343,10 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: Sequence[str]
 
     def attribute(batches):
         trees, w = bc.value
+        once = {"leaves": leaf_tables(trees, w)} if method == "shapley" else {}
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
-            parts, base = attribution(trees, w, x)
+            parts, base = attribution(trees, w, x, **once)
             out = pdf[list(keep)].copy()
             out["_values"], out["_parts"] = list(x), list(parts)
             out["base_value"] = base

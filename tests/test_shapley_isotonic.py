@@ -108,3 +108,19 @@ def test_fit_is_the_same_for_any_number_of_ranges(spark):
     models = [ML.fit_isotonic(df, "score", "y", ranges) for ranges in (1, 7)]
     assert models[0].boundaries.toArray().tolist() == models[1].boundaries.toArray().tolist()
     assert models[0].predictions.toArray().tolist() == models[1].predictions.toArray().tolist()
+
+
+def test_payments_of_leaves_are_worked_out_once(monkeypatch):
+    """Later blocks of rows walk no tree; paths too long for a table of patterns give the same values."""
+    rng = random.Random(3)
+    trees, weights = [random_tree(rng, 5, 5) for _ in range(3)], [1.0, 0.3, 0.2]
+    x = np.array([[rng.random() for _ in range(5)] for _ in range(40)])
+    want, base = ML.shapley(trees, weights, x)
+    leaves = ML.leaf_tables(trees, weights)
+    monkeypatch.setattr(ML, "TABLED", 0)
+    untabled, _ = ML.shapley(trees, weights, x)
+    monkeypatch.setattr(ML, "leaf_paths", None)
+    for at in range(0, 40, 10):
+        got, b = ML.shapley(trees, weights, x[at:at + 10], leaves)
+        assert b == base and np.array_equal(got, want[at:at + 10])
+    assert np.allclose(untabled, want, atol=1e-12)
