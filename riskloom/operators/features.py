@@ -87,14 +87,16 @@ def basic_features(df: DataFrame, raw_columns: Sequence[str] | None = None) -> D
 # ---------------------------------------------------------------------------
 # Card family: W1-W5
 # ---------------------------------------------------------------------------
-def _card_family(frame: DataFrame, semantics: str, cfg: SkewConfig, card_src: DataFrame | None = None) -> DataFrame:
+def _card_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int, card_src: DataFrame | None = None) -> DataFrame:
     hot = K.hot_days((card_src if card_src is not None else frame).select(CARD, DT), CARD, DT, cfg)
     if hot is None:
-        return _finish_card(_card_windows(K.add_salt(frame, CARD, DT, TID, None, cfg), semantics), semantics)
+        salted = K.spread(K.add_salt(frame, CARD, DT, TID, None, cfg), n_rows, cfg, CARD, "_salt")
+        return _finish_card(_card_windows(salted, semantics), semantics)
     cards = K.few(hot.select(CARD).distinct(), cfg.broadcast_days)
-    rest = K.add_salt(frame.join(cards, CARD, "left_anti"), CARD, DT, TID, None, cfg)
+    rest = K.spread(K.add_salt(frame.join(cards, CARD, "left_anti"), CARD, DT, TID, None, cfg), n_rows, cfg, CARD, "_salt")
     crowded = frame.join(cards, CARD, "left_semi")
-    return _finish_card(_card_windows(rest, semantics).drop("_salt").unionByName(_card_seconds(crowded, semantics)), semantics)
+    return _finish_card(_card_windows(rest, semantics).drop("_salt").unionByName(
+        _card_seconds(crowded, semantics, cfg, n_rows)), semantics)
 
 
 def _zero_if_null(c: Column) -> Column:
@@ -120,7 +122,7 @@ def _card_windows(u: DataFrame, semantics: str) -> DataFrame:
             .withColumn("_v1", recent(HOUR)).withColumn("_v24", recent(DAY)))
 
 
-def _card_seconds(rows: DataFrame, semantics: str) -> DataFrame:
+def _card_seconds(rows: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int) -> DataFrame:
     """The same totals for cards with very many rows, from one row per card and second.
 
     Totals of earlier days are added up over (card, day), those of earlier
@@ -140,6 +142,7 @@ def _card_seconds(rows: DataFrame, semantics: str) -> DataFrame:
     earlier_days = Window.partitionBy(CARD).orderBy("_day").rowsBetween(UNB, -1)
     days = days.select(CARD, "_day", *[F.sum(c).over(earlier_days).alias(f"{c}0") for c in names])
     twice = per.withColumn("_home", F.explode(F.array(F.col("_day"), F.col("_day") + 1)))
+    twice = K.spread(twice, 2 * n_rows, cfg, CARD, "_home")
     own = F.col("_home") == F.col("_day")
     w = Window.partitionBy(CARD, "_home").orderBy(DT)
     before = lambda c: F.sum(F.when(own, F.col(c))).over(w.rowsBetween(UNB, -1))
@@ -149,7 +152,7 @@ def _card_seconds(rows: DataFrame, semantics: str) -> DataFrame:
     seconds = seconds.join(days, [CARD, "_day"]).select(
         CARD, DT, "_r1", "_r24", *[(F.coalesce(f"{c}0", _zero_money() if c == "_s" else F.lit(0))
                                    + F.coalesce(f"{c}1", _zero_money() if c == "_s" else F.lit(0))).alias(f"{c}b") for c in names])
-    out = rows.join(seconds, [CARD, DT])
+    out = K.spread(rows, n_rows, cfg, CARD, DT).join(seconds, [CARD, DT])
     same, money = F.lit(0), _zero_money()
     if batch:
         inside = Window.partitionBy(CARD, DT).orderBy(TID).rowsBetween(UNB, -1)
@@ -190,7 +193,7 @@ def device_valid(semantics: str) -> Column:
     return d.isNotNull() if semantics == "batch" else (d.isNotNull() & (F.trim(d) != ""))
 
 
-def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, base: DataFrame | None = None) -> DataFrame:
+def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, n_rows: int, base: DataFrame | None = None) -> DataFrame:
     """``frame`` carries the rows (with card features); ``base`` is the same rows
     before the card windows — side tables are computed from it so that they do
     not re-run the card-family shuffle."""
@@ -200,7 +203,7 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, base: Data
     hot = K.hot_days(side_src, DEV, DT, cfg, valid)
     s = K.add_salt(frame, DEV, DT, TID, hot, cfg, valid).withColumn("_kind", F.lit(ROW))
     if hot is None:
-        return _device_windows(s.repartition(DEV, "_salt"), semantics, valid, pair_ok, ranked_in_partition=True)
+        return _device_windows(K.spread(s, n_rows, cfg, DEV, "_salt"), semantics, valid, pair_ok, ranked_in_partition=True)
     # Hot devices: side tables read one narrow, checkpointed copy of (id, time, card, device).
     from riskloom.session import cut_lineage
     side = cut_lineage(K.add_salt(side_src, DEV, DT, TID, hot, cfg, valid))
@@ -235,7 +238,7 @@ def _device_family(frame: DataFrame, semantics: str, cfg: SkewConfig, base: Data
                        *[F.coalesce(F.sum(c).over(dw), F.lit(0)).alias("_o" + c[1:]) for c in ("_dc", "_dh", "_nf")],
                        F.lit(OFFSET).alias("_kind"), F.lit(SENTINEL).alias(DT), F.lit(SENTINEL).alias(TID))
     u = u.unionByName(dev_off, allowMissingColumns=True)
-    u = u.repartition(DEV, "_salt")          # one exchange serves both window families
+    u = K.spread(u, 2 * n_rows, cfg, DEV, "_salt")   # one exchange serves both window families; at most a pair row a row
     return _device_windows(u, semantics, valid, pair_ok, ranked_in_partition=False)
 
 
@@ -314,7 +317,8 @@ def behaviour(frame: DataFrame, semantics: str = "batch", skew: SkewConfig | Non
     plan to detect hot cards on, e.g. the transactions before the identity join."""
     _check(semantics)
     cfg = skew or SkewConfig()
-    return _device_family(_card_family(frame, semantics, cfg, card_src), semantics, cfg, base=frame)
+    n_rows = (card_src if card_src is not None else frame).count()
+    return _device_family(_card_family(frame, semantics, cfg, n_rows, card_src), semantics, cfg, n_rows, base=frame)
 
 
 def build(txns: DataFrame, identity: DataFrame | None = None, raw_columns: Sequence[str] | None = None,

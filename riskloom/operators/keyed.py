@@ -34,8 +34,9 @@ ROW, OFFSET, PAIR_OFFSET = 0, 1, 2
 
 @dataclass(frozen=True)
 class SkewConfig:
-    min_hot_rows: int = 2_000_000   # a key with fewer rows is never split
-    target_rows: int = 1_000_000    # aim for this many rows per (key, stretch)
+    min_hot_rows: int = 500_000     # a key with fewer rows is never split
+    target_rows: int = 250_000      # aim for this many rows per (key, stretch)
+    task_rows: int = 200_000        # aim for this many rows in a task that sorts them
     null_spread: int = 1 << 20      # null keys scatter over this many salts
     broadcast_days: int = 200_000   # larger (hot key, day) tables are joined by shuffle
 
@@ -54,6 +55,18 @@ def hot_days(df: DataFrame, key: str, order_col: str, cfg: SkewConfig, valid: Co
     return None if hot.isEmpty() else hot
 
 
+def spread(df: DataFrame, rows: int, cfg: SkewConfig, *keys: str) -> DataFrame:
+    """``df`` (about ``rows`` rows) dealt by ``keys`` to as many tasks as keep each near ``task_rows``; tables of one
+    task's size are left to the planner.
+
+    The number is fixed: a task sorts its rows several times over, which the size of the shuffled bytes does not tell.
+    """
+    tasks = -(-rows // cfg.task_rows)
+    if tasks <= 1:
+        return df.repartition(*keys)
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def few(table: DataFrame, limit: int) -> DataFrame:
     """The side of a join, sent to all executors only if it has at most ``limit`` rows."""
     return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table

@@ -112,3 +112,18 @@ def test_card_profile_matches_bruteforce(spark, skew):
         assert abs(g.card_history_mean - (sum(amts) / len(amts) if amts else 0.0)) < 1e-9
         assert g.card_history_max == (max(amts) if amts else 0.0)
         assert g.card_history_min == (min(amts) if amts else 0.0)
+
+
+@pytest.mark.parametrize("semantics", ["batch", "pit"])
+@pytest.mark.parametrize("min_hot_rows", [10**9, 5])
+def test_rows_of_a_sorting_task_are_bounded(spark, semantics, min_hot_rows):
+    """The tasks of the windows grow in number with the rows, and the features stay the same."""
+    from riskloom.operators import features as FE
+    rows = [(i, 60 * i, float(i % 7), i % 50, f"d{i % 40}", 1, 1) for i in range(400)]
+    frame = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, "
+                                        "DeviceInfo string, _h int, _o int")
+    skew = SkewConfig(min_hot_rows=min_hot_rows, target_rows=3, null_spread=4, task_rows=10)
+    out = FE.behaviour(frame, semantics, skew)
+    assert out.rdd.getNumPartitions() >= 40
+    plain = FE.behaviour(frame, semantics, SkewConfig())
+    assert sorted(map(tuple, out.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
