@@ -56,16 +56,19 @@ DIM = 24
 #: Steps of a small corpus at least, tokens of a step.
 STEPS = 1_000
 BATCH = 2_048
-PIECE = 128
+#: Multiplications of a matrix product that the BLAS leaves on one thread, and rows of a run that are added one by one.
+PIECE, SHORT_RUN = 200_000, 8
 #: Rounds of training, tokens of a task in a round, most tasks in a round, tokens that a task holds at once.
 ROUNDS, TASK_DRAWS, MOST_TASKS, HELD_DRAWS = 6, 2_400_000, 1_024, 1 << 19
 #: Rows of a block of changes.
 CHANGED = 4_096
-#: Noise of a batch among the top nodes, and of each draw among the children of its other nodes.
+#: Noise of a batch among the top nodes, and among the children of every other node that it meets.
 NOISE, NOISE_BELOW = 64, 4
+#: Draws a parent from which on they are multiplied parent by parent.
+LONG_RUN = 128
 RATE = 0.1
-#: Text and tokens that are scored together, and scores in one block of a normaliser.
-SCORE_BYTES, SCORE_TOKENS, BLOCK = 4_000_000, 1 << 18, 1 << 20
+#: Text and tokens that are scored together, and scores that exp takes without a shift.
+SCORE_BYTES, SCORE_TOKENS, SAFE = 4_000_000, 1 << 18, 75
 HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 #: Counted words that a task holds before it hands them on.
 HOLD = 4_000_000
@@ -138,29 +141,61 @@ class Tree:
 def summed_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct numbers, sum of the rows of each)."""
     order, first, at = grouped(at)
-    return at, np.add.reduceat(rows[order], first, axis=0)
+    return at, run_sums(rows.take(order, axis=0), first)
 
 
 def grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order that sorts the numbers, where each distinct one begins in it, the distinct numbers)."""
     order = np.argsort(at)
     at = at[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    first = runs(at)
     return order, first, at[first]
 
 
+def runs(at: np.ndarray) -> np.ndarray:
+    """Where each distinct one of the sorted numbers begins."""
+    return np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Computed in ``x`` itself."""
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run; most runs are short, so all runs' second rows are added at once, then the third."""
+    out = rows.take(first, axis=0)
+    size = np.diff(first, append=len(rows))
+    longer = np.flatnonzero(size > 1)
+    for k in range(1, SHORT_RUN):
+        if not len(longer):
+            break
+        out[longer] += rows.take(first[longer] + k, axis=0)
+        longer = longer[size[longer] > k + 1]
+    for x, i, n in zip(longer.tolist(), first[longer].tolist(), size[longer].tolist(), strict=True):
+        out[x] = rows[i:i + n].sum(axis=0)
+    return out
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b, in pieces that the BLAS leaves on one thread."""
-    return np.concatenate([a[i:i + PIECE] @ b for i in range(0, len(a), PIECE)])
+    n = max(1, PIECE // b.size)
+    if len(a) <= n:
+        return a @ b
+    out = np.empty((len(a), b.shape[1]), dtype=a.dtype)
+    for i in range(0, len(a), n):
+        np.matmul(a[i:i + n], b, out=out[i:i + n])
+    return out
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a.T @ b, likewise."""
-    return sum(a[i:i + PIECE].T @ b[i:i + PIECE] for i in range(0, len(a), PIECE))
+    n = max(1, PIECE // (a.shape[1] * b.shape[1]))
+    return a.T @ b if len(a) <= n else sum(a[i:i + n].T @ b[i:i + n] for i in range(0, len(a), n))
 
 
 class Model:
@@ -188,52 +223,70 @@ class Model:
 
     def move(self, name: str, param: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
         scale = self.seen.setdefault(name, np.zeros(len(param), dtype=np.float32))
-        scale[at] += np.einsum("nd,nd->n", g, g) / g.shape[1] if g.ndim == 2 else g * g
-        size = np.sqrt(scale[at]) + 1e-6
-        param[at] -= np.float32(rate) * (g / (size[:, None] if g.ndim == 2 else size))
+        size = scale.take(at) + (np.einsum("nd,nd->n", g, g) / g.shape[1] if g.ndim == 2 else g * g)
+        scale[at] = size
+        size = np.float32(rate) / (np.sqrt(size) + np.float32(1e-6))
+        param[at] = param.take(at, axis=0) - g * (size[:, None] if g.ndim == 2 else size)
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        ru, rv = self.r[u], self.r[v]
-        h = product(ru, self.c[0]) + product(rv, self.c[1])
-        gh = np.zeros_like(h)
-        if len(self.b[0]) > 1:  # one noise for the batch: a matrix product
-            q, b, noise, true = self.q[0], self.b[0], self.noise[0], self.tree.paths[0][w]
-            drawn = np.searchsorted(self.upto[0], self.rng.random(NOISE) * self.upto[0][-1], side="right") - 1
-            drawn = np.clip(drawn, 0, len(b) - 1)
-            log_k = np.float32(np.log(NOISE))
-            up = (sigmoid((h * q[true]).sum(1) + b[true] - noise[true] - log_k) - 1) * weight
-            down = sigmoid(product(h, q[drawn].T) + b[drawn] - noise[drawn] - log_k) * weight[:, None]
-            gh += product(down, q[drawn]) + up[:, None] * q[true]
-            at = np.concatenate([true, drawn])
-            self.step("q0", q, at, np.concatenate([up[:, None] * h, inner(down, h)]), rate)
-            self.step("b0", b, at, np.concatenate([up, down.sum(0)]), rate)
-        for level in (1, 2):
+        order = np.argsort(w)  # numbers of targets, their entries and the parents of these rise together
+        u, v, w, weight = (x.take(order) for x in (u, v, w, weight))
+        ru, rv = self.r.take(u, axis=0), self.r.take(v, axis=0)
+        h = np.ones((len(w), DIM + 1), dtype=np.float32)  # the last column is the bias's
+        h[:, :DIM] = product(ru, self.c[0])
+        h[:, :DIM] += product(rv, self.c[1])
+        gh = np.zeros((len(w), DIM), dtype=np.float32)
+        for level in range(3):
             begin, parent = self.tree.begin[level], self.tree.parents(level, w)
-            some = np.flatnonzero(begin[parent + 1] - begin[parent] > 1)
-            if not len(some):
-                continue
-            parent, upto = parent[some], self.upto[level]
-            low, high = upto[begin[parent]][:, None], upto[begin[parent + 1]][:, None]
-            at = np.searchsorted(upto, low + self.rng.random((len(some), NOISE_BELOW)) * (high - low), side="right") - 1
-            at = np.clip(at, begin[parent][:, None], begin[parent + 1][:, None] - 1)
-            at = np.concatenate([self.tree.paths[level][w[some]][:, None], at.astype(np.int32)], axis=1)  # the true child first
-            rows, hs = self.q[level][at], h[some]
-            g = sigmoid(np.einsum("nkd,nd->nk", rows, hs) + self.b[level][at] - self.noise[level][at]
-                        - np.float32(np.log(NOISE_BELOW)))
-            g[:, 0] -= 1
-            g *= weight[some][:, None]
-            gh[some] += np.einsum("nk,nkd->nd", g, rows)
-            order, first, at = grouped(at.ravel())
-            g = g.ravel()[order]
-            moved = hs[order // (1 + NOISE_BELOW)]
-            moved *= g[:, None]
-            self.move(f"q{level}", self.q[level], at, np.add.reduceat(moved, first, axis=0), rate)
-            self.move(f"b{level}", self.b[level], at, np.add.reduceat(g, first), rate)
+            some = begin[parent + 1] - begin[parent] > 1
+            if some.all():
+                gh += self.learn_level(level, h, w, parent, weight, rate)
+            elif some.any():
+                gh[some] += self.learn_level(level, h[some], w[some], parent[some], weight[some], rate)
         back = [product(gh, c.T) for c in self.c]
         for k, x in enumerate((ru, rv)):
-            self.step(f"c{k}", self.c[k], np.arange(DIM), inner(x, gh), rate / 10)
+            self.move(f"c{k}", self.c[k], np.arange(DIM), inner(x, gh), rate / 10)
         self.step("r", self.r, np.concatenate([u, v]), np.concatenate(back), rate)
 
+    def learn_level(self, level: int, h: np.ndarray, w: np.ndarray, parent: np.ndarray, weight: np.ndarray,
+                    rate: float) -> np.ndarray:
+        """Tells the true children from noise that the draws of a parent share; gives the change wanted of ``h``."""
+        begin, upto, q, b = self.tree.begin[level], self.upto[level], self.q[level], self.b[level]
+        first, true = runs(parent), self.tree.paths[level].take(w)
+        k = NOISE_BELOW if level else NOISE
+        low, high = begin[parent[first]][:, None], begin[parent[first] + 1][:, None]
+        drawn = np.searchsorted(upto, upto[low] + self.rng.random((len(first), k)) * (upto[high] - upto[low]), side="right") - 1
+        drawn = np.clip(drawn, low, high - 1)
+        known = np.float32(np.log(k))
+        rows = np.concatenate([q.take(drawn, axis=0), (b[drawn] - self.noise[level][drawn] - known)[:, :, None]], axis=2)
+        own = q.take(true, axis=0)
+        up = np.einsum("nd,nd->n", own, h[:, :DIM])
+        up += b.take(true) - self.noise[level].take(true) - known
+        up = (sigmoid(up) - 1) * weight
+        own *= up[:, None]  # from here on the change wanted of h
+        last = np.append(first[1:], len(w))
+        if len(w) >= LONG_RUN * len(first):  # few parents: a matrix product for each
+            moved = np.empty_like(rows)
+            for x, (i, j) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+                down = sigmoid(product(h[i:j], rows[x].T))
+                down *= weight[i:j, None]
+                own[i:j] += product(down, rows[x, :, :DIM])
+                moved[x] = inner(down, h[i:j])
+        else:
+            near = rows.take(np.repeat(np.arange(len(first)), last - first), axis=0)
+            down = sigmoid(np.einsum("nkd,nd->nk", near, h))
+            down *= weight[:, None]
+            own += np.einsum("nk,nkd->nd", down, near[:, :, :DIM])
+            np.multiply(down[:, :, None], h[:, None, :], out=near)
+            moved = run_sums(near.reshape(len(w), -1), first)
+        begun = runs(true)
+        order, first, at = grouped(np.concatenate([true[begun], drawn.ravel()]))
+        moved = np.concatenate([run_sums(up[:, None] * h, begun), moved.reshape(-1, DIM + 1)])
+        moved = run_sums(moved.take(order, axis=0), first)
+        self.move(f"q{level}", q, at, moved[:, :DIM], rate)
+        self.move(f"b{level}", b, at, moved[:, DIM], rate)
+        return own
+
     def train(self, source, n_draws: int) -> None:
         """``source`` is (training texts, words), or a function that gives one shard of (u, v, w, weight) arrays."""
         if callable(source):
@@ -285,36 +338,40 @@ class Model:
 
     def log_probs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | u, v) of each."""
-        out = np.zeros(len(w))
+        out = np.empty(len(w))
         for at in range(0, len(w), SCORE_TOKENS):
-            piece = slice(at, at + SCORE_TOKENS)
-            h = self.r[u[piece]] @ self.c[0] + self.r[v[piece]] @ self.c[1]
-            for level in range(3):
-                out[piece] += self.level(level, h, w[piece])
+            order = np.argsort(w[at:at + SCORE_TOKENS]) + at  # the parents on every level rise with the target
+            h = product(self.r.take(u[order], axis=0), self.c[0])
+            h += product(self.r.take(v[order], axis=0), self.c[1])
+            out[order] = sum(self.level(level, h, w[order]) for level in range(3))
         return out / np.log(10)
 
     def level(self, level: int, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """ln P(entry | parent) for sorted targets ``w``."""
         begin, q, b = self.tree.begin[level], self.q[level], self.b[level]
-        parent, child = self.tree.parents(level, w), self.tree.paths[level][w]
-        out = np.zeros(len(w))
-        order = np.flatnonzero(begin[parent + 1] - begin[parent] > 1)  # an only child is certain
-        order = order[np.argsort(parent[order], kind="stable")]
-        parent = parent[order]
-        cuts = np.append(np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(order) else [], len(order)).astype(np.int64)
-        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-            low, high = begin[parent[first]], begin[parent[first] + 1]
-            rows, bias = q[low:high].T, b[low:high]
-            width = max(1, BLOCK // (high - low))
-            for i in range(first, last, width):
-                o = order[i:min(i + width, last)]
-                s = h[o] @ rows
+        parent, child = self.tree.parents(level, w), self.tree.paths[level].take(w)
+        own = np.einsum("nd,nd->n", q.take(child, axis=0), h) + b.take(child)
+        # no score is beyond this one: exp needs no shift by each row's largest score while it is small
+        most = float(np.sqrt((h * h).sum(1).max(initial=0) * (q * q).sum(1).max())) + float(np.abs(b).max())
+        total, shift = np.ones_like(own), own.copy()  # an only child is certain
+        first = runs(parent) if len(w) else []
+        for i, j in zip(first, np.append(first[1:], len(w)), strict=True):
+            low, high = begin[parent[i]], begin[parent[i] + 1]
+            if high - low == 1:
+                continue
+            shift[i:j] = 0
+            rows, bias, ones = q[low:high].T, b[low:high], np.ones(high - low, dtype=np.float32)
+            width = max(1, PIECE // rows.size)
+            for x in range(i, j, width):
+                y = min(x + width, j)
+                s = h[x:y] @ rows
                 s += bias
-                own = s[np.arange(len(o)), child[o] - low]
-                top = s.max(1)
-                s -= top[:, None]
+                if most > SAFE:
+                    shift[x:y] = s.max(1)
+                    s -= shift[x:y, None]
                 np.exp(s, out=s)
-                out[o] = own - top - np.log(s.sum(1))
-        return out
+                np.matmul(s, ones, out=total[x:y])
+        return own - shift - np.log(total)
 
 
 CHANGE_SCHEMA = "name string, block int, at binary, rows binary, grown binary"
@@ -392,6 +449,30 @@ def learn_in_rounds(model: Model, source: tuple[DataFrame, Words], n_tokens: int
         sent.destroy()  # also the copy that the driver keeps
 
 
+class Places:
+    """Where a hash is in sorted distinct ``keys``, if it is there: their first bits tell where to begin."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        bits = max(1, len(keys).bit_length() + 1)
+        self.shift = U(64 - bits)
+        size = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begin = (np.cumsum(size) - size).astype(np.int32)
+        self.most = int(size.max())
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """A place of each hash, that holds it if any does."""
+        keys, last = self.keys, len(self.keys) - 1
+        at = np.minimum(self.begin.take((hashes >> self.shift).view(np.int64)), last)
+        less = np.flatnonzero(keys.take(at) < hashes)
+        for _ in range(self.most):
+            if not len(less):
+                break
+            at[less] = np.minimum(at[less] + 1, last)
+            less = less[(keys.take(at[less]) < hashes[less]) & (at[less] < last)]
+        return at
+
+
 class Words:
     """Numbers of words with vectors, by frequency among the targets; all rarer words are told by buckets of hashes."""
 
@@ -410,12 +491,13 @@ class Words:
         self.rare[self.buckets] = True
         by = np.argsort(hashes)
         self.hashes, self.number = hashes[by], number[:len(counts)][by]
+        self.places = Places(self.hashes)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         other = self.buckets[(hashes & U(len(self.buckets) - 1)).astype(np.int64)]
         if not len(self.hashes):
             return other
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self.places.of(hashes)
         return np.where(self.hashes[at] == hashes, self.number[at], other).astype(np.int32)
 
     def trigrams(self, numbers: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, ...]:
@@ -490,10 +572,11 @@ def score(documents: DataFrame, classes: int | None = None, table: int = TABLE)
     n_all = n_words + n_ends
     order = np.argsort(near_keys)
     share = documents.sparkSession.sparkContext.broadcast(
-        (near_keys[order], np.log10(near_counts[order] + 1.0), words, model))
+        (Places(near_keys[order]), np.log10(near_counts[order] + 1.0), words, model))
 
     def work(batches):
-        keys, logs, words, model = share.value
+        places, logs, words, model = share.value
+        keys = places.keys
         at = TaskContext.get().partitionId() << 33
         for b in chunks(batches, limit=SCORE_BYTES):
             n = b.num_rows
@@ -501,7 +584,7 @@ def score(documents: DataFrame, classes: int | None = None, table: int = TABLE)
             numbers = words.of(hashes)
             u, v, w, text, _ = words.trigrams(numbers, owner, n)
             lbl = np.bincount(text, weights=model.log_probs(u, v, w), minlength=n)
-            place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+            place = places.of(hashes) if len(keys) else np.zeros(len(hashes), dtype=np.int32)
             hit = keys[place] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
             value = np.where(hit, logs[place], 0.0) if len(keys) else np.zeros(len(hashes))
             other = words.rare[numbers]

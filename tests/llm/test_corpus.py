@@ -352,3 +352,44 @@ def test_bucket_shares_add_up():
         assert len(set(number.tolist())) == 1 and words.rare[number].all()
         share = sum(rare[h] + 1 for h in of) + 1
         assert abs(share / 10 ** words.spread[number[0]] - 1) < 1e-9
+
+
+def test_noise_of_a_batch_grows_with_the_parents_it_meets():
+    """Draws of one parent share their noise, so a batch of many draws costs no more noise than its parents ask for."""
+    model = small_model()
+
+    class Counted:
+        rng, drawn = model.rng, 0
+
+        def random(self, shape):
+            Counted.drawn += int(np.prod(shape))
+            return self.rng.random(shape)
+
+    model.rng = Counted()
+    u, v, w = (Counted.rng.integers(0, n, 20_000) for n in (400, 400, 399))
+    model.learn(u, v, w, np.ones(20_000, dtype=np.float32), 0.1)
+    parents = len(model.q[0]) + len(model.q[1])
+    assert 0 < Counted.drawn <= language_model.NOISE + language_model.NOISE_BELOW * parents
+
+
+def test_tree_probabilities_add_up_for_scores_beyond_exp():
+    model = small_model()
+    for q in model.q:
+        q += model.rng.normal(0, 100, q.shape).astype(np.float32)
+    w = np.arange(399)
+    p = 10 ** model.log_probs(np.full(399, 3), np.full(399, 9), w)
+    assert np.isfinite(p).all() and abs(p.sum() - 1) < 1e-3
+
+
+def test_sums_of_runs_and_places_of_hashes():
+    rng = np.random.default_rng(4)
+    for n, distinct in ((1, 1), (5_000, 4_000), (5_000, 40), (300, 1)):
+        at = np.sort(rng.integers(0, distinct, n))
+        first = language_model.runs(at)
+        for rows in (rng.normal(size=(n, 3)).astype(np.float32), rng.normal(size=n).astype(np.float32)):
+            np.testing.assert_allclose(language_model.run_sums(rows, first), np.add.reduceat(rows, first, axis=0), rtol=1e-3, atol=1e-3)
+    keys = np.unique(rng.integers(0, 1 << 63, 5_000).astype(np.uint64) * np.uint64(2))
+    for part in (keys, keys[:1], keys[keys > keys[0]][:7]):
+        got = language_model.Places(part)
+        assert (part[got.of(part)] == part).all()
+        assert got.of(keys + np.uint64(1)).max() < len(part) and not np.isin(part[got.of(keys + np.uint64(1))], keys + np.uint64(1)).any()
