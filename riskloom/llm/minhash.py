@@ -230,11 +230,15 @@ def linked(entries: DataFrame, sets: DataFrame, similarity: int, rounds: int,
             met = lead.join(end("b", rows), "key").where(f"x.a <> b AND x.ca <> cb AND {sizes_fit.replace('na', 'x.na')}")
             pairs = met.groupBy("b").agg(F.min("x").alias("x")).select(F.col("x.a").alias("a"), "b")
         near = cut_lineage(alike(pairs, sets).coalesce(parts))
-        found = confirmed(near, sets, similarity).coalesce(parts)
-        links = cut_lineage(found if links is None else links.unionAll(found).coalesce(parts))
+        found = cut_lineage(confirmed(near, sets, similarity).coalesce(parts))
+        if not last and found.isEmpty():
+            continue
+        links = found if links is None else links.unionAll(found)
         if last:
             break
         known = components(links, parts)
+        # a class that is connected needs one link: the components of the next turn start from there
+        links = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     return links
 
 

@@ -79,6 +79,23 @@ def test_many_near_copies(spark):
     same(minhash.near_duplicates(cases.documents(spark, rows), pairs_per_entry=0.1), rows)
 
 
+def test_turns_work_on_their_new_links_alone(spark, monkeypatch):
+    """A turn that finds no link asks for no components; the others hand on one link for each connected class."""
+    given, plain = [], minhash.components
+
+    def counted(links, parts=None):
+        given.append(links.count())
+        return plain(links, parts)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join([*base, f"x{i}"]), None) for i in range(40)]
+    other = [f"c{i}" for i in range(80)]  # share bands with one another, yet are below the similarity
+    rows += [(100 + i, " ".join([*other, *(f"y{i} {k}" for k in range(14))]), None) for i in range(6)]
+    same(minhash.near_duplicates(cases.documents(spark, rows), pairs_per_entry=0.0, rounds=5), rows)
+    assert given and len(given) <= 3 and max(given) <= 39 + 39
+
+
 def test_signature_estimates_without_bias():
     """Equal values are as frequent as the similarity says, and vary less than with independent permutations."""
     rng = np.random.default_rng(4)
