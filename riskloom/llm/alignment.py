@@ -48,11 +48,13 @@ TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 BROADCAST_PAIRS = 1_500_000
 #: Units of a generation that a worker remembers, and the longest of them in characters.
-HELD_UNITS, HELD_LENGTH = 200_000, 40
+HELD_UNITS, HELD_LENGTH = 400_000, 40
 CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 #: Units that may be encoded in one text with others.
 SOLID = re.compile("[!-~À-ɏ]([\\s\\S]*[!-~À-ɏ])?")
 BLANK = "▁"
+#: Instead of a unit that is not remembered.
+UNMET = object()
 SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, "
           "times array<int>")
 
@@ -107,16 +109,17 @@ class Aligner:
         """(A ids, their byte ends, B ids, their byte ends) of space + text; None if the bytes do not come back."""
         whole = f" {text}".encode()
         x, proto = self.a.encode(f" {text}", add_special_tokens=False), self.b.encode(text, return_type="proto").pieces
-        a, b = x.ids, [p.id for p in proto]
+        a, pieces = x.ids, np.array([n for p in proto for n in (p.id, p.begin, p.end)], dtype=np.int64).reshape(-1, 3)
+        b = pieces[:, 0].tolist()
         if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
             return None
         spans = np.fromiter(chain.from_iterable(x.offsets), dtype=np.int64, count=2 * len(a)).reshape(-1, 2)
         if len(whole) > len(text) + 1:              # characters to bytes
             letters = np.frombuffer(f" {text}".encode("utf-32-le"), dtype=np.uint32)
             spans = np.concatenate([[0], np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF))])[spans]
-        starts, ends = np.array([p.begin for p in proto]) + 1, np.array([p.end for p in proto]) + 1
+        starts, ends = pieces[:, 1] + 1, pieces[:, 2] + 1
         starts[:1] = 0                              # the added blank
-        a, b = np.array(a), np.array(b)
+        a, b = np.array(a), pieces[:, 0]
         return (a, refined(spans[:, 0], spans[:, 1], self.length_a[a]), b, refined(starts, ends, self.length_b[b]))
 
     def aligned(self, parts: list[str]) -> list[tuple | None]:
@@ -134,43 +137,40 @@ class Aligner:
         upto_a, upto_b = np.cumsum(end_a, dtype=np.int64), np.cumsum(end_b, dtype=np.int64)
         pairs = a[upto_a[cuts - 1]] * self.size_b + b[upto_b[cuts - 1]]
         text_a, text_b = [self.text[i] for i in a.tolist()], [self.text[i] for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for k, n in zip(upto_a[both].tolist(), upto_b[both].tolist(), strict=True):
-            groups.append(f"{text_a[i] if k == i + 1 else ','.join(text_a[i:k])}|{text_b[j] if n == j + 1 else ','.join(text_b[j:n])}")
-            i, j = k, n
-        upto = np.cumsum([len(p.encode()) + 1 for p in parts])
+        last_a, last_b = upto_a[both].tolist(), upto_b[both].tolist()
+        groups = [f"{text_a[i] if k == i + 1 else ','.join(text_a[i:k])}|{text_b[j] if n == j + 1 else ','.join(text_b[j:n])}"
+                  for i, k, j, n in zip([0, *last_a], last_a, [0, *last_b], last_b)]  # noqa: B905
+        upto = np.cumsum([(len(p) if p.isascii() else len(p.encode())) + 1 for p in parts])
         marks = [upto_a[upto], upto_b[upto], np.searchsorted(both, upto, side="right"), np.searchsorted(cuts, upto, side="right")]
         data, out, g, c = pairs.astype(np.int64).tobytes(), [], 0, 0
         counts = [np.diff(m, prepend=0).tolist() for m in marks]
         for n_a, n_b, n_groups, n_links in zip(*counts, strict=True):
-            out.append((n_a, n_b, n_groups, data[c:c + 8 * n_links], ";".join(groups[g:g + n_groups])))
+            out.append((n_a, n_b, n_groups, data[c:c + 8 * n_links], groups[g] if n_groups == 1 else ";".join(groups[g:g + n_groups])))
             g, c = g + n_groups, c + 8 * n_links
         return out
 
     def texts(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         """The units of each text; None for a text without tokens."""
         cut = [self.units(t) if t else [] for t in texts]
-        known = {}
-        fresh = []
-        for unit in dict.fromkeys(u for parts in cut for u in parts):
-            if unit in self.young:
-                known[unit] = self.young[unit]
-            elif unit in self.old:
-                known[unit] = self.young[unit] = self.old[unit]
+        young, old = self.young, self.old
+        known = {u: young.get(u, UNMET) for u in dict.fromkeys(chain.from_iterable(cut))}
+        fresh, alone = [], []
+        for unit in [u for u, value in known.items() if value is UNMET]:
+            value = old.get(unit, UNMET)
+            if value is not UNMET:
+                known[unit] = young[unit] = value
             else:
-                fresh.append(unit)
-        alone = [u for u in fresh if not SOLID.fullmatch(u)]
-        fresh = [u for u in fresh if SOLID.fullmatch(u)]
+                (fresh if SOLID.fullmatch(unit) else alone).append(unit)
         for units in ([fresh] if fresh else []) + [[u] for u in alone]:
             for unit, value in zip(units, self.aligned(units), strict=True):
                 known[unit] = value
                 if len(unit) <= HELD_LENGTH:
-                    self.young[unit] = value
-        if len(self.young) > HELD_UNITS:
-            self.old, self.young = self.young, {}
+                    young[unit] = value
+        if len(young) > HELD_UNITS:
+            self.old, self.young = young, {}
+        lost = {u for u, value in known.items() if value is None}
         for parts in cut:
-            found = [known[u] for u in parts]
-            yield found if found and None not in found else None
+            yield None if not parts or lost and not lost.isdisjoint(parts) else [known[u] for u in parts]
 
 
 @lru_cache(maxsize=2)

@@ -120,3 +120,18 @@ def test_units_give_the_tokens_of_the_whole(both):
         assert [i for p in parts for i in both.a.encode(" " + p, add_special_tokens=False).ids] == \
             both.a.encode(" " + text, add_special_tokens=False).ids
         assert [i for p in parts for i in both.b.encode(p)] == both.b.encode(text)
+
+
+def test_a_unit_that_is_remembered_is_not_encoded_again(both, monkeypatch):
+    """Half a million other units later a unit is still known (two generations of 400,000), and those that are lost spoil their text."""
+    mine = alignment.Aligner(*(public_tokenizers.path(p) for p in (alignment.TOKENIZER_A, alignment.TOKENIZER_B)))
+    first = list(mine.texts(["first words", None, "", "bad \u2581 unit words"]))
+    assert first[0] and first[1] is None and first[2] is None
+    filler = {f"filler{i}": (1, 1, 1, b"", "") for i in range(300_000)}
+    mine.young.update(filler)
+    list(mine.texts(["one more"]))  # a generation of 200,000 would end here
+    mine.young.update({f"later{i}": (1, 1, 1, b"", "") for i in range(250_000)})
+    list(mine.texts(["and one more"]))
+    monkeypatch.setattr(mine, "aligned", lambda parts: pytest.fail(f"encoded again: {parts}"))
+    again = list(mine.texts(["words first", "first words"]))
+    assert again[1] == first[0] and again[0] == first[0][::-1]
