@@ -62,10 +62,10 @@ PIECE, SHORT_RUN = 200_000, 8
 ROUNDS, TASK_DRAWS, MOST_TASKS, HELD_DRAWS = 6, 2_400_000, 1_024, 1 << 19
 #: Rows of a block of changes.
 CHANGED = 4_096
-#: Noise of a batch among the top nodes, and among the children of every other node that it meets.
-NOISE, NOISE_BELOW = 64, 4
+#: Noise of a batch among the children of each node that it meets, by level.
+NOISE = 64, 32, 4
 #: Draws a parent from which on they are multiplied parent by parent.
-LONG_RUN = 128
+LONG_RUN = 16
 RATE = 0.1
 #: Text and tokens that are scored together, and scores that exp takes without a shift.
 SCORE_BYTES, SCORE_TOKENS, SAFE = 4_000_000, 1 << 18, 75
@@ -253,7 +253,7 @@ class Model:
         """Tells the true children from noise that the draws of a parent share; gives the change wanted of ``h``."""
         begin, upto, q, b = self.tree.begin[level], self.upto[level], self.q[level], self.b[level]
         first, true = runs(parent), self.tree.paths[level].take(w)
-        k = NOISE_BELOW if level else NOISE
+        k = NOISE[level]
         low, high = begin[parent[first]][:, None], begin[parent[first] + 1][:, None]
         drawn = np.searchsorted(upto, upto[low] + self.rng.random((len(first), k)) * (upto[high] - upto[low]), side="right") - 1
         drawn = np.clip(drawn, low, high - 1)

@@ -368,8 +368,8 @@ def test_noise_of_a_batch_grows_with_the_parents_it_meets():
     model.rng = Counted()
     u, v, w = (Counted.rng.integers(0, n, 20_000) for n in (400, 400, 399))
     model.learn(u, v, w, np.ones(20_000, dtype=np.float32), 0.1)
-    parents = len(model.q[0]) + len(model.q[1])
-    assert 0 < Counted.drawn <= language_model.NOISE + language_model.NOISE_BELOW * parents
+    parents = 1, len(model.q[0]), len(model.q[1])
+    assert 0 < Counted.drawn <= sum(k * n for k, n in zip(language_model.NOISE, parents, strict=True))
 
 
 def test_tree_probabilities_add_up_for_scores_beyond_exp():
