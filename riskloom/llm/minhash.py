@@ -9,17 +9,19 @@ them with a chance below 10^-7.
 
 1. Rows with the same set (128-bit hash) form a class, and its first row
    stands for it.  Bands that hold one class only are dropped at once.
-2. Candidates are pairs of classes in one band.  A round first joins each
-   class with one partner (the least, in an order that changes from round to
-   round, of the leaders of its bands); classes connected by then need no
-   link of their own.  All pairs that are still open are joined at the end,
-   so a large group of near copies costs a few rows a member, and no pair that
-   shares a band is left out.
+2. Candidates are pairs of classes in one band.  A turn first joins all
+   classes of a band with one of them, its leader: in the first turn the one
+   that shares the most bands with the most others (the middle of a group of
+   near copies, whose members may be too far from one another), later a random
+   one.  Classes connected by then need no link of their own, so a large group
+   of near copies costs a few rows a member.  When the open pairs are few, or a
+   turn finds next to no link, all pairs that are still open are joined, so no
+   pair that shares a band is left out.
 3. A candidate whose sizes cannot reach the similarity goes.  So does one that
    differs too much for it: every set has, for each of ``BITS`` hash ranges,
    whether it holds an odd number of shingles, and two sets differ in at least
-   as many shingles as in odd ranges (this loses nothing).  Both are tested
-   inside the join, which lets a pair through in the first band it shares.
+   as many shingles as in odd ranges (this loses nothing).  The last join tests
+   both itself and lets a pair through in the first band it shares.
    Then one with fewer than ``AGREE`` equal signature values goes: at
    similarity 0.8 about 102 of 128 agree, with a deviation of at most 4.5, so
    78 is more than 5 of them off.  What is left is confirmed on the full sets.
@@ -60,6 +62,8 @@ BROADCAST_CLASSES = 100_000
 #: Open pairs, per band entry, above which another round of single partners comes first.
 PAIRS_PER_ENTRY = 3
 ROUNDS = 5
+#: A turn that finds fewer links than one for so many band entries is the last one with single partners.
+FRUITLESS = 500
 #: Band entries for each task of the steps that work on candidates.
 ENTRIES_PER_TASK = 50_000
 
@@ -161,18 +165,25 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
         work, "doc_id long, n long, s1 long, s2 long, grams array<long>, sketch binary, " + ", ".join(f"{w} long" for w in ODD_WORDS))
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, agree: int = AGREE) -> DataFrame:
-    """The pairs (a, b) whose sketches (r, sketch) agree in ``agree`` places at least."""
-    side = lambda end: sketches.select(F.col("r").alias(end), F.col("sketch").alias(f"{end}_sketch"))
+def may_link(similarity: int) -> str:
+    """SQL for two sets (na, nb shingles, odd ranges) that do not differ too much for the similarity."""
+    odd = " + ".join(f"bit_count(a{w} ^ b{w})" for w in ODD_WORDS)
+    return f"{odd} <= na + nb - 2 * (({similarity} * (na + nb) + {99 + similarity}) div {100 + similarity})"
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, similarity: int, agree: int = AGREE) -> DataFrame:
+    """The pairs (a, b) of ``sketches`` (r, n, sketch, odd ranges) whose sketches agree in ``agree`` places at least."""
+    side = lambda end: sketches.select(
+        F.col("r").alias(end), *[F.col(x).alias(f"{end}{x}") for x in ("sketch", *ODD_WORDS)], F.col("n").alias(f"n{end}"))
 
     def work(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-                    for c in ("a_sketch", "b_sketch"))
+                    for c in ("asketch", "bsketch"))
             keep = (x == y).sum(axis=1) >= agree
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(similarity)).select("a", "b", "asketch", "bsketch")
     return met.mapInArrow(work, "a long, b long")
 
 
@@ -189,31 +200,31 @@ def linked(entries: DataFrame, sets: DataFrame, similarity: int, rounds: int,
            pairs_per_entry: float) -> DataFrame | None:
     """Links (a, b) that connect all classes with a link; None if there is none.
 
-    ``entries``: key, band, r, n; ``sets``: r, grams, sketch, odd ranges, heads (31 bits of every band key).
+    ``entries``: key, band, r, n; ``sets``: r, n, grams, sketch, odd ranges, heads (31 bits of every band key).
     """
     total = entries.count()
     parts = max(1, total // ENTRIES_PER_TASK)
     sizes_fit = f"100 * least(na, nb) >= {similarity} * greatest(na, nb)"
-    odd = " + ".join(f"bit_count(a{w} ^ b{w})" for w in ODD_WORDS)
-    may_differ = f"na + nb - 2 * (({similarity} * (na + nb) + {99 + similarity}) div {100 + similarity})"
     before = "exists(zip_with(slice(aheads, 1, band), slice(bheads, 1, band), (x, y) -> x = y), same -> same)"
     filters = [*ODD_WORDS, "heads"]
     links = known = None
-    left_over = entries
+    left_over, fruitless = entries, False
     for turn in range(rounds + 1):
-        rows = left_over.withColumn("c", F.col("r"))
-        if known is not None:
-            rows = left_over.join(known.withColumnRenamed("id", "r"), "r", "left").withColumn("c", F.coalesce("component", "r"))
-            rows = cut_lineage(rows.drop("component").coalesce(parts))
-        per = rows.groupBy("key", "c").agg(F.count("*").cast("double").alias("k"))
-        open_ = per.groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        open_ = cut_lineage(open_.where("pairs > 0").coalesce(parts))
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        rows = cut_lineage(rows.join(open_.select("key"), "key", "left_semi").coalesce(parts))
-        left_over = rows.drop("c")
-        last = turn == rounds or left <= pairs_per_entry * total
+        if not fruitless:  # else nothing has changed
+            rows = left_over.withColumn("c", F.col("r"))
+            if known is not None:
+                rows = left_over.join(known.withColumnRenamed("id", "r"), "r", "left").withColumn("c", F.coalesce("component", "r"))
+                rows = cut_lineage(rows.drop("component").coalesce(parts))
+            per = rows.groupBy("key", "c").agg(F.count("*").cast("double").alias("k"))
+            pairs = (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2
+            open_ = per.groupBy("key").agg(F.sum("k").alias("k"), pairs.alias("pairs"))
+            open_ = cut_lineage(open_.where("pairs > 0").coalesce(parts))
+            left = open_.agg(F.sum("pairs")).first()[0] or 0
+            if not left:
+                break
+            rows = cut_lineage(rows.join(open_.select("key", "k"), "key").coalesce(parts))
+            left_over = rows.drop("c", "k")
+        last = turn == rounds or fruitless or left <= pairs_per_entry * total
 
         def end(e: str, frame: DataFrame, *more: str) -> DataFrame:
             return frame.select("key", F.col("r").alias(e), F.col("n").alias(f"n{e}"), F.col("c").alias(f"c{e}"),
@@ -222,23 +233,28 @@ def linked(entries: DataFrame, sets: DataFrame, similarity: int, rounds: int,
         if last:
             full = rows.join(few(sets.select("r", *filters), BROADCAST_CLASSES), "r")
             met = end("a", full, "band", *filters).join(end("b", full, *filters), "key").withColumnRenamed("aband", "band")
-            pairs = met.where(f"a < b AND ca <> cb AND {sizes_fit} AND {odd} <= {may_differ} AND NOT {before}").select("a", "b")
+            pairs = met.where(f"a < b AND ca <> cb AND {sizes_fit} AND {may_link(similarity)} AND NOT {before}").select("a", "b")
         else:
-            order = F.struct(F.xxhash64("r", F.lit(turn)).alias("o"), F.col("r").alias("a"), F.col("n").alias("na"),
-                             F.col("c").alias("ca"))
-            lead = rows.groupBy("key").agg(F.min(order).alias("x"))
-            met = lead.join(end("b", rows), "key").where(f"x.a <> b AND x.ca <> cb AND {sizes_fit.replace('na', 'x.na')}")
-            pairs = met.groupBy("b").agg(F.min("x").alias("x")).select(F.col("x.a").alias("a"), "b")
-        near = cut_lineage(alike(pairs, sets).coalesce(parts))
+            ranked, rank = rows, F.lit(0.0)
+            if not turn:  # who shares many bands with many others leads: it is the likeliest to be near them all
+                ranked, rank = rows.join(rows.groupBy("r").agg(F.sum(F.log2("k")).alias("rank")), "r"), -F.col("rank")
+            order = F.struct(rank.alias("rank"), F.xxhash64("r", F.lit(turn)).alias("o"), F.col("r").alias("a"),
+                             F.col("n").alias("na"), F.col("c").alias("ca"))
+            lead = ranked.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.a", "x.na", "x.ca")
+            met = lead.join(end("b", rows), "key").where(f"a <> b AND ca <> cb AND {sizes_fit}")
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = cut_lineage(alike(pairs.coalesce(parts), sets, similarity).coalesce(parts))
         found = cut_lineage(confirmed(near, sets, similarity).coalesce(parts))
-        if not last and found.isEmpty():
-            continue
-        links = found if links is None else links.unionAll(found)
+        new = 0 if last else found.count()
+        if last or new:
+            links = found if links is None else links.unionAll(found)
         if last:
             break
-        known = components(links, parts)
-        # a class that is connected needs one link: the components of the next turn start from there
-        links = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        fruitless = FRUITLESS * new < total
+        if not fruitless:
+            known = components(links, parts)
+            # a class that is connected needs one link: the components of the next turn start from there
+            links = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     return links
 
 
@@ -264,7 +280,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int =
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     some = docs.join(few(ids, broadcast_keys), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     keys = few(wanted.select(F.col("doc_id").alias("id"), *of_set, "r", "heads"), BROADCAST_CLASSES)
-    sets = whole_sets(some, width).join(keys, of_set).where(F.col("doc_id").eqNullSafe(F.col("id"))).drop("doc_id", "id", *of_set)
+    sets = whole_sets(some, width).join(keys, of_set).where(F.col("doc_id").eqNullSafe(F.col("id"))).drop("doc_id", "id", "s1", "s2")
     repeated = each.groupBy("doc_id", *of_set).agg(F.count("*").alias("c")).where("c > 1")
     sets = stored(sets if repeated.isEmpty() else sets.dropDuplicates(["r"]))
     links = linked(entries, sets, similarity, rounds, pairs_per_entry)
@@ -272,7 +288,8 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int =
     spread = (rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
               .where("a <> z").select("doc_id", "a"))
     ties = rows.join(spread, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
-    known = components(ties if links is None else links.unionAll(ties))
+    ties = cut_lineage(ties if links is None else links.unionAll(ties))
+    known = components(ties, max(1, ties.count() // ENTRIES_PER_TASK))
     labelled = rows.join(known.withColumnRenamed("id", "rep"), "rep", "left").withColumn("at", F.coalesce("component", "rep"))
     label = labelled.groupBy("at").agg(F.min("doc_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())

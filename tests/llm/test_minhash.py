@@ -96,6 +96,42 @@ def test_turns_work_on_their_new_links_alone(spark, monkeypatch):
     assert given and len(given) <= 3 and max(given) <= 39 + 39
 
 
+def test_the_middle_of_a_group_links_it_in_one_turn(spark, monkeypatch):
+    """Copies near one text, yet too far from one another, need no turn for each few of them."""
+    given, plain = [], minhash.components
+
+    def counted(links, parts=None):
+        given.append(links.count())
+        return plain(links, parts)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for k in rng.sample(range(25), 5) if i != 41 else []:
+            words[4 * k + 1] = f"x{i} "
+        rows.append((i, " ".join(words), None))
+    same(minhash.near_duplicates(cases.documents(spark, rows), pairs_per_entry=0.0, rounds=5), rows)
+    assert given[0] >= 79 and len(given) <= 2
+
+
+def test_a_turn_without_links_is_the_last_with_single_partners(spark, monkeypatch):
+    """Sets that share bands and are too far from one another are compared once, not turn by turn."""
+    turns, plain = [], minhash.alike
+
+    def counted(pairs, *more):
+        turns.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(minhash, "alike", counted)
+    base = [f"c{i}" for i in range(80)]
+    rows = [(i, " ".join([*base, *(f"y{i} {k}" for k in range(14))]), None) for i in range(30)]
+    same(minhash.near_duplicates(cases.documents(spark, rows), pairs_per_entry=0.0, rounds=5), rows)
+    assert len(turns) == 2
+
+
 def test_signature_estimates_without_bias():
     """Equal values are as frequent as the similarity says, and vary less than with independent permutations."""
     rng = np.random.default_rng(4)
