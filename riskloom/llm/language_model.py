@@ -17,7 +17,8 @@ blocks of matrix products.
 
 The size of the model is bounded, the work that fits it grows with the corpus
 and is done by the executors: children of a node are told from noise drawn from
-their frequencies, on every training token.  The training texts are dealt to
+their frequencies (of few children, from each as often as it is expected to be
+drawn), on every training token.  The training texts are dealt to
 rounds.  In a round every task starts from the same model, trains on all tokens
 of its own texts and gives the rows that it changed; each row moves by the mean
 change of the tasks that touched it, added up block by block in a shuffle.  The
@@ -53,9 +54,9 @@ LEAST = 5
 TARGETS, BUCKETS, BUCKET_TOKENS = 131_072, 4_096, 256
 TABLE = 1 << 19
 DIM = 24
-#: Steps of a small corpus at least, tokens of a step.
+#: Steps of a small corpus at least, tokens of a step, and of a step of a corpus that is trained on in rounds.
 STEPS = 1_000
-BATCH = 2_048
+BATCH, ROUND_BATCH = 2_048, 4_096
 #: Multiplications of a matrix product that the BLAS leaves on one thread, and rows of a run that are added one by one.
 PIECE, SHORT_RUN = 200_000, 8
 #: Rounds of training, tokens of a task in a round, most tasks in a round, tokens that a task holds at once.
@@ -64,6 +65,8 @@ ROUNDS, TASK_DRAWS, MOST_TASKS, HELD_DRAWS = 6, 2_400_000, 1_024, 1 << 19
 CHANGED = 4_096
 #: Noise of a batch among the children of each node that it meets, by level.
 NOISE = 64, 32, 4
+#: Children of any node up to which a level takes each child as noise, as often as it is expected, and draws none.
+ALL_CHILDREN = 64
 #: Draws a parent from which on they are multiplied parent by parent.
 LONG_RUN = 16
 RATE = 0.1
@@ -207,6 +210,7 @@ class Model:
         self.tree, self.start = tree, n
         self.r = self.rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32)
         self.c = [np.eye(DIM, dtype=np.float32) * np.float32(0.5) for _ in range(2)]
+        self.sides = None
         self.q, self.b, self.upto = [], [], []
         for freq, begin in zip(tree.freq, tree.begin, strict=True):
             upto = np.append(0.0, np.cumsum(freq))
@@ -231,10 +235,14 @@ class Model:
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, weight: np.ndarray, rate: float) -> None:
         order = np.argsort(w)  # numbers of targets, their entries and the parents of these rise together
         u, v, w, weight = (x.take(order) for x in (u, v, w, weight))
-        ru, rv = self.r.take(u, axis=0), self.r.take(v, axis=0)
+        sides = [grouped(x) for x in (u, v)]  # a word that is met several times is multiplied once
+        vectors = [self.r.take(at, axis=0) for _, _, at in sides]
         h = np.ones((len(w), DIM + 1), dtype=np.float32)  # the last column is the bias's
-        h[:, :DIM] = product(ru, self.c[0])
-        h[:, :DIM] += product(rv, self.c[1])
+        for k, ((order, first, at), x) in enumerate(zip(sides, vectors, strict=True)):
+            place = np.empty(len(w), dtype=np.int64)
+            place[order] = np.repeat(np.arange(len(at)), np.diff(first, append=len(w)))
+            part = product(x, self.c[k]).take(place, axis=0)
+            h[:, :DIM] = part if not k else h[:, :DIM] + part
         gh = np.zeros((len(w), DIM), dtype=np.float32)
         for level in range(3):
             begin, parent = self.tree.begin[level], self.tree.parents(level, w)
@@ -243,15 +251,18 @@ class Model:
                 gh += self.learn_level(level, h, w, parent, weight, rate)
             elif some.any():
                 gh[some] += self.learn_level(level, h[some], w[some], parent[some], weight[some], rate)
-        back = [product(gh, c.T) for c in self.c]
-        for k, x in enumerate((ru, rv)):
-            self.move(f"c{k}", self.c[k], np.arange(DIM), inner(x, gh), rate / 10)
-        self.step("r", self.r, np.concatenate([u, v]), np.concatenate(back), rate)
+        sums = [run_sums(gh.take(order, axis=0), first) for order, first, _ in sides]
+        back = [product(x, c.T) for x, c in zip(sums, self.c, strict=True)]
+        for k, x in enumerate(vectors):
+            self.move(f"c{k}", self.c[k], np.arange(DIM), inner(x, sums[k]), rate / 10)
+        self.step("r", self.r, np.concatenate([at for _, _, at in sides]), np.concatenate(back), rate)
 
     def learn_level(self, level: int, h: np.ndarray, w: np.ndarray, parent: np.ndarray, weight: np.ndarray,
                     rate: float) -> np.ndarray:
         """Tells the true children from noise that the draws of a parent share; gives the change wanted of ``h``."""
         begin, upto, q, b = self.tree.begin[level], self.upto[level], self.q[level], self.b[level]
+        if np.diff(begin).max() <= ALL_CHILDREN:
+            return self.learn_children(level, h, w, parent, weight, rate)
         first, true = runs(parent), self.tree.paths[level].take(w)
         k = NOISE[level]
         low, high = begin[parent[first]][:, None], begin[parent[first] + 1][:, None]
@@ -287,6 +298,37 @@ class Model:
         self.move(f"b{level}", b, at, moved[:, DIM], rate)
         return own
 
+    def learn_children(self, level: int, h: np.ndarray, w: np.ndarray, parent: np.ndarray, weight: np.ndarray,
+                       rate: float) -> np.ndarray:
+        """The same with the noise that is expected in place of drawn noise: each child of a node, by its frequency."""
+        begin, q, b = self.tree.begin[level], self.q[level], self.b[level]
+        first = runs(parent)
+        parents = parent.take(first)
+        true = self.tree.paths[level].take(w) - begin[parent]
+        known = self.noise[level] + np.float32(np.log(NOISE[level]))  # ln of how often a child is noise
+        expected, bias = np.exp(known), b - known
+        own = np.empty((len(w), DIM), dtype=np.float32)
+        moved = []
+        for i, j, low, high in zip(first.tolist(), [*first[1:].tolist(), len(w)], begin[parents].tolist(),
+                                   begin[parents + 1].tolist(), strict=True):
+            rows, x = q[low:high], h[i:j]
+            down = product(x[:, :DIM], rows.T)
+            down += bias[low:high]
+            sigmoid(down)
+            it = np.arange(0, down.size, high - low) + true[i:j]  # the true child in each row
+            flat = down.reshape(-1)
+            up = flat.take(it) - 1
+            down *= expected[low:high]
+            flat[it] += up
+            down *= weight[i:j, None]
+            own[i:j] = product(down, rows)
+            moved.append(inner(down, x))
+        moved = np.concatenate(moved)
+        at = np.flatnonzero(np.repeat(np.bincount(parents, minlength=len(begin) - 1), np.diff(begin)))
+        self.move(f"q{level}", q, at, moved[:, :DIM], rate)
+        self.move(f"b{level}", b, at, moved[:, DIM], rate)
+        return own
+
     def train(self, source, n_draws: int) -> None:
         """``source`` is (training texts, words), or a function that gives one shard of (u, v, w, weight) arrays."""
         if callable(source):
@@ -302,11 +344,11 @@ class Model:
         for k in range(rounds if n_draws else 0):
             self.go_through(shard, lambda part: RATE * max(0.05, 1 - (k + part) / rounds))  # noqa: B023
 
-    def go_through(self, shard: tuple[np.ndarray, ...], rate) -> None:
+    def go_through(self, shard: tuple[np.ndarray, ...], rate, batch: int = BATCH) -> None:
         u, v, w, weight = shard
         order = self.rng.permutation(len(u))
-        for i in range(0, len(u), BATCH):
-            o = order[i:i + BATCH]
+        for i in range(0, len(u), batch):
+            o = order[i:i + batch]
             self.learn(u[o], v[o], w[o], weight[o], rate(i / len(u)))
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -336,13 +378,17 @@ class Model:
         param[at] += rows.reshape(len(at), *param.shape[1:])
         self.scales(name)[at] += grown
 
+    def products(self) -> list[np.ndarray]:
+        """What every word adds to a context, as the first and as the second word."""
+        return [product(self.r, c) for c in self.c]
+
     def log_probs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | u, v) of each."""
-        out = np.empty(len(w))
+        out, sides = np.empty(len(w)), self.sides or self.products()
         for at in range(0, len(w), SCORE_TOKENS):
             order = np.argsort(w[at:at + SCORE_TOKENS]) + at  # the parents on every level rise with the target
-            h = product(self.r.take(u[order], axis=0), self.c[0])
-            h += product(self.r.take(v[order], axis=0), self.c[1])
+            h = sides[0].take(u[order], axis=0)
+            h += sides[1].take(v[order], axis=0)
             out[order] = sum(self.level(level, h, w[order]) for level in range(3))
         return out / np.log(10)
 
@@ -425,7 +471,7 @@ def learn_in_rounds(model: Model, source: tuple[DataFrame, Words], n_tokens: int
                 if few_draws:
                     mine.passes(shard, n, steps)
                 else:
-                    mine.go_through(shard, lambda _: RATE * max(0.05, 1 - k / rounds))
+                    mine.go_through(shard, lambda _: RATE * max(0.05, 1 - k / rounds), ROUND_BATCH)
 
             for b in chunks(batches):
                 hashes, owner = hashes_of(b)
@@ -533,7 +579,8 @@ def fitted(training: DataFrame, words: Words, n_tokens: int, classes: int | None
     model = Model(Tree(words.freq, classes))
     if n_tokens:
         model.train((training, words), n_tokens)
-    model.seen, model.noise, model.upto = {}, [], []  # only needed to learn
+    model.sides = model.products()
+    model.r, model.seen, model.noise, model.upto = None, {}, [], []  # only needed to learn
     return model
 
 

@@ -393,3 +393,45 @@ def test_sums_of_runs_and_places_of_hashes():
         got = language_model.Places(part)
         assert (part[got.of(part)] == part).all()
         assert got.of(keys + np.uint64(1)).max() < len(part) and not np.isin(part[got.of(keys + np.uint64(1))], keys + np.uint64(1)).any()
+
+
+def test_nodes_of_few_children_take_each_as_noise_as_often_as_expected():
+    """The change wanted of a context is the mean over the noise, worked out token by token here."""
+    rng = np.random.default_rng(8)
+    tree = language_model.Tree(np.arange(60, 0, -1) ** 1.5, 4)
+    model = language_model.Model(tree)
+    w = np.sort(rng.integers(0, 60, 200))
+    h = np.ones((200, language_model.DIM + 1), dtype=np.float32)
+    h[:, :-1] = rng.normal(size=(200, language_model.DIM))
+    for level in range(3):
+        model.q[level][:] = rng.normal(0, 0.3, model.q[level].shape)
+        begin, parent, q = tree.begin[level], tree.parents(level, w), model.q[level].copy()
+        often = language_model.NOISE[level] * np.exp(model.noise[level])
+        want = np.zeros((200, language_model.DIM))
+        for i in range(200):
+            for child in range(begin[parent[i]], begin[parent[i] + 1]):
+                true = child == tree.paths[level][w[i]]
+                share = 1 / (1 + np.exp(np.log(often[child]) - model.b[level][child] - h[i, :-1] @ q[child]))
+                want[i] += (often[child] * share + (share - 1) * true) * q[child]
+        got = model.learn_level(level, h, w, parent, np.ones(200, dtype=np.float32), 0.1)
+        np.testing.assert_allclose(got, want, rtol=1e-3, atol=1e-3)
+        assert not np.array_equal(model.q[level], q)
+
+
+def test_words_met_several_times_are_multiplied_once(monkeypatch):
+    """The change of the context vectors is that of all tokens, though each distinct word is multiplied once."""
+    sizes, plain = [], language_model.product
+    monkeypatch.setattr(language_model, "product", lambda a, b: (sizes.append(len(a)), plain(a, b))[1])
+    model = language_model.Model(language_model.Tree(np.ones(30), 3))
+    monkeypatch.setattr(model, "learn_level", lambda level, h, w, *more: (sizes.clear(), np.ones((len(w), language_model.DIM), np.float32))[1])
+    u, v = np.arange(500) % 4, np.arange(500) % 7
+    before = model.r.copy()
+    c = [x.copy() for x in model.c]
+    model.learn(u, v, np.arange(500) % 30, np.ones(500, dtype=np.float32), 0.1)
+    assert sizes and max(sizes) <= 7
+    g = np.zeros_like(before)
+    grad = np.full((500, language_model.DIM), 3, dtype=np.float32)  # of the three levels
+    np.add.at(g, u, grad @ c[0].T)
+    np.add.at(g, v, grad @ c[1].T)
+    moved = g * (0.1 / (np.sqrt((g * g).mean(1)) + 1e-6))[:, None]
+    np.testing.assert_allclose(model.r, before - moved, rtol=1e-3, atol=1e-4)
