@@ -210,7 +210,7 @@ class Model:
         self.tree, self.start = tree, n
         self.r = self.rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32)
         self.c = [np.eye(DIM, dtype=np.float32) * np.float32(0.5) for _ in range(2)]
-        self.sides = None
+        self.sides, self.batch = None, BATCH
         self.q, self.b, self.upto = [], [], []
         for freq, begin in zip(tree.freq, tree.begin, strict=True):
             upto = np.append(0.0, np.cumsum(freq))
@@ -261,7 +261,7 @@ class Model:
                     rate: float) -> np.ndarray:
         """Tells the true children from noise that the draws of a parent share; gives the change wanted of ``h``."""
         begin, upto, q, b = self.tree.begin[level], self.upto[level], self.q[level], self.b[level]
-        if np.diff(begin).max() <= ALL_CHILDREN:
+        if level < 2 and np.diff(begin).max() <= ALL_CHILDREN:  # the targets themselves are always told from draws
             return self.learn_children(level, h, w, parent, weight, rate)
         first, true = runs(parent), self.tree.paths[level].take(w)
         k = NOISE[level]
@@ -344,11 +344,11 @@ class Model:
         for k in range(rounds if n_draws else 0):
             self.go_through(shard, lambda part: RATE * max(0.05, 1 - (k + part) / rounds))  # noqa: B023
 
-    def go_through(self, shard: tuple[np.ndarray, ...], rate, batch: int = BATCH) -> None:
+    def go_through(self, shard: tuple[np.ndarray, ...], rate) -> None:
         u, v, w, weight = shard
         order = self.rng.permutation(len(u))
-        for i in range(0, len(u), batch):
-            o = order[i:i + batch]
+        for i in range(0, len(u), self.batch):
+            o = order[i:i + self.batch]
             self.learn(u[o], v[o], w[o], weight[o], rate(i / len(u)))
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -462,6 +462,7 @@ def learn_in_rounds(model: Model, source: tuple[DataFrame, Words], n_tokens: int
         def work(batches, sent=sent, k=k):
             base, words = sent.value
             mine = copy.deepcopy(base)
+            mine.batch = BATCH if few_draws else ROUND_BATCH
             mine.rng = np.random.default_rng([k, TaskContext.get().partitionId()])
             held, n = [], 0
 
@@ -471,7 +472,7 @@ def learn_in_rounds(model: Model, source: tuple[DataFrame, Words], n_tokens: int
                 if few_draws:
                     mine.passes(shard, n, steps)
                 else:
-                    mine.go_through(shard, lambda _: RATE * max(0.05, 1 - k / rounds), ROUND_BATCH)
+                    mine.go_through(shard, lambda _: RATE * max(0.05, 1 - k / rounds))
 
             for b in chunks(batches):
                 hashes, owner = hashes_of(b)
@@ -580,7 +581,7 @@ def fitted(training: DataFrame, words: Words, n_tokens: int, classes: int | None
     if n_tokens:
         model.train((training, words), n_tokens)
     model.sides = model.products()
-    model.r, model.seen, model.noise, model.upto = None, {}, [], []  # only needed to learn
+    model.seen, model.noise, model.upto = {}, [], []  # only needed to learn
     return model
 
 
