@@ -47,17 +47,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all texts, word starts, word ends, text number of each word); blanks (32) part words."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
-    edge = np.flatnonzero(np.diff((data != 32).view(np.int8))) + 1
+    word = data != 32
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
     offsets = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    return data, starts, ends, np.searchsorted(offsets, starts, side="right")
+    return data, starts, ends, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets), prepend=0))
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of data[s:e] for each pair."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(BYTE_VALUE.take(data) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 

@@ -37,6 +37,7 @@ a text of any length is scored whole, ``SCORE_TOKENS`` tokens at a time.
 from __future__ import annotations
 
 import copy
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import chunks, crc_mod, id_text, small_batches
+from riskloom.llm.common import CHUNK_BYTES, chunks, crc_mod, id_text, small_batches
 from riskloom.llm.hashing import FOLD, U, word_hashes
 from riskloom.session import cut_lineage
 
@@ -57,8 +58,10 @@ DIM = 24
 #: Steps of a small corpus at least, tokens of a step, and of a step of a corpus that is trained on in rounds.
 STEPS = 1_000
 BATCH, ROUND_BATCH = 2_048, 4_096
-#: Multiplications of a matrix product that the BLAS leaves on one thread, and rows of a run that are added one by one.
-PIECE, SHORT_RUN = 200_000, 8
+#: Multiplications of a matrix product whose result stays in the processor cache, and runs up to which each is summed alone.
+PIECE, FEW_RUNS = 6_000_000, 64
+#: Cells of equal shares that tell where to look for a draw, and entries that are looked at one by one.
+CELLS, LOOKS = 1 << 19, 8
 #: Rounds of training, tokens of a task in a round, most tasks in a round, tokens that a task holds at once.
 ROUNDS, TASK_DRAWS, MOST_TASKS, HELD_DRAWS = 6, 2_400_000, 1_024, 1 << 19
 #: Rows of a block of changes.
@@ -67,7 +70,7 @@ CHANGED = 4_096
 NOISE = 64, 32, 4
 #: Children of any node up to which a level takes each child as noise, as often as it is expected, and draws none.
 ALL_CHILDREN = 64
-#: Draws a parent from which on they are multiplied parent by parent.
+#: Draws of a parent from which on they are multiplied at once.
 LONG_RUN = 16
 RATE = 0.1
 #: Text and tokens that are scored together, and scores that exp takes without a shift.
@@ -77,14 +80,23 @@ HELD_OUT_MOD, HELD_OUT_REST = 7, 2
 HOLD = 4_000_000
 
 
-def hashes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def hashes_of(batch: pa.RecordBatch, piece: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word; a batch of many texts in pieces of about ``piece`` bytes, if that is given."""
+    if piece:
+        parts, at = [], 0
+        for part in chunks([batch], limit=piece):
+            hashes, owner = hashes_of(part)
+            parts.append((hashes, owner + at))
+            at += part.num_rows
+        if parts:
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     texts = [t.encode().translate(FOLD) if t else b"" for t in batch.column("text").to_pylist()]
     return word_hashes(texts)
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(back, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+    order, first, found = grouped(np.concatenate(keys))
+    return found, np.add.reduceat(np.concatenate(counts).take(order), first)
 
 
 def counted(frame: DataFrame, keys_of) -> DataFrame:
@@ -144,7 +156,7 @@ class Tree:
 def summed_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct numbers, sum of the rows of each)."""
     order, first, at = grouped(at)
-    return at, run_sums(rows.take(order, axis=0), first)
+    return at, run_sums(rows, first, order)
 
 
 def grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +169,17 @@ def grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def runs(at: np.ndarray) -> np.ndarray:
     """Where each distinct one of the sorted numbers begins."""
-    return np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    new = np.ones(len(at), dtype=bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def sizes(first: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of the runs of ``n`` numbers."""
+    out = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=out[:-1])
+    out[-1:] = n - first[-1:]
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -169,23 +191,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each run; most runs are short, so all runs' second rows are added at once, then the third."""
-    out = rows.take(first, axis=0)
-    size = np.diff(first, append=len(rows))
+def run_sums(rows: np.ndarray, first: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows (in this order) of each run; most runs are short, so all runs' second rows are added at once, then the
+    third, until few runs are left."""
+    at = (lambda x: rows.take(x, axis=0)) if order is None else (lambda x: rows.take(order.take(x), axis=0))
+    out = at(first)
+    size = sizes(first, len(rows))
     longer = np.flatnonzero(size > 1)
-    for k in range(1, SHORT_RUN):
-        if not len(longer):
-            break
-        out[longer] += rows.take(first[longer] + k, axis=0)
-        longer = longer[size[longer] > k + 1]
-    for x, i, n in zip(longer.tolist(), first[longer].tolist(), size[longer].tolist(), strict=True):
-        out[x] = rows[i:i + n].sum(axis=0)
+    k = 1
+    while len(longer) > FEW_RUNS:
+        out[longer] += at(first.take(longer) + k)
+        k += 1
+        longer = longer[size.take(longer) > k]
+    if len(longer):
+        ones = np.ones(int(size.max()), dtype=rows.dtype)
+        for x, i, n in zip(longer.tolist(), first[longer].tolist(), size[longer].tolist(), strict=True):
+            rest = rows[i + k:i + n] if order is None else rows.take(order[i + k:i + n], axis=0)
+            out[x] += ones[:n - k] @ rest
     return out
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b, in pieces that the BLAS leaves on one thread."""
+    """a @ b, in pieces that the processor cache holds."""
     n = max(1, PIECE // b.size)
     if len(a) <= n:
         return a @ b
@@ -210,7 +237,7 @@ class Model:
         self.tree, self.start = tree, n
         self.r = self.rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32)
         self.c = [np.eye(DIM, dtype=np.float32) * np.float32(0.5) for _ in range(2)]
-        self.sides, self.batch = None, BATCH
+        self.sides, self.rows, self.cells, self.batch = None, None, {}, BATCH
         self.q, self.b, self.upto = [], [], []
         for freq, begin in zip(tree.freq, tree.begin, strict=True):
             upto = np.append(0.0, np.cumsum(freq))
@@ -226,11 +253,21 @@ class Model:
         self.move(name, param, *summed_rows(at, rows), rate)
 
     def move(self, name: str, param: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
-        scale = self.seen.setdefault(name, np.zeros(len(param), dtype=np.float32))
-        size = scale.take(at) + (np.einsum("nd,nd->n", g, g) / g.shape[1] if g.ndim == 2 else g * g)
+        if name not in self.seen:
+            self.seen[name] = np.zeros(len(param), dtype=np.float32)
+        scale = self.seen[name]
+        at = slice(None) if len(at) == len(param) else at
+        size = scale[at] + (np.einsum("nd,nd->n", g, g) / g.shape[1] if g.ndim == 2 else g * g)
         scale[at] = size
-        size = np.float32(rate) / (np.sqrt(size) + np.float32(1e-6))
-        param[at] = param.take(at, axis=0) - g * (size[:, None] if g.ndim == 2 else size)
+        np.sqrt(size, out=size)
+        size += np.float32(1e-6)
+        np.divide(np.float32(-rate), size, out=size)
+        change = g * (size[:, None] if g.ndim == 2 else size)
+        if isinstance(at, slice):
+            param += change
+        else:
+            change += param.take(at, axis=0)
+            param[at] = change
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, weight: np.ndarray, rate: float) -> None:
         order = np.argsort(w)  # numbers of targets, their entries and the parents of these rise together
@@ -238,62 +275,88 @@ class Model:
         sides = [grouped(x) for x in (u, v)]  # a word that is met several times is multiplied once
         vectors = [self.r.take(at, axis=0) for _, _, at in sides]
         h = np.ones((len(w), DIM + 1), dtype=np.float32)  # the last column is the bias's
-        for k, ((order, first, at), x) in enumerate(zip(sides, vectors, strict=True)):
+        parts = []
+        for (order, first, at), x, c in zip(sides, vectors, self.c, strict=True):
             place = np.empty(len(w), dtype=np.int64)
-            place[order] = np.repeat(np.arange(len(at)), np.diff(first, append=len(w)))
-            part = product(x, self.c[k]).take(place, axis=0)
-            h[:, :DIM] = part if not k else h[:, :DIM] + part
+            place[order] = np.repeat(np.arange(len(at)), sizes(first, len(w)))
+            parts.append(product(x, c).take(place, axis=0))
+        np.add(*parts, out=h[:, :DIM])
         gh = np.zeros((len(w), DIM), dtype=np.float32)
         for level in range(3):
             begin, parent = self.tree.begin[level], self.tree.parents(level, w)
-            some = begin[parent + 1] - begin[parent] > 1
-            if some.all():
+            some = np.flatnonzero(begin.take(parent + 1) - begin.take(parent) > 1)
+            if len(some) == len(w):
                 gh += self.learn_level(level, h, w, parent, weight, rate)
-            elif some.any():
-                gh[some] += self.learn_level(level, h[some], w[some], parent[some], weight[some], rate)
-        sums = [run_sums(gh.take(order, axis=0), first) for order, first, _ in sides]
+            elif len(some):
+                gh[some] += self.learn_level(level, *(x.take(some, axis=0) for x in (h, w, parent, weight)), rate)
+        sums = [run_sums(gh, first, order) for order, first, _ in sides]
         back = [product(x, c.T) for x, c in zip(sums, self.c, strict=True)]
         for k, x in enumerate(vectors):
             self.move(f"c{k}", self.c[k], np.arange(DIM), inner(x, sums[k]), rate / 10)
         self.step("r", self.r, np.concatenate([at for _, _, at in sides]), np.concatenate(back), rate)
 
+    def draws(self, level: int, parents: np.ndarray) -> np.ndarray:
+        """Noise for each of the parents: children drawn by their frequency."""
+        upto, begin = self.upto[level], self.tree.begin[level]
+        low, high = begin[parents][:, None], begin[parents + 1][:, None]
+        x = upto[low] + self.rng.random((len(parents), NOISE[level])) * (upto[high] - upto[low])
+        if level not in self.cells:  # the entry where each of many equal shares begins
+            self.cells[level] = (np.searchsorted(upto, np.arange(CELLS) * (upto[-1] / CELLS), side="right") - 1).astype(np.int32)
+        drawn = np.clip(self.cells[level].take((x * (CELLS / upto[-1])).astype(np.int64), mode="clip"), low, high - 1)
+        flat, x, last = drawn.reshape(-1), x.reshape(-1), np.repeat(high.reshape(-1) - 1, NOISE[level])
+        before = np.arange(len(flat))
+        for _ in range(LOOKS):
+            before = before[(upto.take(flat.take(before) + 1) <= x.take(before)) & (flat.take(before) < last.take(before))]
+            if not len(before):
+                return drawn
+            flat[before] += 1
+        flat[before] = np.minimum(np.searchsorted(upto, x[before], side="right") - 1, last[before])
+        return drawn
+
     def learn_level(self, level: int, h: np.ndarray, w: np.ndarray, parent: np.ndarray, weight: np.ndarray,
                     rate: float) -> np.ndarray:
         """Tells the true children from noise that the draws of a parent share; gives the change wanted of ``h``."""
-        begin, upto, q, b = self.tree.begin[level], self.upto[level], self.q[level], self.b[level]
+        begin, q, b = self.tree.begin[level], self.q[level], self.b[level]
         if level < 2 and np.diff(begin).max() <= ALL_CHILDREN:  # the targets themselves are always told from draws
             return self.learn_children(level, h, w, parent, weight, rate)
         first, true = runs(parent), self.tree.paths[level].take(w)
-        k = NOISE[level]
-        low, high = begin[parent[first]][:, None], begin[parent[first] + 1][:, None]
-        drawn = np.searchsorted(upto, upto[low] + self.rng.random((len(first), k)) * (upto[high] - upto[low]), side="right") - 1
-        drawn = np.clip(drawn, low, high - 1)
-        known = np.float32(np.log(k))
-        rows = np.concatenate([q.take(drawn, axis=0), (b[drawn] - self.noise[level][drawn] - known)[:, :, None]], axis=2)
+        size = sizes(first, len(w))
+        by = np.argsort(-size)  # parents of many draws first
+        first, size = first.take(by), size.take(by)
+        drawn = self.draws(level, parent.take(first))
+        known = np.float32(np.log(NOISE[level]))
+        rows = np.empty((*drawn.shape, DIM + 1), dtype=np.float32)
+        rows[:, :, :DIM] = q.take(drawn, axis=0)
+        rows[:, :, DIM] = b.take(drawn) - self.noise[level].take(drawn) - known
         own = q.take(true, axis=0)
         up = np.einsum("nd,nd->n", own, h[:, :DIM])
         up += b.take(true) - self.noise[level].take(true) - known
         up = (sigmoid(up) - 1) * weight
         own *= up[:, None]  # from here on the change wanted of h
-        last = np.append(first[1:], len(w))
-        if len(w) >= LONG_RUN * len(first):  # few parents: a matrix product for each
-            moved = np.empty_like(rows)
-            for x, (i, j) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-                down = sigmoid(product(h[i:j], rows[x].T))
-                down *= weight[i:j, None]
-                own[i:j] += product(down, rows[x, :, :DIM])
-                moved[x] = inner(down, h[i:j])
-        else:
-            near = rows.take(np.repeat(np.arange(len(first)), last - first), axis=0)
-            down = sigmoid(np.einsum("nkd,nd->nk", near, h))
-            down *= weight[:, None]
-            own += np.einsum("nk,nkd->nd", down, near[:, :, :DIM])
-            np.multiply(down[:, :, None], h[:, None, :], out=near)
-            moved = run_sums(near.reshape(len(w), -1), first)
         begun = runs(true)
-        order, first, at = grouped(np.concatenate([true[begun], drawn.ravel()]))
-        moved = np.concatenate([run_sums(up[:, None] * h, begun), moved.reshape(-1, DIM + 1)])
-        moved = run_sums(moved.take(order, axis=0), first)
+        changes = np.zeros((len(begun) + drawn.size, DIM + 1), dtype=np.float32)  # of the true children, then of the noise
+        changes[:len(begun)] = run_sums(up[:, None] * h, begun)
+        moved = changes[len(begun):].reshape(rows.shape)
+        many = int(np.count_nonzero(size >= LONG_RUN))
+        for x, (i, n) in enumerate(zip(first[:many].tolist(), size[:many].tolist(), strict=True)):
+            j = i + n
+            down = sigmoid(product(h[i:j], rows[x].T))
+            down *= weight[i:j, None]
+            own[i:j] += product(down, rows[x, :, :DIM])
+            moved[x] = inner(down, h[i:j])
+        some = []
+        for k in range(int(size[many:].max(initial=0))):  # the next draw of every other parent that has one
+            last = int(np.count_nonzero(size > k))
+            it, near = first[many:last] + k, rows[many:last]
+            x = h.take(it, axis=0)
+            down = sigmoid(np.einsum("nkd,nd->nk", near, x))
+            down *= weight.take(it)[:, None]
+            some.append((it, np.einsum("nk,nkd->nd", down, near[:, :, :DIM])))
+            moved[many:last] += down[:, :, None] * x[:, None, :]
+        if some:
+            it, change = (np.concatenate(x) for x in zip(*some, strict=True))
+            own[it] += change
+        at, moved = summed_rows(np.concatenate([true[begun], drawn.ravel()]), changes)
         self.move(f"q{level}", q, at, moved[:, :DIM], rate)
         self.move(f"b{level}", b, at, moved[:, DIM], rate)
         return own
@@ -303,28 +366,36 @@ class Model:
         """The same with the noise that is expected in place of drawn noise: each child of a node, by its frequency."""
         begin, q, b = self.tree.begin[level], self.q[level], self.b[level]
         first = runs(parent)
-        parents = parent.take(first)
-        true = self.tree.paths[level].take(w) - begin[parent]
+        parents, size = parent.take(first), sizes(first, len(w))
+        low, high = begin.take(parents), begin.take(parents + 1)
         known = self.noise[level] + np.float32(np.log(NOISE[level]))  # ln of how often a child is noise
-        expected, bias = np.exp(known), b - known
+        often = np.exp(known)
+        half = np.column_stack([q, b - known]) / 2  # 1 + tanh(x / 2) is twice the sigmoid of x
+        shares = q * (often / 2)[:, None]
+        ends = np.cumsum(size * (high - low))
+        scores = np.empty(int(ends[-1]), dtype=np.float32)  # of all children of its parent for each draw
+        cuts = [(i, i + n, x, y, scores[e - n * (y - x):e].reshape(n, y - x)) for i, n, x, y, e in zip(
+            first.tolist(), size.tolist(), low.tolist(), high.tolist(), ends.tolist(), strict=True)]
+        for i, j, x, y, part in cuts:
+            np.matmul(h[i:j], half[x:y].T, out=part)
+        np.tanh(scores, out=scores)
+        scores += 1
+        width = np.repeat(high - low, size)
+        true = self.tree.paths[level].take(w)
+        it = np.cumsum(width) - width + true - np.repeat(low, size)  # the true child of each draw
+        up = scores.take(it)
+        scores[it] = up + (up - 2) / often.take(true)
+        if (weight != 1).any():
+            scores *= np.repeat(weight, width)
         own = np.empty((len(w), DIM), dtype=np.float32)
-        moved = []
-        for i, j, low, high in zip(first.tolist(), [*first[1:].tolist(), len(w)], begin[parents].tolist(),
-                                   begin[parents + 1].tolist(), strict=True):
-            rows, x = q[low:high], h[i:j]
-            down = product(x[:, :DIM], rows.T)
-            down += bias[low:high]
-            sigmoid(down)
-            it = np.arange(0, down.size, high - low) + true[i:j]  # the true child in each row
-            flat = down.reshape(-1)
-            up = flat.take(it) - 1
-            down *= expected[low:high]
-            flat[it] += up
-            down *= weight[i:j, None]
-            own[i:j] = product(down, rows)
-            moved.append(inner(down, x))
-        moved = np.concatenate(moved)
+        moved = np.empty((int((high - low).sum()), DIM + 1), dtype=np.float32)
+        at = 0
+        for i, j, x, y, part in cuts:
+            np.matmul(part, shares[x:y], out=own[i:j])
+            np.matmul(part.T, h[i:j], out=moved[at:at + y - x])
+            at += y - x
         at = np.flatnonzero(np.repeat(np.bincount(parents, minlength=len(begin) - 1), np.diff(begin)))
+        moved *= (often.take(at) / 2)[:, None]
         self.move(f"q{level}", q, at, moved[:, :DIM], rate)
         self.move(f"b{level}", b, at, moved[:, DIM], rate)
         return own
@@ -379,45 +450,51 @@ class Model:
         self.scales(name)[at] += grown
 
     def products(self) -> list[np.ndarray]:
-        """What every word adds to a context, as the first and as the second word."""
-        return [product(self.r, c) for c in self.c]
+        """What every word adds to a context, as the first and as the second word; the last column is the bias's."""
+        return [np.column_stack([product(self.r, c), np.full(len(self.r), one, dtype=np.float32)])
+                for c, one in zip(self.c, (1, 0), strict=True)]
+
+    def entries(self) -> list[tuple[np.ndarray, float, float]]:
+        """Of every level the vectors with the bias behind them, the longest vector's square and the largest bias."""
+        return [(np.column_stack([q, b]), float((q * q).sum(1).max(initial=0)), float(np.abs(b).max(initial=0)))
+                for q, b in zip(self.q, self.b, strict=True)]
 
     def log_probs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | u, v) of each."""
-        out, sides = np.empty(len(w)), self.sides or self.products()
-        for at in range(0, len(w), SCORE_TOKENS):
-            order = np.argsort(w[at:at + SCORE_TOKENS]) + at  # the parents on every level rise with the target
+        out, sides, entries = np.empty(len(w)), self.sides or self.products(), self.rows or self.entries()
+        pieces = max(1, round(len(w) / SCORE_TOKENS))
+        for low, high in pairwise([len(w) * k // pieces for k in range(pieces + 1)]):
+            order = np.argsort(w[low:high]) + low  # the parents on every level rise with the target
             h = sides[0].take(u[order], axis=0)
             h += sides[1].take(v[order], axis=0)
-            out[order] = sum(self.level(level, h, w[order]) for level in range(3))
+            longest = float(np.einsum("nd,nd->n", h, h).max(initial=1)) - 1
+            out[order] = sum(self.level(level, h, longest, w[order], *entries[level]) for level in range(3))
         return out / np.log(10)
 
-    def level(self, level: int, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def level(self, level: int, h: np.ndarray, longest: float, w: np.ndarray, rows: np.ndarray, longest_row: float,
+              bias: float) -> np.ndarray:
         """ln P(entry | parent) for sorted targets ``w``."""
-        begin, q, b = self.tree.begin[level], self.q[level], self.b[level]
-        parent, child = self.tree.parents(level, w), self.tree.paths[level].take(w)
-        own = np.einsum("nd,nd->n", q.take(child, axis=0), h) + b.take(child)
+        begin, parent = self.tree.begin[level], self.tree.parents(level, w)
         # no score is beyond this one: exp needs no shift by each row's largest score while it is small
-        most = float(np.sqrt((h * h).sum(1).max(initial=0) * (q * q).sum(1).max())) + float(np.abs(b).max())
-        total, shift = np.ones_like(own), own.copy()  # an only child is certain
-        first = runs(parent) if len(w) else []
-        for i, j in zip(first, np.append(first[1:], len(w)), strict=True):
-            low, high = begin[parent[i]], begin[parent[i] + 1]
-            if high - low == 1:
-                continue
-            shift[i:j] = 0
-            rows, bias, ones = q[low:high].T, b[low:high], np.ones(high - low, dtype=np.float32)
-            width = max(1, PIECE // rows.size)
-            for x in range(i, j, width):
-                y = min(x + width, j)
-                s = h[x:y] @ rows
-                s += bias
-                if most > SAFE:
-                    shift[x:y] = s.max(1)
-                    s -= shift[x:y, None]
+        safe = (longest * longest_row) ** 0.5 + bias <= SAFE
+        own, total = np.zeros(len(w), dtype=np.float32), np.ones(len(w), dtype=np.float32)  # an only child is certain
+        first = runs(parent)
+        low, high = begin.take(parent.take(first)), begin.take(parent.take(first) + 1)
+        some = np.flatnonzero(high - low > 1)
+        child = self.tree.paths[level].take(w) - begin.take(parent)
+        ones = np.ones(int((high - low).max(initial=0)), dtype=np.float32)
+        for i, n, x, y in zip(first[some].tolist(), sizes(first, len(w))[some].tolist(), low[some].tolist(), high[some].tolist(),
+                              strict=True):
+            part, width = rows[x:y].T, max(1, PIECE // rows[x:y].size)
+            for at in range(i, i + n, width):
+                to = min(at + width, i + n)
+                s = h[at:to] @ part
+                if not safe:
+                    s -= s.max(1, keepdims=True)
+                own[at:to] = s.reshape(-1).take(child[at:to] + np.arange(0, s.size, y - x))
                 np.exp(s, out=s)
-                np.matmul(s, ones, out=total[x:y])
-        return own - shift - np.log(total)
+                np.matmul(s, ones[:y - x], out=total[at:to])
+        return own - np.log(total)
 
 
 CHANGE_SCHEMA = "name string, block int, at binary, rows binary, grown binary"
@@ -580,8 +657,8 @@ def fitted(training: DataFrame, words: Words, n_tokens: int, classes: int | None
     model = Model(Tree(words.freq, classes))
     if n_tokens:
         model.train((training, words), n_tokens)
-    model.sides = model.products()
-    model.seen, model.noise, model.upto = {}, [], []  # only needed to learn
+    model.sides, model.rows = model.products(), model.entries()
+    model.seen, model.noise, model.upto, model.cells, model.q, model.b = {}, [], [], {}, [], []  # only needed to learn
     return model
 
 
@@ -628,7 +705,7 @@ def score(documents: DataFrame, classes: int | None = None, table: int = TABLE)
         at = TaskContext.get().partitionId() << 33
         for b in chunks(batches, limit=SCORE_BYTES):
             n = b.num_rows
-            hashes, owner = hashes_of(b)
+            hashes, owner = hashes_of(b, piece=CHUNK_BYTES)
             numbers = words.of(hashes)
             u, v, w, text, _ = words.trigrams(numbers, owner, n)
             lbl = np.bincount(text, weights=model.log_probs(u, v, w), minlength=n)

@@ -435,3 +435,77 @@ def test_words_met_several_times_are_multiplied_once(monkeypatch):
     np.add.at(g, v, grad @ c[1].T)
     moved = g * (0.1 / (np.sqrt((g * g).mean(1)) + 1e-6))[:, None]
     np.testing.assert_allclose(model.r, before - moved, rtol=1e-3, atol=1e-4)
+
+
+def test_a_little_more_than_a_piece_is_scored_as_one(monkeypatch):
+    """Every piece meets most nodes of the tree once more, so none of them is small."""
+    monkeypatch.setattr(language_model, "SCORE_TOKENS", 1_000)
+    model, sizes, plain = small_model(), [], language_model.Model.level
+    for q in model.q:
+        q += model.rng.normal(0, 1, q.shape).astype(np.float32)
+    u, v, w = (model.rng.integers(0, n, 2_600) for n in (400, 400, 399))
+    whole = model.log_probs(u, v, w)
+    monkeypatch.setattr(language_model.Model, "level", lambda self, level, h, *more: (sizes.append(len(h)), plain(self, level, h, *more))[1])
+    np.testing.assert_allclose(model.log_probs(u[:1_300], v[:1_300], w[:1_300]), whole[:1_300], rtol=1e-5, atol=1e-5)
+    assert sizes == [1_300] * 3
+    assert len(model.log_probs(u[:0], v[:0], w[:0])) == 0
+
+
+def test_noise_is_drawn_by_the_shares_of_the_children(monkeypatch):
+    """Also where one cell holds most children, or a few looks don't reach the child."""
+    for cells, looks in ((1 << 19, 8), (16, 1), (4, 0)):
+        monkeypatch.setattr(language_model, "CELLS", cells)
+        monkeypatch.setattr(language_model, "LOOKS", looks)
+        model = small_model()
+        begin, upto = model.tree.begin[2], model.upto[2]
+        parents = np.repeat(np.flatnonzero(np.diff(begin) > 1), 300)
+        x = np.random.default_rng(3).random((len(parents), language_model.NOISE[2]))
+        model.rng = type("Given", (), {"random": lambda self, shape: x})()
+        low, high = begin[parents][:, None], begin[parents + 1][:, None]
+        want = np.searchsorted(upto, upto[low] + x * (upto[high] - upto[low]), side="right") - 1
+        assert (model.draws(2, parents) == want).all()
+
+
+def test_shared_noise_moves_contexts_and_children_as_token_by_token():
+    """Nodes of one draw, of a few and of many draws, with weights."""
+    model = language_model.Model(language_model.Tree(np.arange(300, 0, -1) ** 1.5, 5))
+    rng, noise = np.random.default_rng(2), language_model.NOISE[2]
+    model.q[2][:] = rng.normal(0, 0.3, model.q[2].shape)
+    begin, q, b = model.tree.begin[2], model.q[2].copy(), model.b[2].copy()
+    w = np.sort(np.concatenate([np.arange(0, 300, 7), np.full(40, 200), np.arange(60, 66), np.arange(290, 300)]))
+    parent = model.tree.parents(2, w)
+    h = np.ones((len(w), language_model.DIM + 1), dtype=np.float32)
+    h[:, :-1] = rng.normal(size=(len(w), language_model.DIM))
+    weight = rng.integers(1, 4, len(w)).astype(np.float32)
+    runs = np.unique(parent, return_counts=True)[1]
+    assert runs.min() == 1 and runs.max() >= language_model.LONG_RUN and ((runs > 1) & (runs < language_model.LONG_RUN)).any()
+    drawn = {}
+    plain = model.draws
+    model.draws = lambda level, parents: drawn.setdefault("at", (parents, plain(level, parents)))[1]
+    got = model.learn_level(2, h, w, parent, weight, 0.1)
+    at = dict(zip(drawn["at"][0].tolist(), drawn["at"][1].tolist(), strict=True))
+    want, moved = np.zeros((len(w), language_model.DIM)), np.zeros((len(q), language_model.DIM + 1))
+    for i in range(len(w)):
+        for child, true in [(int(w[i]), 1), *((c, 0) for c in at[parent[i]])]:
+            share = 1 / (1 + np.exp(model.noise[2][child] + np.log(noise) - b[child] - h[i, :-1] @ q[child]))
+            want[i] += weight[i] * (share - true) * q[child]
+            moved[child] += weight[i] * (share - true) * h[i]
+    np.testing.assert_allclose(got, want, rtol=1e-3, atol=1e-4)
+    scale = 0.1 / (np.sqrt((moved[:, :-1] ** 2).mean(1)) + 1e-6)
+    np.testing.assert_allclose(model.q[2], q - moved[:, :-1] * scale[:, None], rtol=1e-3, atol=1e-4)
+    np.testing.assert_allclose(model.b[2], b - 0.1 * moved[:, -1] / (np.abs(moved[:, -1]) + 1e-6), rtol=1e-3, atol=1e-4)
+
+
+def test_many_runs_of_one_length_are_summed_together(monkeypatch):
+    """A row that nine tasks changed is added like one that two tasks changed, not by a loop over all rows."""
+    rng = np.random.default_rng(1)
+    at = np.repeat(np.arange(3_000), 9)
+    rng.shuffle(at)
+    rows = rng.normal(size=(len(at), 5)).astype(np.float32)
+    looped = []
+    monkeypatch.setattr(language_model, "zip", lambda *x, **more: (looped.extend(x[0]), zip(*x, **more))[1], raising=False)
+    found, got = language_model.summed_rows(at, rows)
+    want = np.zeros((3_000, 5))
+    np.add.at(want, at, rows)
+    np.testing.assert_allclose(got, want, rtol=1e-3, atol=1e-4)
+    assert (found == np.arange(3_000)).all() and not looped
