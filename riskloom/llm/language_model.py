@@ -59,7 +59,7 @@ DIM = 24
 STEPS = 1_000
 BATCH, ROUND_BATCH = 2_048, 4_096
 #: Multiplications of a matrix product whose result stays in the processor cache, and runs up to which each is summed alone.
-PIECE, FEW_RUNS = 6_000_000, 64
+PIECE, FEW_RUNS = 6_000_000, 32
 #: Cells of equal shares that tell where to look for a draw, and entries that are looked at one by one.
 CELLS, LOOKS = 1 << 19, 8
 #: Rounds of training, tokens of a task in a round, most tasks in a round, tokens that a task holds at once.
@@ -119,7 +119,8 @@ def counted(frame: DataFrame, keys_of) -> DataFrame:
             k, c = summed(keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "c"])
 
-    return small_batches(frame).mapInArrow(work, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    # dealt by key first: adding up in every task once more would find next to nothing to add
+    return small_batches(frame).mapInArrow(work, "key long, c long").repartition("key").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def floor_of(counts: DataFrame, limit: int) -> int:
@@ -416,11 +417,12 @@ class Model:
             self.go_through(shard, lambda part: RATE * max(0.05, 1 - (k + part) / rounds))  # noqa: B023
 
     def go_through(self, shard: tuple[np.ndarray, ...], rate) -> None:
-        u, v, w, weight = shard
-        order = self.rng.permutation(len(u))
-        for i in range(0, len(u), self.batch):
+        *numbers, weight = shard
+        numbers = np.stack(numbers, axis=1)  # the numbers of a token lie together
+        order = self.rng.permutation(len(weight))
+        for i in range(0, len(weight), self.batch):
             o = order[i:i + self.batch]
-            self.learn(u[o], v[o], w[o], weight[o], rate(i / len(u)))
+            self.learn(*numbers.take(o, axis=0).T, weight.take(o), rate(i / len(weight)))
 
     def arrays(self) -> dict[str, np.ndarray]:
         """Everything that is learned, by the names that ``step`` uses."""
@@ -717,26 +719,31 @@ def score(documents: DataFrame, classes: int | None = None, table: int = TABLE)
             total = lambda mask: np.bincount(owner[mask], weights=value[mask], minlength=n)  # noqa: E731, B023
             spread = np.bincount(owner, weights=words.spread[numbers], minlength=n)
             far, far_owner = hashes[~hit].view(np.int64), owner[~hit]
-            ends = np.cumsum(np.bincount(far_owner, minlength=n))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(far))
+            order = np.lexsort((far, far_owner))
+            far, far_owner = far[order], far_owner[order]
+            new = np.ones(len(far), dtype=bool)  # a text names each of its far words once, with its number of places
+            new[1:] = (far[1:] != far[:-1]) | (far_owner[1:] != far_owner[:-1])
+            times, far, far_owner = sizes(np.flatnonzero(new), len(far)), far[new], far_owner[new]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(far_owner, minlength=n))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (far, times)]
             columns = [pa.array(np.arange(at, at + n)), b.column("doc_id"), b.column("held_out"),
                        pa.array(np.bincount(owner, minlength=n) + 1), pa.array(count(hit)),
-                       *(pa.array(x.astype(np.float64)) for x in (total(hit), total(hit & other), lbl, spread)), lists]
+                       *(pa.array(x.astype(np.float64)) for x in (total(hit), total(hit & other), lbl, spread)), *lists]
             at += n
             yield pa.RecordBatch.from_arrays(columns, names=[
-                "row", "doc_id", "held_out", "n_tokens", "n_hit", "logs", "logs_other", "lbl", "spread", "far"])
+                "row", "doc_id", "held_out", "n_tokens", "n_hit", "logs", "logs_other", "lbl", "spread", "far", "times"])
 
     frame = docs.withColumn("held_out", F.coalesce(rest == HELD_OUT_REST, F.lit(False)))
     rows = cut_lineage(small_batches(frame).mapInArrow(
         work, "row long, doc_id long, held_out boolean, n_tokens long, n_hit long, logs double, "
-              "logs_other double, lbl double, spread double, far array<long>"))
-    each = rows.select("row", F.explode("far").alias("key"))
-    far = (each.groupBy("row", "key").agg(F.count("*").alias("k")).join(counts, "key")
+              "logs_other double, lbl double, spread double, far array<long>, times array<long>"))
+    each = rows.select("row", F.explode(F.arrays_zip(F.col("far").alias("key"), F.col("times").alias("k"))).alias("x"))
+    far = (each.select("row", "x.key", "x.k").join(counts, "key")
            .groupBy("row").agg(F.sum("k").alias("far_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("far_logs")))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     all_logs = F.col("logs") + zero("far_logs") + F.lit(float(np.log10(n_ends + 1)))
     other_logs = F.col("logs_other") + zero("far_logs")
-    return (rows.drop("far").join(far, "row", "left").select(
+    return (rows.drop("far", "times").join(far, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_hit") + zero("far_known") + F.lit(int(n_ends > 0))).cast("long").alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
