@@ -322,9 +322,9 @@ class Model:
             return self.learn_children(level, h, w, parent, weight, rate)
         first, true = runs(parent), self.tree.paths[level].take(w)
         size = sizes(first, len(w))
-        by = np.argsort(-size)  # parents of many draws first
-        first, size = first.take(by), size.take(by)
         drawn = self.draws(level, parent.take(first))
+        by = np.argsort(-size)  # parents of many draws first
+        first, size, drawn = first.take(by), size.take(by), drawn.take(by, axis=0)
         known = np.float32(np.log(NOISE[level]))
         rows = np.empty((*drawn.shape, DIM + 1), dtype=np.float32)
         rows[:, :, :DIM] = q.take(drawn, axis=0)
